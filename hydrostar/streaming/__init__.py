@@ -1,0 +1,6 @@
+"""Streaming: intentionally empty.
+
+The dashboard this engine re-implements reads a static store and has no
+stream, watermark, event-time window or state; none is built here (see the
+README).  Batch queries in ``hydrostar.plans`` cover all of its work.
+"""
