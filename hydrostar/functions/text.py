@@ -57,7 +57,8 @@ def thousands(col: ColumnOrName) -> Column:
 
 def fixed_text(col: ColumnOrName, digits: int) -> Column:
     """``f"{x:.nf}"`` of a DOUBLE, with Python's exact half-even rounding."""
-    return F.format_string(f"%.{digits}f", py_round(col, digits))
+    c = _c(col)
+    return F.when(c.isNotNull(), F.format_string(f"%.{digits}f", py_round(c, digits)))
 
 
 def percent_text(col: ColumnOrName, digits: int = 1) -> Column:

@@ -119,32 +119,55 @@ def _lit(v: object) -> str:
 
 
 # --- base queries -----------------------------------------------------------
+# Each returns (extra CTEs, SELECT without ORDER BY, ORDER BY list), so that a
+# derived oracle can inline a base query as a CTE of its own.
 
-def q1_filtration_share() -> str:
-    return with_fixture(f"""
+Parts = tuple[list[str], str, str]
+
+
+def run(parts: Parts) -> str:
+    ctes, select, order = parts
+    return with_fixture(*ctes, f"{select.strip()}\nORDER BY {order}")
+
+
+def inline(name: str, parts: Parts, *more: str) -> list[str]:
+    """CTE list defining ``name`` as the base query (unordered)."""
+    ctes, select, _ = parts
+    return [*ctes, f"{name} AS (\n{select.strip()})", *more]
+
+
+def q1_filtration_share() -> Parts:
+    return [], f"""
 SELECT filtration_type,
        COUNT(*) AS plants,
        {half_up('100 * COUNT(*)', '(SELECT COUNT(*) FROM f_plant)', 2)} AS pct
 FROM f_plant
 WHERE filtration_type IS NOT NULL AND filtration_type != ''
-GROUP BY filtration_type
-ORDER BY plants DESC, filtration_type NULLS FIRST
-""")
+GROUP BY filtration_type""", "plants DESC, filtration_type NULLS FIRST"
 
 
-def q2_parameter_purpose(rules, default, sort_rules, sort_default) -> str:
-    return with_fixture(f"""
+def q2_parameter_purpose(rules, default, sort_rules, sort_default) -> Parts:
+    return [], f"""
 SELECT parameter_name, unit,
-       {case_like('parameter_name', rules, default)} AS purpose
+       {case_like('parameter_name', rules, default)} AS purpose,
+       {case_like('parameter_name', sort_rules, sort_default)} AS purpose_rank,
+       parameter_id
 FROM f_parameter
-WHERE parameter_name IS NOT NULL AND parameter_name != ''
-ORDER BY {case_like('parameter_name', sort_rules, sort_default)}, parameter_name NULLS FIRST,
-         unit NULLS FIRST, parameter_id NULLS FIRST
-""")
+WHERE parameter_name IS NOT NULL AND parameter_name != ''""", (
+        "purpose_rank, parameter_name NULLS FIRST, unit NULLS FIRST, parameter_id NULLS FIRST"
+    )
+
+
+def q2_public(parts: Parts) -> str:
+    """Q2 as the dashboard shows it: without its sort helpers."""
+    return with_fixture(
+        *inline("q2", parts),
+        f"SELECT parameter_name, unit, purpose FROM q2 ORDER BY {parts[2]}",
+    )
 
 
-def q3_state_coverage() -> str:
-    return with_fixture(f"""
+def q3_state_coverage() -> Parts:
+    return [], f"""
 SELECT e.state_code, e.state_name,
        COUNT(DISTINCT eta.plant_id) AS plants,
        COUNT(DISTINCT mun.municipality_id) AS municipalities,
@@ -154,37 +177,35 @@ FROM f_state e
 JOIN f_municipality mun ON e.state_id = mun.state_id
 JOIN f_plant eta ON mun.municipality_id = eta.municipality_id
 GROUP BY e.state_code, e.state_name
-HAVING COUNT(DISTINCT eta.plant_id) > 0
-ORDER BY plants DESC, e.state_code NULLS FIRST, e.state_name NULLS FIRST
-""")
+HAVING COUNT(DISTINCT eta.plant_id) > 0""", "plants DESC, state_code NULLS FIRST, state_name NULLS FIRST"
 
 
-def q4_point_volume() -> str:
-    return with_fixture(f"""
+def q4_point_volume() -> Parts:
+    return [], f"""
 SELECT pm.point_type, pm.point_name,
        COUNT(m.measurement_id) AS measurements,
        {half_up('100 * COUNT(m.measurement_id)', '(SELECT COUNT(*) FROM f_measurement)', 2)} AS pct
 FROM f_point pm
 JOIN f_measurement m ON pm.point_id = m.point_id
-GROUP BY pm.point_type, pm.point_name
-ORDER BY measurements DESC, pm.point_type NULLS FIRST, pm.point_name NULLS FIRST
-""")
+GROUP BY pm.point_type, pm.point_name""", (
+        "measurements DESC, point_type NULLS FIRST, point_name NULLS FIRST"
+    )
 
 
-def q5_parameter_volume() -> str:
-    return with_fixture(f"""
+def q5_parameter_volume() -> Parts:
+    return [], f"""
 SELECT p.category, p.parameter_name,
        COUNT(m.measurement_id) AS measurements,
        {half_up('100 * COUNT(m.measurement_id)', '(SELECT COUNT(*) FROM f_measurement)', 2)} AS pct
 FROM f_parameter p
 JOIN f_measurement m ON p.parameter_id = m.parameter_id
-GROUP BY p.category, p.parameter_name
-ORDER BY p.category NULLS FIRST, measurements DESC, p.parameter_name NULLS FIRST
-""")
+GROUP BY p.category, p.parameter_name""", (
+        "category NULLS FIRST, measurements DESC, parameter_name NULLS FIRST"
+    )
 
 
-def q6_geo_activity() -> str:
-    return with_fixture(f"""
+def q6_geo_activity() -> Parts:
+    return [], f"""
 SELECT r.region_name, e.state_code,
        COUNT(DISTINCT mun.municipality_id) AS municipalities,
        COUNT(DISTINCT eta.plant_id) AS plants,
@@ -196,13 +217,13 @@ JOIN f_municipality mun ON e.state_id = mun.state_id
 JOIN f_plant eta ON mun.municipality_id = eta.municipality_id
 JOIN f_measurement med ON eta.plant_id = med.plant_id
 GROUP BY r.region_name, e.state_code
-HAVING COUNT(med.measurement_id) > 0
-ORDER BY measurements DESC, r.region_name NULLS FIRST, e.state_code NULLS FIRST
-""")
+HAVING COUNT(med.measurement_id) > 0""", (
+        "measurements DESC, region_name NULLS FIRST, state_code NULLS FIRST"
+    )
 
 
-def q7_institution_performance(min_measurements: int) -> str:
-    return with_fixture(f"""
+def q7_institution_performance(min_measurements: int) -> Parts:
+    return [], f"""
 SELECT i.institution_name, i.institution_type,
        COUNT(DISTINCT eta.plant_id) AS plants,
        COUNT(DISTINCT p.parameter_id) AS parameters,
@@ -214,9 +235,9 @@ JOIN f_plant eta ON er.office_id = eta.office_id
 JOIN f_measurement med ON eta.plant_id = med.plant_id
 JOIN f_parameter p ON med.parameter_id = p.parameter_id
 GROUP BY i.institution_name, i.institution_type
-HAVING COUNT(med.measurement_id) > {min_measurements}
-ORDER BY plants DESC, i.institution_name NULLS FIRST, i.institution_type NULLS FIRST
-""")
+HAVING COUNT(med.measurement_id) > {min_measurements}""", (
+        "plants DESC, institution_name NULLS FIRST, institution_type NULLS FIRST"
+    )
 
 
 def _band_predicate(pairs) -> str:
@@ -230,10 +251,10 @@ def _band_predicate(pairs) -> str:
     return "(" + "\n  OR ".join(terms) + ")"
 
 
-def q8_band_distribution_cte(pairs, min_records: int) -> tuple[str, str]:
-    """(CTE definition named q8, body) so derived queries can reuse it."""
+def q8_band_distribution(pairs, min_records: int) -> Parts:
+    """Two passes, as the dashboard writes it: totals in a CTE joined back."""
     pred = _band_predicate(pairs)
-    cte = f"""
+    total = f"""
 q8_total AS (
   SELECT eta.filtration_type, p.parameter_name, SUM(med.value) AS total_analyses
   FROM f_plant eta
@@ -241,32 +262,28 @@ q8_total AS (
   JOIN f_parameter p ON med.parameter_id = p.parameter_id
   JOIN f_band c ON med.band_id = c.band_id
   WHERE {pred}
-  GROUP BY eta.filtration_type, p.parameter_name),
-q8 AS (
-  SELECT eta.filtration_type, p.parameter_name, c.band_name,
-         SUM(med.value) AS analyses,
-         COUNT(DISTINCT eta.plant_id) AS plants,
-         {half_up('100 * CAST(SUM(med.value) AS BIGINT)', 'CAST(ta.total_analyses AS BIGINT)', 2)} AS pct
-  FROM f_plant eta
-  JOIN f_measurement med ON eta.plant_id = med.plant_id
-  JOIN f_parameter p ON med.parameter_id = p.parameter_id
-  JOIN f_band c ON med.band_id = c.band_id
-  JOIN q8_total ta ON ta.filtration_type = eta.filtration_type
-                  AND ta.parameter_name = p.parameter_name
-  WHERE {pred}
-  GROUP BY eta.filtration_type, p.parameter_name, c.band_name, ta.total_analyses
-  HAVING COUNT(med.measurement_id) >= {min_records})
-"""
-    return cte, "SELECT * FROM q8 ORDER BY filtration_type NULLS FIRST, parameter_name NULLS FIRST, band_name DESC"
-
-
-def q8_band_distribution(pairs, min_records: int) -> str:
-    cte, body = q8_band_distribution_cte(pairs, min_records)
-    return with_fixture(cte, body)
+  GROUP BY eta.filtration_type, p.parameter_name)"""
+    select = f"""
+SELECT eta.filtration_type, p.parameter_name, c.band_name,
+       SUM(med.value) AS analyses,
+       COUNT(DISTINCT eta.plant_id) AS plants,
+       {half_up('100 * CAST(SUM(med.value) AS BIGINT)', 'CAST(ta.total_analyses AS BIGINT)', 2)} AS pct
+FROM f_plant eta
+JOIN f_measurement med ON eta.plant_id = med.plant_id
+JOIN f_parameter p ON med.parameter_id = p.parameter_id
+JOIN f_band c ON med.band_id = c.band_id
+JOIN q8_total ta ON ta.filtration_type = eta.filtration_type
+                AND ta.parameter_name = p.parameter_name
+WHERE {pred}
+GROUP BY eta.filtration_type, p.parameter_name, c.band_name, ta.total_analyses
+HAVING COUNT(med.measurement_id) >= {min_records}"""
+    return [total], select, (
+        "filtration_type NULLS FIRST, parameter_name NULLS FIRST, band_name DESC"
+    )
 
 
-def q9_state_ranking(min_plants: int) -> str:
-    return with_fixture(f"""
+def q9_state_ranking(min_plants: int) -> Parts:
+    return [], f"""
 SELECT e.state_name,
        COUNT(DISTINCT eta.plant_id) AS plants,
        COUNT(DISTINCT p.parameter_id) AS parameters,
@@ -277,59 +294,271 @@ JOIN f_plant eta ON mun.municipality_id = eta.municipality_id
 JOIN f_measurement med ON eta.plant_id = med.plant_id
 JOIN f_parameter p ON med.parameter_id = p.parameter_id
 GROUP BY e.state_name
-HAVING COUNT(DISTINCT eta.plant_id) >= {min_plants}
-ORDER BY parameters DESC, measurements DESC, e.state_name NULLS FIRST
-""")
+HAVING COUNT(DISTINCT eta.plant_id) >= {min_plants}""", (
+        "parameters DESC, measurements DESC, state_name NULLS FIRST"
+    )
 
 
-def q10_monthly_evolution_cte(year: int, min_measurements: int, bounds, labels) -> tuple[str, str]:
+def q10_monthly_evolution(year: int, min_measurements: int, bounds, labels) -> Parts:
     period = "CASE " + " ".join(
         f"WHEN med.month <= {b} THEN {sql_str(l)}" for b, l in zip(bounds, labels)
     ) + f" ELSE {sql_str(labels[-1])} END"
-    cte = f"""
-q10 AS (
-  SELECT r.region_name, med.month,
-         COUNT(med.measurement_id) AS measurements,
-         COUNT(DISTINCT eta.plant_id) AS plants,
-         COUNT(DISTINCT p.parameter_id) AS parameters,
-         {half_up('COUNT(med.measurement_id)', 'COUNT(DISTINCT eta.plant_id)', 1)} AS intensity,
-         {half_up('COUNT(DISTINCT p.parameter_id)', 'COUNT(DISTINCT eta.plant_id)', 2)} AS diversity,
-         {period} AS period
-  FROM f_region r
-  JOIN f_state e ON r.region_id = e.region_id
-  JOIN f_municipality mun ON e.state_id = mun.state_id
-  JOIN f_plant eta ON mun.municipality_id = eta.municipality_id
-  JOIN f_measurement med ON eta.plant_id = med.plant_id
-  JOIN f_parameter p ON med.parameter_id = p.parameter_id
-  WHERE med.year = {year}
-  GROUP BY r.region_name, med.month
-  HAVING COUNT(med.measurement_id) >= {min_measurements})
-"""
-    return cte, "SELECT * FROM q10 ORDER BY region_name NULLS FIRST, month NULLS FIRST"
+    return [], f"""
+SELECT r.region_name, med.month,
+       COUNT(med.measurement_id) AS measurements,
+       COUNT(DISTINCT eta.plant_id) AS plants,
+       COUNT(DISTINCT p.parameter_id) AS parameters,
+       {half_up('COUNT(med.measurement_id)', 'COUNT(DISTINCT eta.plant_id)', 1)} AS intensity,
+       {half_up('COUNT(DISTINCT p.parameter_id)', 'COUNT(DISTINCT eta.plant_id)', 2)} AS diversity,
+       {period} AS period
+FROM f_region r
+JOIN f_state e ON r.region_id = e.region_id
+JOIN f_municipality mun ON e.state_id = mun.state_id
+JOIN f_plant eta ON mun.municipality_id = eta.municipality_id
+JOIN f_measurement med ON eta.plant_id = med.plant_id
+JOIN f_parameter p ON med.parameter_id = p.parameter_id
+WHERE med.year = {year}
+GROUP BY r.region_name, med.month
+HAVING COUNT(med.measurement_id) >= {min_measurements}""", (
+        "region_name NULLS FIRST, month NULLS FIRST"
+    )
 
 
-def q10_monthly_evolution(year, min_measurements, bounds, labels) -> str:
-    cte, body = q10_monthly_evolution_cte(year, min_measurements, bounds, labels)
-    return with_fixture(cte, body)
+def q11_kpi_summary(names) -> Parts:
+    n = [sql_str(x) for x in names]
+    return [], f"""
+SELECT 1 AS ord, {n[0]} AS metric, COUNT(DISTINCT e.state_name) AS value
+FROM f_state e
+JOIN f_municipality m ON e.state_id = m.state_id
+JOIN f_plant eta ON m.municipality_id = eta.municipality_id
+UNION ALL
+SELECT 2, {n[1]}, COUNT(*) FROM f_plant
+UNION ALL
+SELECT 3, {n[2]}, COUNT(*) FROM f_measurement
+UNION ALL
+SELECT 4, {n[3]}, COUNT(*) FROM f_parameter
+UNION ALL
+SELECT 5, {n[4]}, COUNT(DISTINCT m.municipality_id)
+FROM f_municipality m
+JOIN f_plant eta ON m.municipality_id = eta.municipality_id""", "ord"
+
+
+# --- derived results ----------------------------------------------------------
+# Each takes the Parts of the base query it reads and returns full SQL.
+
+def _from(name: str, parts: Parts, *more: str, body: str) -> str:
+    return with_fixture(*inline(name, parts), *more, body)
+
+
+def top(name: str, parts: Parts, k: int, cols: str = "*", order: str | None = None) -> str:
+    return _from(
+        name, parts, body=f"SELECT {cols} FROM {name} ORDER BY {order or parts[2]} LIMIT {k}"
+    )
 
 
-def q11_kpi_summary(names) -> str:
-    n = [sql_str(x) for x in names]
-    return with_fixture(f"""
-SELECT * FROM (
-  SELECT 1 AS ord, {n[0]} AS metric, COUNT(DISTINCT e.state_name) AS value
-  FROM f_state e
-  JOIN f_municipality m ON e.state_id = m.state_id
-  JOIN f_plant eta ON m.municipality_id = eta.municipality_id
-  UNION ALL
-  SELECT 2, {n[1]}, COUNT(*) FROM f_plant
-  UNION ALL
-  SELECT 3, {n[2]}, COUNT(*) FROM f_measurement
-  UNION ALL
-  SELECT 4, {n[3]}, COUNT(*) FROM f_parameter
-  UNION ALL
-  SELECT 5, {n[4]}, COUNT(DISTINCT m.municipality_id)
-  FROM f_municipality m
-  JOIN f_plant eta ON m.municipality_id = eta.municipality_id
-) ORDER BY ord
-""")
+def share_by(name: str, parts: Parts, key: str) -> str:
+    per = f"""
+per AS (
+  SELECT {key}, CAST(SUM(measurements) AS BIGINT) AS measurements
+  FROM {name} WHERE {key} IS NOT NULL GROUP BY {key})"""
+    return _from(name, parts, per, body=f"""
+SELECT {key}, measurements,
+       {half_up('100 * measurements', '(SELECT CAST(SUM(measurements) AS BIGINT) FROM per)', 2)} AS pct
+FROM per ORDER BY measurements DESC, {key} NULLS FIRST""")
+
+
+def total_of(name: str, parts: Parts, measure: str) -> str:
+    return _from(name, parts, body=f"""
+SELECT CAST(SUM({measure}) AS BIGINT) AS {measure},
+       format('{{:,}}', CAST(SUM({measure}) AS BIGINT)) AS {measure}_text
+FROM {name}""")
+
+
+def p4_purpose_counts(q2: Parts) -> str:
+    return _from("q2", q2, body="""
+SELECT purpose, COUNT(*) AS parameters FROM q2 WHERE purpose IS NOT NULL
+GROUP BY purpose ORDER BY parameters DESC, purpose""")
+
+
+def p5_purpose_detail(q2: Parts, none_text: str, qualitative: str) -> str:
+    sizes = "sizes AS (SELECT purpose, COUNT(*) AS n FROM q2 WHERE purpose IS NOT NULL GROUP BY purpose)"
+    return _from("q2", q2, sizes, body=f"""
+SELECT q2.purpose, sizes.n AS purpose_parameters, q2.parameter_name,
+       CASE WHEN q2.unit = {sql_str(none_text)} THEN {sql_str(qualitative)} ELSE q2.unit END AS unit_label
+FROM q2 JOIN sizes ON q2.purpose = sizes.purpose
+ORDER BY 1, 3 NULLS FIRST, 4 NULLS FIRST""")
+
+
+def p6_state_coverage_display(q3: Parts) -> str:
+    return _from("q3", q3, body=f"""
+SELECT *, printf('%.2f', plants_per_municipality) AS efficiency FROM q3 ORDER BY {q3[2]}""")
+
+
+def p9_category_hierarchy(q5: Parts) -> str:
+    return _from("q5", q5, body="""
+SELECT category, parameter_name, GROUPING_ID(category, parameter_name) AS level,
+       CAST(SUM(measurements) AS BIGINT) AS measurements
+FROM q5 GROUP BY ROLLUP (category, parameter_name)
+ORDER BY level, category NULLS FIRST, parameter_name NULLS FIRST""")
+
+
+def p11_regional_summary(q6: Parts) -> str:
+    return _from("q6", q6, body=f"""
+SELECT region_name,
+       CAST(SUM(measurements) AS BIGINT) AS measurements,
+       CAST(SUM(plants) AS BIGINT) AS plants,
+       {mean_half_even(f"SUM({units('measurements_per_plant', 0)})", 'COUNT(measurements_per_plant)', 0, 1)}
+         AS measurements_per_plant,
+       CAST(SUM(municipalities) AS BIGINT) AS municipalities
+FROM q6 WHERE region_name IS NOT NULL
+GROUP BY region_name ORDER BY region_name""")
+
+
+def p12_band_series(q8: Parts) -> str:
+    return _from("q8", q8, body="""
+SELECT parameter_name, filtration_type, band_name, pct FROM q8
+ORDER BY parameter_name NULLS FIRST, filtration_type NULLS FIRST, band_name DESC""")
+
+
+def p15_ranking_mean_parameters(q9: Parts) -> str:
+    return _from("q9", q9, body=f"""
+SELECT {half_even('CAST(SUM(parameters) AS BIGINT)', 'COUNT(parameters)')} AS mean_parameters FROM q9""")
+
+
+def p17_select_options(q8: Parts, all_filtrations: str, all_parameters: str) -> str:
+    f = """
+f_opts AS (
+  SELECT filtration_type AS option,
+         CAST(ROW_NUMBER() OVER (ORDER BY filtration_type) AS INTEGER) AS ord
+  FROM (SELECT DISTINCT filtration_type FROM q8))"""
+    p = """
+p_opts AS (
+  SELECT parameter_name AS option,
+         CAST(ROW_NUMBER() OVER (ORDER BY first_f, parameter_name) AS INTEGER) AS ord
+  FROM (SELECT parameter_name, MIN(filtration_type) AS first_f FROM q8 GROUP BY parameter_name))"""
+    return _from("q8", q8, f, p, body=f"""
+SELECT 'filtration_type' AS field, 0 AS ord, {sql_str(all_filtrations)} AS option
+UNION ALL SELECT 'filtration_type', ord, option FROM f_opts
+UNION ALL SELECT 'parameter_name', 0, {sql_str(all_parameters)}
+UNION ALL SELECT 'parameter_name', ord, option FROM p_opts
+ORDER BY field, ord""")
+
+
+def p18_filter_choice(q8: Parts, filtration: str | None, parameter: str | None) -> str:
+    conds = []
+    if filtration is not None:
+        conds.append(f"filtration_type = {sql_str(filtration)}")
+    if parameter is not None:
+        conds.append(f"parameter_name = {sql_str(parameter)}")
+    where = " AND ".join(conds) or "TRUE"
+    return _from("q8", q8, body=f"SELECT * FROM q8 WHERE {where} ORDER BY {q8[2]}")
+
+
+def p19_monthly_series(q10: Parts) -> str:
+    return _from("q10", q10, body="""
+SELECT region_name, month, 'measurements' AS series, CAST(measurements AS DOUBLE) AS value FROM q10
+UNION ALL
+SELECT region_name, month, 'intensity', intensity FROM q10
+ORDER BY region_name NULLS FIRST, month NULLS FIRST, series DESC""")
+
+
+def p20_intensity_heatmap(q10: Parts) -> str:
+    cells = ",\n       ".join(
+        f"MAX(CASE WHEN month = {m} THEN intensity END) AS m{m:02d}" for m in range(1, 13)
+    )
+    return _from("q10", q10, body=f"""
+SELECT region_name,
+       {cells}
+FROM q10 WHERE month IS NOT NULL
+GROUP BY region_name ORDER BY region_name NULLS FIRST""")
+
+
+def p21_period_summary(q10: Parts) -> str:
+    return _from("q10", q10, body=f"""
+SELECT region_name, period,
+       CAST(SUM(measurements) AS BIGINT) AS measurements,
+       {mean_half_even(f"SUM({units('intensity', 1)})", 'COUNT(intensity)', 1, 2)} AS intensity,
+       {mean_half_even(f"SUM({units('diversity', 2)})", 'COUNT(diversity)', 2, 2)} AS diversity
+FROM q10 WHERE region_name IS NOT NULL
+GROUP BY region_name, period ORDER BY region_name, period""")
+
+
+def p22_intensity_box_stats(q10: Parts) -> str:
+    """Hazen quartiles by row numbers over the individual rows."""
+    v = f"""
+v AS (
+  SELECT region_name, {units('intensity', 1)} AS u,
+         ROW_NUMBER() OVER (PARTITION BY region_name ORDER BY intensity) AS rn,
+         COUNT(*) OVER (PARTITION BY region_name) AS n
+  FROM q10 WHERE region_name IS NOT NULL AND intensity IS NOT NULL)"""
+    h = """
+h AS (
+  SELECT DISTINCT region_name, n,
+         LEAST(GREATEST(n * 1 + 2, 4), 4 * n) AS h1,
+         LEAST(GREATEST(n * 2 + 2, 4), 4 * n) AS h2,
+         LEAST(GREATEST(n * 3 + 2, 4), 4 * n) AS h3
+  FROM v)"""
+
+    def q4(hc: str) -> str:
+        a = f"MAX(CASE WHEN v.rn = h.{hc} // 4 THEN v.u END)"
+        b = f"MAX(CASE WHEN v.rn = LEAST(h.{hc} // 4 + 1, h.n) THEN v.u END)"
+        return f"(4 * {a} + (h.{hc} % 4) * ({b} - {a}))"
+
+    qs = f"""
+qs AS (
+  SELECT h.region_name, h.n, {q4('h1')} AS q1_4, {q4('h2')} AS m_4, {q4('h3')} AS q3_4
+  FROM h JOIN v ON h.region_name = v.region_name
+  GROUP BY h.region_name, h.n, h.h1, h.h2, h.h3)"""
+    w = """
+w AS (
+  SELECT *, 2 * q1_4 - 3 * (q3_4 - q1_4) AS lo8, 2 * q3_4 + 3 * (q3_4 - q1_4) AS hi8 FROM qs)"""
+    inside = "8 * v.u >= w.lo8 AND 8 * v.u <= w.hi8"
+    return _from("q10", q10, v, h, qs, w, body=f"""
+SELECT w.region_name, CAST(w.n AS BIGINT) AS n,
+       w.q1_4 / 40.0e0 AS q1, w.m_4 / 40.0e0 AS median, w.q3_4 / 40.0e0 AS q3,
+       MIN(CASE WHEN {inside} THEN v.u END) / 10.0e0 AS lower_whisker,
+       MAX(CASE WHEN {inside} THEN v.u END) / 10.0e0 AS upper_whisker,
+       CAST(SUM(CASE WHEN {inside} THEN 0 ELSE 1 END) AS BIGINT) AS outliers
+FROM w JOIN v ON w.region_name = v.region_name
+GROUP BY w.region_name, w.n, w.q1_4, w.m_4, w.q3_4
+ORDER BY w.region_name""")
+
+
+def _std_sql(col: str, digits: int, out_digits: int) -> str:
+    u = units(col, digits)
+    num = f"CAST(COUNT({col}) * SUM({u} * {u}) - SUM({u}) * SUM({u}) AS DOUBLE)"
+    den = f"CAST(NULLIF(COUNT({col}) * (COUNT({col}) - 1), 0) AS DOUBLE)"
+    m = f"{10**out_digits}.0e0"
+    return f"(round_even(sqrt({num} / {den}) / {10**digits}.0e0 * {m}, 0) / {m})"
+
+
+def p23_consolidated_stats(q10: Parts) -> str:
+    return _from("q10", q10, body=f"""
+SELECT region_name,
+       CAST(SUM(measurements) AS BIGINT) AS measurements_sum,
+       {mean_half_even('SUM(measurements)', 'COUNT(measurements)', 0, 2)} AS measurements_mean,
+       {mean_half_even('SUM(plants)', 'COUNT(plants)', 0, 2)} AS plants_mean,
+       {mean_half_even('SUM(parameters)', 'COUNT(parameters)', 0, 2)} AS parameters_mean,
+       {mean_half_even(f"SUM({units('intensity', 1)})", 'COUNT(intensity)', 1, 2)} AS intensity_mean,
+       {_std_sql('intensity', 1, 2)} AS intensity_std,
+       {mean_half_even(f"SUM({units('diversity', 2)})", 'COUNT(diversity)', 2, 2)} AS diversity_mean,
+       {_std_sql('diversity', 2, 2)} AS diversity_std
+FROM q10 WHERE region_name IS NOT NULL
+GROUP BY region_name ORDER BY region_name""")
+
+
+def p25_coverage_dual_axis(q3: Parts) -> str:
+    return _from("q3", q3, body="""
+SELECT state_code, 'plants' AS measure, plants AS value FROM q3
+UNION ALL
+SELECT state_code, 'municipalities', municipalities FROM q3
+ORDER BY state_code NULLS FIRST, measure DESC""")
+
+
+def p26_labels(name: str, parts: Parts, keys: str, label_col: str, width: int, measure: str) -> str:
+    return _from(name, parts, body=f"""
+SELECT {keys},
+       substring({label_col}, 1, {width}) || '...' AS label,
+       format('{{:,}}', {measure}) AS value_text,
+       printf('%.1f', pct) || '%' AS delta_text
+FROM {name} ORDER BY {parts[2]}""")

@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from hydrostar import oracle as O
-from hydrostar.plans import base
+from hydrostar.plans import base, derived
 from hydrostar.plans import fixture_params as FX
 from hydrostar.plans import params as P
 from hydrostar.sources.fixture import fixture_tables
@@ -45,38 +45,106 @@ Q10_KW = dict(
     period_labels=P.PERIOD_LABELS,
 )
 
-BASE: dict[str, tuple[Query, str | None]] = {
-    "Q1_filtration_share": (_on_fixture(base.filtration_share), O.q1_filtration_share()),
-    "Q2_parameter_purpose": (
-        _on_fixture(base.parameter_purpose, **Q2_KW),
-        O.q2_parameter_purpose(**Q2_KW),
-    ),
-    "Q3_state_coverage": (_on_fixture(base.state_coverage), O.q3_state_coverage()),
-    "Q4_point_volume": (_on_fixture(base.point_volume), O.q4_point_volume()),
-    "Q5_parameter_volume": (_on_fixture(base.parameter_volume), O.q5_parameter_volume()),
-    "Q6_geo_activity": (_on_fixture(base.geo_activity), O.q6_geo_activity()),
-    "Q7_institution_performance": (
-        _on_fixture(base.institution_performance, **Q7_KW),
-        O.q7_institution_performance(**Q7_KW),
+# Oracle parts of the base queries, reused by the derived oracles.
+OQ = {
+    "Q1": O.q1_filtration_share(),
+    "Q2": O.q2_parameter_purpose(**Q2_KW),
+    "Q3": O.q3_state_coverage(),
+    "Q4": O.q4_point_volume(),
+    "Q5": O.q5_parameter_volume(),
+    "Q6": O.q6_geo_activity(),
+    "Q7": O.q7_institution_performance(**Q7_KW),
+    "Q8": O.q8_band_distribution(FX.BAND_PAIRS, FX.MIN_BAND_RECORDS),
+    "Q9": O.q9_state_ranking(**Q9_KW),
+    "Q10": O.q10_monthly_evolution(
+        FX.MONTHLY_YEAR, FX.MIN_MONTHLY_MEASUREMENTS, P.PERIOD_BOUNDS, P.PERIOD_LABELS
     ),
-    "Q8_band_distribution": (
-        _on_fixture(base.band_distribution, **Q8_KW),
-        O.q8_band_distribution(FX.BAND_PAIRS, FX.MIN_BAND_RECORDS),
+    "Q11": O.q11_kpi_summary(P.KPI_NAMES),
+}
+
+# Spark side of the base queries bound to the fixture parameters.
+SQ = {
+    "Q1": (base.filtration_share, {}),
+    "Q2": (base.parameter_purpose, Q2_KW),
+    "Q3": (base.state_coverage, {}),
+    "Q4": (base.point_volume, {}),
+    "Q5": (base.parameter_volume, {}),
+    "Q6": (base.geo_activity, {}),
+    "Q7": (base.institution_performance, Q7_KW),
+    "Q8": (base.band_distribution, Q8_KW),
+    "Q9": (base.state_ranking, Q9_KW),
+    "Q10": (base.monthly_evolution, Q10_KW),
+    "Q11": (base.kpi_summary, {}),
+}
+
+BASE: dict[str, tuple[Query, str | None]] = {
+    f"{qid}_{fn.__name__}": (
+        _on_fixture(fn, **kw),
+        O.q2_public(OQ[qid]) if qid == "Q2" else O.run(OQ[qid]),
+    )
+    for qid, (fn, kw) in SQ.items()
+}
+
+
+
+def _derived(qid: str, fn, **kwargs) -> Query:
+    base_fn, base_kw = SQ[qid]
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return fn(base_fn(fixture_tables(spark, sf_dir), **base_kw), **kwargs)
+
+    run.__name__ = fn.__name__
+    run.__doc__ = fn.__doc__
+    return run
+
+
+P18_KW = dict(filtration=FX.CHOSEN_FILTRATION, parameter=FX.CHOSEN_PARAMETER)
+
+DERIVED_ORACLES: dict[str, str] = {
+    "P1": O.top("q3", OQ["Q3"], P.TOP_STATES),
+    "P2": O.share_by("q6", OQ["Q6"], "region_name"),
+    "P3": O.total_of("q1", OQ["Q1"], "plants"),
+    "P4": O.p4_purpose_counts(OQ["Q2"]),
+    "P5": O.p5_purpose_detail(OQ["Q2"], P.UNIT_NONE_TEXT, P.UNIT_QUALITATIVE),
+    "P6": O.p6_state_coverage_display(OQ["Q3"]),
+    "P7": O.share_by("q4", OQ["Q4"], "point_name"),
+    "P8": O.total_of("q4", OQ["Q4"], "measurements"),
+    "P9": O.p9_category_hierarchy(OQ["Q5"]),
+    "P10": O.top(
+        "q5",
+        OQ["Q5"],
+        P.TOP_PARAMETERS,
+        order="measurements DESC, category NULLS FIRST, parameter_name NULLS FIRST",
     ),
-    "Q9_state_ranking": (
-        _on_fixture(base.state_ranking, **Q9_KW),
-        O.q9_state_ranking(**Q9_KW),
+    "P11": O.p11_regional_summary(OQ["Q6"]),
+    "P12": O.p12_band_series(OQ["Q8"]),
+    "P13": O.top("q9", OQ["Q9"], P.TOP_RANKED_STATES),
+    "P14": O.top("q9", OQ["Q9"], 1, "state_name, parameters"),
+    "P15": O.p15_ranking_mean_parameters(OQ["Q9"]),
+    "P16": O.total_of("q9", OQ["Q9"], "measurements"),
+    "P17": O.p17_select_options(OQ["Q8"], P.ALL_FILTRATIONS, P.ALL_PARAMETERS),
+    "P18": O.p18_filter_choice(OQ["Q8"], **P18_KW),
+    "P19": O.p19_monthly_series(OQ["Q10"]),
+    "P20": O.p20_intensity_heatmap(OQ["Q10"]),
+    "P21": O.p21_period_summary(OQ["Q10"]),
+    "P22": O.p22_intensity_box_stats(OQ["Q10"]),
+    "P23": O.p23_consolidated_stats(OQ["Q10"]),
+    "P25": O.p25_coverage_dual_axis(OQ["Q3"]),
+    "P26a": O.p26_labels(
+        "q1", OQ["Q1"], "filtration_type", "filtration_type", P.FILTRATION_LABEL_WIDTH, "plants"
     ),
-    "Q10_monthly_evolution": (
-        _on_fixture(base.monthly_evolution, **Q10_KW),
-        O.q10_monthly_evolution(
-            FX.MONTHLY_YEAR, FX.MIN_MONTHLY_MEASUREMENTS, P.PERIOD_BOUNDS, P.PERIOD_LABELS
-        ),
+    "P26b": O.p26_labels(
+        "q4", OQ["Q4"], "point_type, point_name", "point_name", P.POINT_LABEL_WIDTH, "measurements"
     ),
-    "Q11_kpi_summary": (_on_fixture(base.kpi_summary), O.q11_kpi_summary(P.KPI_NAMES)),
 }
 
-REGISTRY: dict[str, tuple[Query, str | None]] = dict(BASE)
+DERIVED: dict[str, tuple[Query, str | None]] = {}
+for pid, (qid, fn) in derived.DERIVED_ON.items():
+    kw = P18_KW if pid == "P18" else {}
+    key = f"{pid.rstrip('ab')}_{fn.__name__}"
+    DERIVED[key] = (_derived(qid, fn, **kw), DERIVED_ORACLES.get(pid))
+
+REGISTRY: dict[str, tuple[Query, str | None]] = {**BASE, **DERIVED}
 
 
 def queries() -> dict[str, Query]:
