@@ -25,5 +25,14 @@ def bounded_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> Data
 
 
 def literal_table(spark, rows, schema: str) -> DataFrame:
-    """A small rule table given in code (its size is its own bound)."""
-    return F.broadcast(spark.createDataFrame(list(rows), schema))
+    """A small rule table given in code (its size is its own bound).
+
+    ``schema`` is a DDL list such as ``"name STRING, rank INT"``.  Built as
+    ``inline(array(struct(...)))`` over one row, which Catalyst folds into a
+    local relation: no Python worker, no RDD.
+    """
+    fields = [f.strip().split() for f in schema.split(",")]
+    structs = [
+        F.struct(*[F.lit(v).cast(t).alias(n) for v, (n, t) in zip(row, fields)]) for row in rows
+    ]
+    return F.broadcast(spark.range(1).select(F.inline(F.array(*structs))))

@@ -1,10 +1,11 @@
 """Dimension chains joined to the pre-aggregated fact.
 
 Each chain is a many-to-one path from ``plant``; the fact joins it once on
-``plant_id``.  The tiny geographic tables are broadcast behind a row-count
-check; ``plant``, ``municipality``, ``office`` and ``parameter`` grow with the
-data and are left to the planner (sort-merge, or broadcast by AQE when the
-runtime size allows).  Inner joins drop orphan keys and NULL keys, as the
+``plant_id``.  No side is forced to broadcast here: the geographic tables are
+tiny files that the planner broadcasts on its own size statistics, and
+``plant``, ``municipality``, ``office`` and ``parameter`` grow with the data,
+so they are left to the planner (sort-merge, or broadcast by AQE when the
+runtime size of a side allows).  Inner joins drop orphan keys and NULL keys, as the
 reference's ``INNER JOIN`` chains do.
 """
 
@@ -12,22 +13,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-from hydrostar.operators.joins import bounded_broadcast
 from hydrostar.sources.tables import Tables
 
-# Regions and states are administrative units: a few dozen rows.
-GEO_MAX_ROWS = 10_000
-
 
 def state_geo(t: Tables, with_region: bool) -> DataFrame:
     """state_id -> state_code, state_name[, region_name]."""
     st = t.state.select("state_id", "region_id", "state_code", "state_name")
     if with_region:
-        st = st.join(
-            bounded_broadcast(t.region.select("region_id", "region_name"), GEO_MAX_ROWS),
-            "region_id",
-        )
-    return bounded_broadcast(st.drop("region_id"), GEO_MAX_ROWS)
+        st = st.join(t.region.select("region_id", "region_name"), "region_id")
+    return st.drop("region_id")
 
 
 def plant_geo(t: Tables, with_region: bool) -> DataFrame:

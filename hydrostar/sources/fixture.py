@@ -8,9 +8,13 @@ prunes the unused source columns and pushes filters through it.
 
 from __future__ import annotations
 
+import threading
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from hydrostar.operators.joins import literal_table
 from hydrostar.sources.tables import Tables
 
 # FIXED VALUES of the fixture mapping: market segment -> office offset, and
@@ -27,8 +31,61 @@ RETURNFLAG_BAND = (("A", 1), ("N", 2))
 RETURNFLAG_OTHER = 3
 
 
+# Declared schemas of the source columns the mapping reads (no inference).
+_I32, _I64, _F64, _STR = T.IntegerType(), T.LongType(), T.DoubleType(), T.StringType()
+SOURCE_SCHEMAS: dict[str, T.StructType] = {
+    name: T.StructType([T.StructField(c, t, True) for c, t in cols])
+    for name, cols in {
+        "region": [("r_regionkey", _I32), ("r_name", _STR)],
+        "nation": [("n_nationkey", _I32), ("n_name", _STR), ("n_regionkey", _I32)],
+        "customer": [("c_custkey", _I64), ("c_nationkey", _I32), ("c_mktsegment", _STR)],
+        "orders": [("o_orderkey", _I64), ("o_custkey", _I64), ("o_orderpriority", _STR)],
+        "supplier": [("s_suppkey", _I64), ("s_name", _STR), ("s_nationkey", _I32)],
+        "part": [
+            ("p_partkey", _I64),
+            ("p_name", _STR),
+            ("p_brand", _STR),
+            ("p_type", _STR),
+            ("p_size", _I32),
+        ],
+        "lineitem": [
+            ("l_orderkey", _I64),
+            ("l_partkey", _I64),
+            ("l_suppkey", _I64),
+            ("l_linenumber", _I32),
+            ("l_quantity", _F64),
+            ("l_tax", _F64),
+            ("l_returnflag", _STR),
+            ("l_shipdate", T.TimestampNTZType()),
+        ],
+    }.items()
+}
+
+
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spark.read.schema(SOURCE_SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
+
+
+_CACHE: dict[tuple[int, str], tuple[SparkSession, Tables]] = {}
+_LOCK = threading.Lock()
+
+
+def fixture_tables(spark: SparkSession, sf_dir: str) -> Tables:
+    """The ten lazy tables over ``sf_dir``, defined once per session.
+
+    Only the DataFrame *definitions* are kept (no data is cached): queries
+    issued in the same session share them instead of re-analysing the
+    mapping each time.
+    """
+    key = (id(spark), sf_dir)
+    with _LOCK:
+        hit = _CACHE.get(key)
+        if hit is not None and hit[0] is spark:
+            return hit[1]
+    tables = build_fixture_tables(spark, sf_dir)
+    with _LOCK:
+        _CACHE[key] = (spark, tables)
+    return tables
 
 
 def _segment_offset(col: str) -> F.Column:
@@ -39,7 +96,7 @@ def _segment_offset(col: str) -> F.Column:
     return expr.otherwise(F.lit(SEGMENT_OTHER))
 
 
-def fixture_tables(spark: SparkSession, sf_dir: str) -> Tables:
+def build_fixture_tables(spark: SparkSession, sf_dir: str) -> Tables:
     """Build the ten tables from ``<sf_dir>/{region,nation,...}.parquet``."""
     region = _read(spark, sf_dir, "region").select(
         F.col("r_regionkey").cast("long").alias("region_id"),
@@ -102,7 +159,7 @@ def fixture_tables(spark: SparkSession, sf_dir: str) -> Tables:
         .alias("unit"),
         F.col("p_type").alias("category"),
     )
-    band = spark.createDataFrame(list(FIXTURE_BANDS), "band_id INT, band_name STRING")
+    band = literal_table(spark, FIXTURE_BANDS, "band_id INT, band_name STRING")
     lineitem = _read(spark, sf_dir, "lineitem")
     flag_band = None
     for flag, band_id in RETURNFLAG_BAND:
