@@ -9,16 +9,25 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hydrostar.functions.numeric import ratio
 from hydrostar.functions.text import bucket_label, classify
 from hydrostar.operators.joins import bounded_broadcast, literal_table
+from hydrostar.operators.reshape import stack_metrics
 from hydrostar.operators.rollup import fact_rollup, table_count
 from hydrostar.operators.shares import activity_by, share_of_total
 from hydrostar.plans import params as P
-from hydrostar.plans.dims import parameter_keys, plant_geo, plant_institution, state_geo
+from hydrostar.plans.dims import (
+    COPIES,
+    parameter_keys,
+    plant_geo,
+    plant_institution,
+    state_geo,
+    weighted,
+    wjoin,
+)
 from hydrostar.sources.tables import Tables
 
 
@@ -68,7 +77,7 @@ def parameter_purpose(
 # Q3 -------------------------------------------------------------------------
 def state_coverage(t: Tables) -> DataFrame:
     """Per state: distinct plants and municipalities having a plant."""
-    rows = plant_geo(t, with_region=False)
+    rows = plant_geo(t, with_region=False)  # weighted: one row per distinct path
     return (
         activity_by(
             rows,
@@ -94,9 +103,9 @@ def _volume_by(
 ) -> DataFrame:
     per_key = fact_rollup(t.measurement, [fk]).select(fk, "records")
     grouped = (
-        per_key.join(dim.select(fk, *keys), fk)
+        per_key.join(weighted(dim, [fk, *keys]), fk)
         .groupBy(*keys)
-        .agg(F.sum("records").cast("long").alias("measurements"))
+        .agg(F.sum(F.col("records") * F.col(COPIES)).cast("long").alias("measurements"))
     )
     return share_of_total(grouped, "measurements", table_count(t.measurement), 2).orderBy(*order)
 
@@ -123,11 +132,23 @@ def parameter_volume(t: Tables) -> DataFrame:
     )
 
 
+# Fact queries: the fact is pre-aggregated to the grain each query needs
+# (``fact_rollup``), then joined to weighted dimensions; record counts are
+# ``records * copies`` so that repeated dimension rows count as in SQL.
+def _keyed(per: DataFrame, *dims: tuple[DataFrame, str]) -> DataFrame:
+    """Join pre-aggregated fact rows to weighted dimensions; the result's
+    ``records`` already include the dimensions' multiplicities."""
+    rows = per.withColumn(COPIES, F.lit(1).cast("long"))
+    for dim, key in dims:
+        rows = wjoin(rows, dim, key)
+    return rows.withColumn("records", F.col("records") * F.col(COPIES)).drop(COPIES)
+
+
 # Q6 -------------------------------------------------------------------------
 def geo_activity(t: Tables) -> DataFrame:
     """Per (region, state): municipalities, plants, records, records/plant."""
     per_plant = fact_rollup(t.measurement, ["plant_id"]).select("plant_id", "records")
-    rows = per_plant.join(plant_geo(t, with_region=True), "plant_id")
+    rows = _keyed(per_plant, (plant_geo(t, with_region=True), "plant_id"))
     return (
         activity_by(
             rows,
@@ -155,7 +176,7 @@ def institution_performance(
     per = fact_rollup(t.measurement, ["plant_id", "parameter_id"]).select(
         "plant_id", "parameter_id", "records"
     )
-    rows = per.join(parameter_keys(t), "parameter_id").join(plant_institution(t), "plant_id")
+    rows = _keyed(per, (parameter_keys(t), "parameter_id"), (plant_institution(t), "plant_id"))
     return (
         activity_by(
             rows,
@@ -185,37 +206,40 @@ def band_distribution(
     (filtration, parameter) total over the listed bands.
 
     One pass: the pair rule table selects (parameter_id, band_id) keys, the
-    fact is filtered by a broadcast join against them, aggregated, and the
-    share is a window over the *aggregated* rows taken before the HAVING
-    filter, so dropped bands still count in the total.
+    fact is filtered by a broadcast join against them (behind a row-count
+    proof; a shuffle join above it), aggregated, and the share is a window
+    over the *aggregated* rows taken before the HAVING filter, so dropped
+    bands still count in the total.
     """
     spark = t.measurement.sparkSession
     pairs = literal_table(spark, sorted(set(band_pairs)), "parameter_name STRING, band_name STRING")
     names = sorted({p for p, _ in band_pairs})
     bands = sorted({b for _, b in band_pairs})
-    selected = (
-        t.parameter.filter(F.col("parameter_name").isin(names))
-        .select("parameter_id", "parameter_name")
-        .join(pairs, "parameter_name")
-        .join(t.band.filter(F.col("band_name").isin(bands)).select("band_id", "band_name"), "band_name")
+    params = weighted(
+        t.parameter.filter(F.col("parameter_name").isin(names)), ["parameter_id", "parameter_name"]
     )
+    band = weighted(t.band.filter(F.col("band_name").isin(bands)), ["band_id", "band_name"])
+    pairs = pairs.withColumn(COPIES, F.lit(1).cast("long"))
+    selected = wjoin(wjoin(params, pairs, "parameter_name"), band, "band_name")
     fact = t.measurement.select("plant_id", "parameter_id", "band_id", "measurement_id", "value")
     per_plant = (
         fact.join(bounded_broadcast(selected), ["parameter_id", "band_id"])
         .groupBy("plant_id", "parameter_name", "band_name")
         .agg(
-            F.count("measurement_id").alias("records"),
-            F.sum("value").alias("analyses"),
+            F.sum(F.when(F.col("measurement_id").isNotNull(), F.col(COPIES))).alias("records"),
+            F.sum(F.col("value") * F.col(COPIES)).alias("analyses"),
         )
     )
+    plants = weighted(
+        t.plant.filter(F.col("filtration_type").isNotNull()), ["plant_id", "filtration_type"]
+    )
     grouped = (
-        per_plant.join(t.plant.select("plant_id", "filtration_type"), "plant_id")
-        .filter(F.col("filtration_type").isNotNull())
+        per_plant.join(plants, "plant_id")
         .groupBy("filtration_type", "parameter_name", "band_name")
         .agg(
-            F.sum("analyses").alias("analyses"),
+            F.sum(F.col("analyses") * F.col(COPIES)).alias("analyses"),
             F.count_distinct("plant_id").alias("plants"),
-            F.sum("records").alias("records"),
+            F.sum(F.col("records") * F.col(COPIES)).alias("records"),
         )
     )
     # Window partitions hold one row per listed band: bounded by the rules.
@@ -233,8 +257,8 @@ def state_ranking(t: Tables, min_plants: int = P.MIN_RANKED_PLANTS) -> DataFrame
     per = fact_rollup(t.measurement, ["plant_id", "parameter_id"]).select(
         "plant_id", "parameter_id", "records"
     )
-    rows = per.join(parameter_keys(t), "parameter_id").join(
-        plant_geo(t, with_region=False), "plant_id"
+    rows = _keyed(
+        per, (parameter_keys(t), "parameter_id"), (plant_geo(t, with_region=False), "plant_id")
     )
     return (
         activity_by(
@@ -261,8 +285,8 @@ def monthly_evolution(
     per = fact_rollup(
         t.measurement, ["plant_id", "parameter_id", "month"], F.col("year") == F.lit(year)
     ).select("plant_id", "parameter_id", "month", "records")
-    rows = per.join(parameter_keys(t), "parameter_id").join(
-        plant_geo(t, with_region=True), "plant_id"
+    rows = _keyed(
+        per, (parameter_keys(t), "parameter_id"), (plant_geo(t, with_region=True), "plant_id")
     )
     return (
         activity_by(
@@ -287,27 +311,23 @@ def monthly_evolution(
 
 # Q11 ------------------------------------------------------------------------
 def kpi_summary(t: Tables, names: Sequence[str] = P.KPI_NAMES) -> DataFrame:
-    """Five headline counts stacked as (ord, metric, value)."""
-    served = t.municipality.select("municipality_id", "state_id").join(
+    """Five headline counts stacked as (ord, metric, value).
+
+    "States" and "municipalities" count distinct values over the chains
+    having a plant, so both sides are reduced to distinct keys first (a
+    semi join): no plant-sized join output is formed.
+    """
+    served = weighted(t.municipality, ["municipality_id", "state_id"]).join(
         t.plant.select("municipality_id").distinct(), "municipality_id", "left_semi"
     )
     states = served.join(state_geo(t, with_region=False), "state_id").agg(
         F.count_distinct("state_name")
     )
-    municipalities = served.agg(F.count_distinct("municipality_id"))
-    one_row = [
+    metrics = [
         states,
         t.plant.agg(F.count(F.lit(1))),
         t.measurement.agg(F.count(F.lit(1))),
         t.parameter.agg(F.count(F.lit(1))),
-        municipalities,
+        served.agg(F.count_distinct("municipality_id")),
     ]
-    stacked = None
-    for i, (name, df) in enumerate(zip(names, one_row), start=1):
-        row = df.select(
-            F.lit(i).alias("ord"),
-            F.lit(name).alias("metric"),
-            F.col(df.columns[0]).cast("long").alias("value"),
-        )
-        stacked = row if stacked is None else stacked.unionByName(row)
-    return stacked.orderBy("ord")
+    return stack_metrics(list(zip(names, metrics))).orderBy("ord")

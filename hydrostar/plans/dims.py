@@ -1,46 +1,75 @@
 """Dimension chains joined to the pre-aggregated fact.
 
+Weighted dimensions
+-------------------
+The reference joins with plain ``INNER JOIN``s, so a dimension row repeated
+k times multiplies every matching fact row by k.  To keep exactly those
+counts without materialising the multiplied rows, each dimension is first
+reduced to its *distinct* rows with a ``copies`` count (a map-side combined
+aggregate), and joins multiply the counts instead of the rows.  A key
+repeated in a third of a table then costs one row, not a third of a join.
+
 Each chain is a many-to-one path from ``plant``; the fact joins it once on
 ``plant_id``.  No side is forced to broadcast here: the geographic tables are
 tiny files that the planner broadcasts on its own size statistics, and
 ``plant``, ``municipality``, ``office`` and ``parameter`` grow with the data,
 so they are left to the planner (sort-merge, or broadcast by AQE when the
-runtime size of a side allows).  Inner joins drop orphan keys and NULL keys, as the
-reference's ``INNER JOIN`` chains do.
+runtime size of a side allows; AQE also splits skewed join partitions).
+Inner joins drop orphan keys and NULL keys, as the reference's chains do.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from hydrostar.sources.tables import Tables
 
+COPIES = "copies"
+
+
+def weighted(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """Distinct rows of ``cols`` with the number of source rows as ``copies``."""
+    return df.groupBy(*cols).agg(F.count(F.lit(1)).alias(COPIES))
+
+
+def wjoin(left: DataFrame, right: DataFrame, on: str | list[str]) -> DataFrame:
+    """Inner join of two weighted frames; copies multiply."""
+    l_c, r_c = "__l_copies", "__r_copies"
+    joined = left.withColumnRenamed(COPIES, l_c).join(right.withColumnRenamed(COPIES, r_c), on)
+    return joined.withColumn(COPIES, F.col(l_c) * F.col(r_c)).drop(l_c, r_c)
+
 
 def state_geo(t: Tables, with_region: bool) -> DataFrame:
-    """state_id -> state_code, state_name[, region_name]."""
-    st = t.state.select("state_id", "region_id", "state_code", "state_name")
+    """state_id -> state_code, state_name[, region_name], copies."""
+    st = weighted(t.state, ["state_id", "region_id", "state_code", "state_name"])
     if with_region:
-        st = st.join(t.region.select("region_id", "region_name"), "region_id")
+        st = wjoin(st, weighted(t.region, ["region_id", "region_name"]), "region_id")
     return st.drop("region_id")
 
 
 def plant_geo(t: Tables, with_region: bool) -> DataFrame:
-    """plant_id -> municipality_id, state_code, state_name[, region_name]."""
-    muni = t.municipality.select("municipality_id", "state_id").join(
-        state_geo(t, with_region), "state_id"
+    """plant_id -> municipality_id, state_code, state_name[, region_name], copies."""
+    muni = wjoin(
+        weighted(t.municipality, ["municipality_id", "state_id"]),
+        state_geo(t, with_region),
+        "state_id",
     )
-    return t.plant.select("plant_id", "municipality_id").join(muni, "municipality_id")
+    return wjoin(weighted(t.plant, ["plant_id", "municipality_id"]), muni, "municipality_id")
 
 
 def plant_institution(t: Tables) -> DataFrame:
-    """plant_id -> institution_name, institution_type (via office)."""
-    inst = t.office.select("office_id", "institution_id").join(
-        t.institution.select("institution_id", "institution_name", "institution_type"),
+    """plant_id -> institution_name, institution_type, copies (via office)."""
+    inst = wjoin(
+        weighted(t.office, ["office_id", "institution_id"]),
+        weighted(t.institution, ["institution_id", "institution_name", "institution_type"]),
         "institution_id",
     )
-    return t.plant.select("plant_id", "office_id").join(inst, "office_id")
+    return wjoin(weighted(t.plant, ["plant_id", "office_id"]), inst, "office_id")
 
 
 def parameter_keys(t: Tables) -> DataFrame:
-    """Parameter ids, one row per parameter row (keeps join multiplicity)."""
-    return t.parameter.select("parameter_id")
+    """parameter_id -> copies (the join only checks existence and counts)."""
+    return weighted(t.parameter, ["parameter_id"])
