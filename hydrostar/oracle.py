@@ -444,16 +444,24 @@ UNION ALL SELECT 'parameter_name', ord, option FROM p_opts
 ORDER BY field, ord""")
 
 
-def p18_filter_choice(q8: Parts, filtration: str | None, parameter: str | None) -> str:
+def choice_where(filtration: str | None, parameter: str | None) -> str:
     conds = []
     if filtration is not None:
         conds.append(f"filtration_type = {sql_str(filtration)}")
     if parameter is not None:
         conds.append(f"parameter_name = {sql_str(parameter)}")
-    where = " AND ".join(conds) or "TRUE"
+    return " AND ".join(conds) or "TRUE"
+
+
+def p18_filter_choice(q8: Parts, filtration: str | None, parameter: str | None) -> str:
+    where = choice_where(filtration, parameter)
     return _from("q8", q8, body=f"SELECT * FROM q8 WHERE {where} ORDER BY {q8[2]}")
 
 
+def columns_of(name: str, parts: Parts, cols: str, where: str = "TRUE") -> str:
+    return _from(name, parts, body=f"SELECT {cols} FROM {name} WHERE {where} ORDER BY {parts[2]}")
+
+
 def p19_monthly_series(q10: Parts) -> str:
     return _from("q10", q10, body="""
 SELECT region_name, month, 'measurements' AS series, CAST(measurements AS DOUBLE) AS value FROM q10

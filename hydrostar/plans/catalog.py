@@ -7,6 +7,7 @@ DuckDB oracle.  The callables bind the fixture parameters of
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -129,6 +130,19 @@ DERIVED_ORACLES: dict[str, str] = {
     "P21": O.p21_period_summary(OQ["Q10"]),
     "P22": O.p22_intensity_box_stats(OQ["Q10"]),
     "P23": O.p23_consolidated_stats(OQ["Q10"]),
+    "P24a": O.columns_of(
+        "q6", OQ["Q6"],
+        "plants, measurements, measurements_per_plant, region_name, state_code, municipalities",
+    ),
+    "P24b": O.columns_of(
+        "q7", OQ["Q7"],
+        "plants, measurements, measurements_per_plant, institution_type, institution_name",
+    ),
+    "P24c": O.columns_of(
+        "q8", OQ["Q8"], "analyses, pct, plants, filtration_type, band_name",
+        where=O.choice_where(FX.CHOSEN_FILTRATION, FX.CHOSEN_PARAMETER),
+    ),
+    "P24d": O.columns_of("q10", OQ["Q10"], "plants, diversity, measurements, region_name, month"),
     "P25": O.p25_coverage_dual_axis(OQ["Q3"]),
     "P26a": O.p26_labels(
         "q1", OQ["Q1"], "filtration_type", "filtration_type", P.FILTRATION_LABEL_WIDTH, "plants"
@@ -140,8 +154,8 @@ DERIVED_ORACLES: dict[str, str] = {
 
 DERIVED: dict[str, tuple[Query, str | None]] = {}
 for pid, (qid, fn) in derived.DERIVED_ON.items():
-    kw = P18_KW if pid == "P18" else {}
-    key = f"{pid.rstrip('ab')}_{fn.__name__}"
+    kw = P18_KW if pid in ("P18", "P24c") else {}
+    key = f"{re.sub(r'[a-z]$', '', pid)}_{fn.__name__}"
     DERIVED[key] = (_derived(qid, fn, **kw), DERIVED_ORACLES.get(pid))
 
 REGISTRY: dict[str, tuple[Query, str | None]] = {**BASE, **DERIVED}

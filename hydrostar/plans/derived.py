@@ -269,6 +269,38 @@ def consolidated_stats(q10: DataFrame) -> DataFrame:
     return summarise(_known(q10, "region_name"), ["region_name"], spec).orderBy("region_name")
 
 
+# P24 ---------------------------------------------------------------------------
+# The scatter charts read column subsets, in chart-role order
+# (x, y, size, colour, hover...).  No computation of their own.
+def geo_scatter(q6: DataFrame) -> DataFrame:
+    """Plants x records per state, sized by records/plant."""
+    return q6.select(
+        "plants", "measurements", "measurements_per_plant", "region_name", "state_code",
+        "municipalities",
+    )
+
+
+def institution_scatter(q7: DataFrame) -> DataFrame:
+    """Plants x records per institution, sized by records/plant."""
+    return q7.select(
+        "plants", "measurements", "measurements_per_plant", "institution_type", "institution_name"
+    )
+
+
+def choice_scatter(
+    q8: DataFrame, filtration: str | None = None, parameter: str | None = None
+) -> DataFrame:
+    """Analyses x share of the filtered band rows, sized by plants."""
+    return filter_choice(q8, filtration, parameter).select(
+        "analyses", "pct", "plants", "filtration_type", "band_name"
+    )
+
+
+def monthly_scatter(q10: DataFrame) -> DataFrame:
+    """Plants x diversity per region-month, sized by records."""
+    return q10.select("plants", "diversity", "measurements", "region_name", "month")
+
+
 DERIVED_ON: dict[str, tuple[str, object]] = {
     "P1": ("Q3", top_states),
     "P2": ("Q6", region_share),
@@ -293,6 +325,10 @@ DERIVED_ON: dict[str, tuple[str, object]] = {
     "P21": ("Q10", period_summary),
     "P22": ("Q10", intensity_box_stats),
     "P23": ("Q10", consolidated_stats),
+    "P24a": ("Q6", geo_scatter),
+    "P24b": ("Q7", institution_scatter),
+    "P24c": ("Q8", choice_scatter),
+    "P24d": ("Q10", monthly_scatter),
     "P25": ("Q3", coverage_dual_axis),
     "P26a": ("Q1", filtration_labels),
     "P26b": ("Q4", point_labels),

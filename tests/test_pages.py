@@ -23,7 +23,7 @@ PARAMS = {
 
 
 def _key_of(rid: str) -> str:
-    prefix = rid.rstrip("ab") + "_"
+    prefix = rid.rstrip("abcd") + "_"
     keys = [k for k in E.queries() if k.startswith(prefix)]
     if rid.endswith("a"):
         keys = [k for k in keys if "filtration" in k]
