@@ -20,6 +20,8 @@ Inner joins drop orphan keys and NULL keys, as the reference's chains do.
 
 from __future__ import annotations
 
+import functools
+import threading
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
@@ -29,6 +31,29 @@ from hydrostar.sources.tables import Tables
 
 COPIES = "copies"
 
+_MEMO: dict[tuple, tuple[Tables, DataFrame]] = {}
+_MEMO_LOCK = threading.Lock()
+
+
+def _per_bundle(fn):
+    """Define a chain once per table bundle: the result is a lazy DataFrame
+    (a plan, no data), so queries over the same bundle share it instead of
+    re-analysing it."""
+
+    @functools.wraps(fn)
+    def wrapper(t: Tables, *args, **kwargs):
+        key = (fn.__name__, id(t), args, tuple(sorted(kwargs.items())))
+        with _MEMO_LOCK:
+            hit = _MEMO.get(key)
+            if hit is not None and hit[0] is t:
+                return hit[1]
+        df = fn(t, *args, **kwargs)
+        with _MEMO_LOCK:
+            _MEMO[key] = (t, df)
+        return df
+
+    return wrapper
+
 
 def weighted(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Distinct rows of ``cols`` with the number of source rows as ``copies``."""
@@ -37,11 +62,18 @@ def weighted(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 def wjoin(left: DataFrame, right: DataFrame, on: str | list[str]) -> DataFrame:
     """Inner join of two weighted frames; copies multiply."""
-    l_c, r_c = "__l_copies", "__r_copies"
-    joined = left.withColumnRenamed(COPIES, l_c).join(right.withColumnRenamed(COPIES, r_c), on)
-    return joined.withColumn(COPIES, F.col(l_c) * F.col(r_c)).drop(l_c, r_c)
-
-
+    keys = [on] if isinstance(on, str) else list(on)
+    skip = set(keys) | {COPIES}
+    cols = [
+        *keys,
+        *[F.col(f"__l.{c}") for c in left.columns if c not in skip],
+        *[F.col(f"__r.{c}") for c in right.columns if c not in skip],
+        (F.col(f"__l.{COPIES}") * F.col(f"__r.{COPIES}")).alias(COPIES),
+    ]
+    return left.alias("__l").join(right.alias("__r"), keys).select(*cols)
+
+
+@_per_bundle
 def state_geo(t: Tables, with_region: bool) -> DataFrame:
     """state_id -> state_code, state_name[, region_name], copies."""
     st = weighted(t.state, ["state_id", "region_id", "state_code", "state_name"])
@@ -50,6 +82,7 @@ def state_geo(t: Tables, with_region: bool) -> DataFrame:
     return st.drop("region_id")
 
 
+@_per_bundle
 def plant_geo(t: Tables, with_region: bool) -> DataFrame:
     """plant_id -> municipality_id, state_code, state_name[, region_name], copies."""
     muni = wjoin(
@@ -60,6 +93,7 @@ def plant_geo(t: Tables, with_region: bool) -> DataFrame:
     return wjoin(weighted(t.plant, ["plant_id", "municipality_id"]), muni, "municipality_id")
 
 
+@_per_bundle
 def plant_institution(t: Tables) -> DataFrame:
     """plant_id -> institution_name, institution_type, copies (via office)."""
     inst = wjoin(
@@ -70,6 +104,7 @@ def plant_institution(t: Tables) -> DataFrame:
     return wjoin(weighted(t.plant, ["plant_id", "office_id"]), inst, "office_id")
 
 
+@_per_bundle
 def parameter_keys(t: Tables) -> DataFrame:
     """parameter_id -> copies (the join only checks existence and counts)."""
     return weighted(t.parameter, ["parameter_id"])

@@ -65,3 +65,30 @@ def checkpoint_dir(spark: SparkSession) -> str:
     local = tempfile.mkdtemp(prefix="hydrostar-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     sc.setCheckpointDir(local)
     return local
+
+
+def scale_settings(
+    fact_bytes: int,
+    total_cores: int,
+    partition_bytes: int = 256 << 20,
+    shuffle_fraction: float = 0.25,
+) -> dict[str, str]:
+    """Settings for a cluster run, sized to the measurement input.
+
+    * scan splits of ``partition_bytes`` (Parquet row groups should be of
+      that order when the fact is written);
+    * shuffle partitions sized to the largest shuffle, the pre-aggregated
+      fact (``shuffle_fraction`` of the input; it is at most the number of
+      distinct grain keys per map task), between 2x the cores and 50,000;
+      AQE coalesces small ones at run time;
+    * skew handling for sort-merge joins over dimension-sized sides.
+    """
+    shuffle_bytes = int(fact_bytes * shuffle_fraction)
+    parts = max(2 * total_cores, min(50_000, shuffle_bytes // (partition_bytes // 2) or 1))
+    return {
+        "spark.sql.files.maxPartitionBytes": str(partition_bytes),
+        "spark.sql.shuffle.partitions": str(parts),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(partition_bytes // 2),
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(partition_bytes),
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "4",
+    }
