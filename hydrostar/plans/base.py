@@ -14,13 +14,13 @@ from pyspark.sql import functions as F
 
 from hydrostar.functions.numeric import ratio
 from hydrostar.functions.text import bucket_label, classify
-from hydrostar.operators.joins import bounded_broadcast, literal_table
 from hydrostar.operators.reshape import stack_metrics
 from hydrostar.operators.rollup import fact_rollup, table_count
 from hydrostar.operators.shares import activity_by, share_of_total
 from hydrostar.plans import params as P
 from hydrostar.plans.dims import (
     COPIES,
+    band_keys,
     parameter_keys,
     plant_geo,
     plant_institution,
@@ -211,19 +211,10 @@ def band_distribution(
     over the *aggregated* rows taken before the HAVING filter, so dropped
     bands still count in the total.
     """
-    spark = t.measurement.sparkSession
-    pairs = literal_table(spark, sorted(set(band_pairs)), "parameter_name STRING, band_name STRING")
-    names = sorted({p for p, _ in band_pairs})
-    bands = sorted({b for _, b in band_pairs})
-    params = weighted(
-        t.parameter.filter(F.col("parameter_name").isin(names)), ["parameter_id", "parameter_name"]
-    )
-    band = weighted(t.band.filter(F.col("band_name").isin(bands)), ["band_id", "band_name"])
-    pairs = pairs.withColumn(COPIES, F.lit(1).cast("long"))
-    selected = wjoin(wjoin(params, pairs, "parameter_name"), band, "band_name")
+    selected = band_keys(t, tuple(band_pairs))
     fact = t.measurement.select("plant_id", "parameter_id", "band_id", "measurement_id", "value")
     per_plant = (
-        fact.join(bounded_broadcast(selected), ["parameter_id", "band_id"])
+        fact.join(selected, ["parameter_id", "band_id"])
         .groupBy("plant_id", "parameter_name", "band_name")
         .agg(
             F.sum(F.when(F.col("measurement_id").isNotNull(), F.col(COPIES))).alias("records"),

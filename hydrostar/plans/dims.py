@@ -108,3 +108,27 @@ def plant_institution(t: Tables) -> DataFrame:
 def parameter_keys(t: Tables) -> DataFrame:
     """parameter_id -> copies (the join only checks existence and counts)."""
     return weighted(t.parameter, ["parameter_id"])
+
+
+@_per_bundle
+def band_keys(t: Tables, band_pairs: tuple[tuple[str, str], ...]) -> DataFrame:
+    """(parameter_id, band_id) -> parameter_name, band_name, copies for the
+    listed (parameter name, band name) pairs.
+
+    The names filter reaches the Parquet scans; the pair table is a literal.
+    The result grows with the parameter table, so it is marked for broadcast
+    only behind a row-count proof (a bounded job, run once per bundle: a
+    DataFrame keeps the file listing it was defined on).
+    """
+    from hydrostar.operators.joins import bounded_broadcast, literal_table
+
+    spark = t.parameter.sparkSession
+    pairs = literal_table(spark, sorted(set(band_pairs)), "parameter_name STRING, band_name STRING")
+    names = sorted({p for p, _ in band_pairs})
+    bands = sorted({b for _, b in band_pairs})
+    params = weighted(
+        t.parameter.filter(F.col("parameter_name").isin(names)), ["parameter_id", "parameter_name"]
+    )
+    band = weighted(t.band.filter(F.col("band_name").isin(bands)), ["band_id", "band_name"])
+    pairs = pairs.withColumn(COPIES, F.lit(1).cast("long"))
+    return bounded_broadcast(wjoin(wjoin(params, pairs, "parameter_name"), band, "band_name"))
