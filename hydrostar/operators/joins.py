@@ -7,12 +7,15 @@ from pyspark.sql import functions as F
 
 # Rows a side may hold and still be broadcast on purpose.  Dimension sides
 # used here carry two to four narrow columns, so this stays well below the
-# executor memory a broadcast costs (tens of MB).
+# executor memory a broadcast costs (tens of MB).  A session can lower or
+# raise it with the setting below.
 BROADCAST_MAX_ROWS = 1_000_000
+MAX_ROWS_CONF = "hydrostar.broadcast.maxRows"
 
 
-def bounded_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Mark ``df`` for broadcast only after proving it has <= ``max_rows`` rows.
+def bounded_broadcast(df: DataFrame, max_rows: int | None = None) -> DataFrame:
+    """Mark ``df`` for broadcast only after proving it has <= ``max_rows`` rows
+    (default: the session's ``hydrostar.broadcast.maxRows``, else 1,000,000).
 
     The proof is a bounded job (``limit(max_rows + 1).count()``): it stops
     after ``max_rows + 1`` rows, so it never reads more than the side it
@@ -20,6 +23,10 @@ def bounded_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> Data
     planner falls back to a shuffle join; AQE may still convert it at run
     time from real shuffle sizes.
     """
+    if max_rows is None:
+        max_rows = int(df.sparkSession.conf.get(MAX_ROWS_CONF, str(BROADCAST_MAX_ROWS)))
+    if max_rows <= 0:
+        return df
     rows = df.limit(max_rows + 1).count()
     return F.broadcast(df) if rows <= max_rows else df
 

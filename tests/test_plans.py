@@ -62,3 +62,18 @@ def test_fact_pre_aggregated_before_dimension_joins(spark):
     plan = base.geo_activity(t)._jdf.queryExecution().optimizedPlan().toString()
     # the first aggregate over the fact groups by plant only
     assert "Aggregate [plant_id" in plan
+
+
+def test_native_csv_tables_load_and_query(spark, tmp_dir):
+    t = fixture_tables(spark, SF001)
+    for name in ("region", "state", "municipality", "office", "institution", "plant", "point",
+                 "parameter", "band", "measurement"):
+        getattr(t, name).write.option("header", True).csv(os.path.join(tmp_dir, f"{name}.csv"))
+    native = load_tables(spark, tmp_dir, "csv")
+    def types(df):
+        return [(f.name, f.dataType) for f in df.schema.fields]
+
+    assert types(native.measurement) == types(t.measurement)
+    got = sorted(map(tuple, base.geo_activity(native).collect()))
+    want = sorted(map(tuple, base.geo_activity(t).collect()))
+    assert got == want
