@@ -22,6 +22,7 @@ from hydrostar.plans.dims import (
     COPIES,
     band_keys,
     parameter_keys,
+    unweighted,
     plant_geo,
     plant_institution,
     state_geo,
@@ -77,7 +78,8 @@ def parameter_purpose(
 # Q3 -------------------------------------------------------------------------
 def state_coverage(t: Tables) -> DataFrame:
     """Per state: distinct plants and municipalities having a plant."""
-    rows = plant_geo(t, with_region=False)  # weighted: one row per distinct path
+    # only distinct counts follow: repeated plant rows need no weighting
+    rows = plant_geo(t, with_region=False, weigh_plants=False)
     return (
         activity_by(
             rows,
@@ -101,9 +103,10 @@ def state_coverage(t: Tables) -> DataFrame:
 def _volume_by(
     t: Tables, fk: str, dim: DataFrame, keys: Sequence[str], order: Sequence
 ) -> DataFrame:
+    # one fact row per key: repeated dimension rows can only repeat that row
     per_key = fact_rollup(t.measurement, [fk]).select(fk, "records")
     grouped = (
-        per_key.join(weighted(dim, [fk, *keys]), fk)
+        per_key.join(unweighted(dim, [fk, *keys]), fk)
         .groupBy(*keys)
         .agg(F.sum(F.col("records") * F.col(COPIES)).cast("long").alias("measurements"))
     )
@@ -148,7 +151,8 @@ def _keyed(per: DataFrame, *dims: tuple[DataFrame, str]) -> DataFrame:
 def geo_activity(t: Tables) -> DataFrame:
     """Per (region, state): municipalities, plants, records, records/plant."""
     per_plant = fact_rollup(t.measurement, ["plant_id"]).select("plant_id", "records")
-    rows = _keyed(per_plant, (plant_geo(t, with_region=True), "plant_id"))
+    # one fact row per plant: repeated plant rows cannot multiply
+    rows = _keyed(per_plant, (plant_geo(t, with_region=True, weigh_plants=False), "plant_id"))
     return (
         activity_by(
             rows,

@@ -60,6 +60,15 @@ def weighted(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return df.groupBy(*cols).agg(F.count(F.lit(1)).alias(COPIES))
 
 
+def unweighted(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """Rows of ``cols`` as they are, each with ``copies`` = 1.
+
+    Used for the *many* side of a join, or for a side joined to something
+    with at most one row per key: there repeated rows cannot multiply, so
+    the aggregate (a shuffle) that weighting costs is skipped."""
+    return df.select(*cols, F.lit(1).cast("long").alias(COPIES))
+
+
 def wjoin(left: DataFrame, right: DataFrame, on: str | list[str]) -> DataFrame:
     """Inner join of two weighted frames; copies multiply."""
     keys = [on] if isinstance(on, str) else list(on)
@@ -83,14 +92,19 @@ def state_geo(t: Tables, with_region: bool) -> DataFrame:
 
 
 @_per_bundle
-def plant_geo(t: Tables, with_region: bool) -> DataFrame:
-    """plant_id -> municipality_id, state_code, state_name[, region_name], copies."""
+def plant_geo(t: Tables, with_region: bool, weigh_plants: bool = True) -> DataFrame:
+    """plant_id -> municipality_id, state_code, state_name[, region_name], copies.
+
+    ``weigh_plants=False`` keeps repeated plant rows as rows: right when the
+    other join side has one row per plant (or only distinct counts follow).
+    The looked-up municipality and state sides are always weighted."""
     muni = wjoin(
         weighted(t.municipality, ["municipality_id", "state_id"]),
         state_geo(t, with_region),
         "state_id",
     )
-    return wjoin(weighted(t.plant, ["plant_id", "municipality_id"]), muni, "municipality_id")
+    plants = (weighted if weigh_plants else unweighted)(t.plant, ["plant_id", "municipality_id"])
+    return wjoin(plants, muni, "municipality_id")
 
 
 @_per_bundle
