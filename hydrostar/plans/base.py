@@ -22,6 +22,7 @@ from hydrostar.plans.dims import (
     COPIES,
     band_keys,
     parameter_keys,
+    plant_filtration,
     unweighted,
     plant_geo,
     plant_institution,
@@ -225,11 +226,8 @@ def band_distribution(
             F.sum(F.col("value") * F.col(COPIES)).alias("analyses"),
         )
     )
-    plants = weighted(
-        t.plant.filter(F.col("filtration_type").isNotNull()), ["plant_id", "filtration_type"]
-    )
     grouped = (
-        per_plant.join(plants, "plant_id")
+        per_plant.join(plant_filtration(t), "plant_id")
         .groupBy("filtration_type", "parameter_name", "band_name")
         .agg(
             F.sum(F.col("analyses") * F.col(COPIES)).alias("analyses"),

@@ -82,6 +82,16 @@ def wjoin(left: DataFrame, right: DataFrame, on: str | list[str]) -> DataFrame:
     return left.alias("__l").join(right.alias("__r"), keys).select(*cols)
 
 
+def _checked(df: DataFrame) -> DataFrame:
+    """Broadcast a dimension chain when its size is proven small (then the
+    pre-aggregated fact is never re-shuffled for this join); otherwise leave
+    the join to the planner.  Chains are memoised per bundle, so the proof
+    runs once per bundle."""
+    from hydrostar.operators.joins import bounded_broadcast
+
+    return bounded_broadcast(df)
+
+
 @_per_bundle
 def state_geo(t: Tables, with_region: bool) -> DataFrame:
     """state_id -> state_code, state_name[, region_name], copies."""
@@ -104,7 +114,7 @@ def plant_geo(t: Tables, with_region: bool, weigh_plants: bool = True) -> DataFr
         "state_id",
     )
     plants = (weighted if weigh_plants else unweighted)(t.plant, ["plant_id", "municipality_id"])
-    return wjoin(plants, muni, "municipality_id")
+    return _checked(wjoin(plants, muni, "municipality_id"))
 
 
 @_per_bundle
@@ -115,13 +125,21 @@ def plant_institution(t: Tables) -> DataFrame:
         weighted(t.institution, ["institution_id", "institution_name", "institution_type"]),
         "institution_id",
     )
-    return wjoin(weighted(t.plant, ["plant_id", "office_id"]), inst, "office_id")
+    return _checked(wjoin(weighted(t.plant, ["plant_id", "office_id"]), inst, "office_id"))
 
 
 @_per_bundle
 def parameter_keys(t: Tables) -> DataFrame:
     """parameter_id -> copies (the join only checks existence and counts)."""
-    return weighted(t.parameter, ["parameter_id"])
+    return _checked(weighted(t.parameter, ["parameter_id"]))
+
+
+@_per_bundle
+def plant_filtration(t: Tables) -> DataFrame:
+    """plant_id -> filtration_type (NULL types dropped), copies."""
+    return _checked(
+        weighted(t.plant.filter(F.col("filtration_type").isNotNull()), ["plant_id", "filtration_type"])
+    )
 
 
 @_per_bundle
