@@ -80,70 +80,51 @@ def box_stats(df: DataFrame, group: str, value: str, digits: int) -> DataFrame:
     All arithmetic is on whole units: quartiles are exact multiples of a
     quarter unit, and the fence tests are integer comparisons.
 
-    The ranking window runs over *distinct* values of a group (with their
-    multiplicities), not over rows.
+    The rows are first reduced to (group, value, count); every later step is
+    a window over one group's *distinct* values, so after that one shuffle
+    by group no further exchange is needed.  Callers pass grouped results
+    (here: months per region), so a group's distinct values are few.
     """
     m = 10**digits
-    u = scaled(value, digits)
     counted = (
         df.filter(F.col(value).isNotNull())
-        .select(F.col(group), u.alias("u"))
+        .select(F.col(group), scaled(value, digits).alias("u"))
         .groupBy(group, "u")
         .agg(F.count(F.lit(1)).alias("c"))
     )
-    w_ord = Window.partitionBy(group).orderBy("u").rowsBetween(
-        Window.unboundedPreceding, Window.currentRow
-    )
-    w_all = Window.partitionBy(group)
+    in_group = Window.partitionBy(group)
+    running = in_group.orderBy("u").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     ranked = (
-        counted.withColumn("hi", F.sum("c").over(w_ord))
+        counted.withColumn("hi", F.sum("c").over(running))
         .withColumn("lo", F.col("hi") - F.col("c") + 1)
-        .withColumn("n", F.sum("c").over(w_all))
+        .withColumn("n", F.sum("c").over(in_group))
     )
+    n = F.col("n")
 
-    def at(pos: Column) -> Column:
+    def at(pos: F.Column) -> F.Column:
         # value at 1-based position ``pos`` of the sorted group
-        return F.max(F.when((F.col("lo") <= pos) & (pos <= F.col("hi")), F.col("u")))
+        return F.max(F.when((F.col("lo") <= pos) & (pos <= F.col("hi")), F.col("u"))).over(in_group)
 
-    n = F.col("n")
-    aggs = [F.max("n").alias("n")]
     for tag, p4 in (("q1", 1), ("median", 2), ("q3", 3)):
-        # 4 * clamp(n * p + 1/2, 1, n) with p = p4 / 4
+        # 4 * clamp(n * p + 1/2, 1, n) with p = p4 / 4; quartile in quarter units
         h4 = F.least(F.greatest(n * p4 + 2, F.lit(4)), n * 4)
         k = F.call_function("div", h4, F.lit(4))
-        aggs += [
-            at(k).alias(f"{tag}_a"),
-            at(F.least(k + 1, n)).alias(f"{tag}_b"),
-            F.max(h4 % 4).alias(f"{tag}_f"),
-        ]
-    stats = ranked.groupBy(group).agg(*aggs)
-    for tag in ("q1", "median", "q3"):
-        a, b, f = F.col(f"{tag}_a"), F.col(f"{tag}_b"), F.col(f"{tag}_f")
-        stats = stats.withColumn(f"{tag}_4", a * 4 + f * (b - a))  # in quarter units
+        a, b = at(k), at(F.least(k + 1, n))
+        ranked = ranked.withColumn(f"{tag}_4", a * 4 + (h4 % 4) * (b - a))
     # Fences in eighth units: 8*q1 - 12*IQR ... 8*q3 + 12*IQR (1.5 IQR).
-    lo8 = F.col("q1_4") * 2 - (F.col("q3_4") - F.col("q1_4")) * 3
-    hi8 = F.col("q3_4") * 2 + (F.col("q3_4") - F.col("q1_4")) * 3
-    fences = stats.select(group, "n", "q1_4", "median_4", "q3_4", lo8.alias("lo8"), hi8.alias("hi8"))
-    inside = (F.col("u") * 8 >= F.col("lo8")) & (F.col("u") * 8 <= F.col("hi8"))
-    whiskers = (
-        counted.join(fences.select(group, "lo8", "hi8"), group)
-        .groupBy(group)
-        .agg(
-            F.min(F.when(inside, F.col("u"))).alias("lw"),
-            F.max(F.when(inside, F.col("u"))).alias("uw"),
-            F.sum(F.when(~inside, F.col("c")).otherwise(0)).alias("outliers"),
-        )
+    iqr4 = F.col("q3_4") - F.col("q1_4")
+    inside = (F.col("u") * 8 >= F.col("q1_4") * 2 - iqr4 * 3) & (
+        F.col("u") * 8 <= F.col("q3_4") * 2 + iqr4 * 3
     )
     q = float(4 * m)
-    return fences.join(whiskers, group).select(
-        group,
-        F.col("n").cast("long").alias("n"),
-        (F.col("q1_4") / F.lit(q)).alias("q1"),
-        (F.col("median_4") / F.lit(q)).alias("median"),
-        (F.col("q3_4") / F.lit(q)).alias("q3"),
-        (F.col("lw") / F.lit(float(m))).alias("lower_whisker"),
-        (F.col("uw") / F.lit(float(m))).alias("upper_whisker"),
-        F.col("outliers").cast("long").alias("outliers"),
+    return ranked.groupBy(group).agg(
+        F.max("n").cast("long").alias("n"),
+        (F.max("q1_4") / F.lit(q)).alias("q1"),
+        (F.max("median_4") / F.lit(q)).alias("median"),
+        (F.max("q3_4") / F.lit(q)).alias("q3"),
+        (F.min(F.when(inside, F.col("u"))) / F.lit(float(m))).alias("lower_whisker"),
+        (F.max(F.when(inside, F.col("u"))) / F.lit(float(m))).alias("upper_whisker"),
+        F.sum(F.when(~inside, F.col("c")).otherwise(0)).cast("long").alias("outliers"),
     )
 
 

@@ -80,7 +80,7 @@ def parameter_purpose(
 def state_coverage(t: Tables) -> DataFrame:
     """Per state: distinct plants and municipalities having a plant."""
     # only distinct counts follow: repeated plant rows need no weighting
-    rows = plant_geo(t, with_region=False, weigh_plants=False)
+    rows = plant_geo(t, with_region=False, weigh_plants=False, checked=False)
     return (
         activity_by(
             rows,

@@ -102,19 +102,24 @@ def state_geo(t: Tables, with_region: bool) -> DataFrame:
 
 
 @_per_bundle
-def plant_geo(t: Tables, with_region: bool, weigh_plants: bool = True) -> DataFrame:
+def plant_geo(
+    t: Tables, with_region: bool, weigh_plants: bool = True, checked: bool = True
+) -> DataFrame:
     """plant_id -> municipality_id, state_code, state_name[, region_name], copies.
 
     ``weigh_plants=False`` keeps repeated plant rows as rows: right when the
     other join side has one row per plant (or only distinct counts follow).
-    The looked-up municipality and state sides are always weighted."""
+    The looked-up municipality and state sides are always weighted.
+    ``checked=False`` skips the broadcast proof (for a chain that is the
+    whole input of a query rather than one side of a join)."""
     muni = wjoin(
         weighted(t.municipality, ["municipality_id", "state_id"]),
         state_geo(t, with_region),
         "state_id",
     )
     plants = (weighted if weigh_plants else unweighted)(t.plant, ["plant_id", "municipality_id"])
-    return _checked(wjoin(plants, muni, "municipality_id"))
+    chain = wjoin(plants, muni, "municipality_id")
+    return _checked(chain) if checked else chain
 
 
 @_per_bundle
