@@ -54,7 +54,9 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for checkpoints and reused results.
 
     A cluster names it in ``spark.checkpoint.dir``; that value always wins.
-    Only when it is unset (local runs, tests) a scratch folder is created.
+    Only a local-mode session (tests, a laptop) without it gets a scratch
+    folder; on a cluster a machine-local folder would not survive the loss
+    of an executor, so the setting is required there.
     """
     sc = spark.sparkContext
     configured = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
@@ -62,6 +64,11 @@ def checkpoint_dir(spark: SparkSession) -> str:
         if not sc.getCheckpointDir():
             sc.setCheckpointDir(configured)
         return configured
+    if not sc.master.startswith("local"):
+        raise RuntimeError(
+            "spark.checkpoint.dir is not set: name a folder on shared storage "
+            "(e.g. HDFS or an object store) for checkpoints"
+        )
     local = tempfile.mkdtemp(prefix="hydrostar-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     sc.setCheckpointDir(local)
     return local
