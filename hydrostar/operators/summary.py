@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from hydrostar.functions.numeric import div_half_even, mean_half_even, scaled
+from hydrostar.functions.numeric import mean_half_even, scaled
 
 
 @dataclass(frozen=True)
@@ -126,8 +126,3 @@ def box_stats(df: DataFrame, group: str, value: str, digits: int) -> DataFrame:
         (F.max(F.when(inside, F.col("u"))) / F.lit(float(m))).alias("upper_whisker"),
         F.sum(F.when(~inside, F.col("c")).otherwise(0)).cast("long").alias("outliers"),
     )
-
-
-def half_even_int(a: Column, b: Column) -> Column:
-    """Re-export for callers that round integer means to whole numbers."""
-    return div_half_even(a, b)

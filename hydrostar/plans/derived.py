@@ -8,7 +8,6 @@ Where the dashboard's pandas code drops NULL group keys (``groupby``,
 
 from __future__ import annotations
 
-from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F

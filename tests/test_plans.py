@@ -6,7 +6,6 @@ from __future__ import annotations
 import os
 
 import pytest
-from pyspark.sql import functions as F
 
 import __spark_entry__ as E
 from hydrostar.plans import base
@@ -49,12 +48,15 @@ def test_native_tables_prune_year_partitions(spark, tmp_dir):
     assert sorted(map(tuple, df.collect())) == sorted(map(tuple, fixture.collect()))
 
 
-def test_parameter_names_pushed_to_scan(spark):
+def test_parameter_names_pushed_to_scan(spark, tmp_dir):
     t = fixture_tables(spark, SF001)
-    df = base.band_distribution(t, band_pairs=FX.BAND_PAIRS)
-    df.explain("formatted")
-    text = plan_text(df)
-    assert "PushedFilters: [" in text
+    for name in ("region", "state", "municipality", "office", "institution", "plant", "point",
+                 "parameter", "band", "measurement"):
+        getattr(t, name).write.parquet(os.path.join(tmp_dir, f"{name}.parquet"))
+    native = load_tables(spark, tmp_dir)
+    text = plan_text(base.band_distribution(native, band_pairs=FX.BAND_PAIRS))
+    assert "PushedFilters: [In(parameter_name, [blue anvil,old bolt,red ring])" in text
+    assert "PushedFilters: [In(band_name, [A,N,R])" in text
 
 
 def test_fact_pre_aggregated_before_dimension_joins(spark):
