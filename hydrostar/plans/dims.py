@@ -94,11 +94,17 @@ def _checked(df: DataFrame) -> DataFrame:
 
 @_per_bundle
 def state_geo(t: Tables, with_region: bool) -> DataFrame:
-    """state_id -> state_code, state_name[, region_name], copies."""
-    st = weighted(t.state, ["state_id", "region_id", "state_code", "state_name"])
+    """state_id -> state_code, state_name[, region_name], copies.
+
+    States and regions are administrative tables of a few dozen rows, so
+    they are joined first and weighted once: any repeat product is bounded
+    by their own tiny sizes, and one aggregate replaces two."""
+    st = t.state.select("state_id", "region_id", "state_code", "state_name")
+    cols = ["state_id", "state_code", "state_name"]
     if with_region:
-        st = wjoin(st, weighted(t.region, ["region_id", "region_name"]), "region_id")
-    return st.drop("region_id")
+        st = st.join(t.region.select("region_id", "region_name"), "region_id")
+        cols.append("region_name")
+    return weighted(st, cols)
 
 
 @_per_bundle
