@@ -9,26 +9,57 @@ from pyspark.sql import functions as F
 
 
 def options(
-    df: DataFrame, field: str, first_seen: Sequence[Column | str], all_label: str
+    df: DataFrame, specs: Sequence[tuple[str, Sequence[str], str]]
 ) -> DataFrame:
-    """Distinct values of ``field`` in first-appearance order, after an
-    "all" entry.  ``first_seen`` is the sort key of ``df``'s order reduced to
-    what decides where a value first appears (its minimum per value).
+    """Selector entries of one or more fields, in first-appearance order.
 
-    Returns (field, ord, option) with ord 0 for the "all" entry.  The window
-    numbers distinct values of one field only.
+    ``specs`` lists (field, first_seen, all_label): ``first_seen`` are the
+    leading sort keys of ``df``'s order that decide where a value first
+    appears (its minimum per value).  Returns (field, ord, option), ord 0
+    being the "all" entry.  All fields come from one pass over ``df``: the
+    values are stacked, reduced to their first key, and numbered by a
+    window per field over its distinct values.
     """
-    keys = [F.col(k) if isinstance(k, str) else k for k in first_seen]
-    firsts = df.groupBy(field).agg(F.min(F.struct(*keys)).alias("_first"))
+    width = max(len(keys) for _, keys, _ in specs)
+
+    def key(cols: Sequence[str]) -> Column:
+        parts = [F.col(c).cast("string") for c in cols]
+        parts += [F.lit(None).cast("string")] * (width - len(parts))
+        return F.struct(*[p.alias(f"k{i}") for i, p in enumerate(parts)])
+
+    entries = F.array(
+        *[
+            F.struct(
+                F.lit(field).alias("field"),
+                F.col(field).cast("string").alias("option"),
+                key(keys).alias("first"),
+            )
+            for field, keys, _ in specs
+        ]
+    )
+    firsts = (
+        df.select(F.inline(entries))
+        .groupBy("field", "option")
+        .agg(F.min("first").alias("first"))
+    )
     numbered = firsts.select(
-        F.lit(field).alias("field"),
-        F.row_number().over(Window.partitionBy(F.lit(field)).orderBy("_first", field)).alias("ord"),
-        F.col(field).cast("string").alias("option"),
+        "field",
+        F.row_number().over(Window.partitionBy("field").orderBy("first", "option")).alias("ord"),
+        "option",
     )
-    head = df.sparkSession.range(1).select(
-        F.lit(field).alias("field"), F.lit(0).alias("ord"), F.lit(all_label).alias("option")
+    heads = df.sparkSession.range(1).select(
+        F.inline(
+            F.array(
+                *[
+                    F.struct(
+                        F.lit(field).alias("field"), F.lit(0).alias("ord"), F.lit(label).alias("option")
+                    )
+                    for field, _, label in specs
+                ]
+            )
+        )
     )
-    return head.unionByName(numbered)
+    return heads.unionByName(numbered)
 
 
 def filter_by_choice(df: DataFrame, choices: Mapping[str, object | None]) -> DataFrame:

@@ -177,9 +177,11 @@ def select_options(
 ) -> DataFrame:
     """The two selectors' entries in first-appearance order of Q8
     (sorted by filtration, then parameter), each after its "all" entry."""
-    filtrations = options(q8, "filtration_type", ["filtration_type"], all_filtrations)
-    parameters = options(q8, "parameter_name", ["filtration_type", "parameter_name"], all_parameters)
-    return filtrations.unionByName(parameters).orderBy("field", "ord")
+    specs = [
+        ("filtration_type", ["filtration_type"], all_filtrations),
+        ("parameter_name", ["filtration_type", "parameter_name"], all_parameters),
+    ]
+    return options(q8, specs).orderBy("field", "ord")
 
 
 def filter_choice(
