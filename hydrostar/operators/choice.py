@@ -7,6 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from hydrostar.operators.joins import literal_table
+
 
 def options(
     df: DataFrame, specs: Sequence[tuple[str, Sequence[str], str]]
@@ -47,17 +49,11 @@ def options(
         F.row_number().over(Window.partitionBy("field").orderBy("first", "option")).alias("ord"),
         "option",
     )
-    heads = df.sparkSession.range(1).select(
-        F.inline(
-            F.array(
-                *[
-                    F.struct(
-                        F.lit(field).alias("field"), F.lit(0).alias("ord"), F.lit(label).alias("option")
-                    )
-                    for field, _, label in specs
-                ]
-            )
-        )
+    heads = literal_table(
+        df.sparkSession,
+        [(field, 0, label) for field, _, label in specs],
+        "field STRING, ord INT, option STRING",
+        broadcast=False,
     )
     return heads.unionByName(numbered)
 

@@ -49,15 +49,23 @@ def bounded_broadcast(
     return F.broadcast(df) if rows <= max_rows and size <= max_bytes else df
 
 
-def literal_table(spark, rows, schema: str) -> DataFrame:
+def literal_table(spark, rows, schema: str, broadcast: bool = True) -> DataFrame:
     """A small rule table given in code (its size is its own bound).
 
     ``schema`` is a DDL list such as ``"name STRING, rank INT"``.  Built as
-    ``inline(array(struct(...)))`` over one row, which Catalyst folds into a
-    local relation: no Python worker, no RDD.
+    an inline ``VALUES`` table with bound parameters (values are passed, not
+    spliced into SQL text): Spark keeps it as a local relation, so it needs
+    no Python worker, no RDD, and no job when broadcast.
     """
     fields = [f.strip().split() for f in schema.split(",")]
-    structs = [
-        F.struct(*[F.lit(v).cast(t).alias(n) for v, (n, t) in zip(row, fields)]) for row in rows
-    ]
-    return F.broadcast(spark.range(1).select(F.inline(F.array(*structs))))
+    args: dict[str, object] = {}
+    tuples = []
+    for i, row in enumerate(rows):
+        marks = []
+        for j, (value, (_, dtype)) in enumerate(zip(row, fields)):
+            args[f"v{i}_{j}"] = value
+            marks.append(f"CAST(:v{i}_{j} AS {dtype})")
+        tuples.append("(" + ", ".join(marks) + ")")
+    names = ", ".join(n for n, _ in fields)
+    table = spark.sql(f"SELECT * FROM VALUES {', '.join(tuples)} AS t({names})", args=args)
+    return F.broadcast(table) if broadcast else table
