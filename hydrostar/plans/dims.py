@@ -9,13 +9,19 @@ reduced to its *distinct* rows with a ``copies`` count (a map-side combined
 aggregate), and joins multiply the counts instead of the rows.  A key
 repeated in a third of a table then costs one row, not a third of a join.
 
-Each chain is a many-to-one path from ``plant``; the fact joins it once on
-``plant_id``.  No side is forced to broadcast here: the geographic tables are
-tiny files that the planner broadcasts on its own size statistics, and
-``plant``, ``municipality``, ``office`` and ``parameter`` grow with the data,
-so they are left to the planner (sort-merge, or broadcast by AQE when the
-runtime size of a side allows; AQE also splits skewed join partitions).
-Inner joins drop orphan keys and NULL keys, as the reference's chains do.
+Only the looked-up side of a join needs this; a side joined to something
+with one row per key can keep its repeats as rows (``unweighted``).
+
+Broadcast behind a proof
+------------------------
+Each chain is a many-to-one path from ``plant`` (or the parameter keys); the
+pre-aggregated fact joins it once.  A finished chain is broadcast only after
+``bounded_broadcast`` has proven its rows and bytes small; then the fact is
+never re-shuffled for the join.  Beyond the bound the join is left to the
+planner: sort-merge, a broadcast by AQE when the runtime size allows, and
+AQE's split of skewed partitions.  Chains are memoised per table bundle, so
+each proof runs once per bundle.  Inner joins drop orphan keys and NULL
+keys, as the reference's chains do.
 """
 
 from __future__ import annotations
@@ -27,6 +33,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from hydrostar.operators.joins import bounded_broadcast, literal_table
 from hydrostar.sources.tables import Tables
 
 COPIES = "copies"
@@ -87,8 +94,6 @@ def _checked(df: DataFrame) -> DataFrame:
     pre-aggregated fact is never re-shuffled for this join); otherwise leave
     the join to the planner.  Chains are memoised per bundle, so the proof
     runs once per bundle."""
-    from hydrostar.operators.joins import bounded_broadcast
-
     return bounded_broadcast(df)
 
 
@@ -160,11 +165,9 @@ def band_keys(t: Tables, band_pairs: tuple[tuple[str, str], ...]) -> DataFrame:
 
     The names filter reaches the Parquet scans; the pair table is a literal.
     The result grows with the parameter table, so it is marked for broadcast
-    only behind a row-count proof (a bounded job, run once per bundle: a
+    only behind a size proof (a bounded job, run once per bundle: a
     DataFrame keeps the file listing it was defined on).
     """
-    from hydrostar.operators.joins import bounded_broadcast, literal_table
-
     spark = t.parameter.sparkSession
     pairs = literal_table(spark, sorted(set(band_pairs)), "parameter_name STRING, band_name STRING")
     names = sorted({p for p, _ in band_pairs})
