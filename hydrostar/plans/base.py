@@ -211,8 +211,8 @@ def band_distribution(
     (filtration, parameter) total over the listed bands.
 
     One pass: the pair rule table selects (parameter_id, band_id) keys, the
-    fact is filtered by a broadcast join against them (behind a row-count
-    proof; a shuffle join above it), aggregated, and the share is a window
+    fact is filtered by a broadcast join against them (behind a size proof;
+    a shuffle join above it), aggregated, and the share is a window
     over the *aggregated* rows taken before the HAVING filter, so dropped
     bands still count in the total.
     """
