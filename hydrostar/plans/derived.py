@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from hydrostar.functions.numeric import div_half_even
 from hydrostar.functions.text import cut_label, fixed_text, percent_text, substitute, thousands
 from hydrostar.operators.choice import filter_by_choice, options
+from hydrostar.operators.joins import bounded_broadcast
 from hydrostar.operators.reshape import hierarchy_totals, long_form, pivot_matrix, sum_all
 from hydrostar.operators.shares import share_of_total, sum_of
 from hydrostar.operators.summary import Agg, box_stats, summarise
@@ -114,13 +115,14 @@ def purpose_detail(q2: DataFrame) -> DataFrame:
     """P5: each parameter under its purpose with the purpose's size; the
     unit text 'None' reads as qualitative (a NULL unit stays NULL).
 
-    The sizes are a grouped count joined back on the purpose (one row per
-    purpose, a bound set by the rule list), not a window over all rows of a
-    purpose.
+    The sizes are a grouped count joined back on the purpose, not a window
+    over all rows of a purpose.  There is one row per purpose (at most one
+    per rule plus the default for Q2's output), and it is broadcast behind
+    the size proof, so the per-parameter rows are not shuffled.
     """
     sizes = purpose_counts(q2).withColumnRenamed("parameters", "purpose_parameters")
     return (
-        q2.join(F.broadcast(sizes), "purpose")
+        q2.join(bounded_broadcast(sizes), "purpose")
         .select(
             "purpose",
             "purpose_parameters",
