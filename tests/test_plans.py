@@ -79,3 +79,15 @@ def test_native_csv_tables_load_and_query(spark, tmp_dir):
     got = sorted(map(tuple, base.geo_activity(native).collect()))
     want = sorted(map(tuple, base.geo_activity(t).collect()))
     assert got == want
+
+
+def test_bounded_broadcast_checks_rows_and_bytes(spark):
+    from hydrostar.operators.joins import bounded_broadcast
+
+    df = spark.range(10).selectExpr("id", "repeat('x', 1000) AS text")
+    assert bounded_broadcast(df, max_rows=100, max_bytes=1 << 20) is not df  # ~10 KB: hinted
+    assert bounded_broadcast(df, max_rows=100, max_bytes=5_000) is df  # strings too large
+    assert bounded_broadcast(df, max_rows=5, max_bytes=1 << 20) is df  # too many rows
+    hinted = bounded_broadcast(df, max_rows=100, max_bytes=1 << 20)
+    joined = spark.range(1000).join(hinted, "id")
+    assert "BroadcastHashJoin" in plan_text(joined)
