@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hydrostar.llm import chat, urls, warc
+from hydrostar.llm import bpe, chat, urls, warc
 from hydrostar.llm.common import scratch_path, stored, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -48,6 +48,19 @@ SELECT conv_id, count(*) AS n_turns,
 FROM e GROUP BY conv_id
 """
 
+def tokenizer_path() -> str:
+    """The public tokenizer file that the BPE contract names."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = tokenizer_path()
+    ids = bpe.encode(table(spark, sf_dir, "documents"), path)
+    return bpe.digests(bpe.decode(ids, path))
+
+
 # The site rules of the URL contract, in its order.
 SITE_RULES = (
     urls.SiteRule(urls.BLOCK, "net", "/"),
@@ -115,6 +128,7 @@ FROM h
 
 QUERIES: dict[str, Query] = {
     "op1_chat_formatting": op1_chat_formatting,
+    "op2_bpe": op2_bpe,
     "op5_url_filters": op5_url_filters,
     "op10_warc": op10_warc,
 }
