@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hydrostar.llm import bpe, chat, urls, warc
+from hydrostar.llm import bpe, chat, simhash, urls, warc
 from hydrostar.llm.common import scratch_path, stored, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -97,6 +97,14 @@ FROM u LEFT JOIN best USING (page_row)
 """
 
 
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=4, distance=4).select(
+        "doc_id",
+        simhash.fingerprint_text(F.col("fp")).alias("fingerprint"),
+        "component_id",
+    )
+
+
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "warc")
     warc.write_archives(table(spark, sf_dir, "pages"), path)
@@ -130,6 +138,7 @@ QUERIES: dict[str, Query] = {
     "op1_chat_formatting": op1_chat_formatting,
     "op2_bpe": op2_bpe,
     "op5_url_filters": op5_url_filters,
+    "op8_simhash": op8_simhash,
     "op10_warc": op10_warc,
 }
 
