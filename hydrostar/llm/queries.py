@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hydrostar.llm import bpe, chat, simhash, urls, warc
+from hydrostar.llm import bpe, chat, quality, simhash, urls, warc
 from hydrostar.llm.common import scratch_path, stored, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -105,6 +105,10 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "warc")
     warc.write_archives(table(spark, sf_dir, "pages"), path)
@@ -139,6 +143,7 @@ QUERIES: dict[str, Query] = {
     "op2_bpe": op2_bpe,
     "op5_url_filters": op5_url_filters,
     "op8_simhash": op8_simhash,
+    "op9_quality_rules": op9_quality_rules,
     "op10_warc": op10_warc,
 }
 
