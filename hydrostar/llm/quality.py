@@ -68,18 +68,20 @@ def base_measures(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         F.filter(F.split(text, "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]")).alias("lines"),
     )
     # Hashes of the 8-word windows; two hashes from one text meet by chance
-    # once in 10^11 texts of 20,000 words.
-    first = F.sequence(F.lit(1), F.greatest(F.size("words") - (WINDOW - 1), F.lit(1)))
+    # once in 10^11 texts of 20,000 words.  Windows are zipped from shifted
+    # copies: a lambda that looked back into ``words`` could make the optimizer
+    # split the text again for every window.
+    n = F.size("words") - (WINDOW - 1)
+    shifted = [F.slice("words", F.lit(k + 1), F.greatest(n, F.lit(0))) for k in range(WINDOW)]
+    names = [f"w{k}" for k in range(WINDOW)]
+    zipped = F.arrays_zip(*[x.alias(k) for x, k in zip(shifted, names)])
     cut = cut.select(
-        "*",
-        F.when(
-            F.size("words") >= WINDOW,
-            F.transform(first, lambda i: F.xxhash64(F.slice("words", i, WINDOW))),
-        )
-        .otherwise(F.array().cast("array<bigint>"))
-        .alias("windows"),
+        "*", F.transform(zipped, lambda z: F.xxhash64(*[z[k] for k in names])).alias("windows")
     )
-    repeats = F.size(F.array_distinct("windows")) < F.size("windows")
+    repeated = F.size(F.array_distinct("windows")) < F.size("windows")
+    pairs = F.sort_array(F.transform("windows", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+    cut = cut.select("*", F.when(repeated, pairs).alias("pairs"))
+    cut = cut.select("*", F.when(F.col("pairs").isNotNull(), _repeated_starts("pairs")).alias("starts"))
     return cut.select(
         "id",
         F.size("words").cast("long").alias("n_words"),
@@ -88,9 +90,7 @@ def base_measures(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         .cast("long")
         .alias("n_symbols"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
-        F.when(repeats, _covered(_repeated_starts("windows"))).otherwise(F.lit(0)).cast("long").alias(
-            "n_repeat_words"
-        ),
+        F.coalesce(_covered("starts"), F.lit(0)).cast("long").alias("n_repeat_words"),
         _length(F.regexp_replace("text", r"[^\p{Lu}]+", "")).alias("n_upper"),
         _length(F.regexp_replace("text", r"[^!?]+", "")).alias("n_marks"),
         F.size(F.array_distinct("words")).cast("long").alias("n_distinct"),
@@ -98,19 +98,15 @@ def base_measures(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     )
 
 
-def _repeated_starts(windows: str) -> Column:
-    """Ascending starts of the windows whose hash occurs twice or more.
-
-    Sorted (hash, start) pairs stand beside their neighbours by zipping
-    shifted arrays, so the work is that of the sort.
-    """
-    pairs = F.sort_array(F.transform(windows, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+def _repeated_starts(pairs: str) -> Column:
+    """Ascending starts of the windows whose hash occurs twice or more, from
+    sorted (hash, start) pairs: each stands zipped beside its neighbours."""
     none = F.array(F.lit(None).cast("struct<h:bigint,i:int>"))
-    n = F.size(windows)
+    n = F.size(pairs)
     zipped = F.arrays_zip(
-        pairs.alias("x"),
+        F.col(pairs).alias("x"),
         F.concat(none, F.slice(pairs, F.lit(1), F.greatest(n - 1, F.lit(0)))).alias("before"),
-        F.concat(F.slice(pairs, F.lit(2), n), none).alias("after"),
+        F.concat(F.slice(pairs, F.lit(2), F.greatest(n, F.lit(0))), none).alias("after"),
     )
     twice = F.filter(
         zipped,
@@ -120,12 +116,12 @@ def _repeated_starts(windows: str) -> Column:
     return F.sort_array(F.transform(twice, lambda z: z["x"]["i"]))
 
 
-def _covered(starts: Column) -> Column:
+def _covered(starts: str) -> Column:
     """Words in the union of windows at these ascending starts."""
     end = F.array(F.lit(1 << 30))
     steps = F.zip_with(
         starts,
-        F.concat(F.slice(starts, F.lit(2), F.size(starts)), end),
+        F.concat(F.slice(starts, F.lit(2), F.greatest(F.size(starts), F.lit(0))), end),
         lambda a, b: F.least(b - a, F.lit(WINDOW)),
     )
     return F.aggregate(steps, F.lit(0), lambda s, x: s + x)
@@ -170,7 +166,8 @@ def labelled(
     )
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     texts = texts.join(chosen.select(F.col("label_id").alias("id")), "id", "left_semi")
-    rows = measures(base_measures(texts, "id", "text")).where(~base_failed())
+    # Stored before the filter: pushed below the measures, it would repeat them.
+    rows = stored(measures(base_measures(texts, "id", "text")), "measures").where(~base_failed())
     rows = rows.join(chosen, rows["id"] == chosen["label_id"])
     return rows.select(
         *[F.col(m).cast("double").alias(m) for m in MEASURES],
@@ -208,8 +205,10 @@ def _histograms(rows: DataFrame, cuts: dict[str, list[float]]) -> dict[str, dict
 
 
 def _best(hist: dict[str, dict[int, list[int]]], cuts: dict[str, list[float]]):
-    """The threshold with the largest information gain, and what it leaves."""
-    best = (0.0, None, 0)
+    """The condition with the largest information gain, and the good rows it
+    leaves.  Of thresholds with equal gain in a row the middle is taken, as
+    far from the good rows as from the bad ones."""
+    top, found, left = 0.0, None, 0
     for m, bins in hist.items():
         good, bad = (sum(b[k] for b in bins.values()) for k in (0, 1))
         if not bad:
@@ -220,9 +219,15 @@ def _best(hist: dict[str, dict[int, list[int]]], cuts: dict[str, list[float]]):
             low = [low[i] + bins.get(k, [0, 0])[i] for i in (0, 1)]
             for above in (False, True):
                 g, b = (good - low[0], bad - low[1]) if above else low
-                if b and (gain := b * (log2(b / (b + g)) - start)) > best[0] + 1e-9:
-                    best = (gain, Condition(m, above, cut), g)
-    return best
+                gain = b * (log2(b / (b + g)) - start) if b else 0.0
+                if gain > top + 1e-9:
+                    top, found, left = gain, (m, above, cut, cut), g
+                elif found and found[:2] == (m, above) and abs(gain - top) <= 1e-9:
+                    found = (m, above, found[2], cut)
+    if found is None:
+        return None, 0
+    m, above, lo, hi = found
+    return Condition(m, above, (lo + hi) / 2), left
 
 
 def learn(
@@ -251,7 +256,7 @@ def learn(
         good = 1
         while len(rule) < max_conditions and good:
             hist = _histograms(left.where(F.col("grow") & _holds(rule)), cuts)
-            gain, condition, good = _best(hist, cuts)
+            condition, good = _best(hist, cuts)
             if condition is None:
                 break
             rule = (*rule, condition)
@@ -298,7 +303,9 @@ def judge(
     Null and empty texts have no words and fail the base rule.  Repeated rows
     and null ids are judged like any other; labels that are null, or without
     a document, are not learnt from; of several labels of one id the smallest
-    counts.  Without usable labels only the base rule rejects.
+    counts.  Without usable labels only the base rule rejects.  Store the
+    result before filtering on it: Spark would push the filter below the
+    measures and compute them twice.
     """
     rules = learn(stored(labelled(docs, labels, label, fit_rows, id_col, text_col), "labelled"))
     rows = measures(base_measures(docs, id_col, text_col))
