@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hydrostar.llm import bpe, chat, quality, simhash, urls, warc
-from hydrostar.llm.common import scratch_path, stored, table
+from hydrostar.llm import bpe, chat, decontam, quality, simhash, urls, warc
+from hydrostar.llm.common import LOWER, UPPER, scratch_path, stored, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -97,6 +97,39 @@ FROM u LEFT JOIN best USING (page_row)
 """
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    return decontam.report(decontam.find(docs, items))
+
+
+OP7_SQL = rf"""
+WITH items AS (
+    SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all(translate(text, '{UPPER}', '{LOWER}'), '{decontam.WORD_PATTERN}') AS ws
+    FROM benchmark WHERE item_id IS NOT NULL
+), phrases AS (
+    SELECT DISTINCT item, least(len(ws), 10) AS n, array_to_string(ws[i:i + 9], ' ') AS phrase
+    FROM (SELECT *, unnest(range(1, greatest(len(ws) - 9, 1) + 1)) AS i FROM items WHERE len(ws) > 0)
+), docs AS (
+    SELECT row_number() OVER () AS doc_row, doc_id,
+        coalesce(regexp_extract_all(translate(text, '{UPPER}', '{LOWER}'), '{decontam.WORD_PATTERN}'), []) AS ws
+    FROM documents
+), places AS (
+    SELECT doc_row, ws, unnest(range(1, len(ws) + 1)) AS i FROM docs
+), found AS (
+    SELECT p.doc_row, p.i, l.n, q.item
+    FROM places p JOIN (SELECT DISTINCT n FROM phrases) l ON p.i + l.n - 1 <= len(p.ws)
+    JOIN phrases q ON q.n = l.n AND q.phrase = array_to_string(p.ws[p.i:p.i + l.n - 1], ' ')
+), words AS (
+    SELECT doc_row, count(DISTINCT w) AS n_hit FROM (SELECT doc_row, unnest(range(i, i + n)) AS w FROM found) GROUP BY doc_row
+), named AS (
+    SELECT doc_row, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS names FROM found GROUP BY doc_row
+)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+    sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM docs LEFT JOIN words USING (doc_row) LEFT JOIN named USING (doc_row)
+"""
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=4, distance=4).select(
         "doc_id",
@@ -142,6 +175,7 @@ QUERIES: dict[str, Query] = {
     "op1_chat_formatting": op1_chat_formatting,
     "op2_bpe": op2_bpe,
     "op5_url_filters": op5_url_filters,
+    "op7_decontamination": op7_decontamination,
     "op8_simhash": op8_simhash,
     "op9_quality_rules": op9_quality_rules,
     "op10_warc": op10_warc,
@@ -150,5 +184,6 @@ QUERIES: dict[str, Query] = {
 ORACLES: dict[str, str] = {
     "op1_chat_formatting": OP1_SQL,
     "op5_url_filters": OP5_SQL,
+    "op7_decontamination": OP7_SQL,
     "op10_warc": OP10_SQL,
 }
