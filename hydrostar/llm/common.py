@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import os
 import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from hydrostar.session import checkpoint_dir
 
+PACKAGE_ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+
 # The characters that separate words, and ASCII lower-casing.
 SPACES = "\x20\x09\x0a\x0b\x0c\x0d"
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
@@ -58,7 +62,7 @@ def utf8(value: str | None) -> bytes:
 def arrow_pass(
     df: DataFrame,
     rows: Callable[[pa.RecordBatch], pa.RecordBatch | None],
-    schema: str,
+    schema: str | StructType,
     setup: Callable[[], object] | None = None,
     slice_bytes: int = 16 << 20,
 ) -> DataFrame:
@@ -77,6 +81,16 @@ def arrow_pass(
                 if out is not None and out.num_rows:
                     yield out
 
+    return map_in_arrow(df, run, schema)
+
+
+def map_in_arrow(df: DataFrame, run: Callable, schema: str | StructType) -> DataFrame:
+    """``mapInArrow`` whose workers can import this package from where the
+    driver did (a cluster without that path ships it with ``--py-files``)."""
+    environment = df.sparkSession.sparkContext.environment
+    known = environment.get("PYTHONPATH", "").split(os.pathsep)
+    if PACKAGE_ROOT not in known:
+        environment["PYTHONPATH"] = os.pathsep.join([PACKAGE_ROOT, *filter(None, known)])
     return df.mapInArrow(run, schema)
 
 

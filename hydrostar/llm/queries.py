@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hydrostar.llm import bpe, chat, decontam, quality, simhash, urls, warc
+from hydrostar.llm import bpe, chat, decontam, quality, simhash, toxicity, urls, warc
 from hydrostar.llm.common import LOWER, UPPER, scratch_path, stored, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -61,6 +61,19 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.decode(ids, path))
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    out = toxicity.held_out()
+    model = toxicity.fit(docs, labels.where(~out))
+    scored = toxicity.score(docs.select("doc_id", "text"), model)
+    return scored.select(
+        "doc_id",
+        out.alias("held_out"),
+        F.col("toxicity").alias("score"),
+        (F.col("toxicity") >= 0.5).cast("int").alias("predicted"),
+    )
+
+
 # The site rules of the URL contract, in its order.
 SITE_RULES = (
     urls.SiteRule(urls.BLOCK, "net", "/"),
@@ -174,6 +187,7 @@ FROM h
 QUERIES: dict[str, Query] = {
     "op1_chat_formatting": op1_chat_formatting,
     "op2_bpe": op2_bpe,
+    "op4_toxicity": op4_toxicity,
     "op5_url_filters": op5_url_filters,
     "op7_decontamination": op7_decontamination,
     "op8_simhash": op8_simhash,

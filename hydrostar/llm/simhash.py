@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hydrostar.llm.common import LOWER_TABLE, arrow_pass, stored, utf8
+from hydrostar.llm.common import LOWER_TABLE, arrow_pass, map_in_arrow, stored, utf8
 from hydrostar.llm.graph import components
 
 BITS = 64
@@ -163,7 +163,7 @@ def links(fps: DataFrame, distance: int, count: int) -> DataFrame:
         F.col("choice").cast("long"), "key", "part", "fp"
     )
     dealt = dealt.repartition("choice", "key", "part").sortWithinPartitions("choice", "key", "part")
-    return dealt.mapInArrow(run, "a long, b long")
+    return map_in_arrow(dealt, run, "a long, b long")
 
 
 def near_duplicates(

@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from hydrostar.llm.common import map_in_arrow
+
 CRLF = "\r\n"
 # Digits of conv() in base 32, and of RFC 4648 base 32.
 CONV32, RFC32 = "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
@@ -241,7 +243,7 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
                         [pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema
                     )
 
-    return files.mapInArrow(run, _SCHEMA)
+    return map_in_arrow(files, run, _SCHEMA)
 
 
 def resolved(rows: DataFrame) -> DataFrame:
