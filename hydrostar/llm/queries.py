@@ -7,8 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hydrostar.llm import bpe, chat, decontam, quality, simhash, toxicity, urls, warc
-from hydrostar.llm.common import LOWER, UPPER, scratch_path, stored, table
+from hydrostar.llm import (
+    bpe,
+    chat,
+    decontam,
+    quality,
+    simhash,
+    substrings,
+    toxicity,
+    urls,
+    warc,
+)
+from hydrostar.llm.common import LOWER, UPPER, WORD_PATTERN, scratch_path, stored, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -110,6 +120,34 @@ FROM u LEFT JOIN best USING (page_row)
 """
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return substrings.digests(substrings.remove_repeats(docs, window=50, join_words=True))
+
+
+OP6_SQL = rf"""
+WITH docs AS (
+    SELECT doc_id, coalesce(regexp_extract_all(text, '{WORD_PATTERN}'), []) AS ws FROM documents
+), windows AS (
+    SELECT doc_id, i, array_to_string(ws[i:i + 49], ' ') AS words
+    FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 48)) AS i FROM docs)
+), gone AS (
+    SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS w FROM (
+        SELECT doc_id, i, min(doc_id) OVER (PARTITION BY words) AS first FROM windows
+    ) WHERE doc_id > first
+), lists AS (
+    SELECT doc_id, list(w) AS gone FROM gone GROUP BY doc_id
+), kept AS (
+    SELECT doc_id, len(ws) AS n, CASE WHEN gone IS NULL THEN ws
+        ELSE [ws[i] FOR i IN range(1, len(ws) + 1) IF NOT list_contains(gone, i)] END AS kept
+    FROM docs LEFT JOIN lists USING (doc_id)
+)
+SELECT doc_id, CAST(n AS BIGINT) AS n_words, CAST(n - len(kept) AS BIGINT) AS n_removed,
+    sha256(array_to_string(kept, ' ')) AS kept_sha256
+FROM kept
+"""
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
     return decontam.report(decontam.find(docs, items))
@@ -189,6 +227,7 @@ QUERIES: dict[str, Query] = {
     "op2_bpe": op2_bpe,
     "op4_toxicity": op4_toxicity,
     "op5_url_filters": op5_url_filters,
+    "op6_substring_dedup": op6_substring_dedup,
     "op7_decontamination": op7_decontamination,
     "op8_simhash": op8_simhash,
     "op9_quality_rules": op9_quality_rules,
@@ -198,6 +237,7 @@ QUERIES: dict[str, Query] = {
 ORACLES: dict[str, str] = {
     "op1_chat_formatting": OP1_SQL,
     "op5_url_filters": OP5_SQL,
+    "op6_substring_dedup": OP6_SQL,
     "op7_decontamination": OP7_SQL,
     "op10_warc": OP10_SQL,
 }
