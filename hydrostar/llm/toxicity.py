@@ -34,6 +34,7 @@ DIM = 8
 WINDOW = 8
 PRIOR = 150
 DECAY = 0.1
+BATCH = 128
 TOXIC_WEIGHT = 4.0
 _PRIME = np.uint64(0x100000001B3)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -164,12 +165,12 @@ class Trainer:
         owner = np.repeat(np.arange(len(self.size)), self.size)
         return np.bincount(owner, model.weights[self.bucket], minlength=len(self.size))
 
-    def epoch(self, windows: Windows, chosen: np.ndarray, rate: float, batch: int = 128) -> None:
+    def epoch(self, windows: Windows, chosen: np.ndarray, rate: float) -> None:
         """One pass over the chosen windows in random order."""
         ends = np.searchsorted(windows.window, np.arange(len(windows.of_text) + 1))
         order = self.rng.permutation(chosen)
-        for at in range(0, len(order), batch):
-            mine = order[at : at + batch]
+        for at in range(0, len(order), BATCH):
+            mine = order[at : at + BATCH]
             words = [windows.word[ends[k] : ends[k + 1]] for k in mine]
             rows = np.repeat(np.arange(len(mine)), [int(self.size[w].sum()) for w in words])
             flat = np.concatenate(words)
@@ -213,9 +214,15 @@ def _highest(windows: Windows, logits: np.ndarray, texts: int) -> np.ndarray:
 
 
 def train(
-    texts: list[str | None], labels: list[int], warm: int = 1, epochs: int = 10, seed: int = 7
+    texts: list[str | None],
+    labels: list[int],
+    warm: int = 1,
+    epochs: int = 10,
+    min_steps: int = 500,
+    seed: int = 7,
 ) -> Model:
-    """Rows must come in a fixed order.  With one class only, every text gets
+    """Rows must come in a fixed order; small samples get more epochs, so that
+    training takes ``min_steps`` minibatches at least.  With one class only, every text gets
     that class; without rows, every score is one half."""
     if not labels or min(labels) == max(labels):
         bias = 0.0 if not labels else (4.0 if labels[0] else -4.0)
@@ -226,6 +233,7 @@ def train(
         t.epoch(whole, np.arange(len(texts)), 0.05)
     windows = Windows.of(t.words, WINDOW)
     clean = np.flatnonzero(t.y[windows.of_text] == 0)
+    epochs = max(epochs, -(-min_steps // -(-(len(texts) + int((t.y == 0).sum())) // BATCH)))
     for k in range(epochs):
         model = t.model()
         top = _highest(windows, windows.logits(t.word_weights(model), t.size, model.bias), len(texts))
