@@ -84,13 +84,18 @@ def arrow_pass(
     return map_in_arrow(df, run, schema)
 
 
-def map_in_arrow(df: DataFrame, run: Callable, schema: str | StructType) -> DataFrame:
-    """``mapInArrow`` whose workers can import this package from where the
-    driver did (a cluster without that path ships it with ``--py-files``)."""
-    environment = df.sparkSession.sparkContext.environment
+def import_on_workers(spark: SparkSession) -> None:
+    """Let Python workers import this package from where the driver did (a
+    cluster without that path ships it with ``--py-files``)."""
+    environment = spark.sparkContext.environment
     known = environment.get("PYTHONPATH", "").split(os.pathsep)
     if PACKAGE_ROOT not in known:
         environment["PYTHONPATH"] = os.pathsep.join([PACKAGE_ROOT, *filter(None, known)])
+
+
+def map_in_arrow(df: DataFrame, run: Callable, schema: str | StructType) -> DataFrame:
+    """``mapInArrow`` with workers that can import this package."""
+    import_on_workers(df.sparkSession)
     return df.mapInArrow(run, schema)
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from hydrostar.llm import (
     bpe,
     chat,
+    ctw,
     decontam,
     quality,
     simhash,
@@ -71,6 +72,10 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.decode(ids, path))
 
 
+def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ctw.score(table(spark, sf_dir, "documents"), ctw.contract_fold())
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     out = toxicity.held_out()
@@ -225,6 +230,7 @@ FROM h
 QUERIES: dict[str, Query] = {
     "op1_chat_formatting": op1_chat_formatting,
     "op2_bpe": op2_bpe,
+    "op3_lm_scoring": op3_lm_scoring,
     "op4_toxicity": op4_toxicity,
     "op5_url_filters": op5_url_filters,
     "op6_substring_dedup": op6_substring_dedup,
