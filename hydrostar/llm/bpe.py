@@ -17,9 +17,10 @@ from __future__ import annotations
 import heapq
 import json
 import re
-from collections.abc import Iterable
+import unicodedata
 from functools import lru_cache
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -28,16 +29,35 @@ from pyspark.sql import functions as F
 from hydrostar.llm.common import arrow_pass
 
 MAX_VOCABULARY_BYTES = 64 << 20
-MAX_CACHED_WORDS = 150_000
+MAX_CACHED_WORDS = 300_000
 MAX_CACHED_PAIRS = 1_000_000
+# Longer words are merged one by one, from a heap.
+MAX_ROUND_SYMBOLS = 64
+NO_RANK = 1 << 40
 
 # White space as the Unicode property has it; str.split() also cuts here:
 _MORE_CUTS = "\x1c\x1d\x1e\x1f"
 _WHITE_SPACE = re.compile(
     "[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
 )
-# The file's word pattern, for words of printable ASCII in lower case.
-_ASCII_WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
+# The file's word pattern for lower-cased Latin-1 text, where composing does
+# nothing: letters and numbers spelt out, white space left out.
+_CLASS = {
+    kind: "".join(
+        re.escape(chr(c)) for c in range(256) if unicodedata.category(chr(c))[0] == kind
+    )
+    for kind in "LN"
+}
+_PLAIN_WORDS = re.compile(
+    rf"'s|'t|'re|'ve|'m|'ll|'d|[{_CLASS['L']}]+|[{_CLASS['N']}]"
+    rf"|[^{_CLASS['L']}{_CLASS['N']}\t-\r \x85\xa0]+"
+)
+# Byte-level symbols: printable Latin-1 bytes stand for themselves, the others
+# follow from U+0100 on.
+_SELF = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_BYTE_SYMBOL = dict(zip((b for b in range(256) if b not in _SELF), range(256, 512)))
+# Stands for the end-of-word suffix while words are matched.
+_END = "\x00"
 
 
 class Merger:
@@ -49,7 +69,15 @@ class Merger:
         self.suffix: str = model.get("end_of_word_suffix") or ""
         pairs = (m if isinstance(m, list) else m.split(" ") for m in model["merges"])
         self.ranks = {(a, b): k for k, (a, b) in enumerate(pairs)}
-        self.longest = max(len(t.removesuffix(self.suffix)) for t in self.vocab)
+        codes = [(self.vocab[a] << 32 | self.vocab[b], k, self.vocab[a + b]) for (a, b), k in self.ranks.items()]
+        self.pair_codes, self.pair_ranks, self.pair_whole = np.array(sorted(codes), np.int64).T.copy()
+        self.sizes = np.zeros(max(self.vocab.values()) + 1, np.int64)
+        self.automaton = ahocorasick.Automaton()
+        for token, i in self.vocab.items():
+            plain = token.removesuffix(self.suffix) + _END if token.endswith(self.suffix) else token
+            self.automaton.add_word(plain, i)
+            self.sizes[i] = len(plain)
+        self.automaton.make_automaton()
         self.tokens: dict[int, str] = {i: t for t, i in self.vocab.items()}
         self.known = np.empty(0, np.int64)
         self.fits = np.empty(0, bool)
@@ -64,17 +92,24 @@ class Merger:
 
     def merge(self, symbols: list[str]) -> list[str]:
         """Exact merging: always the best ranked pair, the leftmost of equals."""
-        ranks, n = self.ranks, len(symbols)
+        rank, n, none = self.ranks.get, len(symbols), 1 << 30
         symbols = list(symbols)
-        if n <= 48:
-            while len(symbols) > 1:
-                best, at = min(
-                    (ranks.get(p, 1 << 30), k) for k, p in enumerate(zip(symbols, symbols[1:]))
-                )
-                if best == 1 << 30:
+        if n <= 64:
+            ranks = [rank(p, none) for p in zip(symbols, symbols[1:])]
+            while ranks:
+                best = min(ranks)
+                if best == none:
                     break
-                symbols[at : at + 2] = [symbols[at] + symbols[at + 1]]
+                at = ranks.index(best)
+                whole = symbols[at] + symbols[at + 1]
+                symbols[at : at + 2] = [whole]
+                del ranks[at]
+                if at:
+                    ranks[at - 1] = rank((symbols[at - 1], whole), none)
+                if at < len(ranks):
+                    ranks[at] = rank((whole, symbols[at + 1]), none)
             return symbols
+        ranks = self.ranks
         after, before, gone = list(range(1, n + 1)), list(range(-1, n - 1)), [False] * n
         heap = [(ranks[p], k, *p) for k, p in enumerate(zip(symbols, symbols[1:])) if p in ranks]
         heapq.heapify(heap)
@@ -92,22 +127,62 @@ class Merger:
                     heapq.heappush(heap, (ranks[p], left, *p))
         return [s for s, out in zip(symbols, gone) if not out]
 
-    def greedy(self, word: str) -> list[int]:
-        """Longest match from the left; the last token must carry the suffix."""
-        vocab, suffix, n, at, found = self.vocab, self.suffix, len(word), 0, []
-        whole = vocab.get(word + suffix)
-        if whole is not None:
-            return [whole]
-        while at < n:
-            for end in range(min(n, at + self.longest), at, -1):
-                piece = word[at:end] if end < n else word[at:] + suffix
-                if piece in vocab:
-                    break
-            else:
-                raise ValueError(f"no token for {word[at]!r}")
-            found.append(vocab[piece])
-            at = end
-        return found
+    def propose(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Greedy longest matches of all words in one scan: token ids, the
+        word of each, and for each word whether its tokens cover it."""
+        text = _END.join(words) + _END
+        ends, ids = zip(*self.automaton.iter_long(text))
+        ends, ids = np.array(ends, np.int64) + 1, np.array(ids, np.int64)
+        sizes = np.fromiter(map(len, words), np.int64, len(words)) + 1
+        stop = np.cumsum(sizes)
+        owner = np.searchsorted(stop, ends)
+        gapless = ends - self.sizes[ids] == np.concatenate([[0], ends[:-1]])
+        covered = np.bincount(owner, self.sizes[ids], minlength=len(words)) == sizes
+        covered[owner[~gapless]] = False
+        return ids, owner, covered
+
+    def merge_all(self, words: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
+        """Exact merging of many words: each round merges, in every word that
+        still has a mergeable pair, the leftmost of its best ranked pairs.
+        Returns token ids and the word of each; words stay in one piece."""
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        flat = np.array([self.vocab[s] for w in words for s in w], np.int64)
+        word = np.repeat(np.arange(len(words)), sizes)
+        done_ids, done_words = [], []
+        rank, whole = self._ranks(flat, word)
+        while len(flat):
+            starts = np.flatnonzero(np.diff(word, prepend=-1))
+            best = np.minimum.reduceat(rank, starts)
+            of = np.cumsum(np.diff(word, prepend=-1) != 0) - 1
+            live = (best < NO_RANK)[of]
+            if not live.all():
+                done_ids.append(flat[~live])
+                done_words.append(word[~live])
+                flat, word, rank, whole = flat[live], word[live], rank[live], whole[live]
+                of = np.cumsum(np.diff(word, prepend=-1) != 0) - 1
+                best = best[best < NO_RANK]
+            hits = np.flatnonzero(rank == best[of])
+            hits = hits[np.diff(of[hits], prepend=-1) != 0]
+            flat[hits] = whole[hits]
+            keep = np.ones(len(flat), bool)
+            keep[hits + 1] = False
+            moved = hits - np.arange(len(hits))
+            flat, word, rank, whole = flat[keep], word[keep], rank[keep], whole[keep]
+            near = np.unique(np.concatenate([moved, moved[moved > 0] - 1]))
+            rank[near], whole[near] = self._ranks(flat, word, near)
+        if not done_ids:
+            return np.empty(0, np.int64), np.empty(0, np.int64)
+        return np.concatenate(done_ids), np.concatenate(done_words)
+
+    def _ranks(self, flat: np.ndarray, word: np.ndarray, at: np.ndarray | None = None):
+        """Rank and result of the pair that begins at each place."""
+        if at is None:
+            at = np.arange(len(flat))
+        after = np.minimum(at + 1, len(flat) - 1)
+        code = flat[at] << 32 | flat[after]
+        k = np.minimum(np.searchsorted(self.pair_codes, code), len(self.pair_codes) - 1)
+        good = (self.pair_codes[k] == code) & (word[at] == word[after]) & (after > at)
+        return np.where(good, self.pair_ranks[k], NO_RANK), np.where(good, self.pair_whole[k], 0)
 
     def compatible(self, pairs: np.ndarray) -> np.ndarray:
         """For each code (left + 1) * 2^32 + right: does the pair stay as it is?
@@ -132,21 +207,32 @@ class Merger:
                 self.fits = np.concatenate([self.fits, good[~old]])[order]
         return good[back]
 
-    def encode_words(self, words: list[str]) -> list[list[int]]:
-        """Token ids of each word: propose, test all pairs at once, repair."""
-        proposed = [self.greedy(w) for w in words]
-        sizes = np.fromiter(map(len, proposed), np.int64, len(proposed))
-        flat = np.fromiter((i for ids in proposed for i in ids), np.int64, int(sizes.sum()))
-        owner = np.repeat(np.arange(len(words)), sizes)
+    def encode_words(self, words: list[str]) -> tuple[bytes, list[int]]:
+        """Token ids of the words, one after another as little-endian 32-bit
+        integers, and where each word ends: propose, test all pairs, repair."""
+        if not words:
+            return b"", []
+        ids, owner, good = self.propose(words)
+        sizes = np.bincount(owner, minlength=len(words))
         inside = owner[1:] == owner[:-1]
         single = sizes[owner] == 1
-        codes = np.concatenate([(flat[:-1][inside] + 1 << 32) + flat[1:][inside], flat[single]])
+        codes = np.concatenate([(ids[:-1][inside] + 1 << 32) + ids[1:][inside], ids[single]])
         owners = np.concatenate([owner[1:][inside], owner[single]])
-        for k in np.unique(owners[~self.compatible(codes)]):
-            word = words[k]
-            symbols = self.merge([*word[:-1], word[-1] + self.suffix])
-            proposed[k] = [self.vocab[s] for s in symbols]
-        return proposed
+        tested = good[owners]
+        good[owners[tested][~self.compatible(codes[tested])]] = False
+        failing = np.flatnonzero(~good)
+        symbols = [self.symbols(words[k] + self.suffix) for k in failing.tolist()]
+        lengths = np.fromiter(map(len, symbols), np.int64, len(symbols))
+        short = np.flatnonzero(lengths <= MAX_ROUND_SYMBOLS)
+        new_ids, new_words = self.merge_all([symbols[k] for k in short.tolist()])
+        parts = [(ids[good[owner]], owner[good[owner]]), (new_ids, failing[short][new_words])]
+        for k in np.flatnonzero(lengths > MAX_ROUND_SYMBOLS).tolist():
+            found = np.array([self.vocab[t] for t in self.merge(symbols[k])], np.int64)
+            parts.append((found, np.full(len(found), failing[k])))
+        ids, owner = (np.concatenate(x) for x in zip(*parts))
+        order = np.argsort(owner, kind="stable")
+        ends = 4 * np.cumsum(np.bincount(owner, minlength=len(words)))
+        return ids[order].astype("<u4").tobytes(), ends.tolist()
 
 
 class Encoder:
@@ -159,66 +245,108 @@ class Encoder:
         library = Tokenizer.from_str(text)
         self.normalizer, self.splitter = library.normalizer, library.pre_tokenizer
         self.merger = Merger(spec)
+        del library
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.special_cut = re.compile(
             "(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")"
         )
-        top = max([*self.merger.tokens, *self.special.values()]) + 1
-        self.names = [self.merger.tokens.get(i, "") for i in range(top)]
-        for name, i in self.special.items():
-            self.names[i] = name
-        self.cache: dict[str, bytes] = {}
-
-    def split(self, chunk: str) -> list[str]:
-        """The words of a chunk without white space, in byte symbols."""
-        if chunk.isascii() and chunk.isprintable():
-            return _ASCII_WORDS.findall(chunk.lower())
-        return [w for w, _ in self.splitter.pre_tokenize_str(self.normalizer.normalize_str(chunk))]
-
-    def chunks(self, text: str) -> Iterable[str]:
-        if any(c in text for c in _MORE_CUTS):
-            return [c for c in _WHITE_SPACE.split(text) if c]
-        return text.split()
-
-    def learn(self, chunks: set[str]) -> None:
-        new = [c for c in chunks if c not in self.cache]
-        if len(self.cache) + len(new) > MAX_CACHED_WORDS:
-            self.cache.clear()
-            new = list(chunks)
-        cut = [self.split(c) for c in new]
-        words = list(dict.fromkeys(w for ws in cut for w in ws))
-        ids = dict(zip(words, self.merger.encode_words(words))) if words else {}
+        # Latin-1 words, and white-space-free pieces of other texts.
+        self.words: dict[str, bytes] = {}
+        self.chunks: dict[str, bytes] = {}
+
+    def cut(self, text: str) -> tuple[dict[str, bytes], list[str]]:
+        """The cache that holds a text's pieces, and the pieces."""
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            if any(c in text for c in _MORE_CUTS):
+                return self.chunks, [c for c in _WHITE_SPACE.split(text) if c]
+            return self.chunks, text.split()
+        return self.words, _PLAIN_WORDS.findall(text.lower())
+
+    def learn(self, cache: dict[str, bytes], pieces: set[str]) -> None:
+        """Fill a cache for these pieces; a cache that would outgrow its bound
+        starts anew (it always holds one slice's pieces)."""
+        new = [c for c in pieces if c not in cache]
+        if len(cache) + len(new) > MAX_CACHED_WORDS:
+            cache.clear()
+            new = list(pieces)
+        if not new:
+            return
+        if cache is self.words:
+            words = [
+                w
+                if w.isascii() and w.isprintable()
+                else w.encode().decode("latin-1").translate(_BYTE_SYMBOL)
+                for w in new
+            ]
+            flat, ends = self.merger.encode_words(words)
+            at = 0
+            for word, end in zip(new, ends):
+                cache[word] = flat[at:end]
+                at = end
+            return
+        cut = [
+            [w for w, _ in self.splitter.pre_tokenize_str(self.normalizer.normalize_str(c))]
+            for c in new
+        ]
+        words = list({w for ws in cut for w in ws})
+        flat, ends = self.merger.encode_words(words)
+        found = {w: flat[s:e] for w, s, e in zip(words, [0, *ends], ends)}
         for chunk, ws in zip(new, cut):
-            self.cache[chunk] = np.array([i for w in ws for i in ids[w]], "<u4").tobytes()
+            cache[chunk] = b"".join(map(found.__getitem__, ws))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian 32-bit integers."""
         parts: list[list] = []
+        plain: set[str] = set()
+        other: set[str] = set()
         for text in texts:
-            pieces = self.special_cut.split(text) if any(s in text for s in self.special) else [text]
-            parts.append([p if p in self.special else self.chunks(p) for p in pieces if p])
-        self.learn({c for part in parts for p in part if not isinstance(p, str) for c in p})
-        get = self.cache.__getitem__
+            pieces = self.special_cut.split(text) if any(map(text.__contains__, self.special)) else [text]
+            part: list = []
+            for piece in filter(None, pieces):
+                if piece in self.special:
+                    part.append((None, np.array([self.special[piece]], "<u4").tobytes()))
+                else:
+                    cache, words = self.cut(piece)
+                    (plain if cache is self.words else other).update(words)
+                    part.append((cache, words))
+            parts.append(part)
+        self.learn(self.words, plain)
+        self.learn(self.chunks, other)
         return [
             b"".join(
-                np.array([self.special[p]], "<u4").tobytes()
-                if isinstance(p, str)
-                else b"".join(map(get, p))
-                for p in part
+                words if cache is None else b"".join(map(cache.__getitem__, words))
+                for cache, words in part
             )
             for part in parts
         ]
 
+
+class Decoder:
+    """Ids to text: the tokens' names joined by a space, as the library does
+    for a file without a decoder."""
+
+    def __init__(self, text: str):
+        spec = json.loads(text)
+        names = {i: t for t, i in spec["model"]["vocab"].items()}
+        names |= {t["id"]: t["content"] for t in spec["added_tokens"]}
+        self.names = [names.get(i, "") for i in range(max(names) + 1)]
+
     def decode(self, ids: bytes) -> str:
-        """The tokens' names joined by a space (the file has no decoder)."""
         return " ".join(map(self.names.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def _encoder(text: str) -> Encoder:
     return Encoder(text)
 
 
+@lru_cache(maxsize=1)
+def _decoder(text: str) -> Decoder:
+    return Decoder(text)
+
+
 def _broadcast(df: DataFrame, tokenizer_path: str):
     with open(tokenizer_path, encoding="utf-8") as f:
         text = f.read(MAX_VOCABULARY_BYTES + 1)
@@ -255,8 +383,8 @@ def decode(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id") -> DataFr
     """id, ids, decoded: what ``encode`` returned, and its text read back."""
     shared = _broadcast(df, tokenizer_path)
 
-    def rows(batch: pa.RecordBatch, encoder: Encoder) -> pa.RecordBatch:
-        texts = [encoder.decode(x) for x in batch.column(1).to_pylist()]
+    def rows(batch: pa.RecordBatch, decoder: Decoder) -> pa.RecordBatch:
+        texts = [decoder.decode(x) for x in batch.column(1).to_pylist()]
         return pa.RecordBatch.from_arrays(
             [*batch.columns, pa.array(texts, pa.string())], names=["id", "ids", "decoded"]
         )
@@ -267,7 +395,7 @@ def decode(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id") -> DataFr
         source,
         rows,
         f"id {kind}, ids binary, decoded string",
-        lambda: _encoder(shared.value),
+        lambda: _decoder(shared.value),
         slice_bytes=4 << 20,
     )
     return out.withColumnRenamed("id", id_col)
