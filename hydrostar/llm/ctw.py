@@ -2,13 +2,14 @@
 
 Text is lower-cased (A-Z) and read as words, each closed by a space, with one
 line feed at the end.  A byte is eight binary decisions; its context is the
-bytes before it back to the space that starts its word, ``depth`` at most.
-Every node (context, bits of the byte so far) counts zeros and ones over the
-training texts and has the Krichevsky-Trofimov estimate; context-tree
-weighting mixes the estimates of all depths along a context, each node
-weighing its own estimate against its children by their probabilities of the
-training data.  A depth whose node the training texts never reached leaves
-the word to the depths before it.
+bytes before it back to the space that starts its word: the last one, two,
+... up to ``depth`` bytes, and then the whole word so far.  Every node
+(context, bits of the byte so far) counts zeros and ones over the training
+texts and has the Krichevsky-Trofimov estimate; context-tree weighting mixes
+the estimates of all depths along a context, each node weighing its own
+estimate against the other depths by their probabilities of the training
+data.  A depth whose node the training texts never reached leaves the word to
+the depths before it.
 
 Since contexts end at the word's start, a word's probability is a function of
 the word, and the work is on different words instead of positions:
@@ -16,11 +17,13 @@ the word, and the work is on different words instead of positions:
 1. ``number_words``: batches of texts number their words; texts become word
    numbers, and each batch lists its words with training counts.
 2. ``vocabulary``: one shuffle by word gives every listed word its corpus
-   count and deals the words into shards.
+   count and deals the words into shards by their first ``depth`` bytes.
 3. ``gram_counts``: shards count (context, byte) pairs; Spark sums them.
 4. ``tree_levels`` / ``mixed``: one aggregate a depth upward for the weights,
    one join a depth downward for the mixture.
-5. ``word_scores``: shards score their words, rows go back to the batches.
+5. ``word_scores``: shards add the last depth (words that share a whole
+   prefix of ``depth`` bytes or more share a shard) and score their words;
+   rows go back to the batches.
 6. ``score``: batches add up their texts.
 
 Counts cover every training text.  Nothing but a few totals reaches the
@@ -50,7 +53,9 @@ from hydrostar.llm.common import (
 BATCH_BYTES = 24 << 20
 SHARD_WORDS = 1_000_000
 SPACE, END = 32, 10
-LN2 = float(np.log(2))
+LN2, LN10 = float(np.log(2)), float(np.log(10))
+# Prefixes longer than this are left to the depths before.
+PREFIX_BYTES = 32
 
 
 def number_words(docs: DataFrame) -> DataFrame:
@@ -129,7 +134,7 @@ def number_words(docs: DataFrame) -> DataFrame:
     return map_in_arrow(docs, run, schema)
 
 
-def vocabulary(listed: DataFrame, shards: int) -> DataFrame:
+def vocabulary(listed: DataFrame, shards: int, depth: int) -> DataFrame:
     """(shard, batch, k, word, c, first): each listed word with its corpus
     count c; ``first`` marks one row of every different word.
 
@@ -138,7 +143,7 @@ def vocabulary(listed: DataFrame, shards: int) -> DataFrame:
     alike = Window.partitionBy("word")
     one = F.row_number().over(alike.orderBy("batch")) == 1
     return listed.select(
-        F.pmod(F.xxhash64("word"), F.lit(shards)).cast("int").alias("shard"),
+        F.pmod(F.xxhash64(F.substring("word", 1, depth)), F.lit(shards)).cast("int").alias("shard"),
         "batch",
         "k",
         "word",
@@ -335,23 +340,92 @@ def gram_scores(counted: DataFrame, depth: int) -> DataFrame:
     )
 
 
+def _ln_gamma_of(x: np.ndarray) -> np.ndarray:
+    """``_ln_gamma`` in numpy."""
+    product = np.ones_like(x)
+    for k in range(8):
+        product *= x + k
+    y = x + 8
+    series = 1 / (12 * y) - 1 / (360 * y**3) + 1 / (1260 * y**5)
+    return (y - 0.5) * np.log(y) - y + 0.9189385332046727 + series - np.log(product)
+
+
+def _ln_kt_of(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return _ln_gamma_of(a + 0.5) + _ln_gamma_of(b + 0.5) - 1.1447298858494002 - _ln_gamma_of(a + b + 1)
+
+
+def whole_prefixes(words: list[bytes], counts: np.ndarray, each: np.ndarray, depth: int) -> None:
+    """Add the last depth to ``each``, the log10 probabilities of every byte
+    of every word (in order, the closing space included), in place.
+
+    For each prefix of ``depth`` to ``PREFIX_BYTES`` bytes, its own estimate
+    is weighed against the shallower mixture by how probable each makes the
+    training words' next bytes.
+    """
+    sizes = np.fromiter(map(len, words), np.int64, len(words))
+    ends = np.cumsum(sizes + 1)
+    width = PREFIX_BYTES + 1
+    grid = np.full((len(words), width), SPACE, np.uint8)
+    for k, w in enumerate(words):
+        part = w[:width]
+        grid[k, : len(part)] = np.frombuffer(part, np.uint8)
+    order = np.lexsort((sizes, *grid.T[::-1]))
+    grid, sizes, first, n = grid[order], sizes[order], (ends - sizes - 1)[order], counts[order]
+    differ = np.zeros(len(words), np.int64)
+    if len(words) > 1:
+        unequal = grid[1:] != grid[:-1]
+        differ[1:] = np.where(unequal.any(axis=1), unequal.argmax(axis=1), width)
+    for at in range(depth, width):
+        rows = np.flatnonzero(sizes >= at)
+        if not len(rows):
+            break
+        group = np.cumsum(differ[rows] < at)
+        byte = grid[rows, at].astype(np.int64)
+        place = first[rows] + at
+        key, back = np.unique(group << 8 | byte, return_inverse=True)
+        total = np.bincount(back, n[rows], minlength=len(key))
+        of, byte = key >> 8, key & 255
+        shallow = np.empty(len(key))
+        shallow[back] = each[place]
+        groups = int(group[-1]) + 1
+        own_block, own = np.zeros(groups), np.zeros(len(key))
+        for t in range(8):
+            node = of << 8 | (256 + byte) >> (8 - t)
+            heads = np.flatnonzero(np.diff(node, prepend=-1))
+            inside = np.cumsum(np.diff(node, prepend=-1) != 0) - 1
+            one = (byte >> (7 - t) & 1).astype(bool)
+            ones = np.add.reduceat(np.where(one, total, 0.0), heads)
+            zeros = np.add.reduceat(np.where(one, 0.0, total), heads)
+            own_block += np.bincount(of[heads], _ln_kt_of(zeros, ones), minlength=groups)
+            hit = np.where(one, ones[inside], zeros[inside])
+            own += np.log((hit + 0.5) / (ones + zeros + 1)[inside])
+        shallow_block = np.bincount(of, total * shallow, minlength=groups) * LN10
+        seen = np.bincount(of, total, minlength=groups) > 0
+        weight = np.where(seen, 1 / (1 + np.exp(np.clip(shallow_block - own_block, -700, 700))), 0.0)
+        both = weight[of] * np.exp(own) + (1 - weight[of]) * 10**shallow
+        each[place] = np.log10(both)[back]
+
+
 def word_scores(words: DataFrame, scored: DataFrame, depth: int) -> DataFrame:
     """(batch, k, c, lp) of every listed word; ``scored`` has (shard, gram, lp)."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         coded = left.column("word").combine_chunks().dictionary_encode()
-        key, owner = grams(coded.dictionary.to_pylist(), depth)
+        different, number = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+        counts = np.zeros(len(different))
+        counts[number] = left.column("c").to_numpy()
+        key, owner = grams(different, depth)
         gram = right.column("gram").to_numpy()
         order = np.argsort(gram)
-        lp = right.column("lp").to_numpy()[order]
-        each = lp[np.searchsorted(gram[order], key)]
-        total = np.bincount(owner, each, minlength=len(coded.dictionary))
+        each = right.column("lp").to_numpy()[order][np.searchsorted(gram[order], key)]
+        whole_prefixes(different, counts, each, depth)
+        total = np.bincount(owner, each, minlength=len(different))
         return pa.table(
             {
                 "batch": left.column("batch"),
                 "k": left.column("k"),
                 "c": left.column("c"),
-                "lp": pa.array(total[coded.indices.to_numpy()]),
+                "lp": pa.array(total[number]),
             }
         )
 
@@ -384,7 +458,7 @@ def score(
     texts = numbered.where(F.col("ids").isNotNull()).select("batch", "id", "held_out", "n_bytes", "ids")
     listed = numbered.where(F.col("word").isNotNull()).select("batch", "k", "word", "count")
     shards = max(1, -(-listed.count() // SHARD_WORDS))
-    words = stored(vocabulary(listed, shards), "ctw-words")
+    words = stored(vocabulary(listed, shards, depth), "ctw-words")
     ends = texts.where(~F.col("held_out")).count()
     known = F.col("first") & (F.col("c") > 0)
     row = words.agg(
