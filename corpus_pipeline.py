@@ -1,18 +1,91 @@
-"""The corpus pipeline: documents in, clean encoded documents out."""
+"""The corpus pipeline: documents in, clean encoded documents out.
+
+Each stage works on everything that its predecessor kept, applies one
+operator of ``hydrostar.llm`` and returns the columns of ``documents``, except
+the last, which returns the encoded documents.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from hydrostar.llm import bpe, decontam, simhash, substrings, toxicity
 from hydrostar.llm.common import stored, table
+from hydrostar.llm.queries import tokenizer_path
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
-STAGES: list[tuple[str, Stage]] = []
 
-# No SQL: the toxicity stage is a trained model.
+def _with_text(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """``columns`` of the struct ``source`` with the new ``text``; n_chars
+    follows a text that changed."""
+    picked = []
+    for c in columns:
+        old = F.col(f"source.`{c}`")
+        if c == "text":
+            old = F.col("text")
+        elif c == "n_chars":
+            kind = rows.schema["source"].dataType[c].dataType
+            same = F.col("text").eqNullSafe(F.col("source.text"))
+            old = F.when(same, old).otherwise(F.length("text").cast(kind))
+        picked.append(old.alias(c))
+    return rows.select(*picked)
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score under 0.5; the model learns from the labelled
+    documents still there, outside the held-out fold."""
+    labels = table(spark, sf_dir, "labels")
+    model = toxicity.fit(docs, labels.where(~toxicity.held_out()))
+    columns = docs.columns
+    whole = docs.select(
+        F.col("text").alias("text"), F.struct(*[F.col(f"`{c}`") for c in columns]).alias("source")
+    )
+    scored = toxicity.score(whole, model)
+    return scored.where(F.col("toxicity") < 0.5).select(
+        *[F.col(f"source.`{c}`").alias(c) for c in columns]
+    )
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each SimHash component: the one with the smallest id."""
+    return simhash.keep_first(docs, shingle=4, distance=4)
+
+
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the words of 50-word windows that a document with a
+    smaller id has too; a text that loses every word stays as an empty one."""
+    freed = substrings.remove_repeats(docs, window=50)
+    return _with_text(freed, docs.columns)
+
+
+def cut_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the spans of words that benchmark phrases cover."""
+    found = decontam.find(docs, table(spark, sf_dir, "benchmark"))
+    return _with_text(decontam.cleaned(found), docs.columns)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, ids (little-endian 32-bit integers), decoded text, and the
+    digests of both."""
+    path = tokenizer_path()
+    decoded = bpe.decode(bpe.encode(docs, path), path)
+    return bpe.digests(decoded, more=["ids", "decoded"])
+
+
+STAGES: list[tuple[str, Stage]] = [
+    ("toxicity", drop_toxic),
+    ("simhash near-dedup", drop_near_copies),
+    ("substring dedup", cut_repeats),
+    ("benchmark decontamination", cut_benchmark),
+    ("BPE encoding and decoding", encode),
+]
+
+# No SQL: the toxicity stage is a trained model and the near-copy stage needs
+# XXH64; tests/llm hold the rows against brute force instead.
 ORACLE_SQL = None
 
 
@@ -20,6 +93,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply every stage to ``documents``; each stage's rows are written as
     Parquet in the shared folder and reread by the next."""
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    for k, (_, stage) in enumerate(STAGES):
+        docs = stored(stage(spark, docs, sf_dir), f"pipeline-{k}")
     return docs

@@ -401,11 +401,12 @@ def decode(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id") -> DataFr
     return out.withColumnRenamed("id", id_col)
 
 
-def digests(decoded: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """The contract's columns."""
+def digests(decoded: DataFrame, id_col: str = "doc_id", more: list[str] = []) -> DataFrame:
+    """The contract's columns, and ``more`` of the rows' own."""
     return decoded.select(
         id_col,
         (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"),
         F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+        *more,
     )

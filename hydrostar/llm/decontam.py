@@ -21,8 +21,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from hydrostar.llm.common import UPPER, arrow_pass, lower_ascii, utf8
 
@@ -184,7 +186,7 @@ class Block:
         self.items = [items for _, items in rows]
         self.shortest = int(self.lengths.min()) if rows else 0
 
-    def hits(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[list], list[set]]:
+    def hits(self, texts: list[bytes]) -> tuple[np.ndarray, list[list], list[set]]:
         """Word counts, and for each text its merged spans and its items."""
         number = self.vocabulary.get
         split = [t.translate(WORD_TABLE).split() for t in texts]
@@ -199,7 +201,7 @@ class Block:
             seq, place = self._runs(flat, doc)
             if len(seq):
                 self._find(seq, place, first, doc, spans, items)
-        return counts, first, spans, items
+        return counts, spans, items
 
     def _runs(self, flat: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Runs of known words within one text, long enough for a phrase, each
@@ -261,50 +263,47 @@ def merged(spans: Iterator[list]) -> list[list]:
 
 
 _SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+_FOUND = "n_words long, spans array<struct<start:bigint,end:bigint>>, items array<string>"
 
 
 def find(
     docs: DataFrame,
     items: DataFrame,
-    id_col: str = "doc_id",
     text_col: str = "text",
     item_id_col: str = "item_id",
     item_text_col: str = "text",
 ) -> DataFrame:
-    """id, text, n_words, spans (word numbers, end exclusive) and items.
+    """source (the whole row), n_words, spans (word numbers, end exclusive)
+    and items.
 
-    One row per document row; null texts have no words and stay null; ids may
-    repeat or be null; other columns are ignored.  An empty benchmark finds
+    One row per document row; null texts have no words; ids may repeat or be
+    null; other columns go through in ``source``.  An empty benchmark finds
     nothing.  Benchmarks of any size go through in blocks.
     """
     found = phrases(items, item_id_col, item_text_col).cache()
     blocks = max(1, -(-found.count() // BLOCK_PHRASES))
     spark = docs.sparkSession
     out = docs.select(
-        F.col(id_col).alias("id"),
-        F.col(text_col).alias("text"),
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("source"),
         F.lit(0).cast("long").alias("n_words"),
         F.array().cast("array<struct<start:bigint,end:bigint>>").alias("spans"),
         F.array().cast("array<string>").alias("items"),
     )
-    kind = out.schema["id"].dataType.simpleString()
-    schema = (
-        f"id {kind}, text string, n_words long, spans array<struct<start:bigint,end:bigint>>, "
-        "items array<string>"
-    )
+    schema = StructType([out.schema["source"], *StructType.fromDDL(_FOUND).fields])
+    at = docs.columns.index(text_col)
     for b in range(blocks):
         mine = found.where(F.pmod(F.xxhash64("words"), F.lit(blocks)) == b).collect()
         shared = spark.sparkContext.broadcast(Block([(r["words"], r["items"]) for r in mine]))
-        out = arrow_pass(out, _searcher(shared), schema, slice_bytes=SHARD_BYTES)
+        out = arrow_pass(out, _searcher(shared, at), schema, slice_bytes=SHARD_BYTES)
     found.unpersist()
-    return out.withColumnsRenamed({"id": id_col, "text": text_col})
+    return out
 
 
-def _searcher(shared):
+def _searcher(shared, at: int):
     def rows(batch: pa.RecordBatch) -> pa.RecordBatch:
-        texts = [utf8(t) for t in batch.column(1).to_pylist()]
-        counts, _, spans, items = shared.value.hits(texts)
-        before = zip(batch.column(3).to_pylist(), batch.column(4).to_pylist())
+        texts = [utf8(t) for t in pc.struct_field(batch.column(0), at).to_pylist()]
+        counts, spans, items = shared.value.hits(texts)
+        before = zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())
         all_spans, all_items = [], []
         for (old, named), new, more in zip(before, spans, items):
             if old:
@@ -314,17 +313,34 @@ def _searcher(shared):
         return pa.RecordBatch.from_arrays(
             [
                 batch.column(0),
-                batch.column(1),
                 pa.array(counts),
                 pa.array(all_spans, _SPANS),
                 pa.array(all_items, pa.list_(pa.string())),
             ],
-            names=["id", "text", "n_words", "spans", "items"],
+            names=["source", "n_words", "spans", "items"],
         )
 
     return rows
 
 
+def cleaned(found: DataFrame, text_col: str = "text") -> DataFrame:
+    """source and text: the text without its spans (null texts stay null)."""
+    kept = found.select("source", "spans")
+    columns = kept.schema["source"].dataType.names
+    at = columns.index(text_col)
+
+    def rows(batch: pa.RecordBatch) -> pa.RecordBatch:
+        texts = pc.struct_field(batch.column(0), at).to_pylist()
+        spans = [[(x["start"], x["end"]) for x in xs] for xs in batch.column(1).to_pylist()]
+        out = [cut_spans(t, xs) if xs else t for t, xs in zip(texts, spans)]
+        return pa.RecordBatch.from_arrays(
+            [batch.column(0), pa.array(out, pa.string())], names=["source", "text"]
+        )
+
+    schema = StructType([kept.schema["source"], StructField("text", StringType())])
+    return arrow_pass(kept, rows, schema, slice_bytes=SHARD_BYTES)
+
+
 def cut_spans(text: str, spans: list[tuple[int, int]]) -> str:
     """The text without the bytes from each span's first to its last word.
 
@@ -347,7 +363,7 @@ def report(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
     hit = F.aggregate("spans", F.lit(0).cast("long"), lambda s, x: s + x["end"] - x["start"])
     joined = F.array_join(F.array_sort("items"), ",")
     return found.select(
-        id_col,
+        F.col(f"source.{id_col}").alias(id_col),
         "n_words",
         hit.alias("n_hit"),
         F.size("items").cast("long").alias("n_items"),

@@ -55,19 +55,27 @@ def fingerprint(text: str | None, shingle: int) -> int:
     return int(np.packbits(2 * ones > n, bitorder="little").view(np.uint64)[0])
 
 
+def text_hash(text_col: str) -> Column:
+    """Tells apart rows of one id with different texts."""
+    return F.coalesce(F.xxhash64(F.col(text_col)), F.lit(0).cast("long"))
+
+
 def fingerprints(
     df: DataFrame, shingle: int, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
-    """id, fp (64 bits in a long) of every whole text; null texts are empty."""
-    source = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    """id, row (text hash) and fp (64 bits in a long) of every whole text;
+    null texts are empty."""
+    source = df.select(
+        F.col(id_col).alias("id"), text_hash(text_col).alias("row"), F.col(text_col).alias("text")
+    )
     kind = source.schema["id"].dataType.simpleString()
 
     def rows(batch: pa.RecordBatch) -> pa.RecordBatch:
-        found = [fingerprint(t, shingle) for t in batch.column(1).to_pylist()]
+        found = [fingerprint(t, shingle) for t in batch.column(2).to_pylist()]
         fps = pa.array(np.array(found, np.uint64).view(np.int64))
-        return pa.RecordBatch.from_arrays([batch.column(0), fps], names=["id", "fp"])
+        return pa.RecordBatch.from_arrays([*batch.columns[:2], fps], names=["id", "row", "fp"])
 
-    return arrow_pass(source, rows, f"id {kind}, fp long")
+    return arrow_pass(source, rows, f"id {kind}, row long, fp long")
 
 
 def block_masks(distance: int, count: int) -> list[int]:
@@ -166,6 +174,20 @@ def links(fps: DataFrame, distance: int, count: int) -> DataFrame:
     return map_in_arrow(dealt, run, "a long, b long")
 
 
+def classes(rows: DataFrame, distance: int) -> DataFrame:
+    """(fp, root, first) of every different fingerprint: its component, and
+    the component's first row (no_id, id, row): the smallest id, then the
+    smallest text hash; rows without an id come last."""
+    first = F.struct(F.col("id").isNull().alias("no_id"), "id", "row")
+    own = stored(rows.groupBy("fp").agg(F.min(first).alias("first")), "classes")
+    roots = components(links(own.select("fp"), distance, own.count()))
+    member = own.join(roots, own["fp"] == roots["node"], "left").select(
+        "fp", "first", F.coalesce("root", "fp").alias("root")
+    )
+    smallest = member.groupBy("root").agg(F.min("first").alias("first"))
+    return member.select("fp", "root").join(smallest, "root")
+
+
 def near_duplicates(
     df: DataFrame,
     shingle: int = 4,
@@ -181,15 +203,34 @@ def near_duplicates(
     columns are ignored.
     """
     rows = stored(fingerprints(df, shingle, id_col, text_col), "fingerprints")
-    classes = stored(rows.groupBy("fp").agg(F.min("id").alias("first")), "classes")
-    count = classes.count()
-    roots = components(links(classes.select("fp"), distance, count))
-    member = classes.join(roots, classes["fp"] == roots["node"], "left").select(
-        "fp", "first", F.coalesce("root", "fp").alias("root")
-    )
-    smallest = member.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = member.join(smallest, "root").select("fp", "root", "component_id")
-    return rows.join(named, "fp").select(F.col("id").alias(id_col), "fp", "root", "component_id")
+    named = classes(rows, distance).select("fp", F.col("first.id").alias("component_id"))
+    return rows.join(named, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
+
+
+def keep_first(
+    df: DataFrame,
+    shingle: int = 4,
+    distance: int = 4,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+) -> DataFrame:
+    """Whole rows: one of each component, the one with the smallest id.
+
+    Of rows with that id but different texts the smallest text hash decides,
+    of rows equal in both any one stays; a component without ids keeps one
+    row.  The choice is made on (id, text hash) only, in aggregates.
+    """
+    rows = stored(fingerprints(df, shingle, id_col, text_col), "fingerprints")
+    chosen = classes(rows, distance).select("first").distinct()
+    keyed = df.select(
+        F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("source"),
+        F.col(id_col).alias("id"),
+        text_hash(text_col).alias("row"),
+    ).alias("d")
+    c = chosen.select(F.col("first.id").alias("id"), F.col("first.row").alias("row")).alias("c")
+    same = F.col("d.id").eqNullSafe(F.col("c.id")) & (F.col("d.row") == F.col("c.row"))
+    kept = keyed.join(c, same, "left_semi").dropDuplicates(["id", "row"])
+    return kept.select(*[F.col(f"source.`{c}`").alias(c) for c in df.columns])
 
 
 def fingerprint_text(fp: Column) -> Column:

@@ -324,7 +324,7 @@ def remove_repeats(
 
     def rows(batch: pa.RecordBatch) -> pa.RecordBatch:
         source = batch.column(0)
-        texts = source.field(at) if not source.null_count else pc.struct_field(source, at)
+        texts = pc.struct_field(source, at)
         pairs = zip(texts.to_pylist(), batch.column(1).to_pylist())
         done = [finish(t, merged(x)) for t, x in pairs]
         text, n, gone = zip(*done)
