@@ -53,7 +53,6 @@ def options(
         df.sparkSession,
         [(field, 0, label) for field, _, label in specs],
         "field STRING, ord INT, option STRING",
-        broadcast=False,
     )
     return heads.unionByName(numbered)
 

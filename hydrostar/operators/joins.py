@@ -1,61 +1,17 @@
-"""Join helpers: broadcasts behind a proven size bound."""
+"""Literal rule tables.  Join strategies are left to the planner and AQE."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-# A side is broadcast on purpose only when a bounded job has shown it holds
-# at most this many rows AND about this many bytes (fixed-width columns at
-# 8 bytes, strings at their UTF-8 length, 16 bytes per row of overhead).
-# Sessions can change either bound with the settings below.
-BROADCAST_MAX_ROWS = 1_000_000
-BROADCAST_MAX_BYTES = 64 << 20
-MAX_ROWS_CONF = "hydrostar.broadcast.maxRows"
-MAX_BYTES_CONF = "hydrostar.broadcast.maxBytes"
 
-
-def _conf_int(df: DataFrame, key: str, default: int) -> int:
-    return int(df.sparkSession.conf.get(key, str(default)))
-
-
-def bounded_broadcast(
-    df: DataFrame, max_rows: int | None = None, max_bytes: int | None = None
-) -> DataFrame:
-    """Mark ``df`` for broadcast only after proving its size.
-
-    The proof is one bounded job over ``df.limit(max_rows + 1)``: it counts
-    rows and sums the byte length of string columns, so it never reads more
-    than the side it vouches for.  Above either bound the side is returned
-    unmarked and the planner falls back to a shuffle join (AQE may still
-    convert it at run time from real shuffle sizes).
-    """
-    if max_rows is None:
-        max_rows = _conf_int(df, MAX_ROWS_CONF, BROADCAST_MAX_ROWS)
-    if max_bytes is None:
-        max_bytes = _conf_int(df, MAX_BYTES_CONF, BROADCAST_MAX_BYTES)
-    if max_rows <= 0 or max_bytes <= 0:
-        return df
-    strings = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
-    fixed = len(df.schema.fields) - len(strings)
-    probe = df.limit(max_rows + 1).agg(
-        F.count(F.lit(1)).alias("rows"),
-        *[F.coalesce(F.sum(F.octet_length(F.col(c))), F.lit(0)).alias(f"b{i}")
-          for i, c in enumerate(strings)],
-    ).first()
-    rows = probe[0]
-    size = rows * (16 + 8 * fixed + 8 * len(strings)) + sum(probe[1:])
-    return F.broadcast(df) if rows <= max_rows and size <= max_bytes else df
-
-
-def literal_table(spark, rows, schema: str, broadcast: bool = True) -> DataFrame:
-    """A small rule table given in code (its size is its own bound).
+def literal_table(spark, rows, schema: str) -> DataFrame:
+    """A rule table given in code.
 
     ``schema`` is a DDL list such as ``"name STRING, rank INT"``.  Built as
     an inline ``VALUES`` table with bound parameters (values are passed, not
     spliced into SQL text): Spark keeps it as a local relation, so it needs
-    no Python worker, no RDD, and no job when broadcast.
+    no Python worker and no RDD, and the planner knows its size.
     """
     fields = [f.strip().split() for f in schema.split(",")]
     args: dict[str, object] = {}
@@ -67,5 +23,4 @@ def literal_table(spark, rows, schema: str, broadcast: bool = True) -> DataFrame
             marks.append(f"CAST(:v{i}_{j} AS {dtype})")
         tuples.append("(" + ", ".join(marks) + ")")
     names = ", ".join(n for n, _ in fields)
-    table = spark.sql(f"SELECT * FROM VALUES {', '.join(tuples)} AS t({names})", args=args)
-    return F.broadcast(table) if broadcast else table
+    return spark.sql(f"SELECT * FROM VALUES {', '.join(tuples)} AS t({names})", args=args)

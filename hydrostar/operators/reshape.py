@@ -18,15 +18,25 @@ def pivot_matrix(
 ) -> DataFrame:
     """Cross-tab ``index`` x ``columns`` holding ``values``; missing cells NULL.
 
-    The input must have at most one row per (index, column) (like pandas'
-    ``pivot``); the listed ``column_values`` fix the output columns, so no
-    extra job is run to discover them.
+    Like pandas' ``pivot``, two rows for one cell are an error, and so is a
+    column value that is not listed: no row is dropped silently.  The listed
+    ``column_values`` fix the output columns, so no job runs to find them.
     """
     names = list(names) if names is not None else [str(v) for v in column_values]
-    out = df.groupBy(index).pivot(columns, list(column_values)).agg(F.first(values))
-    return out.select(
-        index, *[F.col(f"`{v}`").alias(n) for v, n in zip(column_values, names)]
+    key, value = F.col(columns), F.col(values)
+    kind = df.schema[values].dataType
+    listed = F.when(key.isin(list(column_values)), F.lit(True)).otherwise(
+        F.raise_error(
+            F.concat(F.lit(f"{columns} outside the listed values: "), key.cast("string"))
+        ).cast("boolean")
     )
+    cells = [
+        F.when(F.count(F.when(key == F.lit(v), F.lit(1))) <= 1, F.max(F.when(key == F.lit(v), value)))
+        .otherwise(F.raise_error(F.lit(f"two rows for {columns} {v}")).cast(kind))
+        .alias(n)
+        for v, n in zip(column_values, names)
+    ]
+    return df.filter(listed).groupBy(index).agg(*cells)
 
 
 def long_form(

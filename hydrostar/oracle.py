@@ -1,11 +1,14 @@
 """DuckDB twins of the queries, for the correctness gate.
 
-Each oracle is the dashboard's own SQL, renamed to engine columns and run
-over the fixture tables (FIXTURES.md §2) inlined as CTEs.  Hygiene that makes
-the two engines agree: ``ILIKE`` for the case-blind LIKE, NULLIF for
-division by zero, and rounding written in integer arithmetic (DuckDB's
-``round(double)`` is not exact half-up); sums of BIGINT are cast back to
-BIGINT and month/year to INTEGER.
+Written from the result definitions, apart from the engine: the base queries
+share two views (``place``: every plant with all it belongs to; ``reading``:
+every measurement at its place and parameter, joined plainly so that repeated
+rows multiply) from which one ``tally`` counts, and percentages come from
+window totals or scalar lookups.  They run over the fixture tables (FIXTURES.md
+section 2) inlined as CTEs.  Hygiene that makes the two engines agree:
+``ILIKE`` for the case-blind LIKE, NULLIF for division by zero, and rounding
+written in integer arithmetic (DuckDB's ``round(double)`` is not exact
+half-up); sums of BIGINT are cast back to BIGINT and month to INTEGER.
 """
 
 from __future__ import annotations
@@ -107,13 +110,6 @@ def sql_str(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
 
-def case_like(col: str, rules: Sequence[tuple[str, object]], default: object) -> str:
-    whens = " ".join(
-        f"WHEN {col} ILIKE {sql_str(p)} THEN {_lit(v)}" for p, v in rules
-    )
-    return f"CASE {whens} ELSE {_lit(default)} END"
-
-
 def _lit(v: object) -> str:
     return sql_str(v) if isinstance(v, str) else str(v)
 
@@ -136,24 +132,80 @@ def inline(name: str, parts: Parts, *more: str) -> list[str]:
     return [*ctes, f"{name} AS (\n{select.strip()})", *more]
 
 
+def _place(branch: str) -> str:
+    """Every plant with what it belongs to along one branch (repeats on the
+    other branch must not multiply it): states, geo (and regions), institution."""
+    towns = """
+  LEFT JOIN f_municipality town ON town.municipality_id = plant.municipality_id
+  LEFT JOIN f_state home ON home.state_id = town.state_id"""
+    place = "town.municipality_id AS town_id, home.state_id AS home_id, home.state_code, home.state_name"
+    if branch == "geo":
+        towns += "\n  LEFT JOIN f_region area ON area.region_id = home.region_id"
+        place += ", area.region_id AS area_id, area.region_name"
+    if branch == "institution":
+        towns = """
+  LEFT JOIN f_office desk ON desk.office_id = plant.office_id
+  LEFT JOIN f_institution owner ON owner.institution_id = desk.institution_id"""
+        place = "owner.institution_id AS owner_id, owner.institution_name, owner.institution_type"
+    return f"""
+place AS (
+  SELECT plant.plant_id, {place}
+  FROM f_plant plant{towns})"""
+
+
+READING = """
+reading AS (
+  SELECT place.*, x.measurement_id, x.parameter_id, x.month, x.year, p.parameter_id AS known_id
+  FROM place
+  JOIN f_measurement x ON x.plant_id = place.plant_id
+  LEFT JOIN f_parameter p ON p.parameter_id = x.parameter_id)"""
+
+# Without the parameter side, for counts that do not ask for it.
+READING_ANY = """
+reading AS (
+  SELECT place.*, x.measurement_id, x.month, x.year
+  FROM place JOIN f_measurement x ON x.plant_id = place.plant_id)"""
+
+
+def _tally(keys: str, where: str, counts: dict[str, str]) -> str:
+    """One grouping of ``reading``: distinct values of the named columns, and
+    the records that have an id."""
+    several = ",\n         ".join(f"len(list(DISTINCT {c})) AS {n}" for n, c in counts.items())
+    return f"""
+tally AS (
+  SELECT {keys}, {several},
+         count(measurement_id) AS measurements
+  FROM reading WHERE {where} GROUP BY ALL)"""
+
+
 def q1_filtration_share() -> Parts:
-    return [], f"""
-SELECT filtration_type,
-       COUNT(*) AS plants,
-       {half_up('100 * COUNT(*)', '(SELECT COUNT(*) FROM f_plant)', 2)} AS pct
-FROM f_plant
-WHERE filtration_type IS NOT NULL AND filtration_type != ''
-GROUP BY filtration_type""", "plants DESC, filtration_type NULLS FIRST"
+    share = half_up("100 * plants", "everything", 2)
+    return ["""
+kinds AS (
+  SELECT coalesce(filtration_type, '') AS filtration_type, count(*) AS plants,
+         CAST(sum(count(*)) OVER () AS BIGINT) AS everything
+  FROM f_plant GROUP BY 1)"""], f"""
+SELECT filtration_type, plants, {share} AS pct FROM kinds WHERE filtration_type <> ''""", (
+        "plants DESC, filtration_type NULLS FIRST"
+    )
+
+
+def _first_match(rules, default: object) -> str:
+    """The value of the earliest rule whose pattern fits ``parameter_name``."""
+    listed = ", ".join(f"({k}, {sql_str(p)}, {_lit(v)})" for k, (p, v) in enumerate(rules))
+    return (
+        f"coalesce((SELECT arg_min(r.value, r.place) FROM (VALUES {listed}) AS r(place, pattern, value) "
+        f"WHERE parameter_name ILIKE r.pattern), {_lit(default)})"
+    )
 
 
 def q2_parameter_purpose(rules, default, sort_rules, sort_default) -> Parts:
     return [], f"""
 SELECT parameter_name, unit,
-       {case_like('parameter_name', rules, default)} AS purpose,
-       {case_like('parameter_name', sort_rules, sort_default)} AS purpose_rank,
+       {_first_match(rules, default)} AS purpose,
+       {_first_match(sort_rules, sort_default)} AS purpose_rank,
        parameter_id
-FROM f_parameter
-WHERE parameter_name IS NOT NULL AND parameter_name != ''""", (
+FROM f_parameter WHERE length(parameter_name) > 0""", (
         "purpose_rank, parameter_name NULLS FIRST, unit NULLS FIRST, parameter_id NULLS FIRST"
     )
 
@@ -167,180 +219,131 @@ def q2_public(parts: Parts) -> str:
 
 
 def q3_state_coverage() -> Parts:
-    return [], f"""
-SELECT e.state_code, e.state_name,
-       COUNT(DISTINCT eta.plant_id) AS plants,
-       COUNT(DISTINCT mun.municipality_id) AS municipalities,
-       {half_up('COUNT(DISTINCT eta.plant_id)', 'COUNT(DISTINCT mun.municipality_id)', 2)}
-         AS plants_per_municipality
-FROM f_state e
-JOIN f_municipality mun ON e.state_id = mun.state_id
-JOIN f_plant eta ON mun.municipality_id = eta.municipality_id
-GROUP BY e.state_code, e.state_name
-HAVING COUNT(DISTINCT eta.plant_id) > 0""", "plants DESC, state_code NULLS FIRST, state_name NULLS FIRST"
+    return [_place("geo"), """
+served AS (
+  SELECT state_code, state_name, len(list(DISTINCT plant_id)) AS plants,
+         len(list(DISTINCT town_id)) AS municipalities
+  FROM place WHERE home_id IS NOT NULL GROUP BY ALL)"""], f"""
+SELECT *, {half_up('plants', 'municipalities', 2)} AS plants_per_municipality
+FROM served WHERE plants > 0""", "plants DESC, state_code NULLS FIRST, state_name NULLS FIRST"
+
+
+def _volume(fk: str, table: str, keys: str, order: str) -> Parts:
+    """Records per key counted on the fact alone, then named."""
+    share = half_up("100 * measurements", "(SELECT CAST(sum(everything) AS BIGINT) FROM per_key)", 2)
+    return [f"""
+per_key AS (
+  SELECT {fk}, count(measurement_id) AS records, count(*) AS everything
+  FROM f_measurement GROUP BY {fk})""", f"""
+named AS (
+  SELECT {keys}, CAST(sum(records) AS BIGINT) AS measurements
+  FROM per_key NATURAL JOIN {table} GROUP BY ALL)"""], f"""
+SELECT *, {share} AS pct FROM named""", order
 
 
 def q4_point_volume() -> Parts:
-    return [], f"""
-SELECT pm.point_type, pm.point_name,
-       COUNT(m.measurement_id) AS measurements,
-       {half_up('100 * COUNT(m.measurement_id)', '(SELECT COUNT(*) FROM f_measurement)', 2)} AS pct
-FROM f_point pm
-JOIN f_measurement m ON pm.point_id = m.point_id
-GROUP BY pm.point_type, pm.point_name""", (
-        "measurements DESC, point_type NULLS FIRST, point_name NULLS FIRST"
+    return _volume(
+        "point_id", "f_point", "point_type, point_name",
+        "measurements DESC, point_type NULLS FIRST, point_name NULLS FIRST",
     )
 
 
 def q5_parameter_volume() -> Parts:
-    return [], f"""
-SELECT p.category, p.parameter_name,
-       COUNT(m.measurement_id) AS measurements,
-       {half_up('100 * COUNT(m.measurement_id)', '(SELECT COUNT(*) FROM f_measurement)', 2)} AS pct
-FROM f_parameter p
-JOIN f_measurement m ON p.parameter_id = m.parameter_id
-GROUP BY p.category, p.parameter_name""", (
-        "category NULLS FIRST, measurements DESC, parameter_name NULLS FIRST"
+    return _volume(
+        "parameter_id", "f_parameter", "category, parameter_name",
+        "category NULLS FIRST, measurements DESC, parameter_name NULLS FIRST",
     )
 
 
 def q6_geo_activity() -> Parts:
-    return [], f"""
-SELECT r.region_name, e.state_code,
-       COUNT(DISTINCT mun.municipality_id) AS municipalities,
-       COUNT(DISTINCT eta.plant_id) AS plants,
-       COUNT(med.measurement_id) AS measurements,
-       {half_up('COUNT(med.measurement_id)', 'COUNT(DISTINCT eta.plant_id)', 0)} AS measurements_per_plant
-FROM f_region r
-JOIN f_state e ON r.region_id = e.region_id
-JOIN f_municipality mun ON e.state_id = mun.state_id
-JOIN f_plant eta ON mun.municipality_id = eta.municipality_id
-JOIN f_measurement med ON eta.plant_id = med.plant_id
-GROUP BY r.region_name, e.state_code
-HAVING COUNT(med.measurement_id) > 0""", (
+    counts = {"municipalities": "town_id", "plants": "plant_id"}
+    tally = _tally("region_name, state_code", "area_id IS NOT NULL", counts)
+    return [_place("geo"), READING_ANY, tally], f"""
+SELECT *, {half_up('measurements', 'plants', 0)} AS measurements_per_plant
+FROM tally WHERE measurements > 0""", (
         "measurements DESC, region_name NULLS FIRST, state_code NULLS FIRST"
     )
 
 
 def q7_institution_performance(min_measurements: int) -> Parts:
-    return [], f"""
-SELECT i.institution_name, i.institution_type,
-       COUNT(DISTINCT eta.plant_id) AS plants,
-       COUNT(DISTINCT p.parameter_id) AS parameters,
-       COUNT(med.measurement_id) AS measurements,
-       {half_up('COUNT(med.measurement_id)', 'COUNT(DISTINCT eta.plant_id)', 0)} AS measurements_per_plant
-FROM f_institution i
-JOIN f_office er ON i.institution_id = er.institution_id
-JOIN f_plant eta ON er.office_id = eta.office_id
-JOIN f_measurement med ON eta.plant_id = med.plant_id
-JOIN f_parameter p ON med.parameter_id = p.parameter_id
-GROUP BY i.institution_name, i.institution_type
-HAVING COUNT(med.measurement_id) > {min_measurements}""", (
+    tally = _tally(
+        "institution_name, institution_type",
+        "owner_id IS NOT NULL AND known_id IS NOT NULL",
+        {"plants": "plant_id", "parameters": "known_id"},
+    )
+    return [_place("institution"), READING, tally], f"""
+SELECT *, {half_up('measurements', 'plants', 0)} AS measurements_per_plant
+FROM tally WHERE measurements > {min_measurements}""", (
         "plants DESC, institution_name NULLS FIRST, institution_type NULLS FIRST"
     )
 
 
-def _band_predicate(pairs) -> str:
-    by_param: dict[str, list[str]] = {}
-    for p, b in pairs:
-        by_param.setdefault(p, []).append(b)
-    terms = [
-        f"(p.parameter_name = {sql_str(p)} AND c.band_name IN ({', '.join(sql_str(b) for b in bands)}))"
-        for p, bands in by_param.items()
-    ]
-    return "(" + "\n  OR ".join(terms) + ")"
-
-
 def q8_band_distribution(pairs, min_records: int) -> Parts:
-    """Two passes, as the dashboard writes it: totals in a CTE joined back."""
-    pred = _band_predicate(pairs)
-    total = f"""
-q8_total AS (
-  SELECT eta.filtration_type, p.parameter_name, SUM(med.value) AS total_analyses
-  FROM f_plant eta
-  JOIN f_measurement med ON eta.plant_id = med.plant_id
-  JOIN f_parameter p ON med.parameter_id = p.parameter_id
-  JOIN f_band c ON med.band_id = c.band_id
-  WHERE {pred}
-  GROUP BY eta.filtration_type, p.parameter_name)"""
-    select = f"""
-SELECT eta.filtration_type, p.parameter_name, c.band_name,
-       SUM(med.value) AS analyses,
-       COUNT(DISTINCT eta.plant_id) AS plants,
-       {half_up('100 * CAST(SUM(med.value) AS BIGINT)', 'CAST(ta.total_analyses AS BIGINT)', 2)} AS pct
-FROM f_plant eta
-JOIN f_measurement med ON eta.plant_id = med.plant_id
-JOIN f_parameter p ON med.parameter_id = p.parameter_id
-JOIN f_band c ON med.band_id = c.band_id
-JOIN q8_total ta ON ta.filtration_type = eta.filtration_type
-                AND ta.parameter_name = p.parameter_name
-WHERE {pred}
-GROUP BY eta.filtration_type, p.parameter_name, c.band_name, ta.total_analyses
-HAVING COUNT(med.measurement_id) >= {min_records}"""
-    return [total], select, (
+    """Bands of the listed pairs first, the share by a lookup of the total."""
+    listed = ", ".join(f"({sql_str(p)}, {sql_str(b)})" for p, b in sorted(set(pairs)))
+    return [f"""
+listed AS (
+  SELECT parameter_id, parameter_name, band_id, band_name
+  FROM f_parameter, f_band WHERE (parameter_name, band_name) IN (VALUES {listed}))""", """
+bands AS (
+  SELECT filtration_type, parameter_name, band_name, sum(value) AS analyses,
+         len(list(DISTINCT plant_id)) AS plants, count(measurement_id) AS records
+  FROM listed NATURAL JOIN f_measurement NATURAL JOIN (SELECT plant_id, filtration_type FROM f_plant)
+  WHERE filtration_type IS NOT NULL GROUP BY ALL)""", """
+totals AS (
+  SELECT map_from_entries(list((filtration_type || chr(0) || parameter_name, total))) AS of FROM (
+    SELECT filtration_type, parameter_name, CAST(sum(analyses) AS BIGINT) AS total
+    FROM bands GROUP BY ALL))"""], f"""
+SELECT filtration_type, parameter_name, band_name, analyses, plants,
+       {half_up('100 * CAST(analyses AS BIGINT)',
+                "(SELECT of[filtration_type || chr(0) || parameter_name] FROM totals)", 2)} AS pct
+FROM bands WHERE records >= {min_records}""", (
         "filtration_type NULLS FIRST, parameter_name NULLS FIRST, band_name DESC"
     )
 
 
 def q9_state_ranking(min_plants: int) -> Parts:
-    return [], f"""
-SELECT e.state_name,
-       COUNT(DISTINCT eta.plant_id) AS plants,
-       COUNT(DISTINCT p.parameter_id) AS parameters,
-       COUNT(med.measurement_id) AS measurements
-FROM f_state e
-JOIN f_municipality mun ON e.state_id = mun.state_id
-JOIN f_plant eta ON mun.municipality_id = eta.municipality_id
-JOIN f_measurement med ON eta.plant_id = med.plant_id
-JOIN f_parameter p ON med.parameter_id = p.parameter_id
-GROUP BY e.state_name
-HAVING COUNT(DISTINCT eta.plant_id) >= {min_plants}""", (
+    tally = _tally(
+        "state_name",
+        "home_id IS NOT NULL AND known_id IS NOT NULL",
+        {"plants": "plant_id", "parameters": "known_id"},
+    )
+    return [_place("states"), READING, tally], f"""
+SELECT * FROM tally WHERE plants >= {min_plants}""", (
         "parameters DESC, measurements DESC, state_name NULLS FIRST"
     )
 
 
 def q10_monthly_evolution(year: int, min_measurements: int, bounds, labels) -> Parts:
-    period = "CASE " + " ".join(
-        f"WHEN med.month <= {b} THEN {sql_str(l)}" for b, l in zip(bounds, labels)
-    ) + f" ELSE {sql_str(labels[-1])} END"
-    return [], f"""
-SELECT r.region_name, med.month,
-       COUNT(med.measurement_id) AS measurements,
-       COUNT(DISTINCT eta.plant_id) AS plants,
-       COUNT(DISTINCT p.parameter_id) AS parameters,
-       {half_up('COUNT(med.measurement_id)', 'COUNT(DISTINCT eta.plant_id)', 1)} AS intensity,
-       {half_up('COUNT(DISTINCT p.parameter_id)', 'COUNT(DISTINCT eta.plant_id)', 2)} AS diversity,
-       {period} AS period
-FROM f_region r
-JOIN f_state e ON r.region_id = e.region_id
-JOIN f_municipality mun ON e.state_id = mun.state_id
-JOIN f_plant eta ON mun.municipality_id = eta.municipality_id
-JOIN f_measurement med ON eta.plant_id = med.plant_id
-JOIN f_parameter p ON med.parameter_id = p.parameter_id
-WHERE med.year = {year}
-GROUP BY r.region_name, med.month
-HAVING COUNT(med.measurement_id) >= {min_measurements}""", (
+    # The number of bounds that the month is past picks the label.
+    past = " + ".join(f"(month > {b})::INT" for b in bounds)
+    texts = ", ".join(sql_str(x) for x in labels)
+    tally = _tally(
+        "region_name, month",
+        f"area_id IS NOT NULL AND known_id IS NOT NULL AND year = {year}",
+        {"plants": "plant_id", "parameters": "known_id"},
+    )
+    return [_place("geo"), READING, tally], f"""
+SELECT region_name, CAST(month AS INTEGER) AS month, measurements, plants, parameters,
+       {half_up('measurements', 'plants', 1)} AS intensity,
+       {half_up('parameters', 'plants', 2)} AS diversity,
+       [{texts}][coalesce({past}, {len(labels) - 1}) + 1] AS period
+FROM tally WHERE measurements >= {min_measurements}""", (
         "region_name NULLS FIRST, month NULLS FIRST"
     )
 
 
 def q11_kpi_summary(names) -> Parts:
-    n = [sql_str(x) for x in names]
-    return [], f"""
-SELECT 1 AS ord, {n[0]} AS metric, COUNT(DISTINCT e.state_name) AS value
-FROM f_state e
-JOIN f_municipality m ON e.state_id = m.state_id
-JOIN f_plant eta ON m.municipality_id = eta.municipality_id
-UNION ALL
-SELECT 2, {n[1]}, COUNT(*) FROM f_plant
-UNION ALL
-SELECT 3, {n[2]}, COUNT(*) FROM f_measurement
-UNION ALL
-SELECT 4, {n[3]}, COUNT(*) FROM f_parameter
-UNION ALL
-SELECT 5, {n[4]}, COUNT(DISTINCT m.municipality_id)
-FROM f_municipality m
-JOIN f_plant eta ON m.municipality_id = eta.municipality_id""", "ord"
+    texts = ", ".join(sql_str(x) for x in names)
+    return [_place("states"), """
+headline AS (
+  SELECT [
+    (SELECT len(list(DISTINCT state_name)) FROM place WHERE home_id IS NOT NULL),
+    (SELECT count(*) FROM f_plant), (SELECT count(*) FROM f_measurement),
+    (SELECT count(*) FROM f_parameter),
+    (SELECT len(list(DISTINCT town_id)) FROM place WHERE town_id IS NOT NULL)] AS numbers)"""], f"""
+SELECT CAST(k AS INTEGER) AS ord, [{texts}][k] AS metric, CAST(numbers[k] AS BIGINT) AS value
+FROM headline, range(1, 6) AS r(k)""", "ord"
 
 
 # --- derived results ----------------------------------------------------------
@@ -381,12 +384,13 @@ GROUP BY purpose ORDER BY parameters DESC, purpose""")
 
 
 def p5_purpose_detail(q2: Parts, none_text: str, qualitative: str) -> str:
-    sizes = "sizes AS (SELECT purpose, COUNT(*) AS n FROM q2 WHERE purpose IS NOT NULL GROUP BY purpose)"
-    return _from("q2", q2, sizes, body=f"""
-SELECT q2.purpose, sizes.n AS purpose_parameters, q2.parameter_name,
-       CASE WHEN q2.unit = {sql_str(none_text)} THEN {sql_str(qualitative)} ELSE q2.unit END AS unit_label
-FROM q2 JOIN sizes ON q2.purpose = sizes.purpose
-ORDER BY 1, 3 NULLS FIRST, 4 NULLS FIRST""")
+    """Numbered rows of Q2: a purpose stands where its first row does."""
+    numbered = f"""
+numbered AS (SELECT *, row_number() OVER (ORDER BY {q2[2]}) AS rn FROM q2 WHERE purpose IS NOT NULL)"""
+    return _from("q2", q2, numbered, body=f"""
+SELECT purpose, count(*) OVER (PARTITION BY purpose) AS purpose_parameters, parameter_name,
+       CASE WHEN unit = {sql_str(none_text)} THEN {sql_str(qualitative)} ELSE unit END AS unit_label
+FROM numbered ORDER BY min(rn) OVER (PARTITION BY purpose), rn""")
 
 
 def p6_state_coverage_display(q3: Parts) -> str:
@@ -415,9 +419,11 @@ GROUP BY region_name ORDER BY region_name""")
 
 
 def p12_band_series(q8: Parts) -> str:
-    return _from("q8", q8, body="""
-SELECT parameter_name, filtration_type, band_name, pct FROM q8
-ORDER BY parameter_name NULLS FIRST, filtration_type NULLS FIRST, band_name DESC""")
+    """Numbered rows of Q8: a parameter stands where its first row does."""
+    numbered = f"numbered AS (SELECT *, row_number() OVER (ORDER BY {q8[2]}) AS rn FROM q8)"
+    return _from("q8", q8, numbered, body="""
+SELECT parameter_name, filtration_type, band_name, pct FROM numbered
+ORDER BY min(rn) OVER (PARTITION BY parameter_name), rn""")
 
 
 def p15_ranking_mean_parameters(q9: Parts) -> str:
@@ -532,6 +538,27 @@ GROUP BY w.region_name, w.n, w.q1_4, w.m_4, w.q3_4
 ORDER BY w.region_name""")
 
 
+def p22_intensity_outliers(q10: Parts) -> str:
+    """Points beyond 1.5 times the quartile distance, quartiles by the Hazen
+    rule over the sorted list of each region."""
+    lists = f"""
+lists AS (
+  SELECT region_name, list({units('intensity', 1)} ORDER BY intensity) AS us
+  FROM q10 WHERE region_name IS NOT NULL AND intensity IS NOT NULL GROUP BY region_name)"""
+
+    def quartile(p4: int) -> str:
+        h = f"least(greatest(len(us) * {p4} + 2, 4), 4 * len(us))"
+        lo, hi = f"us[{h} // 4]", f"us[least({h} // 4 + 1, len(us))]"
+        return f"(4 * {lo} + ({h} % 4) * ({hi} - {lo}))"
+
+    box = f"box AS (SELECT region_name, {quartile(1)} AS low4, {quartile(3)} AS high4 FROM lists)"
+    u = units("intensity", 1)
+    return _from("q10", q10, lists, box, body=f"""
+SELECT region_name, month, intensity FROM q10 NATURAL JOIN box
+WHERE 8 * {u} < 5 * low4 - 3 * high4 OR 8 * {u} > 5 * high4 - 3 * low4
+ORDER BY region_name, month NULLS FIRST, intensity""")
+
+
 def _std_sql(col: str, digits: int, out_digits: int) -> str:
     u = units(col, digits)
     num = f"CAST(COUNT({col}) * SUM({u} * {u}) - SUM({u}) * SUM({u}) AS DOUBLE)"
@@ -556,11 +583,13 @@ GROUP BY region_name ORDER BY region_name""")
 
 
 def p25_coverage_dual_axis(q3: Parts) -> str:
-    return _from("q3", q3, body="""
-SELECT state_code, 'plants' AS measure, plants AS value FROM q3
-UNION ALL
-SELECT state_code, 'municipalities', municipalities FROM q3
-ORDER BY state_code NULLS FIRST, measure DESC""")
+    numbered = f"numbered AS (SELECT *, row_number() OVER (ORDER BY {q3[2]}) AS rn FROM q3)"
+    return _from("q3", q3, numbered, body="""
+SELECT state_code, series.measure, series.value FROM (
+  SELECT rn, state_code, unnest([{'measure': 'plants', 'value': plants},
+                                 {'measure': 'municipalities', 'value': municipalities}]) AS series
+  FROM numbered)
+ORDER BY rn, series.measure DESC""")
 
 
 def p26_labels(name: str, parts: Parts, keys: str, label_col: str, width: int, measure: str) -> str:

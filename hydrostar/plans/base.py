@@ -2,7 +2,9 @@
 
 Each function takes the table bundle and the reference's parameters (as
 keyword defaults) and returns a lazy, ordered DataFrame with engine column
-names.  Orders end with unique tie-breakers so results are deterministic.
+names; defining a query runs no job.  Orders end with unique tie-breakers so
+results are deterministic.  ``ordered=False`` leaves the final sort out, for
+results that group or sort the rows again.
 """
 
 from __future__ import annotations
@@ -23,32 +25,33 @@ from hydrostar.plans.dims import (
     band_keys,
     parameter_keys,
     plant_filtration,
-    unweighted,
     plant_geo,
     plant_institution,
-    state_geo,
-    weighted,
+    unweighted,
     wjoin,
 )
 from hydrostar.sources.tables import Tables
 
 
+def _sorted(df: DataFrame, ordered: bool, *order) -> DataFrame:
+    return df.orderBy(*order) if ordered else df
+
+
 def _present(col: str) -> F.Column:
     """NOT NULL and not the empty string (blanks of spaces are kept)."""
     return F.col(col).isNotNull() & (F.col(col) != F.lit(""))
 
 
 # Q1 -------------------------------------------------------------------------
-def filtration_share(t: Tables) -> DataFrame:
+def filtration_share(t: Tables, ordered: bool = True) -> DataFrame:
     """Plants per filtration type; percent of *all* plants, blanks included."""
     counted = (
         t.plant.filter(_present("filtration_type"))
         .groupBy("filtration_type")
         .agg(F.count(F.lit(1)).alias("plants"))
     )
-    return share_of_total(counted, "plants", table_count(t.plant), 2).orderBy(
-        F.desc("plants"), "filtration_type"
-    )
+    out = share_of_total(counted, "plants", table_count(t.plant), 2)
+    return _sorted(out, ordered, F.desc("plants"), "filtration_type")
 
 
 # Q2 -------------------------------------------------------------------------
@@ -58,30 +61,28 @@ def parameter_purpose(
     default: str = P.PURPOSE_DEFAULT,
     sort_rules: Sequence[tuple[str, int]] = P.PURPOSE_SORT_RULES,
     sort_default: int = P.PURPOSE_SORT_DEFAULT,
+    ordered: bool = True,
 ) -> DataFrame:
     """One row per named parameter with its purpose; two separate rule lists
     give the purpose and the sort rank."""
     name = F.col("parameter_name")
-    return (
-        t.parameter.filter(_present("parameter_name"))
-        .select(
-            "parameter_name",
-            "unit",
-            classify(name, rules, default).alias("purpose"),
-            classify(name, sort_rules, sort_default).alias("_rank"),
-            "parameter_id",
-        )
-        .orderBy("_rank", "parameter_name", "unit", "parameter_id")
-        .select("parameter_name", "unit", "purpose")
+    out = t.parameter.filter(_present("parameter_name")).select(
+        "parameter_name",
+        "unit",
+        classify(name, rules, default).alias("purpose"),
+        classify(name, sort_rules, sort_default).alias("_rank"),
+        "parameter_id",
     )
+    out = _sorted(out, ordered, "_rank", "parameter_name", "unit", "parameter_id")
+    return out.select("parameter_name", "unit", "purpose")
 
 
 # Q3 -------------------------------------------------------------------------
-def state_coverage(t: Tables) -> DataFrame:
+def state_coverage(t: Tables, ordered: bool = True) -> DataFrame:
     """Per state: distinct plants and municipalities having a plant."""
     # only distinct counts follow: repeated plant rows need no weighting
-    rows = plant_geo(t, with_region=False, weigh_plants=False, checked=False)
-    return (
+    rows = plant_geo(t, with_region=False, weigh_plants=False)
+    out = (
         activity_by(
             rows,
             ["state_code", "state_name"],
@@ -96,13 +97,13 @@ def state_coverage(t: Tables) -> DataFrame:
             "municipalities",
             ratio("plants", "municipalities", 2).alias("plants_per_municipality"),
         )
-        .orderBy(F.desc("plants"), "state_code", "state_name")
     )
+    return _sorted(out, ordered, F.desc("plants"), "state_code", "state_name")
 
 
 # Q4 / Q5 --------------------------------------------------------------------
 def _volume_by(
-    t: Tables, fk: str, dim: DataFrame, keys: Sequence[str], order: Sequence
+    t: Tables, fk: str, dim: DataFrame, keys: Sequence[str], ordered: bool, order: Sequence
 ) -> DataFrame:
     # one fact row per key: repeated dimension rows can only repeat that row
     per_key = fact_rollup(t.measurement, [fk]).select(fk, "records")
@@ -111,27 +112,30 @@ def _volume_by(
         .groupBy(*keys)
         .agg(F.sum(F.col("records") * F.col(COPIES)).cast("long").alias("measurements"))
     )
-    return share_of_total(grouped, "measurements", table_count(t.measurement), 2).orderBy(*order)
+    out = share_of_total(grouped, "measurements", table_count(t.measurement), 2)
+    return _sorted(out, ordered, *order)
 
 
-def point_volume(t: Tables) -> DataFrame:
+def point_volume(t: Tables, ordered: bool = True) -> DataFrame:
     """Records per monitoring point (type, name); percent of all records."""
     return _volume_by(
         t,
         "point_id",
         t.point,
         ["point_type", "point_name"],
+        ordered,
         [F.desc("measurements"), "point_type", "point_name"],
     )
 
 
-def parameter_volume(t: Tables) -> DataFrame:
+def parameter_volume(t: Tables, ordered: bool = True) -> DataFrame:
     """Records per (category, parameter name); percent of all records."""
     return _volume_by(
         t,
         "parameter_id",
         t.parameter,
         ["category", "parameter_name"],
+        ordered,
         ["category", F.desc("measurements"), "parameter_name"],
     )
 
@@ -149,12 +153,12 @@ def _keyed(per: DataFrame, *dims: tuple[DataFrame, str]) -> DataFrame:
 
 
 # Q6 -------------------------------------------------------------------------
-def geo_activity(t: Tables) -> DataFrame:
+def geo_activity(t: Tables, ordered: bool = True) -> DataFrame:
     """Per (region, state): municipalities, plants, records, records/plant."""
     per_plant = fact_rollup(t.measurement, ["plant_id"]).select("plant_id", "records")
     # one fact row per plant: repeated plant rows cannot multiply
     rows = _keyed(per_plant, (plant_geo(t, with_region=True, weigh_plants=False), "plant_id"))
-    return (
+    out = (
         activity_by(
             rows,
             ["region_name", "state_code"],
@@ -169,20 +173,22 @@ def geo_activity(t: Tables) -> DataFrame:
             "measurements",
             ratio("measurements", "plants", 0).alias("measurements_per_plant"),
         )
-        .orderBy(F.desc("measurements"), "region_name", "state_code")
     )
+    return _sorted(out, ordered, F.desc("measurements"), "region_name", "state_code")
 
 
 # Q7 -------------------------------------------------------------------------
 def institution_performance(
-    t: Tables, min_measurements: int = P.MIN_INSTITUTION_MEASUREMENTS
+    t: Tables,
+    min_measurements: int = P.MIN_INSTITUTION_MEASUREMENTS,
+    ordered: bool = True,
 ) -> DataFrame:
     """Per institution: plants, parameters, records (> min), records/plant."""
     per = fact_rollup(t.measurement, ["plant_id", "parameter_id"]).select(
         "plant_id", "parameter_id", "records"
     )
     rows = _keyed(per, (parameter_keys(t), "parameter_id"), (plant_institution(t), "plant_id"))
-    return (
+    out = (
         activity_by(
             rows,
             ["institution_name", "institution_type"],
@@ -197,8 +203,8 @@ def institution_performance(
             "measurements",
             ratio("measurements", "plants", 0).alias("measurements_per_plant"),
         )
-        .orderBy(F.desc("plants"), "institution_name", "institution_type")
     )
+    return _sorted(out, ordered, F.desc("plants"), "institution_name", "institution_type")
 
 
 # Q8 -------------------------------------------------------------------------
@@ -206,24 +212,23 @@ def band_distribution(
     t: Tables,
     band_pairs: Sequence[tuple[str, str]] = P.BAND_PAIRS,
     min_records: int = P.MIN_BAND_RECORDS,
+    ordered: bool = True,
 ) -> DataFrame:
     """Analyses per (filtration, parameter, band) and their share of the
     (filtration, parameter) total over the listed bands.
 
-    One pass: the pair rule table selects (parameter_id, band_id) keys, the
-    fact is filtered by a broadcast join against them (behind a size proof;
-    a shuffle join above it), aggregated, and the share is a window
-    over the *aggregated* rows taken before the HAVING filter, so dropped
-    bands still count in the total.
+    One pass: the fact is aggregated to (plant, parameter, band) first, then
+    joined to the keys that the pair rules select and to the plants'
+    filtration; the share is a window over the *aggregated* rows taken before
+    the HAVING filter, so dropped bands still count in the total.
     """
-    selected = band_keys(t, tuple(band_pairs))
-    fact = t.measurement.select("plant_id", "parameter_id", "band_id", "measurement_id", "value")
+    per = fact_rollup(t.measurement, ["plant_id", "parameter_id", "band_id"])
     per_plant = (
-        fact.join(selected, ["parameter_id", "band_id"])
+        per.join(band_keys(t, tuple(band_pairs)), ["parameter_id", "band_id"])
         .groupBy("plant_id", "parameter_name", "band_name")
         .agg(
-            F.sum(F.when(F.col("measurement_id").isNotNull(), F.col(COPIES))).alias("records"),
-            F.sum(F.col("value") * F.col(COPIES)).alias("analyses"),
+            F.sum(F.col("records") * F.col(COPIES)).alias("records"),
+            F.sum(F.col("analyses") * F.col(COPIES)).alias("analyses"),
         )
     )
     grouped = (
@@ -237,15 +242,17 @@ def band_distribution(
     )
     # Window partitions hold one row per listed band: bounded by the rules.
     shared = share_of_total(grouped, "analyses", ["filtration_type", "parameter_name"], 2)
-    return (
+    out = (
         shared.filter(F.col("records") >= F.lit(min_records))
         .select("filtration_type", "parameter_name", "band_name", "analyses", "plants", "pct")
-        .orderBy("filtration_type", "parameter_name", F.desc("band_name"))
     )
+    return _sorted(out, ordered, "filtration_type", "parameter_name", F.desc("band_name"))
 
 
 # Q9 -------------------------------------------------------------------------
-def state_ranking(t: Tables, min_plants: int = P.MIN_RANKED_PLANTS) -> DataFrame:
+def state_ranking(
+    t: Tables, min_plants: int = P.MIN_RANKED_PLANTS, ordered: bool = True
+) -> DataFrame:
     """Per state: plants (>= min), distinct parameters, records."""
     per = fact_rollup(t.measurement, ["plant_id", "parameter_id"]).select(
         "plant_id", "parameter_id", "records"
@@ -253,7 +260,7 @@ def state_ranking(t: Tables, min_plants: int = P.MIN_RANKED_PLANTS) -> DataFrame
     rows = _keyed(
         per, (parameter_keys(t), "parameter_id"), (plant_geo(t, with_region=False), "plant_id")
     )
-    return (
+    out = (
         activity_by(
             rows,
             ["state_name"],
@@ -261,8 +268,8 @@ def state_ranking(t: Tables, min_plants: int = P.MIN_RANKED_PLANTS) -> DataFrame
             having=F.col("plants") >= F.lit(min_plants),
         )
         .select("state_name", "plants", "parameters", "measurements")
-        .orderBy(F.desc("parameters"), F.desc("measurements"), "state_name")
     )
+    return _sorted(out, ordered, F.desc("parameters"), F.desc("measurements"), "state_name")
 
 
 # Q10 ------------------------------------------------------------------------
@@ -272,6 +279,7 @@ def monthly_evolution(
     min_measurements: int = P.MIN_MONTHLY_MEASUREMENTS,
     period_bounds: Sequence[int] = P.PERIOD_BOUNDS,
     period_labels: Sequence[str] = P.PERIOD_LABELS,
+    ordered: bool = True,
 ) -> DataFrame:
     """Per (region, month) of one year: records (>= min), plants, parameters,
     records/plant (1 dp), parameters/plant (2 dp) and the period label."""
@@ -281,7 +289,7 @@ def monthly_evolution(
     rows = _keyed(
         per, (parameter_keys(t), "parameter_id"), (plant_geo(t, with_region=True), "plant_id")
     )
-    return (
+    out = (
         activity_by(
             rows,
             ["region_name", "month"],
@@ -290,7 +298,7 @@ def monthly_evolution(
         )
         .select(
             "region_name",
-            "month",
+            F.col("month").cast("int").alias("month"),
             "measurements",
             "plants",
             "parameters",
@@ -298,23 +306,27 @@ def monthly_evolution(
             ratio("parameters", "plants", 2).alias("diversity"),
             bucket_label("month", period_bounds, period_labels).alias("period"),
         )
-        .orderBy("region_name", "month")
     )
+    return _sorted(out, ordered, "region_name", "month")
 
 
 # Q11 ------------------------------------------------------------------------
-def kpi_summary(t: Tables, names: Sequence[str] = P.KPI_NAMES) -> DataFrame:
+def kpi_summary(
+    t: Tables, names: Sequence[str] = P.KPI_NAMES, ordered: bool = True
+) -> DataFrame:
     """Five headline counts stacked as (ord, metric, value).
 
     "States" and "municipalities" count distinct values over the chains
     having a plant, so both sides are reduced to distinct keys first (a
     semi join): no plant-sized join output is formed.
     """
-    served = weighted(t.municipality, ["municipality_id", "state_id"]).join(
+    served = t.municipality.select("municipality_id", "state_id").join(
         t.plant.select("municipality_id").distinct(), "municipality_id", "left_semi"
     )
-    states = served.join(state_geo(t, with_region=False), "state_id").agg(
-        F.count_distinct("state_name")
+    states = (
+        t.state.select("state_id", "state_name")
+        .join(served.select("state_id").distinct(), "state_id", "left_semi")
+        .agg(F.count_distinct("state_name"))
     )
     metrics = [
         states,
@@ -323,4 +335,4 @@ def kpi_summary(t: Tables, names: Sequence[str] = P.KPI_NAMES) -> DataFrame:
         t.parameter.agg(F.count(F.lit(1))),
         served.agg(F.count_distinct("municipality_id")),
     ]
-    return stack_metrics(list(zip(names, metrics))).orderBy("ord")
+    return _sorted(stack_metrics(list(zip(names, metrics))), ordered, "ord")

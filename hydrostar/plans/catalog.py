@@ -88,11 +88,13 @@ BASE: dict[str, tuple[Query, str | None]] = {
 
 
 
-def _derived(qid: str, fn, **kwargs) -> Query:
-    base_fn, base_kw = SQ[qid]
+def _derived(pid: str, qid: str, fn, base_kw: dict, **kwargs) -> Query:
+    base_fn = SQ[qid][0]
+    ordered = pid not in derived.RESORTED
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return fn(base_fn(fixture_tables(spark, sf_dir), **base_kw), **kwargs)
+        rows = base_fn(fixture_tables(spark, sf_dir), ordered=ordered, **base_kw)
+        return fn(rows, **kwargs)
 
     run.__name__ = fn.__name__
     run.__doc__ = fn.__doc__
@@ -100,6 +102,15 @@ def _derived(qid: str, fn, **kwargs) -> Query:
 
 
 P18_KW = dict(filtration=FX.CHOSEN_FILTRATION, parameter=FX.CHOSEN_PARAMETER)
+P5_KW = dict(sort_rules=FX.PURPOSE_SORT_RULES, sort_default=P.PURPOSE_SORT_DEFAULT)
+# Other bindings of derived results, and of the base query below one.
+DERIVED_KW: dict[str, dict] = {
+    "P5": P5_KW,
+    "P13": dict(k=FX.TOP_RANKED_STATES),
+    "P18": P18_KW,
+    "P24c": P18_KW,
+}
+OUTLIER_KW = Q10_KW | dict(year=FX.OUTLIER_YEAR, min_measurements=FX.OUTLIER_MIN_MEASUREMENTS)
 
 DERIVED_ORACLES: dict[str, str] = {
     "P1": O.top("q3", OQ["Q3"], P.TOP_STATES),
@@ -119,7 +130,7 @@ DERIVED_ORACLES: dict[str, str] = {
     ),
     "P11": O.p11_regional_summary(OQ["Q6"]),
     "P12": O.p12_band_series(OQ["Q8"]),
-    "P13": O.top("q9", OQ["Q9"], P.TOP_RANKED_STATES),
+    "P13": O.top("q9", OQ["Q9"], FX.TOP_RANKED_STATES),
     "P14": O.top("q9", OQ["Q9"], 1, "state_name, parameters"),
     "P15": O.p15_ranking_mean_parameters(OQ["Q9"]),
     "P16": O.total_of("q9", OQ["Q9"], "measurements"),
@@ -129,6 +140,11 @@ DERIVED_ORACLES: dict[str, str] = {
     "P20": O.p20_intensity_heatmap(OQ["Q10"]),
     "P21": O.p21_period_summary(OQ["Q10"]),
     "P22": O.p22_intensity_box_stats(OQ["Q10"]),
+    "P22b": O.p22_intensity_outliers(
+        O.q10_monthly_evolution(
+            FX.OUTLIER_YEAR, FX.OUTLIER_MIN_MEASUREMENTS, P.PERIOD_BOUNDS, P.PERIOD_LABELS
+        )
+    ),
     "P23": O.p23_consolidated_stats(OQ["Q10"]),
     "P24a": O.columns_of(
         "q6", OQ["Q6"],
@@ -153,14 +169,30 @@ DERIVED_ORACLES: dict[str, str] = {
 }
 
 DERIVED: dict[str, tuple[Query, str | None]] = {}
+IDS: dict[str, str] = {key: key.split("_", 1)[0] for key in BASE}
 for pid, (qid, fn) in derived.DERIVED_ON.items():
-    kw = P18_KW if pid in ("P18", "P24c") else {}
     key = f"{re.sub(r'[a-z]$', '', pid)}_{fn.__name__}"
-    DERIVED[key] = (_derived(qid, fn, **kw), DERIVED_ORACLES.get(pid))
+    base_kw = OUTLIER_KW if pid == "P22b" else SQ[qid][1]
+    DERIVED[key] = (
+        _derived(pid, qid, fn, base_kw, **DERIVED_KW.get(pid, {})),
+        DERIVED_ORACLES.get(pid),
+    )
+    IDS[key] = pid
 
 REGISTRY: dict[str, tuple[Query, str | None]] = {**BASE, **DERIVED}
 
 
+def result_id(name: str) -> str | None:
+    """The id behind an id or a registered key; an id without its letter
+    ("P24") stands for the first of its results."""
+    if name in IDS:
+        return IDS[name]
+    known = [*SQ, *derived.DERIVED_ON]
+    if name in known:
+        return name
+    return next((i for i in known if i.rstrip("abcd") == name), None)
+
+
 def queries() -> dict[str, Query]:
     return {k: fn for k, (fn, _) in REGISTRY.items()}
 

@@ -8,14 +8,14 @@ Where the dashboard's pandas code drops NULL group keys (``groupby``,
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from hydrostar.functions.numeric import div_half_even
-from hydrostar.functions.text import cut_label, fixed_text, percent_text, substitute, thousands
+from hydrostar.functions.text import classify, cut_label, fixed_text, percent_text, substitute, thousands
 from hydrostar.operators.choice import filter_by_choice, options
-from hydrostar.operators.joins import bounded_broadcast
 from hydrostar.operators.reshape import hierarchy_totals, long_form, pivot_matrix, sum_all
 from hydrostar.operators.shares import share_of_total, sum_of
 from hydrostar.operators.summary import Agg, box_stats, summarise
@@ -42,10 +42,13 @@ def state_coverage_display(q3: DataFrame) -> DataFrame:
 
 
 def coverage_dual_axis(q3: DataFrame) -> DataFrame:
-    """P25: plants and municipalities per state as two series."""
-    return long_form(q3, ["state_code"], ["plants", "municipalities"], "measure", "value").orderBy(
-        "state_code", F.desc("measure")
-    )
+    """P25: plants and municipalities per state as two series, states in the
+    coverage ranking's order."""
+    ranked = q3.select("state_code", "state_name", F.col("plants").alias("_rank"), "plants", "municipalities")
+    ids = ["state_code", "state_name", "_rank"]
+    series = long_form(ranked, ids, ["plants", "municipalities"], "measure", "value")
+    ordered = series.orderBy(F.desc("_rank"), "state_code", "state_name", F.desc("measure"))
+    return ordered.select("state_code", "measure", "value")
 
 
 # Q6 -> P2, P11 -------------------------------------------------------------------
@@ -111,25 +114,34 @@ def purpose_counts(q2: DataFrame) -> DataFrame:
     )
 
 
-def purpose_detail(q2: DataFrame) -> DataFrame:
+def purpose_detail(
+    q2: DataFrame,
+    sort_rules: Sequence[tuple[str, int]] = P.PURPOSE_SORT_RULES,
+    sort_default: int = P.PURPOSE_SORT_DEFAULT,
+) -> DataFrame:
     """P5: each parameter under its purpose with the purpose's size; the
     unit text 'None' reads as qualitative (a NULL unit stays NULL).
 
-    The sizes are a grouped count joined back on the purpose, not a window
-    over all rows of a purpose.  There is one row per purpose (at most one
-    per rule plus the default for Q2's output), and it is broadcast behind
-    the size proof, so the per-parameter rows are not shuffled.
+    Purposes come in the order in which Q2 first shows them, parameters
+    inside in Q2's order, so the sort rules are Q2's.  Size and first
+    appearance are one grouped row per purpose, joined back on it.
     """
-    sizes = purpose_counts(q2).withColumnRenamed("parameters", "purpose_parameters")
+    known = _known(q2, "purpose").withColumn(
+        "_rank", classify(F.col("parameter_name"), sort_rules, sort_default)
+    )
+    order = ["_rank", "parameter_name", "unit"]
+    sizes = known.groupBy("purpose").agg(
+        F.count(F.lit(1)).alias("purpose_parameters"), F.min(F.struct(*order)).alias("_first")
+    )
     return (
-        q2.join(bounded_broadcast(sizes), "purpose")
+        known.join(sizes, "purpose")
+        .orderBy("_first", "purpose", *order)
         .select(
             "purpose",
             "purpose_parameters",
             "parameter_name",
             substitute("unit", P.UNIT_NONE_TEXT, P.UNIT_QUALITATIVE).alias("unit_label"),
         )
-        .orderBy("purpose", "parameter_name", "unit_label")
     )
 
 
@@ -166,9 +178,14 @@ def top_parameters(q5: DataFrame, k: int = P.TOP_PARAMETERS) -> DataFrame:
 
 # Q8 -> P12, P17, P18 ---------------------------------------------------------------
 def band_series(q8: DataFrame) -> DataFrame:
-    """Per parameter, the (filtration x band) shares of one stacked bar."""
-    return q8.select("parameter_name", "filtration_type", "band_name", "pct").orderBy(
-        "parameter_name", "filtration_type", F.desc("band_name")
+    """Per parameter, the (filtration x band) shares of one stacked bar;
+    parameters in the order in which Q8 first shows them."""
+    # One row per filtration and listed band: bounded by the rules.
+    first = F.min("filtration_type").over(Window.partitionBy("parameter_name"))
+    return (
+        q8.withColumn("_first", first)
+        .orderBy("_first", "parameter_name", "filtration_type", F.desc("band_name"))
+        .select("parameter_name", "filtration_type", "band_name", "pct")
     )
 
 
@@ -232,7 +249,8 @@ def monthly_series(q10: DataFrame) -> DataFrame:
 
 
 def intensity_heatmap(q10: DataFrame) -> DataFrame:
-    """P20: region x month matrix of intensity (months 1-12, NULL if absent)."""
+    """P20: region x month matrix of intensity (NULL if absent).  A month that
+    is not 1-12, or a second row for a cell, fails."""
     return pivot_matrix(
         _known(q10, "month"), "region_name", "month", "intensity", MONTHS, MONTH_COLUMNS
     ).orderBy("region_name")
@@ -257,6 +275,21 @@ def intensity_box_stats(q10: DataFrame) -> DataFrame:
     )
 
 
+def intensity_outliers(q10: DataFrame) -> DataFrame:
+    """The points beyond the whiskers, one row each."""
+    box = intensity_box_stats(q10).select("region_name", "lower_whisker", "upper_whisker")
+    points = _known(q10, "region_name").select("region_name", "month", "intensity")
+    beyond = (F.col("intensity") < F.col("lower_whisker")) | (
+        F.col("intensity") > F.col("upper_whisker")
+    )
+    return (
+        points.join(box, "region_name")
+        .where(beyond)
+        .select("region_name", "month", "intensity")
+        .orderBy("region_name", "month", "intensity")
+    )
+
+
 def consolidated_stats(q10: DataFrame) -> DataFrame:
     """Per region, flat multi-aggregate of the monthly rows."""
     spec = [
@@ -327,6 +360,7 @@ DERIVED_ON: dict[str, tuple[str, object]] = {
     "P20": ("Q10", intensity_heatmap),
     "P21": ("Q10", period_summary),
     "P22": ("Q10", intensity_box_stats),
+    "P22b": ("Q10", intensity_outliers),
     "P23": ("Q10", consolidated_stats),
     "P24a": ("Q6", geo_scatter),
     "P24b": ("Q7", institution_scatter),
@@ -336,3 +370,9 @@ DERIVED_ON: dict[str, tuple[str, object]] = {
     "P26a": ("Q1", filtration_labels),
     "P26b": ("Q4", point_labels),
 }
+
+# Results that group or sort the rows themselves: the base query's own final
+# sort would be wasted below them.
+RESORTED = frozenset(
+    "P1 P2 P3 P4 P5 P7 P8 P9 P10 P11 P12 P13 P14 P15 P16 P17 P20 P21 P22 P22b P23 P25".split()
+)

@@ -12,56 +12,30 @@ repeated in a third of a table then costs one row, not a third of a join.
 Only the looked-up side of a join needs this; a side joined to something
 with one row per key can keep its repeats as rows (``unweighted``).
 
-Broadcast behind a proof
-------------------------
+Join strategy
+-------------
 Each chain is a many-to-one path from ``plant`` (or the parameter keys); the
-pre-aggregated fact joins it once.  A finished chain is broadcast only after
-``bounded_broadcast`` has proven its rows and bytes small; then the fact is
-never re-shuffled for the join.  Beyond the bound the join is left to the
-planner: sort-merge, a broadcast by AQE when the runtime size allows, and
-AQE's split of skewed partitions.  Chains are memoised per table bundle, so
-each proof runs once per bundle.  Inner joins drop orphan keys and NULL
-keys, as the reference's chains do.
+pre-aggregated fact joins it once.  No side is marked for broadcast and no job
+runs while a query is defined: the planner broadcasts what its statistics show
+to be small, AQE turns a sort-merge join into a broadcast when a finished
+shuffle turns out small, and splits skewed partitions.  Where the same chains
+serve many queries, write them once as Parquet and load them as the dimension
+tables; then the planner knows their sizes.  Inner joins drop orphan keys and
+NULL keys, as the reference's chains do.
 """
 
 from __future__ import annotations
 
-import functools
-import threading
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hydrostar.operators.joins import bounded_broadcast, literal_table
+from hydrostar.operators.joins import literal_table
 from hydrostar.sources.tables import Tables
 
 COPIES = "copies"
 
-_MEMO: dict[tuple, tuple[Tables, DataFrame]] = {}
-_MEMO_LOCK = threading.Lock()
-
-
-def _per_bundle(fn):
-    """Define a chain once per table bundle: the result is a lazy DataFrame
-    (a plan, no data), so queries over the same bundle share it instead of
-    re-analysing it."""
-
-    @functools.wraps(fn)
-    def wrapper(t: Tables, *args, **kwargs):
-        key = (fn.__name__, id(t), args, tuple(sorted(kwargs.items())))
-        with _MEMO_LOCK:
-            hit = _MEMO.get(key)
-            if hit is not None and hit[0] is t:
-                return hit[1]
-        df = fn(t, *args, **kwargs)
-        with _MEMO_LOCK:
-            _MEMO[key] = (t, df)
-        return df
-
-    return wrapper
-
-
 def weighted(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Distinct rows of ``cols`` with the number of source rows as ``copies``."""
     return df.groupBy(*cols).agg(F.count(F.lit(1)).alias(COPIES))
@@ -89,15 +63,6 @@ def wjoin(left: DataFrame, right: DataFrame, on: str | list[str]) -> DataFrame:
     return left.alias("__l").join(right.alias("__r"), keys).select(*cols)
 
 
-def _checked(df: DataFrame) -> DataFrame:
-    """Broadcast a dimension chain when its size is proven small (then the
-    pre-aggregated fact is never re-shuffled for this join); otherwise leave
-    the join to the planner.  Chains are memoised per bundle, so the proof
-    runs once per bundle."""
-    return bounded_broadcast(df)
-
-
-@_per_bundle
 def state_geo(t: Tables, with_region: bool) -> DataFrame:
     """state_id -> state_code, state_name[, region_name], copies.
 
@@ -112,28 +77,21 @@ def state_geo(t: Tables, with_region: bool) -> DataFrame:
     return weighted(st, cols)
 
 
-@_per_bundle
-def plant_geo(
-    t: Tables, with_region: bool, weigh_plants: bool = True, checked: bool = True
-) -> DataFrame:
+def plant_geo(t: Tables, with_region: bool, weigh_plants: bool = True) -> DataFrame:
     """plant_id -> municipality_id, state_code, state_name[, region_name], copies.
 
     ``weigh_plants=False`` keeps repeated plant rows as rows: right when the
     other join side has one row per plant (or only distinct counts follow).
-    The looked-up municipality and state sides are always weighted.
-    ``checked=False`` skips the broadcast proof (for a chain that is the
-    whole input of a query rather than one side of a join)."""
+    The looked-up municipality and state sides are always weighted."""
     muni = wjoin(
         weighted(t.municipality, ["municipality_id", "state_id"]),
         state_geo(t, with_region),
         "state_id",
     )
     plants = (weighted if weigh_plants else unweighted)(t.plant, ["plant_id", "municipality_id"])
-    chain = wjoin(plants, muni, "municipality_id")
-    return _checked(chain) if checked else chain
+    return wjoin(plants, muni, "municipality_id")
 
 
-@_per_bundle
 def plant_institution(t: Tables) -> DataFrame:
     """plant_id -> institution_name, institution_type, copies (via office)."""
     inst = wjoin(
@@ -141,32 +99,26 @@ def plant_institution(t: Tables) -> DataFrame:
         weighted(t.institution, ["institution_id", "institution_name", "institution_type"]),
         "institution_id",
     )
-    return _checked(wjoin(weighted(t.plant, ["plant_id", "office_id"]), inst, "office_id"))
+    return wjoin(weighted(t.plant, ["plant_id", "office_id"]), inst, "office_id")
 
 
-@_per_bundle
 def parameter_keys(t: Tables) -> DataFrame:
     """parameter_id -> copies (the join only checks existence and counts)."""
-    return _checked(weighted(t.parameter, ["parameter_id"]))
+    return weighted(t.parameter, ["parameter_id"])
 
 
-@_per_bundle
 def plant_filtration(t: Tables) -> DataFrame:
     """plant_id -> filtration_type (NULL types dropped), copies."""
-    return _checked(
-        weighted(t.plant.filter(F.col("filtration_type").isNotNull()), ["plant_id", "filtration_type"])
+    return weighted(
+        t.plant.filter(F.col("filtration_type").isNotNull()), ["plant_id", "filtration_type"]
     )
 
 
-@_per_bundle
 def band_keys(t: Tables, band_pairs: tuple[tuple[str, str], ...]) -> DataFrame:
     """(parameter_id, band_id) -> parameter_name, band_name, copies for the
     listed (parameter name, band name) pairs.
 
     The names filter reaches the Parquet scans; the pair table is a literal.
-    The result grows with the parameter table, so it is marked for broadcast
-    only behind a size proof (a bounded job, run once per bundle: a
-    DataFrame keeps the file listing it was defined on).
     """
     spark = t.parameter.sparkSession
     pairs = literal_table(spark, sorted(set(band_pairs)), "parameter_name STRING, band_name STRING")
@@ -177,4 +129,4 @@ def band_keys(t: Tables, band_pairs: tuple[tuple[str, str], ...]) -> DataFrame:
     )
     band = weighted(t.band.filter(F.col("band_name").isin(bands)), ["band_id", "band_name"])
     pairs = pairs.withColumn(COPIES, F.lit(1).cast("long"))
-    return bounded_broadcast(wjoin(wjoin(params, pairs, "parameter_name"), band, "band_name"))
+    return wjoin(wjoin(params, pairs, "parameter_name"), band, "band_name")

@@ -40,9 +40,17 @@ PURPOSE_SORT_RULES = (
     ("%Red%", 3),
 )
 
-# Choices of the interactive filter.
+# Choices of the interactive filter (P18): one filtration, every parameter.
 CHOSEN_FILTRATION = "1-URGENT"
-CHOSEN_PARAMETER = "red ring"
+CHOSEN_PARAMETER = None
+
+# Fewer than the ranked states, so that the top-k cuts some.
+TOP_RANKED_STATES = 5
+
+# A year in which, with every month counted, some region has points beyond
+# its whiskers.
+OUTLIER_YEAR = 1998
+OUTLIER_MIN_MEASUREMENTS = 1
 
 # Low thresholds for the smoke run at sf0.001 (defaults keep nothing there).
 SMOKE_MIN_MONTHLY_MEASUREMENTS = 1

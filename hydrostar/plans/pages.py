@@ -8,7 +8,8 @@ dashboard's cache.  Only data is produced here; drawing is not rebuilt.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping
+import inspect
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import DataFrame
 
@@ -35,12 +36,52 @@ PAGES: dict[str, tuple[str, ...]] = {
     "overview": ("Q11", "P1", "P2"),
     "infrastructure": ("Q1", "P3", "P26a", "Q2", "P4", "P5"),
     "territory": ("Q3", "P25", "P6", "Q4", "P7", "P8", "P26b", "Q5", "P9", "P10"),
-    "institutional": ("Q6", "P11", "Q7", "Q8", "P12"),
-    "quality": ("Q9", "P13", "P14", "P15", "P16", "Q8", "P17", "P18"),
-    "temporal": ("Q10", "P19", "P20", "P21", "P22", "P23"),
+    "institutional": ("Q6", "P11", "P24a", "Q7", "P24b", "Q8", "P12"),
+    "quality": ("Q9", "P13", "P14", "P15", "P16", "Q8", "P17", "P18", "P24c"),
+    "temporal": ("Q10", "P19", "P20", "P21", "P22", "P22b", "P24d", "P23"),
 }
 
 
+def accepted(rid: str) -> set[str]:
+    """Parameter names that a base query or derived result takes."""
+    fn = BASE[rid] if rid in BASE else derived.DERIVED_ON[rid][1]
+    names = list(inspect.signature(fn).parameters)[1:]
+    return {n for n in names if n != "ordered"}
+
+
+def assign(ids: Sequence[str], params: Mapping[str, object]) -> dict[str, dict[str, object]]:
+    """Give each named parameter to every result among ``ids`` (and to the
+    base queries below them) that takes it; an unknown one is an error."""
+    below = {derived.DERIVED_ON[i][0] for i in ids if i in derived.DERIVED_ON}
+    out: dict[str, dict[str, object]] = {}
+    for name, value in params.items():
+        takers = [i for i in {*ids, *below} if name in accepted(i)]
+        if not takers:
+            raise ValueError(f"no parameter {name!r} in {', '.join(ids)}")
+        for i in takers:
+            out.setdefault(i, {})[name] = value
+    return out
+
+
+def result(
+    rid: str,
+    tables: Tables,
+    params: Mapping[str, Mapping[str, object]] | None = None,
+    store: ResultStore | None = None,
+) -> DataFrame:
+    """One base query or derived result by id; with a store, the base query
+    is computed once and kept."""
+    params = params or {}
+    qid, fn = (rid, None) if rid in BASE else derived.DERIVED_ON[rid]
+    kwargs = dict(params.get(qid, {}))
+    if store is None:
+        df = BASE[qid](tables, ordered=rid not in derived.RESORTED, **kwargs)
+    else:
+        key = f"{qid}:{sorted(kwargs.items())!r}"
+        df = store.get(key, lambda: BASE[qid](tables, **kwargs), owner=tables)
+    return df if fn is None else fn(df, **dict(params.get(rid, {})))
+
+
 def page(
     name: str,
     tables: Tables,
@@ -49,18 +90,4 @@ def page(
 ) -> dict[str, DataFrame]:
     """Results of one page.  ``params`` maps a query id (e.g. "Q10", "P18")
     to keyword arguments of its function; omitted ones use the defaults."""
-    params = params or {}
-    out: dict[str, DataFrame] = {}
-    for rid in PAGES[name]:
-        if rid.startswith("Q"):
-            out[rid] = _base(rid, tables, store, params)
-        else:
-            qid, fn = derived.DERIVED_ON[rid]
-            out[rid] = fn(_base(qid, tables, store, params), **dict(params.get(rid, {})))
-    return out
-
-
-def _base(qid: str, tables: Tables, store: ResultStore, params) -> DataFrame:
-    kwargs = dict(params.get(qid, {}))
-    key = f"{qid}:{id(tables)}:{sorted(kwargs.items())!r}"
-    return store.get(key, lambda: BASE[qid](tables, **kwargs))
+    return {rid: result(rid, tables, params, store) for rid in PAGES[name]}

@@ -19,23 +19,30 @@ from hydrostar.session import checkpoint_dir
 
 
 class ResultStore:
-    """Per-session store of materialised results, keyed by a caller name."""
+    """Per-session store of materialised results.
+
+    A key names the query and its parameters; ``owner`` is the table bundle
+    that the result was computed from.  The store holds the bundle itself, so
+    its identity cannot pass to another bundle while a result is stored.
+    """
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
         self.folder = checkpoint_dir(spark)
-        self._results: dict[str, DataFrame] = {}
+        self._results: dict[tuple[int, str], tuple[object, DataFrame]] = {}
         self._lock = threading.Lock()
 
-    def get(self, key: str, build: Callable[[], DataFrame]) -> DataFrame:
-        """The stored result for ``key``, built and checkpointed on first use."""
+    def get(self, key: str, build: Callable[[], DataFrame], owner: object = None) -> DataFrame:
+        """The stored result for ``key`` of ``owner``, built and checkpointed
+        on first use."""
+        full = (id(owner), key)
         with self._lock:
-            hit = self._results.get(key)
+            hit = self._results.get(full)
         if hit is not None:
-            return hit
+            return hit[1]
         stored = build().checkpoint(eager=True)
         with self._lock:
-            return self._results.setdefault(key, stored)
+            return self._results.setdefault(full, (owner, stored))[1]
 
     def clear(self) -> None:
         """Forget every stored result (the next ``get`` rebuilds it)."""
@@ -43,4 +50,4 @@ class ResultStore:
             self._results.clear()
 
     def __contains__(self, key: str) -> bool:
-        return key in self._results
+        return any(k == key for _, k in self._results)

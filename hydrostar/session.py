@@ -15,6 +15,10 @@ ENGINE_CONF = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.localShuffleReader.enabled": "true",
+    # What the planner's statistics (first) or finished shuffles (second) show
+    # to be smaller than this is broadcast; nothing else is.
+    "spark.sql.autoBroadcastJoinThreshold": "64MB",
+    "spark.sql.adaptive.autoBroadcastJoinThreshold": "64MB",
     # Oracle comparison and month()/year() on timestamps must not depend on
     # the machine's zone.
     "spark.sql.session.timeZone": "UTC",
@@ -88,12 +92,12 @@ def scale_settings(
       that order when the fact is written);
     * shuffle partitions sized to the largest shuffle, the pre-aggregated
       fact (``shuffle_fraction`` of the input; it is at most the number of
-      distinct grain keys per map task), between 2x the cores and 50,000;
-      AQE coalesces small ones at run time;
+      distinct grain keys per map task), twice the cores at least; AQE
+      coalesces small ones at run time;
     * skew handling for sort-merge joins over dimension-sized sides.
     """
     shuffle_bytes = int(fact_bytes * shuffle_fraction)
-    parts = max(2 * total_cores, min(50_000, shuffle_bytes // (partition_bytes // 2) or 1))
+    parts = max(2 * total_cores, shuffle_bytes // (partition_bytes // 2))
     return {
         "spark.sql.files.maxPartitionBytes": str(partition_bytes),
         "spark.sql.shuffle.partitions": str(parts),

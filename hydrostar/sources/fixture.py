@@ -8,7 +8,6 @@ prunes the unused source columns and pushes filters through it.
 
 from __future__ import annotations
 
-import threading
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -66,28 +65,6 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.schema(SOURCE_SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
-_CACHE: dict[tuple[int, str], tuple[SparkSession, Tables]] = {}
-_LOCK = threading.Lock()
-
-
-def fixture_tables(spark: SparkSession, sf_dir: str) -> Tables:
-    """The ten lazy tables over ``sf_dir``, defined once per session.
-
-    Only the DataFrame *definitions* are kept (no data is cached): queries
-    issued in the same session share them instead of re-analysing the
-    mapping each time.
-    """
-    key = (id(spark), sf_dir)
-    with _LOCK:
-        hit = _CACHE.get(key)
-        if hit is not None and hit[0] is spark:
-            return hit[1]
-    tables = build_fixture_tables(spark, sf_dir)
-    with _LOCK:
-        _CACHE[key] = (spark, tables)
-    return tables
-
-
 def _segment_offset(col: str) -> F.Column:
     expr = None
     for seg, off in SEGMENT_OFFSET:
@@ -96,8 +73,8 @@ def _segment_offset(col: str) -> F.Column:
     return expr.otherwise(F.lit(SEGMENT_OTHER))
 
 
-def build_fixture_tables(spark: SparkSession, sf_dir: str) -> Tables:
-    """Build the ten tables from ``<sf_dir>/{region,nation,...}.parquet``."""
+def fixture_tables(spark: SparkSession, sf_dir: str) -> Tables:
+    """The ten lazy tables from ``<sf_dir>/{region,nation,...}.parquet``."""
     region = _read(spark, sf_dir, "region").select(
         F.col("r_regionkey").cast("long").alias("region_id"),
         F.col("r_name").alias("region_name"),
@@ -159,7 +136,7 @@ def build_fixture_tables(spark: SparkSession, sf_dir: str) -> Tables:
         .alias("unit"),
         F.col("p_type").alias("category"),
     )
-    band = literal_table(spark, FIXTURE_BANDS, "band_id INT, band_name STRING")
+    band = literal_table(spark, FIXTURE_BANDS, "band_id BIGINT, band_name STRING")
     lineitem = _read(spark, sf_dir, "lineitem")
     flag_band = None
     for flag, band_id in RETURNFLAG_BAND:
@@ -177,10 +154,10 @@ def build_fixture_tables(spark: SparkSession, sf_dir: str) -> Tables:
         F.when((F.col("l_linenumber") == 7) & (F.col("l_tax") == 0), F.lit(None).cast("long"))
         .otherwise(F.col("l_partkey").cast("long"))
         .alias("parameter_id"),
-        flag_band.cast("int").alias("band_id"),
+        flag_band.cast("long").alias("band_id"),
         F.col("l_quantity").cast("double").alias("value"),
-        F.month("l_shipdate").cast("int").alias("month"),
-        F.year("l_shipdate").cast("int").alias("year"),
+        F.month("l_shipdate").cast("long").alias("month"),
+        F.year("l_shipdate").cast("long").alias("year"),
     )
     return Tables(
         region=region,

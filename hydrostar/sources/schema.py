@@ -2,13 +2,15 @@
 
 Every column is nullable: the base data is external and its constraints
 cannot be verified, so code treats each key as possibly NULL or orphaned.
+Integers are BIGINT throughout: files with narrower ones widen in the scan,
+and filters on them still reach it.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import types as T
 
-_L, _S, _I, _D = T.LongType(), T.StringType(), T.IntegerType(), T.DoubleType()
+_L, _S, _D = T.LongType(), T.StringType(), T.DoubleType()
 
 
 def _struct(*fields: tuple[str, T.DataType]) -> T.StructType:
@@ -30,16 +32,16 @@ SCHEMAS: dict[str, T.StructType] = {
     "parameter": _struct(
         ("parameter_id", _L), ("parameter_name", _S), ("unit", _S), ("category", _S)
     ),
-    "band": _struct(("band_id", _I), ("band_name", _S)),
+    "band": _struct(("band_id", _L), ("band_name", _S)),
     "measurement": _struct(
         ("measurement_id", _L),
         ("plant_id", _L),
         ("point_id", _L),
         ("parameter_id", _L),
-        ("band_id", _I),
+        ("band_id", _L),
         ("value", _D),
-        ("month", _I),
-        ("year", _I),
+        ("month", _L),
+        ("year", _L),
     ),
 }
 

@@ -6,6 +6,7 @@ from dataclasses import dataclass, fields
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from hydrostar.sources.schema import SCHEMAS
 
@@ -52,28 +53,48 @@ def conform(df: DataFrame, name: str) -> DataFrame:
 def load_tables(spark: SparkSession, base_dir: str, fmt: str = "parquet") -> Tables:
     """Read ``<base_dir>/<table>.<fmt>`` for each of the ten tables.
 
-    Parquet is read with its own footer schema and then conformed, so a file
-    holding e.g. ``value`` as text still loads.  ``measurement`` is best
-    stored partitioned by ``year``: the year filter of the monthly query then
-    prunes whole directories.
+    Parquet is read with the declared schema, so narrower integers widen in
+    the scan and filters reach it.  Only a column that the files hold as text
+    (or as another type that does not widen) is read as such and cast with
+    ``try_cast``; all files of a table must then agree on its type.  CSV is
+    read as text and cast the same way.  ``measurement`` is best stored
+    partitioned by ``year``: the year filter of the monthly query then prunes
+    whole directories.
     """
     frames = {}
     for name in SCHEMAS:
         path = f"{base_dir}/{name}.{fmt}"
         if fmt == "csv":
             df = spark.read.option("header", True).schema(_as_text(name)).csv(path)
+        elif fmt == "parquet":
+            found = spark.read.parquet(path).schema
+            df = spark.read.schema(_widened(name, found)).parquet(path)
         else:
             df = spark.read.format(fmt).load(path)
         frames[name] = conform(df, name)
     return Tables(**frames)
 
 
+def _widened(name: str, found: T.StructType) -> T.StructType:
+    """The declared type of each column, or the file's where it cannot widen
+    to the declared one while it is read."""
+    files = {f.name: f.dataType for f in found.fields}
+
+    def of(f: T.StructField) -> T.StructField:
+        here = files.get(f.name, f.dataType)
+        small = isinstance(here, (T.ByteType, T.ShortType, T.IntegerType))
+        widens = (isinstance(f.dataType, T.LongType) and small) or (
+            isinstance(f.dataType, T.DoubleType) and isinstance(here, T.FloatType)
+        )
+        return f if widens else T.StructField(f.name, here, True)
+
+    return T.StructType([of(f) for f in SCHEMAS[name].fields])
+
+
 def tables_from_frames(frames: dict[str, DataFrame]) -> Tables:
     """Bundle already-built DataFrames (tests, other sources)."""
     return Tables(**{name: conform(frames[name], name) for name in SCHEMAS})
 
 
 def _as_text(name: str):
-    from pyspark.sql import types as T
-
     return T.StructType([T.StructField(f.name, T.StringType(), True) for f in SCHEMAS[name].fields])

@@ -143,6 +143,60 @@ def test_null_region_dropped_and_unit_substitution(spark):
     ]
 
 
+# Display order: first appearance in the base result, not the alphabet -----------
+def test_first_appearance_orders(spark):
+    q2 = spark.createDataFrame(
+        [("zinc", "u", "A"), ("cloro", "u", "Z"), ("pH", "u", "M"), ("brom", "u", "A")],
+        "parameter_name string, unit string, purpose string",
+    )
+    got = [(r[0], r[2]) for r in derived.purpose_detail(q2).collect()]
+    assert got == [("Z", "cloro"), ("M", "pH"), ("A", "brom"), ("A", "zinc")]
+    q8 = spark.createDataFrame(
+        [("F1", "pH", "lo", 1.0), ("F2", "Cor", "lo", 2.0), ("F2", "pH", "lo", 3.0), ("F1", "pH", "mid", 4.0)],
+        "filtration_type string, parameter_name string, band_name string, pct double",
+    )
+    got = [(r[0], r[1], r[2]) for r in derived.band_series(q8).collect()]
+    assert got == [("pH", "F1", "mid"), ("pH", "F1", "lo"), ("pH", "F2", "lo"), ("Cor", "F2", "lo")]
+    q3 = spark.createDataFrame(
+        [("A", "a", 1, 1), ("Z", "z", 9, 3)],
+        "state_code string, state_name string, plants long, municipalities long",
+    )
+    assert rows(derived.coverage_dual_axis(q3)) == [
+        ("Z", "plants", 9), ("Z", "municipalities", 3), ("A", "plants", 1), ("A", "municipalities", 1),
+    ]
+
+
+# Heatmap: a second row for a cell, or an unlisted month, fails -------------------
+def test_heatmap_loses_nothing(spark):
+    kind = "region_name string, month int, intensity double"
+    good = spark.createDataFrame([("N", 1, 1.5), ("N", 12, 2.5), ("S", 3, None)], kind)
+    got = {r[0]: [v for v in r[1:] if v is not None] for r in derived.intensity_heatmap(good).collect()}
+    assert got == {"N": [1.5, 2.5], "S": []}
+    for bad in ([("N", 1, 1.0), ("N", 1, 2.0)], [("N", 13, 1.0)]):
+        with pytest.raises(Exception, match="two rows|outside"):
+            derived.intensity_heatmap(spark.createDataFrame(bad, kind)).collect()
+
+
+# One row per point beyond the whiskers ---------------------------------------
+def test_outlier_rows(spark):
+    data = [("out", m, v) for m, v in enumerate((1.0, 1.1, 1.2, 1.3, 9.9), 1)] + [("in", 1, 5.0)]
+    q10 = spark.createDataFrame(data, "region_name string, month int, intensity double")
+    assert rows(derived.intensity_outliers(q10)) == [("out", 5, 9.9)]
+
+
+# Q8: NULL record ids count as zero records, the group stays ------------------------
+def test_band_null_ids_keep_their_group(spark):
+    t = bundle(
+        spark,
+        plant=[(1, 1, 1, "F1")],
+        parameter=[(10, "pH", "u", "c")],
+        band=[(1, "lo")],
+        measurement=[(None, 1, 1, 10, 1, 4.0, 1, 2025)],
+    )
+    got = rows(base.band_distribution(t, band_pairs=[("pH", "lo")], min_records=0))
+    assert got == [("F1", "pH", "lo", 4.0, 1, 100.0)]
+
+
 # 12: Hazen quartiles, whiskers and outliers -------------------------------------
 def test_box_stats(spark):
     from hydrostar.operators.summary import box_stats

@@ -9,7 +9,7 @@ import os
 import pyarrow.parquet as pq
 import pytest
 
-import __spark_entry__ as E
+from hydrostar.plans import catalog
 from tests.conftest import SF01
 
 TABLES = "region nation customer supplier part orders lineitem".split()
@@ -29,7 +29,7 @@ def split_dir(tmp_path_factory):
 def test_many_row_groups_same_results(spark, split_dir):
     spark.conf.set("spark.sql.files.maxPartitionBytes", str(64 << 10))
     try:
-        for key, fn in E.queries().items():
+        for key, fn in catalog.queries().items():
             got = [tuple(r) for r in fn(spark, split_dir).collect()]
             want = [tuple(r) for r in fn(spark, SF01).collect()]
             assert got == want, key

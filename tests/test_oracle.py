@@ -9,6 +9,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as E
+from hydrostar.plans import catalog
 from tests.conftest import SF01
 
 TABLES = "region nation customer supplier part orders lineitem".split()
@@ -28,13 +29,13 @@ def _norm(v):
     return v
 
 
-ORACLES = E.oracle_sql()
+QUERIES, ORACLES = catalog.queries(), catalog.oracle_sql()
 
 
-@pytest.mark.parametrize("key", sorted(E.queries()))
+@pytest.mark.parametrize("key", sorted(QUERIES))
 def test_query_matches_oracle(spark, con, key):
     assert key in ORACLES, f"{key} has no oracle"
-    df = E.queries()[key](spark, SF01)
+    df = QUERIES[key](spark, SF01)
     got = [tuple(_norm(x) for x in r) for r in df.collect()]
     rel = con.sql(ORACLES[key])
     assert sorted(df.columns) == sorted(rel.columns)
@@ -58,3 +59,15 @@ def test_entry_smoke(spark):
         "diversity",
         "period",
     ]
+
+
+def test_defining_queries_runs_no_job(spark):
+    """Every plan is built without a job; jobs belong to actions."""
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("defining", "no job expected")
+    try:
+        for key, fn in QUERIES.items():
+            fn(spark, SF01)
+            assert not tracker.getJobIdsForGroup("defining"), key
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)

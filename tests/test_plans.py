@@ -7,8 +7,7 @@ import os
 
 import pytest
 
-import __spark_entry__ as E
-from hydrostar.plans import base
+from hydrostar.plans import base, catalog, derived
 from hydrostar.plans import fixture_params as FX
 from hydrostar.sources.fixture import fixture_tables
 from hydrostar.sources.tables import load_tables
@@ -21,9 +20,9 @@ def plan_text(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("key", sorted(E.queries()))
+@pytest.mark.parametrize("key", sorted(catalog.queries()))
 def test_no_cartesian_or_python(spark, key):
-    text = plan_text(E.queries()[key](spark, SF001))
+    text = plan_text(catalog.queries()[key](spark, SF001))
     for op in FORBIDDEN:
         assert op not in text, f"{key}: {op}"
 
@@ -81,13 +80,38 @@ def test_native_csv_tables_load_and_query(spark, tmp_dir):
     assert got == want
 
 
-def test_bounded_broadcast_checks_rows_and_bytes(spark):
-    from hydrostar.operators.joins import bounded_broadcast
+def test_bigint_year_is_pushed_to_the_scan(spark, tmp_dir):
+    """Files with INT or BIGINT years: the equality reaches the scan."""
+    t = fixture_tables(spark, SF001)
+    for kind in ("int", "bigint"):
+        folder = os.path.join(tmp_dir, kind)
+        for name in ("region", "state", "municipality", "office", "institution", "plant", "point",
+                     "parameter", "band"):
+            getattr(t, name).write.parquet(os.path.join(folder, f"{name}.parquet"))
+        fact = t.measurement.withColumn("year", t.measurement["year"].cast(kind))
+        fact.write.parquet(os.path.join(folder, "measurement.parquet"))
+        native = load_tables(spark, folder)
+        df = base.monthly_evolution(native, year=FX.MONTHLY_YEAR, min_measurements=1)
+        assert "EqualTo(year,1997)" in plan_text(df), kind
+        assert df.count() == 60
+
+
+def test_resorted_results_sort_once(spark):
+    """No global sort of the base query survives below a result that sorts."""
+    for key in ("P17_select_options", "P20_intensity_heatmap"):
+        assert plan_text(catalog.queries()[key](spark, SF001)).count("Exchange rangepartitioning") == 1
+
+
+def test_band_query_aggregates_the_fact_before_joining(spark):
+    t = fixture_tables(spark, SF001)
+    df = base.band_distribution(t, band_pairs=FX.BAND_PAIRS)
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    fact = plan[: plan.index("l_linenumber")].rindex("Aggregate [")
+    assert "Join" not in plan[fact : plan.index("l_linenumber")]
+
+
+def test_pages_name_every_derived_result():
+    from hydrostar.plans.pages import PAGES
 
-    df = spark.range(10).selectExpr("id", "repeat('x', 1000) AS text")
-    assert bounded_broadcast(df, max_rows=100, max_bytes=1 << 20) is not df  # ~10 KB: hinted
-    assert bounded_broadcast(df, max_rows=100, max_bytes=5_000) is df  # strings too large
-    assert bounded_broadcast(df, max_rows=5, max_bytes=1 << 20) is df  # too many rows
-    hinted = bounded_broadcast(df, max_rows=100, max_bytes=1 << 20)
-    joined = spark.range(1000).join(hinted, "id")
-    assert "BroadcastHashJoin" in plan_text(joined)
+    shown = {r for ids in PAGES.values() for r in ids}
+    assert shown >= set(derived.DERIVED_ON)

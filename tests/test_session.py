@@ -11,7 +11,8 @@ def test_scale_settings_bounds():
     small = scale_settings(10 << 30, total_cores=64)
     assert int(small["spark.sql.shuffle.partitions"]) >= 128
     big = scale_settings(100 << 40, total_cores=8000)
-    assert int(big["spark.sql.shuffle.partitions"]) == 50_000
+    # 128 MB of the pre-aggregated fact each, without a cap
+    assert int(big["spark.sql.shuffle.partitions"]) == 204_800
     assert big["spark.sql.files.maxPartitionBytes"] == str(256 << 20)
 
 

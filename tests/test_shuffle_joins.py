@@ -5,30 +5,25 @@ from __future__ import annotations
 
 import pytest
 
-import __spark_entry__ as E
-from hydrostar.operators.joins import MAX_ROWS_CONF
-from hydrostar.sources import fixture as fixture_module
+from hydrostar.plans import catalog
 from tests.conftest import SF001
 
 OFF = {
     "spark.sql.autoBroadcastJoinThreshold": "-1",
     "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
-    MAX_ROWS_CONF: "0",
 }
 
 
 @pytest.fixture(scope="module")
 def expected(spark):
-    return {k: [tuple(r) for r in fn(spark, SF001).collect()] for k, fn in E.queries().items()}
+    return {k: [tuple(r) for r in fn(spark, SF001).collect()] for k, fn in catalog.queries().items()}
 
 
 @pytest.fixture()
-def no_broadcast(spark, monkeypatch):
+def no_broadcast(spark):
     saved = {k: spark.conf.get(k, None) for k in OFF}
     for k, v in OFF.items():
         spark.conf.set(k, v)
-    # fresh table definitions, so no proof made under the old settings is reused
-    monkeypatch.setattr(fixture_module, "_CACHE", {})
     yield
     for k, v in saved.items():
         if v is None:
@@ -38,7 +33,7 @@ def no_broadcast(spark, monkeypatch):
 
 
 def test_sort_merge_plans_match(spark, expected, no_broadcast):
-    for key, fn in E.queries().items():
+    for key, fn in catalog.queries().items():
         df = fn(spark, SF001)
         plan = df._jdf.queryExecution().executedPlan().toString()
         got = [tuple(r) for r in df.collect()]
