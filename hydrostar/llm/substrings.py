@@ -25,9 +25,9 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructField, StructType
+from pyspark.sql.types import StructType
 
-from hydrostar.llm.common import SPACES, arrow_pass, stored, utf8
+from hydrostar.llm.common import SPACES, arrow_pass, stored, utf8, with_field
 
 SLICE_BYTES = 8 << 20
 # Odd multipliers of two rolling hashes, and of their mixing.
@@ -128,7 +128,10 @@ def walked(found: DataFrame, window: int) -> DataFrame:
         .where(F.col("source.id") < F.col("last"))
         .select("node", F.col("source.id").alias("source_id"), F.col("source.pos").alias("source_pos"))
     )
-    joined = found.join(source, "node").withColumn("later", F.col("source_id") < F.col("id"))
+    # Stored, so that both sides of the join are plain shuffles and AQE can
+    # split a k-mer that very many texts share.
+    joined = found.join(stored(source, "sources"), "node")
+    joined = joined.withColumn("later", F.col("source_id") < F.col("id"))
     along = Window.partitionBy("id", "row").orderBy("pos")
     offset = F.col("source_pos") - F.col("pos")
     follows = (
@@ -226,7 +229,7 @@ def repeated_spans(docs: DataFrame, window: int) -> DataFrame:
     nodes = stored(walked(stored(samples(docs, window), "samples"), window), "nodes")
     compact = paths(nodes, window)
     # All occurrences of the k-mers that some later document leaves open.
-    asked = nodes.where("open").select("node").distinct()
+    asked = stored(nodes.where("open").select("node").distinct(), "asked")
     asked = (
         nodes.join(asked, "node", "left_semi")
         .groupBy("id", "row")
@@ -244,7 +247,7 @@ def repeated_spans(docs: DataFrame, window: int) -> DataFrame:
         .where("first < last")
         .select("a", "b", "first")
     )
-    exact = hashes.join(first, ["a", "b"]).where(F.col("id") > F.col("first"))
+    exact = hashes.join(stored(first, "firsts"), ["a", "b"]).where(F.col("id") > F.col("first"))
     exact = exact.select("id", "row", "start", (F.col("start") + window).alias("end"))
     return _spans(compact.unionByName(exact), "spans")
 
@@ -300,11 +303,11 @@ def remove_repeats(
     text_col: str = "text",
     join_words: bool = False,
 ) -> DataFrame:
-    """(source, text, n_words, n_removed): every row with its text freed of
-    words that a window of ``window`` words covers whose word sequence also
-    starts in a document with a smaller id.
+    """(source, n_words, n_removed): every row, its text freed of words that a
+    window of ``window`` words covers whose word sequence also starts in a
+    document with a smaller id.
 
-    ``source`` is the whole input row.  Windows are judged on the input.
+    ``source`` is the row with the new text.  Windows are judged on the input.
     Null texts have no words and stay null (with ``join_words``: empty);
     null ids neither lose words nor make others lose any; rows of one id are
     judged each by its own text, and never against one another; repeated
@@ -329,25 +332,25 @@ def remove_repeats(
         done = [finish(t, merged(x)) for t, x in pairs]
         text, n, gone = zip(*done)
         return pa.RecordBatch.from_arrays(
-            [source, pa.array(text, pa.string()), pa.array(n, pa.int64()), pa.array(gone, pa.int64())],
-            names=["source", "text", "n_words", "n_removed"],
+            [
+                with_field(source, at, pa.array(text, pa.string())),
+                pa.array(n, pa.int64()),
+                pa.array(gone, pa.int64()),
+            ],
+            names=["source", "n_words", "n_removed"],
         )
 
     schema = StructType(
-        [
-            both.schema["source"],
-            StructField("text", df.schema[text_col].dataType),
-            *StructType.fromDDL("n_words long, n_removed long").fields,
-        ]
+        [both.schema["source"], *StructType.fromDDL("n_words long, n_removed long").fields]
     )
     return arrow_pass(both, rows, schema, slice_bytes=SLICE_BYTES)
 
 
 def digests(freed: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """The contract's columns (of texts with ``join_words``)."""
+    """The contract's columns (of a column ``text`` with ``join_words``)."""
     return freed.select(
         F.col(f"source.{id_col}").alias(id_col),
         "n_words",
         "n_removed",
-        F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"),
+        F.sha2(F.col("source.text").cast("binary"), 256).alias("kept_sha256"),
     )
