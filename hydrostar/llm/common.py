@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -107,3 +108,10 @@ def sliced(batch: pa.RecordBatch, slice_bytes: int) -> Iterator[pa.RecordBatch]:
     step = max(1, -(-batch.num_rows // n))
     for at in range(0, batch.num_rows, step):
         yield batch.slice(at, step)
+
+
+def with_field(rows: pa.Array, at: int, new: pa.Array) -> pa.StructArray:
+    """A struct column with its field number ``at`` replaced."""
+    fields = [rows.type.field(k) for k in range(rows.type.num_fields)]
+    arrays = [new if k == at else pc.struct_field(rows, k) for k in range(len(fields))]
+    return pa.StructArray.from_arrays(arrays, fields=fields)

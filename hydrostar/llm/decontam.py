@@ -24,9 +24,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql.types import BooleanType, StructField, StructType
 
-from hydrostar.llm.common import UPPER, arrow_pass, lower_ascii, utf8
+from hydrostar.llm.common import UPPER, arrow_pass, lower_ascii, utf8, with_field
 
 # Fixed value: the contract's word pattern (after lower-casing A-Z).
 WORD_PATTERN = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -324,20 +324,22 @@ def _searcher(shared, at: int):
 
 
 def cleaned(found: DataFrame, text_col: str = "text") -> DataFrame:
-    """source and text: the text without its spans (null texts stay null)."""
+    """source with the text freed of its spans (null texts stay null), and
+    whether it had any."""
     kept = found.select("source", "spans")
-    columns = kept.schema["source"].dataType.names
-    at = columns.index(text_col)
+    at = kept.schema["source"].dataType.names.index(text_col)
 
     def rows(batch: pa.RecordBatch) -> pa.RecordBatch:
-        texts = pc.struct_field(batch.column(0), at).to_pylist()
+        source = batch.column(0)
+        texts = pc.struct_field(source, at).to_pylist()
         spans = [[(x["start"], x["end"]) for x in xs] for xs in batch.column(1).to_pylist()]
         out = [cut_spans(t, xs) if xs else t for t, xs in zip(texts, spans)]
         return pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(out, pa.string())], names=["source", "text"]
+            [with_field(source, at, pa.array(out, pa.string())), pa.array([bool(x) for x in spans])],
+            names=["source", "changed"],
         )
 
-    schema = StructType([kept.schema["source"], StructField("text", StringType())])
+    schema = StructType([kept.schema["source"], StructField("changed", BooleanType())])
     return arrow_pass(kept, rows, schema, slice_bytes=SHARD_BYTES)
 
 

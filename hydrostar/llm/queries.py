@@ -78,12 +78,11 @@ def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    out = toxicity.held_out()
-    model = toxicity.fit(docs, labels.where(~out))
+    model = toxicity.fit(docs, labels.where(~toxicity.held_out()))
     scored = toxicity.score(docs.select("doc_id", "text"), model)
     return scored.select(
-        "doc_id",
-        out.alias("held_out"),
+        F.col("source.doc_id").alias("doc_id"),
+        toxicity.held_out("source.doc_id").alias("held_out"),
         F.col("toxicity").alias("score"),
         (F.col("toxicity") >= 0.5).cast("int").alias("predicted"),
     )

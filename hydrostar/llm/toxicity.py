@@ -22,6 +22,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
@@ -229,7 +230,7 @@ def train(
         return Model(np.zeros(BUCKETS, np.float32), bias)
     t = Trainer(texts, labels, seed)
     whole = Windows.of(t.words, max(int(t.words.counts.max()), 1))
-    for k in range(warm):
+    for k in range(max(warm, -(-min_steps // 8 // -(-len(texts) // BATCH)))):
         t.epoch(whole, np.arange(len(texts)), 0.05)
     windows = Windows.of(t.words, WINDOW)
     clean = np.flatnonzero(t.y[windows.of_text] == 0)
@@ -275,20 +276,20 @@ def scores(texts: list[str | None], model: Model) -> np.ndarray:
 
 
 def score(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """Every row with ``toxicity`` added; one pass, no shuffle.
+    """source (the whole row) and toxicity of every row; one pass, no shuffle.
 
     Null texts count as empty; repeated rows, null ids and any other column
-    go through unchanged (a column called toxicity is replaced).
+    go through unchanged in ``source``.
     """
-    source = df.drop("toxicity")
-    at = source.columns.index(text_col)
+    source = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("source"))
+    at = df.columns.index(text_col)
     shared = df.sparkSession.sparkContext.broadcast(model)
 
     def rows(batch: pa.RecordBatch) -> pa.RecordBatch:
-        found = scores(batch.column(at).to_pylist(), shared.value)
+        texts = pc.struct_field(batch.column(0), at).to_pylist()
         return pa.RecordBatch.from_arrays(
-            [*batch.columns, pa.array(found, pa.float64())],
-            names=[*batch.schema.names, "toxicity"],
+            [batch.column(0), pa.array(scores(texts, shared.value), pa.float64())],
+            names=["source", "toxicity"],
         )
 
     schema = StructType([*source.schema.fields, StructField("toxicity", DoubleType())])
