@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hydrostar.llm import bpe, decontam, simhash, substrings, toxicity
@@ -19,19 +19,16 @@ from hydrostar.llm.queries import tokenizer_path
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
-def _with_text(rows: DataFrame, columns: list[str]) -> DataFrame:
-    """``columns`` of the struct ``source`` with the new ``text``; n_chars
-    follows a text that changed."""
+def _columns(rows: DataFrame, columns: list[str], changed: Column | None = None) -> DataFrame:
+    """``columns`` of the struct ``source``; n_chars follows a text that
+    changed."""
     picked = []
     for c in columns:
-        old = F.col(f"source.`{c}`")
-        if c == "text":
-            old = F.col("text")
-        elif c == "n_chars":
+        value = F.col(f"source.`{c}`")
+        if c == "n_chars" and changed is not None:
             kind = rows.schema["source"].dataType[c].dataType
-            same = F.col("text").eqNullSafe(F.col("source.text"))
-            old = F.when(same, old).otherwise(F.length("text").cast(kind))
-        picked.append(old.alias(c))
+            value = F.when(changed, F.length("source.text").cast(kind)).otherwise(value)
+        picked.append(value.alias(c))
     return rows.select(*picked)
 
 
@@ -40,14 +37,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     documents still there, outside the held-out fold."""
     labels = table(spark, sf_dir, "labels")
     model = toxicity.fit(docs, labels.where(~toxicity.held_out()))
-    columns = docs.columns
-    whole = docs.select(
-        F.col("text").alias("text"), F.struct(*[F.col(f"`{c}`") for c in columns]).alias("source")
-    )
-    scored = toxicity.score(whole, model)
-    return scored.where(F.col("toxicity") < 0.5).select(
-        *[F.col(f"source.`{c}`").alias(c) for c in columns]
-    )
+    scored = toxicity.score(docs, model)
+    return _columns(scored.where(F.col("toxicity") < 0.5), docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -59,13 +50,13 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the words of 50-word windows that a document with a
     smaller id has too; a text that loses every word stays as an empty one."""
     freed = substrings.remove_repeats(docs, window=50)
-    return _with_text(freed, docs.columns)
+    return _columns(freed, docs.columns, F.col("n_removed") > 0)
 
 
 def cut_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the spans of words that benchmark phrases cover."""
     found = decontam.find(docs, table(spark, sf_dir, "benchmark"))
-    return _with_text(decontam.cleaned(found), docs.columns)
+    return _columns(decontam.cleaned(found), docs.columns, F.col("changed"))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
