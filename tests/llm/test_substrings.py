@@ -78,7 +78,7 @@ def test_texts_keep_their_form_outside_of_cuts(spark):
     passage = prose(9, 60, 500)
     rows = [(1, passage), (2, f"Before,\n\tthis.  {passage}\nAfter  that.\n"), (3, "clean  text\n"), (4, passage)]
     out = substrings.remove_repeats(documents(spark, rows))
-    got = {r["source"]["doc_id"]: r["text"] for r in out.collect()}
+    got = {r["source"]["doc_id"]: r["source"]["text"] for r in out.collect()}
     assert got == {1: passage, 2: "Before,\n\tthis.  After  that.\n", 3: "clean  text\n", 4: ""}
 
 
