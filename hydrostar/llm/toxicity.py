@@ -30,6 +30,7 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 from hydrostar.llm.common import LOWER_TABLE, arrow_pass, fold, utf8
 
 BUCKETS = 1 << 16
+WORD_BLOCK = 1 << 15
 NGRAMS = (3, 4, 5)
 DIM = 8
 WINDOW = 8
@@ -42,10 +43,18 @@ _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 def subwords(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of every word's n-grams, and the word each belongs to."""
+    """Buckets of every word's n-grams, word after word, and the word each
+    belongs to.  Words go through in blocks, so working memory is bounded."""
+    parts = [_subwords(words[at : at + WORD_BLOCK], at) for at in range(0, len(words), WORD_BLOCK)]
+    if not parts:
+        return np.empty(0, np.int32), np.empty(0, np.int32)
+    return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+
+
+def _subwords(words: list[bytes], start: int) -> tuple[np.ndarray, np.ndarray]:
     raw = np.frombuffer(b"".join(b"<%b>" % w for w in words), np.uint8).astype(np.uint64)
-    sizes = np.fromiter(map(len, words), np.int64, len(words)) + 2
-    owner = np.repeat(np.arange(len(words)), sizes)
+    sizes = np.fromiter(map(len, words), np.int32, len(words)) + 2
+    owner = np.repeat(np.arange(start, start + len(words), dtype=np.int32), sizes)
     buckets, owners = [], []
     with np.errstate(over="ignore"):
         h = raw + np.uint64(1)
@@ -56,11 +65,11 @@ def subwords(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
             if n in NGRAMS:
                 inside = owner[n - 1 :] == owner[: len(owner) - n + 1]
                 mixed = h[inside] * _MIX
-                buckets.append((mixed >> np.uint64(64 - 16)).astype(np.int64))
+                buckets.append((mixed >> np.uint64(64 - 16)).astype(np.int32))
                 owners.append(owner[n - 1 :][inside])
-    if not buckets:
-        return np.empty(0, np.int64), np.empty(0, np.int64)
-    return np.concatenate(buckets), np.concatenate(owners)
+    bucket, owner = np.concatenate(buckets), np.concatenate(owners)
+    order = np.argsort(owner, kind="stable")
+    return bucket[order], owner[order]
 
 
 @dataclass
@@ -144,8 +153,6 @@ class Trainer:
         self.y = np.array(labels, np.int64)
         self.words = Words.of(texts)
         self.bucket, owner = subwords(self.words.unique)
-        order = np.argsort(owner, kind="stable")
-        self.bucket = self.bucket[order]
         self.size = np.bincount(owner, minlength=len(self.words.unique))
         self.first = np.cumsum(self.size) - self.size
         self.rng = np.random.default_rng(seed)
@@ -163,8 +170,10 @@ class Trainer:
         return Model((e @ (w[:, 1] - w[:, 0])).astype(np.float32), float(b[1] - b[0]))
 
     def word_weights(self, model: Model) -> np.ndarray:
-        owner = np.repeat(np.arange(len(self.size)), self.size)
-        return np.bincount(owner, model.weights[self.bucket], minlength=len(self.size))
+        # Every word has a bag: its borders and one byte make an n-gram.
+        if not len(self.size):
+            return np.empty(0)
+        return np.add.reduceat(model.weights[self.bucket], self.first, dtype=np.float64)
 
     def epoch(self, windows: Windows, chosen: np.ndarray, rate: float) -> None:
         """One pass over the chosen windows in random order."""
