@@ -55,16 +55,14 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def cut_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the spans of words that benchmark phrases cover."""
-    found = decontam.find(docs, table(spark, sf_dir, "benchmark"))
-    return _columns(decontam.cleaned(found), docs.columns, F.col("changed"))
+    found = decontam.find(docs, table(spark, sf_dir, "benchmark"), clean=True)
+    return _columns(found, docs.columns, F.size("spans") > 0)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, ids (little-endian 32-bit integers), decoded text, and the
-    digests of both."""
-    path = tokenizer_path()
-    decoded = bpe.decode(bpe.encode(docs, path), path)
-    return bpe.digests(decoded, more=["ids", "decoded"])
+    """doc_id, ids (little-endian 32-bit integers), their number, and the
+    digests of the ids and of the text decoded from them."""
+    return bpe.digests(bpe.round_trip(docs, tokenizer_path()), more=["ids"])
 
 
 STAGES: list[tuple[str, Stage]] = [

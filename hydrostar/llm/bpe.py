@@ -9,7 +9,8 @@ pair are merged exactly.  Pairs are merged once, words once per cache life.
 The vocabulary file is a parameter.  The driver reads it and broadcasts its
 text (``MAX_VOCABULARY_BYTES`` at most), so executors need no copy of it.
 Normalisation and word splitting are those of the file.  There is no shuffle;
-a task holds one slice of texts and bounded caches.
+a task holds one slice of texts and bounded caches, and nothing stays in the
+worker after it.
 """
 
 from __future__ import annotations
@@ -18,7 +19,6 @@ import heapq
 import json
 import re
 import unicodedata
-from functools import lru_cache
 
 import ahocorasick
 import numpy as np
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from hydrostar.llm.common import arrow_pass
 
 MAX_VOCABULARY_BYTES = 64 << 20
-MAX_CACHED_WORDS = 300_000
+MAX_CACHED_WORDS = 200_000
 MAX_CACHED_PAIRS = 1_000_000
 # Longer words are merged one by one, from a heap.
 MAX_ROUND_SYMBOLS = 64
@@ -337,16 +337,6 @@ class Decoder:
         return " ".join(map(self.names.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
-@lru_cache(maxsize=1)
-def _encoder(text: str) -> Encoder:
-    return Encoder(text)
-
-
-@lru_cache(maxsize=1)
-def _decoder(text: str) -> Decoder:
-    return Decoder(text)
-
-
 def _broadcast(df: DataFrame, tokenizer_path: str):
     with open(tokenizer_path, encoding="utf-8") as f:
         text = f.read(MAX_VOCABULARY_BYTES + 1)
@@ -374,7 +364,7 @@ def encode(
     source = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = source.schema["id"].dataType.simpleString()
     out = arrow_pass(
-        source, rows, f"id {kind}, ids binary", lambda: _encoder(shared.value), slice_bytes=4 << 20
+        source, rows, f"id {kind}, ids binary", lambda: Encoder(shared.value), slice_bytes=4 << 20
     )
     return out.withColumnRenamed("id", id_col)
 
@@ -395,7 +385,38 @@ def decode(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id") -> DataFr
         source,
         rows,
         f"id {kind}, ids binary, decoded string",
-        lambda: _decoder(shared.value),
+        lambda: Decoder(shared.value),
+        slice_bytes=4 << 20,
+    )
+    return out.withColumnRenamed("id", id_col)
+
+
+def round_trip(
+    df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """``decode(encode(df))`` in one pass, hence one worker a task: id, ids
+    and the text decoded from these ids."""
+    shared = _broadcast(df, tokenizer_path)
+
+    def rows(batch: pa.RecordBatch, both: tuple[Encoder, Decoder]) -> pa.RecordBatch:
+        encoder, decoder = both
+        ids = encoder.encode(["" if t is None else t for t in batch.column(1).to_pylist()])
+        return pa.RecordBatch.from_arrays(
+            [
+                batch.column(0),
+                pa.array(ids, pa.binary()),
+                pa.array([decoder.decode(x) for x in ids], pa.string()),
+            ],
+            names=["id", "ids", "decoded"],
+        )
+
+    source = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    kind = source.schema["id"].dataType.simpleString()
+    out = arrow_pass(
+        source,
+        rows,
+        f"id {kind}, ids binary, decoded string",
+        lambda: (Encoder(shared.value), Decoder(shared.value)),
         slice_bytes=4 << 20,
     )
     return out.withColumnRenamed("id", id_col)

@@ -16,6 +16,14 @@ from hydrostar.session import checkpoint_dir
 
 PACKAGE_ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
+WORKER_MEMORY = {
+    "MALLOC_MMAP_THRESHOLD_": str(1 << 20),
+    "MALLOC_TRIM_THRESHOLD_": str(8 << 20),
+    "MALLOC_ARENA_MAX": "2",
+    "ARROW_DEFAULT_MEMORY_POOL": "system",
+}
+ARROW_BYTES, ARROW_BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20
+
 # The characters that separate words, and ASCII lower-casing.
 SPACES = "\x20\x09\x0a\x0b\x0c\x0d"
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
@@ -87,11 +95,21 @@ def arrow_pass(
 
 def import_on_workers(spark: SparkSession) -> None:
     """Let Python workers import this package from where the driver did (a
-    cluster without that path ships it with ``--py-files``)."""
+    cluster without that path ships it with ``--py-files``), and bound the
+    bytes of the batches they get."""
     environment = spark.sparkContext.environment
     known = environment.get("PYTHONPATH", "").split(os.pathsep)
     if PACKAGE_ROOT not in known:
         environment["PYTHONPATH"] = os.pathsep.join([PACKAGE_ROOT, *filter(None, known)])
+    # Workers give large arrays back to the system when they are freed, so that
+    # one operator's peak does not stay with the next one's.
+    for name, value in WORKER_MEMORY.items():
+        environment.setdefault(name, value)
+    # Texts are long: the default of 10,000 rows a batch alone would let a
+    # batch, its copy in the worker and its reply grow to hundreds of MB.
+    # A value that the session has set itself stays.
+    if spark.conf.get(ARROW_BYTES, None) is None:
+        spark.conf.set(ARROW_BYTES, str(ARROW_BATCH_BYTES))
 
 
 def map_in_arrow(df: DataFrame, run: Callable, schema: str | StructType) -> DataFrame:

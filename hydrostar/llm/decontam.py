@@ -24,7 +24,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, StructField, StructType
+from pyspark.sql.types import StructType
 
 from hydrostar.llm.common import UPPER, arrow_pass, lower_ascii, utf8, with_field
 
@@ -32,7 +32,7 @@ from hydrostar.llm.common import UPPER, arrow_pass, lower_ascii, utf8, with_fiel
 WORD_PATTERN = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WINDOW = 10
 BLOCK_PHRASES = 50_000
-SHARD_BYTES = 8 << 20
+SHARD_BYTES = 4 << 20
 SAMPLE = 8
 
 # The same words by bytes: A-Z to a-z, other ASCII that is no letter or digit
@@ -272,9 +272,10 @@ def find(
     text_col: str = "text",
     item_id_col: str = "item_id",
     item_text_col: str = "text",
+    clean: bool = False,
 ) -> DataFrame:
     """source (the whole row), n_words, spans (word numbers, end exclusive)
-    and items.
+    and items.  With ``clean`` the row's text comes without its spans.
 
     One row per document row; null texts have no words; ids may repeat or be
     null; other columns go through in ``source``.  An empty benchmark finds
@@ -294,14 +295,17 @@ def find(
     for b in range(blocks):
         mine = found.where(F.pmod(F.xxhash64("words"), F.lit(blocks)) == b).collect()
         shared = spark.sparkContext.broadcast(Block([(r["words"], r["items"]) for r in mine]))
-        out = arrow_pass(out, _searcher(shared, at), schema, slice_bytes=SHARD_BYTES)
+        search = _searcher(shared, at, clean and b == blocks - 1)
+        out = arrow_pass(out, search, schema, slice_bytes=SHARD_BYTES)
     found.unpersist()
     return out
 
 
-def _searcher(shared, at: int):
+def _searcher(shared, at: int, clean: bool):
     def rows(batch: pa.RecordBatch) -> pa.RecordBatch:
-        texts = [utf8(t) for t in pc.struct_field(batch.column(0), at).to_pylist()]
+        source = batch.column(0)
+        given = pc.struct_field(source, at).to_pylist()
+        texts = [utf8(t) for t in given]
         counts, spans, items = shared.value.hits(texts)
         before = zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())
         all_spans, all_items = [], []
@@ -310,9 +314,15 @@ def _searcher(shared, at: int):
                 new = merged([*([x["start"], x["end"]] for x in old), *new])
             all_spans.append([{"start": s, "end": e} for s, e in new])
             all_items.append(sorted({*named, *more}))
+        if clean:
+            cut = [
+                cut_spans(t, [(x["start"], x["end"]) for x in xs]) if xs else t
+                for t, xs in zip(given, all_spans)
+            ]
+            source = with_field(source, at, pa.array(cut, pa.string()))
         return pa.RecordBatch.from_arrays(
             [
-                batch.column(0),
+                source,
                 pa.array(counts),
                 pa.array(all_spans, _SPANS),
                 pa.array(all_items, pa.list_(pa.string())),
@@ -323,26 +333,6 @@ def _searcher(shared, at: int):
     return rows
 
 
-def cleaned(found: DataFrame, text_col: str = "text") -> DataFrame:
-    """source with the text freed of its spans (null texts stay null), and
-    whether it had any."""
-    kept = found.select("source", "spans")
-    at = kept.schema["source"].dataType.names.index(text_col)
-
-    def rows(batch: pa.RecordBatch) -> pa.RecordBatch:
-        source = batch.column(0)
-        texts = pc.struct_field(source, at).to_pylist()
-        spans = [[(x["start"], x["end"]) for x in xs] for xs in batch.column(1).to_pylist()]
-        out = [cut_spans(t, xs) if xs else t for t, xs in zip(texts, spans)]
-        return pa.RecordBatch.from_arrays(
-            [with_field(source, at, pa.array(out, pa.string())), pa.array([bool(x) for x in spans])],
-            names=["source", "changed"],
-        )
-
-    schema = StructType([kept.schema["source"], StructField("changed", BooleanType())])
-    return arrow_pass(kept, rows, schema, slice_bytes=SHARD_BYTES)
-
-
 def cut_spans(text: str, spans: list[tuple[int, int]]) -> str:
     """The text without the bytes from each span's first to its last word.
 

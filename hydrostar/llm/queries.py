@@ -67,9 +67,7 @@ def tokenizer_path() -> str:
 
 
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = tokenizer_path()
-    ids = bpe.encode(table(spark, sf_dir, "documents"), path)
-    return bpe.digests(bpe.decode(ids, path))
+    return bpe.digests(bpe.round_trip(table(spark, sf_dir, "documents"), tokenizer_path()))
 
 
 def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:

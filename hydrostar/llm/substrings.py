@@ -29,7 +29,7 @@ from pyspark.sql.types import StructType
 
 from hydrostar.llm.common import SPACES, arrow_pass, stored, utf8, with_field
 
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 4 << 20
 # Odd multipliers of two rolling hashes, and of their mixing.
 _ROLL = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 _MIX = np.uint64(0xFF51AFD7ED558CCD)
@@ -82,7 +82,9 @@ class Slice:
         self.starts = starts
         if len(starts):
             view = np.lib.stride_tricks.sliding_window_view(self.kmers, per)
-            self.sample = starts + view[starts].argmin(axis=1)
+            # In pieces: picking rows of the view copies them.
+            pieces = np.split(starts, range(1 << 15, len(starts), 1 << 15))
+            self.sample = starts + np.concatenate([view[p].argmin(axis=1) for p in pieces])
         else:
             self.sample = starts
 

@@ -302,7 +302,7 @@ def score(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
         )
 
     schema = StructType([*source.schema.fields, StructField("toxicity", DoubleType())])
-    return arrow_pass(source, rows, schema, slice_bytes=4 << 20)
+    return arrow_pass(source, rows, schema, slice_bytes=2 << 20)
 
 
 def held_out(id_col: str = "doc_id", folds: int = 5) -> Column:
