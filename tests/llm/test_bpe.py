@@ -60,6 +60,8 @@ def test_documents(spark):
         ).first()
 
     assert got == sorted(str(want(*r)) for r in rows)
+    once = bpe.digests(bpe.round_trip(df, PATH))
+    assert sorted(map(str, once.collect())) == got
     assert bpe.digests(bpe.decode(bpe.encode(documents(spark, []), PATH), PATH)).count() == 0
 
 

@@ -106,6 +106,6 @@ def test_cuts(spark):
     item = prose(7, 20, 500)
     rows = [(1, f"Intro ({item.upper()}), end."), (2, item), (3, "clean, text.\n"), (4, None)]
     bench = spark.createDataFrame([(1, item)], "item_id long, text string")
-    out = decontam.cleaned(decontam.find(documents(spark, rows), bench)).collect()
+    out = decontam.find(documents(spark, rows), bench, clean=True).collect()
     got = {r["source"]["doc_id"]: r["source"]["text"] for r in out}
     assert got == {1: "Intro (), end.", 2: "", 3: "clean, text.\n", 4: None}
