@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hydrostar.llm.common import map_in_arrow
+from hydrostar.llm.common import map_in_arrow, stored
 
 CRLF = "\r\n"
 # Digits of conv() in base 32, and of RFC 4648 base 32.
@@ -60,9 +60,20 @@ def resolve(heads: DataFrame, min_bytes: int = 0) -> DataFrame:
     distinct = heads.groupBy("page_id", "payload_digest").agg(
         F.max("payload_bytes").alias("payload_bytes")
     )
-    first = heads.groupBy("payload_digest").agg(F.max("page_id").alias("response_id"))
-    joined = distinct.join(first, "payload_digest")
-    own = F.col("page_id").eqNullSafe(F.col("response_id")) | (F.col("payload_bytes") < min_bytes)
+    # Only digests that several rows have; stored, so that both sides of the
+    # join are plain shuffles and AQE can split a very common payload.
+    shared = (
+        heads.groupBy("payload_digest")
+        .agg(F.max("page_id").alias("response_id"), F.count("*").alias("n"))
+        .where("n > 1")
+        .select("payload_digest", "response_id", F.lit(True).alias("shared"))
+    )
+    joined = distinct.join(stored(shared, "warc-shared"), "payload_digest", "left")
+    own = (
+        F.col("shared").isNull()
+        | F.col("page_id").eqNullSafe(F.col("response_id"))
+        | (F.col("payload_bytes") < min_bytes)
+    )
     return joined.select(
         "page_id",
         "payload_digest",
@@ -250,9 +261,9 @@ def resolved(rows: DataFrame) -> DataFrame:
     """Revisits joined to the response they refer to, for its id and length.
 
     A revisit whose response is missing or has another digest raises.  The
-    response side has one row per record id (a repeated page repeats its
-    record, hence the aggregate); a response that a third of all rows refer
-    to skews only the other side, which AQE splits.
+    response side has one row for each record that is referred to (a repeated
+    page repeats its record, hence the aggregate), stored; a response that a
+    third of all rows refer to skews only the other side, which AQE splits.
     """
     target = (
         rows.where("record_type = 'response'")
@@ -263,7 +274,10 @@ def resolved(rows: DataFrame) -> DataFrame:
             F.max("payload_digest").alias("response_digest"),
         )
     )
-    revisits = rows.where("record_type = 'revisit'").join(target, "refers_record", "left")
+    revisits = rows.where("record_type = 'revisit'")
+    asked = revisits.select("refers_record").distinct()
+    target = stored(target.join(asked, "refers_record", "left_semi"), "warc-targets")
+    revisits = revisits.join(target, "refers_record", "left")
     good = F.coalesce(F.col("response_digest") == F.col("payload_digest"), F.lit(False))
     revisits = revisits.select(
         "page_id",
