@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from hydrostar.llm.common import fold, stored
 
 WINDOW = 8
+BROADCAST_ROWS = 200_000
 # The base rule's limits.
 MIN_WORDS, MAX_REPEAT_PERCENT = 20, 30
 _SPACE = r"[\x20\x09-\x0D]+"
@@ -165,7 +166,11 @@ def labelled(
         .limit(fit_rows)
     )
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    texts = texts.join(chosen.select(F.col("label_id").alias("id")), "id", "left_semi")
+    ids = chosen.select(F.col("label_id").alias("id"))
+    if fit_rows <= BROADCAST_ROWS:
+        # At most fit_rows ids: the texts need not be shuffled to find them.
+        ids = F.broadcast(ids)
+    texts = texts.join(ids, "id", "left_semi")
     # Stored before the filter: pushed below the measures, it would repeat them.
     rows = stored(measures(base_measures(texts, "id", "text")), "measures").where(~base_failed())
     rows = rows.join(chosen, rows["id"] == chosen["label_id"])
