@@ -204,6 +204,9 @@ def near_duplicates(
     """
     rows = stored(fingerprints(df, shingle, id_col, text_col), "fingerprints")
     named = classes(rows, distance).select("fp", F.col("first.id").alias("component_id"))
+    # Stored, so that both sides of the join are plain shuffles and AQE can
+    # split a fingerprint that very many rows have.
+    named = stored(named, "named")
     return rows.join(named, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
 
 
