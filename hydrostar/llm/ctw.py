@@ -2,29 +2,33 @@
 
 Text is lower-cased (A-Z) and read as words, each closed by a space, with one
 line feed at the end.  A byte is eight binary decisions; its context is the
-bytes before it back to the space that starts its word: the last one, two,
-... up to ``depth`` bytes, and then the whole word so far.  Every node
-(context, bits of the byte so far) counts zeros and ones over the training
-texts and has the Krichevsky-Trofimov estimate; context-tree weighting mixes
-the estimates of all depths along a context, each node weighing its own
-estimate against the other depths by their probabilities of the training
-data.  A depth whose node the training texts never reached leaves the word to
-the depths before it.
-
-Since contexts end at the word's start, a word's probability is a function of
-the word, and the work is on different words instead of positions:
-
-1. ``number_words``: batches of texts number their words; texts become word
-   numbers, and each batch lists its words with training counts.
-2. ``vocabulary``: one shuffle by word gives every listed word its corpus
+last one, two, ... up to ``depth`` bytes of the text before it, spaces and
+earlier words included (before its start a text has a space, and line feeds
+before that).  Every node (context, bits of the byte so far) counts zeros and
+ones over the training texts and has the Krichevsky-Trofimov estimate;
+context-tree weighting mixes the estimates of all depths along a context,
+each node weighing its own estimate against the other depths by their
+probabilities of the training data.  A depth whose node the training texts
+never reached leaves the byte to the depths before it.
+
+Inside a word, from its byte number ``depth`` on, one depth more is mixed in:
+the whole word so far (``whole_prefixes``).  There the ``depth`` bytes before
+are the word's own, so what this depth adds to a word is a function of the
+word, and that work is on different words instead of positions.
+
+With ``across_words=False`` contexts end at the space that starts the word.
+
+1. ``number_words``: batches of texts list their (context, byte) pairs and
+   their words, each with training counts, and keep their texts.
+2. One shuffle by pair gives every pair its corpus count; ``tree_levels`` /
+   ``mixed``: one aggregate a depth upward for the weights, one join a depth
+   downward for the mixture.
+3. ``vocabulary``: one shuffle by word gives every listed word its corpus
    count and deals the words into shards by their first ``depth`` bytes.
-3. ``gram_counts``: shards count (context, byte) pairs; Spark sums them.
-4. ``tree_levels`` / ``mixed``: one aggregate a depth upward for the weights,
-   one join a depth downward for the mixture.
-5. ``word_scores``: shards add the last depth (words that share a whole
-   prefix of ``depth`` bytes or more share a shard) and score their words;
-   rows go back to the batches.
-6. ``score``: batches add up their texts.
+4. ``word_scores``: shards add the last depth (words that share a whole
+   prefix of ``depth`` bytes or more share a shard); what it adds to a word,
+   and the pairs' probabilities, go back to the batches.
+5. ``score``: batches look up every position and add up their texts.
 
 Counts cover every training text.  Nothing but a few totals reaches the
 driver; the model is tables as large as the corpus makes them.
@@ -36,6 +40,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -52,65 +57,181 @@ from hydrostar.llm.common import (
 
 BATCH_BYTES = 24 << 20
 SHARD_WORDS = 1_000_000
+PIECE_BYTES = 4 << 20
+# So many texts are compressed together.
+PACKED = 256
 SPACE, END = 32, 10
 LN2, LN10 = float(np.log(2)), float(np.log(10))
 # Prefixes longer than this are left to the depths before.
 PREFIX_BYTES = 32
 
 
-def number_words(docs: DataFrame) -> DataFrame:
-    """From (id, held_out, text): rows of texts (id, held_out, n_bytes, ids:
-    word numbers of the batch) and rows of words (k: the number, word, count:
-    occurrences in training texts), both with their batch.
+def text_grams(
+    lines: list[bytes], depth: int, across_words: bool
+) -> Iterator[tuple[np.ndarray, np.ndarray, list[int]]]:
+    """For every byte of every line but the space that starts it, in order and
+    in pieces of bounded size: the key (number of context bytes, context,
+    byte), where in the keys each part of a line starts, and the parts' lines."""
+    before = b"\n" * (depth - 1) if across_words else b""
+    start = len(before) + 1
+    parts: list[bytes] = []
+    owners: list[int] = []
+    skips: list[int] = []
+    size = 0
+
+    def keys() -> tuple[np.ndarray, np.ndarray, list[int]]:
+        # ``depth`` bytes in front let every context be a slice.
+        raw = np.frombuffer(b" " * depth + b"".join(parts), np.uint8)
+        n = len(raw) - depth
+        sizes = np.fromiter(map(len, parts), np.int64, len(parts))
+        starts = np.cumsum(sizes) - sizes
+        used = None
+        if not across_words:
+            at = np.arange(len(raw))
+            space = np.maximum.accumulate(np.where(raw == SPACE, at, 0))
+            used = np.minimum(at - np.concatenate([[0], space[:-1]]), depth)[depth:]
+        key = raw[depth:].astype(np.int64)
+        for j in range(1, depth + 1):
+            byte = raw[depth - j : depth - j + n].astype(np.int64)
+            byte <<= 8 * j
+            key |= byte if used is None else np.where(used >= j, byte, 0)
+        key |= depth << 56 if used is None else used << 56
+        asked = np.ones(n, bool)
+        for j in range(max(skips)):
+            asked[starts[np.array(skips) > j] + j] = False
+        return key[asked], starts - (np.cumsum(skips) - skips), owners
+
+    for k, line in enumerate(lines):
+        line = before + line
+        for s in range(0, len(line), PIECE_BYTES):
+            # Later pieces of a long line carry the bytes before them along.
+            head = min(s, depth)
+            part = line[s - head : s + PIECE_BYTES]
+            parts.append(part)
+            owners.append(k)
+            skips.append(head if s else start)
+            size += len(part)
+            if size >= PIECE_BYTES:
+                yield keys()
+                parts, owners, skips, size = [], [], [], 0
+    if parts:
+        yield keys()
+
+
+class Lookup:
+    """Values of sorted different keys: one hashed slot a key; keys that share
+    a slot are searched."""
+
+    def __init__(self, key: np.ndarray, value: np.ndarray):
+        self.key, self.value = key, value
+        self.shift = np.uint64(64 - max(4, int(len(key)).bit_length() + 2))
+        self.slot = np.zeros(1 << 64 - int(self.shift), np.int32)
+        self.slot[self._hash(key)] = np.arange(len(key), dtype=np.int32)
+
+    def _hash(self, key: np.ndarray) -> np.ndarray:
+        mixed_bits = key.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        mixed_bits >>= self.shift
+        return mixed_bits.view(np.int64)
+
+    def __call__(self, key: np.ndarray) -> np.ndarray:
+        at = self.slot[self._hash(key)]
+        other = np.flatnonzero(self.key[at] != key)
+        at[other] = np.searchsorted(self.key, key[other])
+        return self.value[at]
+
+
+def _sums(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Different keys in order, with the sums of their counts."""
+    key, back = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+    n = np.bincount(back, np.concatenate([p[1] for p in parts]), minlength=len(key))
+    return key, n
+
+
+def pair_counts(
+    lines: list[bytes], held: list[bool], depth: int, across_words: bool
+) -> tuple[np.ndarray, np.ndarray]:
+    """The different keys of ``text_grams``, and how often lines that are not
+    held out have them."""
+    parts: list[tuple[np.ndarray, np.ndarray]] = []
+    for kind in (False, True):
+        some = [line for line, h in zip(lines, held) if bool(h) == kind]
+        for key, _, _ in text_grams(some, depth, across_words):
+            key, n = np.unique(key, return_counts=True)
+            parts.append((key, n * (0.0 if kind else 1.0)))
+            # Merge where at least half as much came as was there.
+            while len(parts) > 1 and 2 * len(parts[-1][0]) >= len(parts[-2][0]):
+                parts[-2:] = [_sums(parts[-2:])]
+    return _sums(parts)
+
+
+def number_words(docs: DataFrame, depth: int, across_words: bool) -> DataFrame:
+    """From (id, held_out, text): rows of texts (row: the number in the batch,
+    id, held_out, n_bytes, line: the folded texts from here on, packed), rows of words (k: the
+    number, word, count: occurrences in training texts) and rows of pairs
+    (gram, count), all with their batch.
 
     A batch is a run of texts of one input partition, so it is the same
-    again when a lost task is repeated.
+    again when a lost task is repeated.  Words are numbered as they first
+    occur in the batch's rows.
     """
     id_type = docs.schema["id"].dataType.simpleString()
-    names = ["batch", "id", "held_out", "n_bytes", "ids", "k", "word", "count"]
+    schema = (
+        f"batch long, row int, id {id_type}, held_out boolean, n_bytes long, line binary, "
+        "k int, word binary, gram long, count long"
+    )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         serial = TaskContext.get().partitionId() << 24
         kind = None
         number: dict[bytes, int] = {}
         rows: list[tuple] = []
+        trained: list[np.ndarray] = [np.zeros(0, np.uint32)]
         size = 0
 
+        def made(m: int, **columns: pa.Array) -> pa.RecordBatch:
+            kinds = {
+                "batch": pa.int64(), "row": pa.int32(), "id": kind, "held_out": pa.bool_(),
+                "n_bytes": pa.int64(), "line": pa.binary(), "k": pa.int32(), "word": pa.binary(),
+                "gram": pa.int64(), "count": pa.int64(),
+            }
+            columns["batch"] = pa.array(np.full(m, serial))
+            return pa.RecordBatch.from_arrays(
+                [columns[c] if c in columns else pa.nulls(m, t) for c, t in kinds.items()],
+                names=list(kinds),
+            )
+
         def flush() -> Iterator[pa.RecordBatch]:
-            n, words = len(rows), list(number)
+            words = list(number)
             counts = np.zeros(len(words), np.int64)
-            for _, held, _, ids in rows:
-                if not held:
-                    counts += np.bincount(np.frombuffer(ids, "<u4"), minlength=len(words))
-            ids, held, n_bytes, coded = zip(*rows)
-            columns = [
-                pa.array(np.full(n, serial)),
-                pa.array(ids, kind),
-                pa.array(held, pa.bool_()),
-                pa.array(n_bytes, pa.int64()),
-                pa.array(coded, pa.binary()),
-                pa.nulls(n, pa.int32()),
-                pa.nulls(n, pa.binary()),
-                pa.nulls(n, pa.int64()),
-            ]
-            for at in range(0, n, 256):
-                yield pa.RecordBatch.from_arrays([c[at : at + 256] for c in columns], names=names)
+            for some in trained:
+                counts += np.bincount(some, minlength=len(words))
+            ids, held, n_bytes, lines = zip(*rows)
+            for at in range(0, len(rows), PACKED):
+                cut = slice(at, at + PACKED)
+                m = len(ids[cut])
+                packed = pa.compress(b"".join(lines[cut]), codec="zstd", asbytes=True)
+                yield made(
+                    m,
+                    row=pa.array(np.arange(at, at + m, dtype=np.int32)),
+                    id=pa.array(ids[cut], kind),
+                    held_out=pa.array(held[cut], pa.bool_()),
+                    n_bytes=pa.array(n_bytes[cut], pa.int64()),
+                    line=pa.array([packed] + [None] * (m - 1), pa.binary()),
+                )
             for at in range(0, len(words), 1 << 16):
                 part = words[at : at + (1 << 16)]
                 m = len(part)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.full(m, serial)),
-                        pa.nulls(m, kind),
-                        pa.nulls(m, pa.bool_()),
-                        pa.nulls(m, pa.int64()),
-                        pa.nulls(m, pa.binary()),
-                        pa.array(np.arange(at, at + m, dtype=np.int32)),
-                        pa.array(part, pa.binary()),
-                        pa.array(counts[at : at + m]),
-                    ],
-                    names=names,
+                yield made(
+                    m,
+                    k=pa.array(np.arange(at, at + m, dtype=np.int32)),
+                    word=pa.array(part, pa.binary()),
+                    count=pa.array(counts[at : at + m]),
                 )
+            gram, n = pair_counts(lines, held, depth, across_words)
+            for at in range(0, len(gram), 1 << 16):
+                part = gram[at : at + (1 << 16)]
+                seen = n[at : at + (1 << 16)].astype(np.int64)
+                yield made(len(part), gram=pa.array(part), count=pa.array(seen))
 
         for batch in batches:
             for part in sliced(batch, 4 << 20):
@@ -118,22 +239,32 @@ def number_words(docs: DataFrame) -> DataFrame:
                 for i, held, text in zip(*(c.to_pylist() for c in part.columns)):
                     words = utf8(text).translate(LOWER_TABLE).split()
                     ids = [number.setdefault(w, len(number)) for w in words]
-                    n_bytes = sum(map(len, words)) + len(words) + 1
-                    rows.append((i, held, n_bytes, np.array(ids, "<u4").tobytes()))
+                    if not held:
+                        trained.append(np.array(ids, np.uint32))
+                    line = b" ".join([b"", *words, b"\n"])
+                    n_bytes = len(line) - 1
+                    rows.append((i, held, n_bytes, line))
                     size += n_bytes
                     if size >= BATCH_BYTES:
                         yield from flush()
                         serial, number, rows, size = serial + 1, {}, [], 0
+                        trained = [np.zeros(0, np.uint32)]
         if rows:
             yield from flush()
 
-    schema = (
-        f"batch long, id {id_type}, held_out boolean, n_bytes long, ids binary, "
-        "k int, word binary, count long"
-    )
     return map_in_arrow(docs, run, schema)
 
 
+def unpacked(n_bytes: np.ndarray, packed: list[bytes | None]) -> list[bytes]:
+    """The folded texts of a batch, whose rows are in order."""
+    lines: list[bytes] = []
+    for at in range(0, len(packed), PACKED):
+        ends = np.cumsum(n_bytes[at : at + PACKED] + 1).tolist()
+        whole = pa.decompress(packed[at], decompressed_size=ends[-1], codec="zstd", asbytes=True)
+        lines += [whole[a:b] for a, b in zip([0, *ends], ends)]
+    return lines
+
+
 def vocabulary(listed: DataFrame, shards: int, depth: int) -> DataFrame:
     """(shard, batch, k, word, c, first): each listed word with its corpus
     count c; ``first`` marks one row of every different word.
@@ -152,63 +283,49 @@ def vocabulary(listed: DataFrame, shards: int, depth: int) -> DataFrame:
     )
 
 
-def grams(words: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """For every byte of every word and its closing space, in order: the key
-    (number of context bytes, context, byte), and the word it belongs to."""
-    raw = np.frombuffer(b" " + b" ".join(words) + b" ", np.uint8).astype(np.int64)
+def grams(words: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For the bytes of every word and its closing space, in order, that have
+    ``depth`` bytes of the word before them: the key (``depth``, context,
+    byte), the place among all bytes, and the word they belong to."""
+    raw = np.frombuffer(b" " + b" ".join(words) + b" ", np.uint8)
     sizes = np.fromiter(map(len, words), np.int64, len(words)) + 1
     owner = np.repeat(np.arange(len(words)), sizes)
-    at = np.arange(1, len(raw))
-    back = at - (np.cumsum(sizes) - sizes)[owner]
-    used = np.minimum(back, depth)
-    context = np.zeros(len(at), np.int64)
+    place = np.flatnonzero(np.arange(len(owner)) - (np.cumsum(sizes) - sizes)[owner] >= depth)
+    context = np.zeros(len(place), np.int64)
     for j in range(1, depth + 1):
-        context |= np.where(used >= j, raw[np.maximum(at - j, 0)] << 8 * (j - 1), 0)
-    return gram_key(used, context, raw[1:]), owner
+        context |= raw[place + 1 - j].astype(np.int64) << 8 * (j - 1)
+    return gram_key(np.full(len(place), depth), context, raw[place + 1]), place, owner[place]
 
 
 def gram_key(used, context, byte):
     return used << 56 | context << 8 | byte
 
 
-def gram_counts(words: DataFrame, depth: int) -> DataFrame:
-    """(shard, gram, n) of the different words, n weighted by their counts."""
+def shard_grams(words: DataFrame, depth: int) -> DataFrame:
+    """(shard, gram): the different pairs that the shards' words ask for."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: dict[int, list] = {}
-
-        def sums(parts: list) -> tuple[np.ndarray, np.ndarray]:
-            key, back = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
-            n = np.bincount(back, np.concatenate([p[1] for p in parts]), minlength=len(key))
-            return key, n
-
         for batch in batches:
             shard = batch.column(0).to_numpy()
             for s in np.unique(shard).tolist():
                 mine = pa.array(np.flatnonzero(shard == s))
-                key, owner = grams(batch.column(1).take(mine).to_pylist(), depth)
-                n = batch.column(2).take(mine).to_numpy()[owner].astype(np.float64)
+                key = np.unique(grams(batch.column(1).take(mine).to_pylist(), depth)[0])
                 parts = kept.setdefault(s, [])
-                parts.append(sums([(key, n)]))
+                parts.append(key)
                 # Merge where at least half as much came as was there.
-                while len(parts) > 1 and 2 * len(parts[-1][0]) >= len(parts[-2][0]):
-                    parts[-2:] = [sums(parts[-2:])]
+                while len(parts) > 1 and 2 * len(parts[-1]) >= len(parts[-2]):
+                    parts[-2:] = [np.unique(np.concatenate(parts[-2:]))]
         for s, parts in kept.items():
-            key, n = sums(parts)
+            key = np.unique(np.concatenate(parts))
             for at in range(0, len(key), 1 << 16):
                 k = key[at : at + (1 << 16)]
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.full(len(k), s, np.int32)),
-                        pa.array(k),
-                        pa.array(n[at : at + (1 << 16)].astype(np.int64)),
-                    ],
-                    names=["shard", "gram", "n"],
+                    [pa.array(np.full(len(k), s, np.int32)), pa.array(k)], names=["shard", "gram"]
                 )
 
-    found = map_in_arrow(words.select("shard", "word", "c"), run, "shard int, gram long, n long")
     # A shard read in several tasks lists a pair several times.
-    return found.groupBy("shard", "gram").agg(F.sum("n").alias("n"))
+    return map_in_arrow(words.select("shard", "word"), run, "shard int, gram long").distinct()
 
 
 def _ln_gamma(x: Column) -> Column:
@@ -250,7 +367,7 @@ def tree_levels(counted: DataFrame, depth: int) -> list[DataFrame]:
     """For each depth, its nodes: context, node, a, b (zeros and ones), kt,
     lw (log weighted probability) and leaf (no deeper context).
 
-    Contexts that reach the word's start are leaves at their own depth.
+    Contexts that end at the word's start are leaves at their own depth.
     """
     leaves = stored(
         _bits(counted)
@@ -407,19 +524,23 @@ def whole_prefixes(words: list[bytes], counts: np.ndarray, each: np.ndarray, dep
 
 
 def word_scores(words: DataFrame, scored: DataFrame, depth: int) -> DataFrame:
-    """(batch, k, c, lp) of every listed word; ``scored`` has (shard, gram, lp)."""
+    """(batch, k, c, lp) of every listed word, lp: what the last depth adds to
+    its log10 probability; ``scored`` has (shard, gram, lp)."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         coded = left.column("word").combine_chunks().dictionary_encode()
         different, number = coded.dictionary.to_pylist(), coded.indices.to_numpy()
         counts = np.zeros(len(different))
         counts[number] = left.column("c").to_numpy()
-        key, owner = grams(different, depth)
+        key, place, owner = grams(different, depth)
         gram = right.column("gram").to_numpy()
         order = np.argsort(gram)
-        each = right.column("lp").to_numpy()[order][np.searchsorted(gram[order], key)]
+        shallow = right.column("lp").to_numpy()[order][np.searchsorted(gram[order], key)]
+        each = np.zeros(sum(map(len, different)) + len(different))
+        each[place] = shallow
         whole_prefixes(different, counts, each, depth)
-        total = np.bincount(owner, each, minlength=len(different))
+        # Without entries bincount counts in integers.
+        total = np.bincount(owner, each[place] - shallow, minlength=len(different)).astype(float)
         return pa.table(
             {
                 "batch": left.column("batch"),
@@ -444,18 +565,23 @@ def score(
     depth: int = 4,
     id_col: str = "doc_id",
     text_col: str = "text",
+    across_words: bool = False,
 ) -> DataFrame:
     """id, held_out, n_tokens, n_known, train_tokens, base_score, score and
     bits_per_byte of every whole text, learnt from rows not ``held_out``.
 
-    Null and empty texts are one end token.  Null ids, repeated rows and
-    other columns do not matter (each row is a text of its own).  Without
-    training texts the model is uniform over bits and the base over nothing
-    but the unknown word.
+    Contexts run on across words with ``across_words``, else they end at the
+    start of the word.  Null and empty texts are one end token.  Null ids,
+    repeated rows and other columns do not matter (each row is a text of its
+    own).  Without training texts the model is uniform over bits and the base
+    over nothing but the unknown word.
     """
     docs = df.select(F.col(id_col).alias("id"), held_out.alias("held_out"), F.col(text_col).alias("text"))
-    numbered = stored(number_words(docs), "ctw-numbered")
-    texts = numbered.where(F.col("ids").isNotNull()).select("batch", "id", "held_out", "n_bytes", "ids")
+    numbered = stored(number_words(docs, depth, across_words), "ctw-numbered")
+    texts = numbered.where(F.col("row").isNotNull()).select(
+        "batch", "row", "id", "held_out", "n_bytes", "line"
+    )
+    pairs = numbered.where(F.col("gram").isNotNull()).select("batch", "gram", "count")
     listed = numbered.where(F.col("word").isNotNull()).select("batch", "k", "word", "count")
     shards = max(1, -(-listed.count() // SHARD_WORDS))
     words = stored(vocabulary(listed, shards, depth), "ctw-words")
@@ -466,32 +592,39 @@ def score(
     ).first()
     total, distinct = (row["n"] or 0) + ends, (row["v"] or 0) + (ends > 0)
 
-    pairs = stored(gram_counts(words.where("first"), depth), "ctw-pairs")
-    end_gram = gram_key(1, SPACE, END)
-    end_row = df.sparkSession.range(1).select(
-        F.lit(end_gram).cast("long").alias("gram"), F.lit(ends).cast("long").alias("n")
-    )
-    counted = pairs.groupBy("gram").agg(F.sum("n").alias("n")).unionByName(end_row)
+    counted = pairs.groupBy("gram").agg(F.sum("count").alias("n"))
     grams_scored = stored(gram_scores(stored(split_grams(counted), "ctw-grams"), depth), "ctw-scores")
-    end_lp = grams_scored.where(F.col("gram") == end_gram).first()["lp"]
-    scored = pairs.join(grams_scored, "gram").select("shard", "gram", "lp")
-    replies = word_scores(words, scored, depth)
+    scored = shard_grams(words.where("first"), depth).join(grams_scored, "gram")
+    replies = word_scores(words, scored.select("shard", "gram", "lp"), depth).unionByName(
+        pairs.select("batch", "gram").join(grams_scored, "gram"), allowMissingColumns=True
+    )
 
     scale = total + 0.5 * (distinct + 1)
     end_base = float(np.log10((ends + 0.5) / scale))
 
     def finish(left: pa.Table, right: pa.Table) -> pa.Table:
-        k = right.column("k").to_numpy()
+        left = left.sort_by("row")
+        lines = unpacked(left.column("n_bytes").to_numpy(), left.column("line").to_pylist())
+        of_words = right.filter(pc.is_valid(right.column("k")))
+        of_pairs = right.filter(pc.is_valid(right.column("gram"))).sort_by("gram")
+        gram, pair_lp = of_pairs.column("gram").to_numpy(), of_pairs.column("lp").to_numpy()
+        total_lp = np.zeros(len(lines))
+        find = Lookup(gram, pair_lp)
+        for key, starts, owners in text_grams(lines, depth, across_words):
+            sums = np.add.reduceat(find(key), starts)
+            total_lp += np.bincount(owners, sums, minlength=len(lines))
+        k = of_words.column("k").to_numpy()
         c, lp = np.zeros(len(k), np.int64), np.zeros(len(k))
-        c[k], lp[k] = right.column("c").to_numpy(), right.column("lp").to_numpy()
+        c[k], lp[k] = of_words.column("c").to_numpy(), of_words.column("lp").to_numpy()
         base = np.log10((c + 0.5) / scale)
+        number: dict[bytes, int] = {}
         out: list[list] = [[], [], [], []]
-        for ids in left.column("ids"):
-            i = np.frombuffer(ids.as_buffer(), "<u4")
+        for line, own in zip(lines, total_lp.tolist()):
+            i = np.array([number.setdefault(w, len(number)) for w in line.split()], np.int64)
             out[0].append(len(i) + 1)
             out[1].append(int((c[i] > 0).sum()) + int(ends > 0))
             out[2].append(float(base[i].sum()) + end_base)
-            out[3].append(float(lp[i].sum()) + end_lp)
+            out[3].append(own + float(lp[i].sum()))
         return pa.table(
             {
                 "id": left.column("id"),

@@ -71,7 +71,7 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ctw.score(table(spark, sf_dir, "documents"), ctw.contract_fold())
+    return ctw.score(table(spark, sf_dir, "documents"), ctw.contract_fold(), across_words=True)
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
