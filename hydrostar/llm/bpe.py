@@ -238,9 +238,11 @@ class Merger:
 class Encoder:
     """Whole texts to ids and back, with a bounded cache of words."""
 
-    def __init__(self, text: str):
+    def __init__(self, text: str, cached_words: int = MAX_CACHED_WORDS):
         from tokenizers import Tokenizer
 
+        self.cached_words = cached_words
+
         spec = json.loads(text)
         library = Tokenizer.from_str(text)
         self.normalizer, self.splitter = library.normalizer, library.pre_tokenizer
@@ -268,7 +270,7 @@ class Encoder:
         """Fill a cache for these pieces; a cache that would outgrow its bound
         starts anew (it always holds one slice's pieces)."""
         new = [c for c in pieces if c not in cache]
-        if len(cache) + len(new) > MAX_CACHED_WORDS:
+        if len(cache) + len(new) > self.cached_words:
             cache.clear()
             new = list(pieces)
         if not new:
@@ -337,7 +339,8 @@ class Decoder:
         return " ".join(map(self.names.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
-def _broadcast(df: DataFrame, tokenizer_path: str):
+def broadcast_vocabulary(df: DataFrame, tokenizer_path: str):
+    """The file's text, for the tasks."""
     with open(tokenizer_path, encoding="utf-8") as f:
         text = f.read(MAX_VOCABULARY_BYTES + 1)
     if len(text) > MAX_VOCABULARY_BYTES:
@@ -353,7 +356,7 @@ def encode(
     One output row per input row; null and empty texts have no ids; null or
     repeated row ids and other columns do not matter.
     """
-    shared = _broadcast(df, tokenizer_path)
+    shared = broadcast_vocabulary(df, tokenizer_path)
 
     def rows(batch: pa.RecordBatch, encoder: Encoder) -> pa.RecordBatch:
         texts = ["" if t is None else t for t in batch.column(1).to_pylist()]
@@ -371,7 +374,7 @@ def encode(
 
 def decode(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id") -> DataFrame:
     """id, ids, decoded: what ``encode`` returned, and its text read back."""
-    shared = _broadcast(df, tokenizer_path)
+    shared = broadcast_vocabulary(df, tokenizer_path)
 
     def rows(batch: pa.RecordBatch, decoder: Decoder) -> pa.RecordBatch:
         texts = [decoder.decode(x) for x in batch.column(1).to_pylist()]
@@ -396,7 +399,7 @@ def round_trip(
 ) -> DataFrame:
     """``decode(encode(df))`` in one pass, hence one worker a task: id, ids
     and the text decoded from these ids."""
-    shared = _broadcast(df, tokenizer_path)
+    shared = broadcast_vocabulary(df, tokenizer_path)
 
     def rows(batch: pa.RecordBatch, both: tuple[Encoder, Decoder]) -> pa.RecordBatch:
         encoder, decoder = both

@@ -12,6 +12,9 @@ from hydrostar.llm import (
     chat,
     ctw,
     decontam,
+    divergence,
+    filters,
+    packing,
     quality,
     simhash,
     substrings,
@@ -224,6 +227,107 @@ SELECT page_id, payload_bytes, {_BASE32} AS payload_digest,
 FROM h
 """
 
+
+
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"), min_documents=3, top_terms=200)
+
+
+OP11_SQL = rf"""
+WITH w AS (
+    SELECT row, lang, source, unnest(regexp_extract_all(lowered, '{divergence.TERM_PATTERN}')) AS term
+    FROM (SELECT row_number() OVER () AS row, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+        translate(coalesce(text, ''), '{UPPER}', '{LOWER}') AS lowered FROM documents)
+), kept AS (
+    SELECT lang, term, count(*) AS lang_n FROM w GROUP BY lang, term HAVING count(DISTINCT row) >= 3
+), langs AS (
+    SELECT lang, count(*) AS v, sum(lang_n) AS lang_total FROM kept GROUP BY lang
+), groups AS (
+    SELECT DISTINCT coalesce(lang, '') AS lang, coalesce(source, '') AS source FROM documents
+), n AS (
+    SELECT lang, source, term, count(*) AS n FROM w JOIN kept USING (lang, term) GROUP BY lang, source, term
+), totals AS (
+    SELECT lang, source, sum(n) AS total FROM n GROUP BY lang, source
+), p AS (
+    SELECT g.lang, g.source, k.term, coalesce(n.n, 0) AS n,
+        1 + (1000000000::HUGEINT * (coalesce(n.n, 0) + 1)) // (coalesce(t.total, 0) + l.v) AS p,
+        1 + (1000000000::HUGEINT * (k.lang_n + 1)) // (l.lang_total + l.v) AS q
+    FROM groups g JOIN kept k USING (lang) JOIN langs l USING (lang)
+    LEFT JOIN totals t USING (lang, source) LEFT JOIN n USING (lang, source, term)
+), found AS (
+    SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(s.value, 0) AS value
+    FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+    LEFT JOIN (
+        SELECT x.lang, x.source, y.source AS item, sum(((x.p - y.p) * (x.p - y.p)) // y.p) AS value
+        FROM p x JOIN p y ON x.lang = y.lang AND x.term = y.term AND x.source <> y.source GROUP BY ALL
+    ) s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source
+    UNION ALL
+    SELECT lang, source, 'term', term, ((p - q) * (p - q)) // q FROM p WHERE n > 0 AND p > q
+)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value,
+    CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank
+FROM found QUALIFY part = 'pair' OR rank <= 200
+"""
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filters.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+OP12_SQL = rf"""
+WITH words AS (
+    SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text,
+        regexp_extract_all(coalesce(text, ''), '{WORD_PATTERN}') AS ws
+    FROM documents
+), known AS (
+    SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic
+    FROM labels GROUP BY doc_id
+), fails AS (
+    SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+        (CASE WHEN len(ws) < 100 THEN 'A' ELSE '' END)
+        || (CASE WHEN 100 * len(list_distinct(ws)) < 80 * len(ws) THEN 'B' ELSE '' END)
+        || (CASE WHEN 100 * len(regexp_extract_all(text, '[A-Z]')) > 10 * length(text) THEN 'C' ELSE '' END)
+        || (CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 'D' ELSE '' END)
+        || (CASE WHEN min(doc_id) OVER (PARTITION BY text) < doc_id THEN 'E' ELSE '' END) AS f
+    FROM words LEFT JOIN known USING (doc_id)
+), c AS (
+    SELECT part, f, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM fails GROUP BY part, f
+), x AS (
+    SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x
+), orders AS (
+    SELECT a.x || b.x || c.x || d.x || e.x AS o FROM x a, x b, x c, x d, x e
+    WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5
+), steps AS (
+    SELECT o, s, o[s:s] AS x, o[1:s - 1] AS done FROM orders, (SELECT unnest(range(1, 6)) AS s)
+), told AS (
+    SELECT part, o, s, x, n, good, toxic, f = x AS alone, contains(f, x) AS mine,
+        translate(f, done, '') <> f AS gone
+    FROM c, steps
+), report AS (
+    SELECT part, o AS filter_order, CAST(s AS INTEGER) AS step, x,
+        sum(CASE WHEN mine OR gone THEN 0 ELSE n END) AS kept,
+        sum(CASE WHEN mine AND NOT gone THEN n ELSE 0 END) AS removed,
+        sum(CASE WHEN mine AND gone THEN n ELSE 0 END) AS redundant,
+        sum(CASE WHEN alone THEN n ELSE 0 END) AS unique_fails,
+        sum(CASE WHEN mine AND NOT gone THEN good ELSE 0 END) AS good_lost,
+        sum(CASE WHEN mine AND NOT gone THEN toxic ELSE 0 END) AS toxic_lost
+    FROM told GROUP BY part, o, s, x
+)
+SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed,
+    CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails,
+    CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
+    CAST(sum(removed) OVER (PARTITION BY part, x) AS BIGINT) AS shapley
+FROM report
+"""
+
+
+def op13_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return packing.pack(docs, tokenizer_path(), capacity=2048).withColumn(
+        "length", F.col("length").cast("long")
+    )
+
+
 QUERIES: dict[str, Query] = {
     "op1_chat_formatting": op1_chat_formatting,
     "op2_bpe": op2_bpe,
@@ -235,6 +339,9 @@ QUERIES: dict[str, Query] = {
     "op8_simhash": op8_simhash,
     "op9_quality_rules": op9_quality_rules,
     "op10_warc": op10_warc,
+    "op11_source_divergence": op11_source_divergence,
+    "op12_filter_audit": op12_filter_audit,
+    "op13_best_fit_packing": op13_best_fit_packing,
 }
 
 ORACLES: dict[str, str] = {
@@ -243,4 +350,6 @@ ORACLES: dict[str, str] = {
     "op6_substring_dedup": OP6_SQL,
     "op7_decontamination": OP7_SQL,
     "op10_warc": OP10_SQL,
+    "op11_source_divergence": OP11_SQL,
+    "op12_filter_audit": OP12_SQL,
 }
