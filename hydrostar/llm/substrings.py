@@ -4,8 +4,8 @@ The graph's edges are k-mers of words (half a window and one more), sampled
 so that every window holds one: the smallest hash among the k-mers of each
 window, and the first and last k-mer of a document.  A join gives each k-mer
 that occurs in several documents its source coordinate, the place in the
-smallest document.  Walking a document, consecutive k-mers whose source
-coordinates advance in step form a nonbranching path: the smallest document
+smallest document (its id, row and position).  Walking a document, consecutive
+k-mers whose source coordinates advance in step within one row form a nonbranching path: the smallest document
 walks the same edges.  Since neighbouring samples overlap or touch, such a
 path is word for word a span of that document, and compacts to one row.
 
@@ -126,9 +126,9 @@ def walked(found: DataFrame, window: int) -> DataFrame:
     k = kmer_words(window)
     source = (
         found.groupBy("node")
-        .agg(F.min(F.struct("id", "pos")).alias("source"), F.max("id").alias("last"))
+        .agg(F.min(F.struct("id", "row", "pos")).alias("source"), F.max("id").alias("last"))
         .where(F.col("source.id") < F.col("last"))
-        .select("node", F.col("source.id").alias("source_id"), F.col("source.pos").alias("source_pos"))
+        .select("node", *[F.col(f"source.{c}").alias(f"source_{c}") for c in ("id", "row", "pos")])
     )
     # Stored, so that both sides of the join are plain shuffles and AQE can
     # split a k-mer that very many texts share.
@@ -139,6 +139,7 @@ def walked(found: DataFrame, window: int) -> DataFrame:
     follows = (
         F.col("later")
         & (F.lag("source_id").over(along) == F.col("source_id"))
+        & (F.lag("source_row").over(along) == F.col("source_row"))
         & (F.lag(offset).over(along) == offset)
         & (F.col("pos") - F.lag("pos").over(along) <= k)
     )

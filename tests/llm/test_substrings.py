@@ -68,6 +68,17 @@ def test_awkward_rows(spark):
     assert run(spark, [], 50) == []
 
 
+def test_rows_of_one_smaller_id_are_not_one_text(spark):
+    """Two rows of an id share words 0-39 and 20-79 of a later document."""
+    rows = []
+    for k in range(40):
+        words = prose(500 + k, 80, 100_000).split()
+        rows += [(3 * k, " ".join(words[:40] + [f"x{k}"] * 40))]
+        rows += [(3 * k, " ".join([f"y{k}"] * 20 + words[20:80]))]
+        rows += [(3 * k + 1, " ".join(words))]
+    assert run(spark, rows, 50) == brute(rows, 50)
+
+
 def test_low_variety_text(spark):
     rows = [(k, " ".join("ab"[(j * j // 7 + k) % 2] for j in range(130))) for k in range(8)]
     rows += [(20, "a " * 300), (21, "a " * 120), (22, "b a " * 90)]
