@@ -52,18 +52,59 @@ class SiteRule:
 
 @dataclass(frozen=True)
 class PhraseRule:
-    """Fits where ``phrase`` stands in host or path between token borders."""
+    """Fits where ``phrase`` stands in host or path between token borders, A-Z
+    read as a-z."""
 
     phrase: str
     action: str = BLOCK
 
     @property
     def regex(self) -> str:
-        return rf"(?s:.*?)(?<![a-z0-9]){re.escape(self.phrase)}(?![a-z0-9])"
+        return rf"(?s:.*?)(?<![a-z0-9]){re.escape(_lower(self.phrase))}(?![a-z0-9])"
 
     @property
     def tokens(self) -> tuple[str, ...]:
-        return tuple(dict.fromkeys(_TOKEN.findall(self.phrase)))
+        return tuple(dict.fromkeys(_TOKEN.findall(_lower(self.phrase))))
+
+
+@dataclass(frozen=True)
+class PatternRule:
+    """A wildcard pattern over host and path, A-Z read as a-z.
+
+    ``*`` stands for any characters and ``^`` for one that is none of letters,
+    digits and ``_-.%``, or for the end; ``||`` in front ties the pattern to
+    the start of the host or of one of its parent domains, ``|`` in front to
+    the start of the host, ``|`` behind to the end of the path."""
+
+    pattern: str
+    action: str = BLOCK
+
+    @property
+    def _parts(self) -> tuple[str, str, bool]:
+        body = _lower(self.pattern)
+        front = "||" if body.startswith("||") else "|" if body.startswith("|") else ""
+        body = body[len(front) :]
+        behind = body.endswith("|")
+        return front, body[:-1] if behind else body, behind
+
+    @property
+    def regex(self) -> str:
+        front, body, behind = self._parts
+        start = {"||": r"(?:[^/]*\.)?", "|": "", "": "(?s:.*?)"}[front]
+        wild = {"*": "(?s:.*?)", "^": r"(?:[^a-z0-9_.%\-]|\Z)"}
+        return start + "".join(wild.get(c) or re.escape(c) for c in body) + (r"\Z" if behind else "")
+
+    @property
+    def tokens(self) -> tuple[str, ...]:
+        # A run is a whole token of the URL if the pattern itself ends it.
+        front, body, behind = self._parts
+        found = []
+        for run in _TOKEN.finditer(body):
+            left = bool(front) if run.start() == 0 else body[run.start() - 1] != "*"
+            right = behind if run.end() == len(body) else body[run.end()] != "*"
+            if left and right:
+                found.append(run[0])
+        return tuple(dict.fromkeys(found))
 
 
 # Spam phrases that decide where no site rule does.
@@ -108,7 +149,7 @@ def token_counts(parts: DataFrame, tokens: Sequence[str]) -> dict[str, int]:
     return {r["token"]: r["n"] for r in counted.groupBy("token").agg(F.count("*").alias("n")).collect()}
 
 
-def build_index(rules: Sequence[SiteRule | PhraseRule], counts: dict[str, int]):
+def build_index(rules: Sequence[SiteRule | PhraseRule | PatternRule], counts: dict[str, int]):
     """token -> rule numbers, and the rules without a whole token."""
     index: dict[str, list[int]] = {}
     always: list[int] = []
@@ -124,15 +165,16 @@ def build_index(rules: Sequence[SiteRule | PhraseRule], counts: dict[str, int]):
 def filter_urls(
     df: DataFrame,
     rules: Sequence[SiteRule],
-    phrases: Sequence[PhraseRule] = DEFAULT_PHRASES,
+    phrases: Sequence[PhraseRule | PatternRule] = DEFAULT_PHRASES,
     id_col: str = "page_id",
     url_col: str = "url",
 ) -> DataFrame:
     """Verdict per row: id, host, path, rule, verdict, n_candidates.
 
     The longest fitting site rule decides (of two as long, a blocking one);
-    without one, a URL with a fitting phrase is blocked and any other is
-    allowed.  Null URLs and URLs without ``://`` have empty host and path and
+    without one, a URL that a phrase or pattern fits is blocked, unless one
+    that fits allows it, and any other is allowed.  Site rules see the path as
+    it is, phrases and patterns see A-Z as a-z.  Null URLs and URLs without ``://`` have empty host and path and
     are allowed unless a rule fits the empty text.  Repeated rows and null ids
     are judged like any other row; other columns are ignored.
     """
@@ -149,19 +191,21 @@ def filter_urls(
         names, verdicts, tried = [], [], []
         for host, path in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
             whole = host + path
+            lowered = _lower(whole)
             ks = set(always)
-            for token in set(_TOKEN.findall(_lower(whole))):
+            for token in set(_TOKEN.findall(lowered)):
                 ks.update(index.get(token, ()))
-            best, phrase = None, None
+            best, others = None, set()
             for k in ks:
                 regex, name, action = compiled[k]
-                if regex.match(whole):
+                if regex.match(lowered if name is None else whole):
                     if name is None:
-                        phrase = phrase or action
+                        others.add(action)
                     else:
                         best = max(best or (0,), (len(name), action == BLOCK, name))
+            other = BLOCK if others == {BLOCK} else ALLOW
             names.append(best[2] if best else None)
-            verdicts.append((BLOCK if best[1] else ALLOW) if best else (phrase or ALLOW))
+            verdicts.append((BLOCK if best[1] else ALLOW) if best else other)
             tried.append(len(ks))
         return pa.RecordBatch.from_arrays(
             [
