@@ -119,7 +119,7 @@ WITH u AS (
 )
 SELECT u.page_id, u.host, u.path, best.rule,
     CASE WHEN best.rule IS NOT NULL THEN best.action
-         WHEN regexp_matches(host || path, '(^|[^a-z0-9])({"|".join(r.phrase for r in urls.DEFAULT_PHRASES)})([^a-z0-9]|$)') THEN 'block'
+         WHEN regexp_matches(translate(host || path, '{UPPER}', '{LOWER}'), '(^|[^a-z0-9])({"|".join(r.phrase for r in urls.DEFAULT_PHRASES)})([^a-z0-9]|$)') THEN 'block'
          ELSE 'allow' END AS verdict
 FROM u LEFT JOIN best USING (page_row)
 """
