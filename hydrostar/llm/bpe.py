@@ -8,7 +8,12 @@ pair are merged exactly.  Pairs are merged once, words once per cache life.
 
 The vocabulary file is a parameter.  The driver reads it and broadcasts its
 text (``MAX_VOCABULARY_BYTES`` at most), so executors need no copy of it.
-Normalisation and word splitting are those of the file.  There is no shuffle;
+Normalisation and word splitting are those of the file: its own, by the
+library, or for the one pair of them that ``PLAIN_RULES`` names an equal cut in
+one pass.  A file that needs anything else (no byte-level symbols, a
+continuing prefix, dropout, added tokens that bend their surroundings) is
+refused.  Vocabularies without an end-of-word suffix give the proposal no word
+ends; their words are all merged exactly.  There is no shuffle;
 a task holds one slice of texts and bounded caches, and nothing stays in the
 worker after it.
 """
@@ -40,8 +45,38 @@ _MORE_CUTS = "\x1c\x1d\x1e\x1f"
 _WHITE_SPACE = re.compile(
     "[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
 )
-# The file's word pattern for lower-cased Latin-1 text, where composing does
-# nothing: letters and numbers spelt out, white space left out.
+# Fixed value: the normaliser and word splitter that the next pattern equals
+# for Latin-1 text, where composing does nothing: letters and numbers spelt
+# out, white space left out.
+PLAIN_RULES = (
+    {
+        "type": "Sequence",
+        "normalizers": [
+            {"type": "NFC"},
+            {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "},
+            {"type": "Lowercase"},
+        ],
+    },
+    {
+        "type": "Sequence",
+        "pretokenizers": [
+            {
+                "type": "Split",
+                "pattern": {
+                    "Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+                },
+                "behavior": "Removed",
+                "invert": True,
+            },
+            {
+                "type": "ByteLevel",
+                "add_prefix_space": False,
+                "trim_offsets": True,
+                "use_regex": False,
+            },
+        ],
+    },
+)
 _CLASS = {
     kind: "".join(
         re.escape(chr(c)) for c in range(256) if unicodedata.category(chr(c))[0] == kind
@@ -73,11 +108,12 @@ class Merger:
         self.pair_codes, self.pair_ranks, self.pair_whole = np.array(sorted(codes), np.int64).T.copy()
         self.sizes = np.zeros(max(self.vocab.values()) + 1, np.int64)
         self.automaton = ahocorasick.Automaton()
-        for token, i in self.vocab.items():
+        for token, i in self.vocab.items() if self.suffix else ():
             plain = token.removesuffix(self.suffix) + _END if token.endswith(self.suffix) else token
             self.automaton.add_word(plain, i)
             self.sizes[i] = len(plain)
-        self.automaton.make_automaton()
+        if self.suffix:
+            self.automaton.make_automaton()
         self.tokens: dict[int, str] = {i: t for t, i in self.vocab.items()}
         self.known = np.empty(0, np.int64)
         self.fits = np.empty(0, bool)
@@ -131,7 +167,11 @@ class Merger:
         """Greedy longest matches of all words in one scan: token ids, the
         word of each, and for each word whether its tokens cover it."""
         text = _END.join(words) + _END
-        ends, ids = zip(*self.automaton.iter_long(text))
+        matches = list(self.automaton.iter_long(text)) if self.suffix else []
+        if not matches:
+            none = np.empty(0, np.int64)
+            return none, none, np.zeros(len(words), bool)
+        ends, ids = zip(*matches)
         ends, ids = np.array(ends, np.int64) + 1, np.array(ids, np.int64)
         sizes = np.fromiter(map(len, words), np.int64, len(words)) + 1
         stop = np.cumsum(sizes)
@@ -235,29 +275,53 @@ class Merger:
         return ids[order].astype("<u4").tobytes(), ends.tolist()
 
 
+def check_supported(spec: dict) -> None:
+    """Refuse a file whose rules this module would not follow."""
+    model, cut = spec["model"], json.dumps(spec.get("pre_tokenizer"))
+    bent = [t["content"] for t in spec["added_tokens"] if t["single_word"] or t["lstrip"] or t["rstrip"] or t["normalized"]]
+    problems = {
+        f"model {model['type']}": model["type"] != "BPE",
+        "no byte-level symbols": '"ByteLevel"' not in cut,
+        "continuing prefix": bool(model.get("continuing_subword_prefix")),
+        "dropout": bool(model.get("dropout")),
+        "whole words before merges": bool(model.get("ignore_merges")),
+        f"added tokens {bent}": bool(bent),
+    }
+    if found := [p for p, here in problems.items() if here]:
+        raise ValueError(f"vocabulary file not supported: {', '.join(found)}")
+
+
 class Encoder:
     """Whole texts to ids and back, with a bounded cache of words."""
 
-    def __init__(self, text: str, cached_words: int = MAX_CACHED_WORDS):
+    def __init__(
+        self, text: str, cached_words: int = MAX_CACHED_WORDS, merger: Merger | None = None
+    ):
         from tokenizers import Tokenizer
 
         self.cached_words = cached_words
 
         spec = json.loads(text)
+        check_supported(spec)
         library = Tokenizer.from_str(text)
         self.normalizer, self.splitter = library.normalizer, library.pre_tokenizer
-        self.merger = Merger(spec)
+        self.plain = (spec["normalizer"], spec["pre_tokenizer"]) == PLAIN_RULES
+        self.merger = merger or Merger(spec)
         del library
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.special_cut = re.compile(
             "(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")"
         )
-        # Latin-1 words, and white-space-free pieces of other texts.
+        # Latin-1 words, and white-space-free pieces of other texts; or, where
+        # the library cuts whole texts, its words in byte-level symbols.
         self.words: dict[str, bytes] = {}
+        self.symbols: dict[str, bytes] = {}
         self.chunks: dict[str, bytes] = {}
 
     def cut(self, text: str) -> tuple[dict[str, bytes], list[str]]:
         """The cache that holds a text's pieces, and the pieces."""
+        if not self.plain:
+            return self.symbols, self.library_words(text)
         try:
             text.encode("latin-1")
         except UnicodeEncodeError:
@@ -266,6 +330,12 @@ class Encoder:
             return self.chunks, text.split()
         return self.words, _PLAIN_WORDS.findall(text.lower())
 
+    def library_words(self, text: str) -> list[str]:
+        """A text's words in byte-level symbols, by the file's own rules."""
+        if self.normalizer:
+            text = self.normalizer.normalize_str(text)
+        return [w for w, _ in self.splitter.pre_tokenize_str(text)]
+
     def learn(self, cache: dict[str, bytes], pieces: set[str]) -> None:
         """Fill a cache for these pieces; a cache that would outgrow its bound
         starts anew (it always holds one slice's pieces)."""
@@ -275,10 +345,10 @@ class Encoder:
             new = list(pieces)
         if not new:
             return
-        if cache is self.words:
+        if cache is not self.chunks:
             words = [
                 w
-                if w.isascii() and w.isprintable()
+                if cache is self.symbols or w.isascii() and w.isprintable()
                 else w.encode().decode("latin-1").translate(_BYTE_SYMBOL)
                 for w in new
             ]
@@ -288,10 +358,7 @@ class Encoder:
                 cache[word] = flat[at:end]
                 at = end
             return
-        cut = [
-            [w for w, _ in self.splitter.pre_tokenize_str(self.normalizer.normalize_str(c))]
-            for c in new
-        ]
+        cut = [self.library_words(c) for c in new]
         words = list({w for ws in cut for w in ws})
         flat, ends = self.merger.encode_words(words)
         found = {w: flat[s:e] for w, s, e in zip(words, [0, *ends], ends)}
@@ -301,21 +368,21 @@ class Encoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian 32-bit integers."""
         parts: list[list] = []
-        plain: set[str] = set()
-        other: set[str] = set()
+        wanted = [(cache, set()) for cache in (self.words, self.chunks, self.symbols)]
         for text in texts:
-            pieces = self.special_cut.split(text) if any(map(text.__contains__, self.special)) else [text]
+            special = any(map(text.__contains__, self.special))
+            pieces = self.special_cut.split(text) if special else [text]
             part: list = []
             for piece in filter(None, pieces):
                 if piece in self.special:
                     part.append((None, np.array([self.special[piece]], "<u4").tobytes()))
                 else:
                     cache, words = self.cut(piece)
-                    (plain if cache is self.words else other).update(words)
+                    next(known for c, known in wanted if c is cache).update(words)
                     part.append((cache, words))
             parts.append(part)
-        self.learn(self.words, plain)
-        self.learn(self.chunks, other)
+        for cache, pieces in wanted:
+            self.learn(cache, pieces)
         return [
             b"".join(
                 words if cache is None else b"".join(map(cache.__getitem__, words))
@@ -327,15 +394,22 @@ class Encoder:
 
 class Decoder:
     """Ids to text: the tokens' names joined by a space, as the library does
-    for a file without a decoder."""
+    for a file without a decoder; with one, the library decodes."""
 
     def __init__(self, text: str):
         spec = json.loads(text)
+        self.library = None
+        if spec.get("decoder"):
+            from tokenizers import Tokenizer
+
+            self.library = Tokenizer.from_str(text)
         names = {i: t for t, i in spec["model"]["vocab"].items()}
         names |= {t["id"]: t["content"] for t in spec["added_tokens"]}
         self.names = [names.get(i, "") for i in range(max(names) + 1)]
 
     def decode(self, ids: bytes) -> str:
+        if self.library:
+            return self.library.decode(np.frombuffer(ids, "<u4").tolist(), skip_special_tokens=False)
         return " ".join(map(self.names.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
