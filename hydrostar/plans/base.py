@@ -11,24 +11,24 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from hydrostar.functions.numeric import ratio
 from hydrostar.functions.text import bucket_label, classify
 from hydrostar.operators.reshape import stack_metrics
-from hydrostar.operators.rollup import fact_rollup, table_count
+from hydrostar.operators.exact_sum import combined, combined_digits, digit_names, sum_digits
+from hydrostar.operators.rollup import table_count
 from hydrostar.operators.shares import activity_by, share_of_total
 from hydrostar.plans import params as P
+from hydrostar.plans.activity import activity_rows
 from hydrostar.plans.dims import (
     COPIES,
     band_keys,
-    parameter_keys,
+    listed,
     plant_filtration,
     plant_geo,
-    plant_institution,
     unweighted,
-    wjoin,
 )
 from hydrostar.sources.tables import Tables
 
@@ -106,7 +106,7 @@ def _volume_by(
     t: Tables, fk: str, dim: DataFrame, keys: Sequence[str], ordered: bool, order: Sequence
 ) -> DataFrame:
     # one fact row per key: repeated dimension rows can only repeat that row
-    per_key = fact_rollup(t.measurement, [fk]).select(fk, "records")
+    per_key = t.rollup([fk]).select(fk, "records")
     grouped = (
         per_key.join(unweighted(dim, [fk, *keys]), fk)
         .groupBy(*keys)
@@ -140,30 +140,17 @@ def parameter_volume(t: Tables, ordered: bool = True) -> DataFrame:
     )
 
 
-# Fact queries: the fact is pre-aggregated to the grain each query needs
-# (``fact_rollup``), then joined to weighted dimensions; record counts are
-# ``records * copies`` so that repeated dimension rows count as in SQL.
-def _keyed(per: DataFrame, *dims: tuple[DataFrame, str]) -> DataFrame:
-    """Join pre-aggregated fact rows to weighted dimensions; the result's
-    ``records`` already include the dimensions' multiplicities."""
-    rows = per.withColumn(COPIES, F.lit(1).cast("long"))
-    for dim, key in dims:
-        rows = wjoin(rows, dim, key)
-    return rows.withColumn("records", F.col("records") * F.col(COPIES)).drop(COPIES)
-
-
 # Q6 -------------------------------------------------------------------------
 def geo_activity(t: Tables, ordered: bool = True) -> DataFrame:
     """Per (region, state): municipalities, plants, records, records/plant."""
-    per_plant = fact_rollup(t.measurement, ["plant_id"]).select("plant_id", "records")
-    # one fact row per plant: repeated plant rows cannot multiply
-    rows = _keyed(per_plant, (plant_geo(t, with_region=True, weigh_plants=False), "plant_id"))
+    rows = activity_rows(t, "region", ["plant_id"])
     out = (
         activity_by(
             rows,
             ["region_name", "state_code"],
             {"municipalities": "municipality_id", "plants": "plant_id"},
             having=F.col("measurements") > 0,
+            dense=t.keys.dense,
         )
         .select(
             "region_name",
@@ -184,16 +171,14 @@ def institution_performance(
     ordered: bool = True,
 ) -> DataFrame:
     """Per institution: plants, parameters, records (> min), records/plant."""
-    per = fact_rollup(t.measurement, ["plant_id", "parameter_id"]).select(
-        "plant_id", "parameter_id", "records"
-    )
-    rows = _keyed(per, (parameter_keys(t), "parameter_id"), (plant_institution(t), "plant_id"))
+    rows = activity_rows(t, "institution", ["plant_id", "parameter_id"])
     out = (
         activity_by(
             rows,
             ["institution_name", "institution_type"],
             {"plants": "plant_id", "parameters": "parameter_id"},
             having=F.col("measurements") > F.lit(min_measurements),
+            dense=t.keys.dense,
         )
         .select(
             "institution_name",
@@ -217,31 +202,43 @@ def band_distribution(
     """Analyses per (filtration, parameter, band) and their share of the
     (filtration, parameter) total over the listed bands.
 
-    One pass: the fact is aggregated to (plant, parameter, band) first, then
-    joined to the keys that the pair rules select and to the plants'
-    filtration; the share is a window over the *aggregated* rows taken before
-    the HAVING filter, so dropped bands still count in the total.
+    One pass: rows of the listed parameters and bands are aggregated to
+    (plant, parameter, band), then joined to the keys that the pair rules
+    select and to the plants' filtration; the share is a window over the
+    *aggregated* rows taken before the HAVING filter, so dropped bands still
+    count in the total.
+
+    The semi joins are written above the aggregate, on its grouping keys: where
+    the listed ids are small enough to broadcast Catalyst pushes them below it,
+    into the fact scan; where they are not, the fact is still combined before
+    it is shuffled.  Analyses are summed exactly, so the result does not
+    depend on the order of the rows.
     """
-    per = fact_rollup(t.measurement, ["plant_id", "parameter_id", "band_id"])
+    per = t.rollup(["plant_id", "parameter_id", "band_id"])
+    params, bands = listed(t, band_pairs)
+    per = per.join(params, "parameter_id", "left_semi").join(bands, "band_id", "left_semi")
     per_plant = (
         per.join(band_keys(t, tuple(band_pairs)), ["parameter_id", "band_id"])
         .groupBy("plant_id", "parameter_name", "band_name")
         .agg(
             F.sum(F.col("records") * F.col(COPIES)).alias("records"),
-            F.sum(F.col("analyses") * F.col(COPIES)).alias("analyses"),
+            *sum_digits("analyses", F.col(COPIES)),
         )
     )
     grouped = (
         per_plant.join(plant_filtration(t), "plant_id")
         .groupBy("filtration_type", "parameter_name", "band_name")
         .agg(
-            F.sum(F.col("analyses") * F.col(COPIES)).alias("analyses"),
+            *sum_digits("analyses", F.col(COPIES)),
             F.count_distinct("plant_id").alias("plants"),
             F.sum(F.col("records") * F.col(COPIES)).alias("records"),
         )
     )
     # Window partitions hold one row per listed band: bounded by the rules.
-    shared = share_of_total(grouped, "analyses", ["filtration_type", "parameter_name"], 2)
+    listed_bands = Window.partitionBy("filtration_type", "parameter_name")
+    total = combined([F.sum(n).over(listed_bands) for n in digit_names("analyses")])
+    summed = grouped.withColumn("analyses", combined_digits("analyses"))
+    shared = share_of_total(summed, "analyses", total, 2)
     out = (
         shared.filter(F.col("records") >= F.lit(min_records))
         .select("filtration_type", "parameter_name", "band_name", "analyses", "plants", "pct")
@@ -254,18 +251,14 @@ def state_ranking(
     t: Tables, min_plants: int = P.MIN_RANKED_PLANTS, ordered: bool = True
 ) -> DataFrame:
     """Per state: plants (>= min), distinct parameters, records."""
-    per = fact_rollup(t.measurement, ["plant_id", "parameter_id"]).select(
-        "plant_id", "parameter_id", "records"
-    )
-    rows = _keyed(
-        per, (parameter_keys(t), "parameter_id"), (plant_geo(t, with_region=False), "plant_id")
-    )
+    rows = activity_rows(t, "state", ["plant_id", "parameter_id"])
     out = (
         activity_by(
             rows,
             ["state_name"],
             {"plants": "plant_id", "parameters": "parameter_id"},
             having=F.col("plants") >= F.lit(min_plants),
+            dense=t.keys.dense,
         )
         .select("state_name", "plants", "parameters", "measurements")
     )
@@ -283,11 +276,8 @@ def monthly_evolution(
 ) -> DataFrame:
     """Per (region, month) of one year: records (>= min), plants, parameters,
     records/plant (1 dp), parameters/plant (2 dp) and the period label."""
-    per = fact_rollup(
-        t.measurement, ["plant_id", "parameter_id", "month"], F.col("year") == F.lit(year)
-    ).select("plant_id", "parameter_id", "month", "records")
-    rows = _keyed(
-        per, (parameter_keys(t), "parameter_id"), (plant_geo(t, with_region=True), "plant_id")
+    rows = activity_rows(
+        t, "region", ["plant_id", "parameter_id", "month"], F.col("year") == F.lit(year)
     )
     out = (
         activity_by(
@@ -295,6 +285,7 @@ def monthly_evolution(
             ["region_name", "month"],
             {"plants": "plant_id", "parameters": "parameter_id"},
             having=F.col("measurements") >= F.lit(min_measurements),
+            dense=t.keys.dense,
         )
         .select(
             "region_name",

@@ -63,6 +63,13 @@ def wjoin(left: DataFrame, right: DataFrame, on: str | list[str]) -> DataFrame:
     return left.alias("__l").join(right.alias("__r"), keys).select(*cols)
 
 
+def _looked_up(t: Tables, table: str, cols: Sequence[str], df: DataFrame | None = None) -> DataFrame:
+    """The rows of a table as the looked-up side of a join: weighted, unless
+    its key is proven not to repeat."""
+    df = getattr(t, table) if df is None else df
+    return (unweighted if table in t.keys.unique else weighted)(df, cols)
+
+
 def state_geo(t: Tables, with_region: bool) -> DataFrame:
     """state_id -> state_code, state_name[, region_name], copies.
 
@@ -74,7 +81,9 @@ def state_geo(t: Tables, with_region: bool) -> DataFrame:
     if with_region:
         st = st.join(t.region.select("region_id", "region_name"), "region_id")
         cols.append("region_name")
-    return weighted(st, cols)
+        if "region" not in t.keys.unique:
+            return weighted(st, cols)
+    return _looked_up(t, "state", cols, st)
 
 
 def plant_geo(t: Tables, with_region: bool, weigh_plants: bool = True) -> DataFrame:
@@ -84,34 +93,48 @@ def plant_geo(t: Tables, with_region: bool, weigh_plants: bool = True) -> DataFr
     other join side has one row per plant (or only distinct counts follow).
     The looked-up municipality and state sides are always weighted."""
     muni = wjoin(
-        weighted(t.municipality, ["municipality_id", "state_id"]),
+        _looked_up(t, "municipality", ["municipality_id", "state_id"]),
         state_geo(t, with_region),
         "state_id",
     )
-    plants = (weighted if weigh_plants else unweighted)(t.plant, ["plant_id", "municipality_id"])
+    columns = ["plant_id", "municipality_id"]
+    plants = _looked_up(t, "plant", columns) if weigh_plants else unweighted(t.plant, columns)
     return wjoin(plants, muni, "municipality_id")
 
 
 def plant_institution(t: Tables) -> DataFrame:
     """plant_id -> institution_name, institution_type, copies (via office)."""
     inst = wjoin(
-        weighted(t.office, ["office_id", "institution_id"]),
-        weighted(t.institution, ["institution_id", "institution_name", "institution_type"]),
+        _looked_up(t, "office", ["office_id", "institution_id"]),
+        _looked_up(t, "institution", ["institution_id", "institution_name", "institution_type"]),
         "institution_id",
     )
-    return wjoin(weighted(t.plant, ["plant_id", "office_id"]), inst, "office_id")
+    return wjoin(_looked_up(t, "plant", ["plant_id", "office_id"]), inst, "office_id")
 
 
 def parameter_keys(t: Tables) -> DataFrame:
     """parameter_id -> copies (the join only checks existence and counts)."""
-    return weighted(t.parameter, ["parameter_id"])
+    return _looked_up(t, "parameter", ["parameter_id"])
+
+
+def parameters_proven(t: Tables) -> bool:
+    """Does every measured parameter exist, once?  Then joining ``parameter``
+    for existence is a NULL test."""
+    return "parameter" in t.keys.unique and "measurement.parameter_id" in t.keys.contained
 
 
 def plant_filtration(t: Tables) -> DataFrame:
     """plant_id -> filtration_type (NULL types dropped), copies."""
-    return weighted(
-        t.plant.filter(F.col("filtration_type").isNotNull()), ["plant_id", "filtration_type"]
-    )
+    known = t.plant.filter(F.col("filtration_type").isNotNull())
+    return _looked_up(t, "plant", ["plant_id", "filtration_type"], known)
+
+
+def listed(t: Tables, band_pairs: Sequence[tuple[str, str]]) -> tuple[DataFrame, DataFrame]:
+    """parameter_id and band_id of the listed names: what a fact row must have
+    to be counted at all."""
+    params = t.parameter.filter(F.col("parameter_name").isin(sorted({p for p, _ in band_pairs})))
+    bands = t.band.filter(F.col("band_name").isin(sorted({b for _, b in band_pairs})))
+    return params.select("parameter_id"), bands.select("band_id")
 
 
 def band_keys(t: Tables, band_pairs: tuple[tuple[str, str], ...]) -> DataFrame:

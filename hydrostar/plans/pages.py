@@ -31,6 +31,12 @@ BASE: dict[str, Callable[..., DataFrame]] = {
     "Q11": base.kpi_summary,
 }
 
+# Queries on one stored grain of the fact: the first store it, as each of them
+# would aggregate the whole fact; the others, which filter the fact first, read
+# it if it is there.
+WHOLE_FACT = ("Q6", "Q7", "Q9")
+PART_OF_FACT = ("Q8", "Q10")
+
 # page -> results shown, base query ids ("Q..") or derived ids ("P..").
 PAGES: dict[str, tuple[str, ...]] = {
     "overview": ("Q11", "P1", "P2"),
@@ -78,7 +84,14 @@ def result(
         df = BASE[qid](tables, ordered=rid not in derived.RESORTED, **kwargs)
     else:
         key = f"{qid}:{sorted(kwargs.items())!r}"
-        df = store.get(key, lambda: BASE[qid](tables, **kwargs), owner=tables)
+
+        def build() -> DataFrame:
+            shared = tables
+            if qid in WHOLE_FACT or qid in PART_OF_FACT:
+                shared = store.with_grain(tables, build=qid in WHOLE_FACT)
+            return BASE[qid](shared, **kwargs)
+
+        df = store.get(key, build, owner=tables)
     return df if fn is None else fn(df, **dict(params.get(rid, {})))
 
 

@@ -23,6 +23,8 @@ ENGINE_CONF = {
     # the machine's zone.
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.ansi.enabled": "true",
+    # Join sizes follow column statistics where tables have been analysed.
+    "spark.sql.cbo.enabled": "true",
     # Checkpoint files of results nobody references any more are removed.
     "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     "spark.ui.enabled": "false",

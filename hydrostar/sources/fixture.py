@@ -8,6 +8,7 @@ prunes the unused source columns and pushes filters through it.
 
 from __future__ import annotations
 
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -73,14 +74,15 @@ def _segment_offset(col: str) -> F.Column:
     return expr.otherwise(F.lit(SEGMENT_OTHER))
 
 
-def fixture_tables(spark: SparkSession, sf_dir: str) -> Tables:
-    """The ten lazy tables from ``<sf_dir>/{region,nation,...}.parquet``."""
-    region = _read(spark, sf_dir, "region").select(
+def _region(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _read(spark, sf_dir, "region").select(
         F.col("r_regionkey").cast("long").alias("region_id"),
         F.col("r_name").alias("region_name"),
     )
-    nation = _read(spark, sf_dir, "nation")
-    state = nation.select(
+
+
+def _state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _read(spark, sf_dir, "nation").select(
         F.col("n_nationkey").cast("long").alias("state_id"),
         F.col("n_regionkey").cast("long").alias("region_id"),
         F.concat(F.lit("N"), F.lpad(F.col("n_nationkey").cast("string"), 2, "0")).alias(
@@ -88,25 +90,38 @@ def fixture_tables(spark: SparkSession, sf_dir: str) -> Tables:
         ),
         F.col("n_name").alias("state_name"),
     )
-    customer = _read(spark, sf_dir, "customer")
-    municipality = customer.select(
+
+
+def _municipality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _read(spark, sf_dir, "customer").select(
         F.col("c_custkey").cast("long").alias("municipality_id"),
         F.col("c_nationkey").cast("long").alias("state_id"),
     )
-    institution_key = (F.col("c_nationkey") * 5 + _segment_offset("c_mktsegment")).cast("long")
-    office = customer.select(
+
+
+def _institution_key() -> F.Column:
+    return (F.col("c_nationkey") * 5 + _segment_offset("c_mktsegment")).cast("long")
+
+
+def _office(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _read(spark, sf_dir, "customer").select(
         F.col("c_custkey").cast("long").alias("office_id"),
-        institution_key.alias("institution_id"),
+        _institution_key().alias("institution_id"),
     )
-    institution = customer.select(
-        institution_key.alias("institution_id"),
+
+
+def _institution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _read(spark, sf_dir, "customer").select(
+        _institution_key().alias("institution_id"),
         F.concat(F.col("c_mktsegment"), F.lit(" "), F.col("c_nationkey").cast("string")).alias(
             "institution_name"
         ),
         F.col("c_mktsegment").alias("institution_type"),
     ).distinct()
-    orders = _read(spark, sf_dir, "orders")
-    plant = orders.select(
+
+
+def _plant(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _read(spark, sf_dir, "orders").select(
         F.col("o_orderkey").cast("long").alias("plant_id"),
         F.col("o_custkey").cast("long").alias("municipality_id"),
         F.when(F.col("o_orderkey") % 50 == 0, F.lit(None).cast("long"))
@@ -117,14 +132,18 @@ def fixture_tables(spark: SparkSession, sf_dir: str) -> Tables:
         .otherwise(F.col("o_orderpriority"))
         .alias("filtration_type"),
     )
-    supplier = _read(spark, sf_dir, "supplier")
-    point = supplier.select(
+
+
+def _point(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _read(spark, sf_dir, "supplier").select(
         F.col("s_suppkey").cast("long").alias("point_id"),
         F.concat(F.lit("T"), F.col("s_nationkey").cast("string")).alias("point_type"),
         F.col("s_name").alias("point_name"),
     )
-    part = _read(spark, sf_dir, "part")
-    parameter = part.select(
+
+
+def _parameter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _read(spark, sf_dir, "part").select(
         F.col("p_partkey").cast("long").alias("parameter_id"),
         F.when(F.col("p_size") == 49, F.lit(None).cast("string"))
         .when(F.col("p_size") == 50, F.lit(""))
@@ -136,8 +155,13 @@ def fixture_tables(spark: SparkSession, sf_dir: str) -> Tables:
         .alias("unit"),
         F.col("p_type").alias("category"),
     )
-    band = literal_table(spark, FIXTURE_BANDS, "band_id BIGINT, band_name STRING")
-    lineitem = _read(spark, sf_dir, "lineitem")
+
+
+def _band(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return literal_table(spark, FIXTURE_BANDS, "band_id BIGINT, band_name STRING")
+
+
+def _measurement(spark: SparkSession, sf_dir: str) -> DataFrame:
     flag_band = None
     for flag, band_id in RETURNFLAG_BAND:
         cond = F.col("l_returnflag") == F.lit(flag)
@@ -145,7 +169,7 @@ def fixture_tables(spark: SparkSession, sf_dir: str) -> Tables:
             cond, F.lit(band_id)
         )
     flag_band = flag_band.otherwise(F.lit(RETURNFLAG_OTHER))
-    measurement = lineitem.select(
+    return _read(spark, sf_dir, "lineitem").select(
         (F.col("l_orderkey") * 8 + F.col("l_linenumber")).cast("long").alias("measurement_id"),
         F.col("l_orderkey").cast("long").alias("plant_id"),
         F.when((F.col("l_linenumber") == 6) & (F.col("l_tax") == 0), F.lit(None).cast("long"))
@@ -159,15 +183,24 @@ def fixture_tables(spark: SparkSession, sf_dir: str) -> Tables:
         F.month("l_shipdate").cast("long").alias("month"),
         F.year("l_shipdate").cast("long").alias("year"),
     )
-    return Tables(
-        region=region,
-        state=state,
-        municipality=municipality,
-        office=office,
-        institution=institution,
-        plant=plant,
-        point=point,
-        parameter=parameter,
-        band=band,
-        measurement=measurement,
-    )
+
+
+_MAKERS = {
+    "region": _region,
+    "state": _state,
+    "municipality": _municipality,
+    "office": _office,
+    "institution": _institution,
+    "plant": _plant,
+    "point": _point,
+    "parameter": _parameter,
+    "band": _band,
+    "measurement": _measurement,
+}
+
+
+def fixture_tables(spark: SparkSession, sf_dir: str) -> Tables:
+    """The ten tables from ``<sf_dir>/{region,nation,...}.parquet``, each
+    defined when it is first used."""
+    makers = {name: partial(make, spark, sf_dir) for name, make in _MAKERS.items()}
+    return Tables(makers)

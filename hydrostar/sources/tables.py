@@ -2,34 +2,68 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, fields
+from collections.abc import Callable, Mapping, Sequence
+from functools import partial, reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from hydrostar.operators.rollup import GRAIN, fact_rollup, regroup
+from hydrostar.sources.keys import NOTHING, Keys
 from hydrostar.sources.schema import SCHEMAS
 
 
-@dataclass(frozen=True)
+Frame = DataFrame | Callable[[], DataFrame]
+
+
 class Tables:
-    """Lazy DataFrames of the ten base tables (engine column names)."""
-
-    region: DataFrame
-    state: DataFrame
-    municipality: DataFrame
-    office: DataFrame
-    institution: DataFrame
-    plant: DataFrame
-    point: DataFrame
-    parameter: DataFrame
-    band: DataFrame
-    measurement: DataFrame
+    """The ten base tables as lazy DataFrames (engine column names).
+
+    A table given as a function is defined when it is first used, so a query
+    pays for the tables it reads.  ``keys`` says what has been proven about
+    the keys; ``grain`` is a stored fine grain of the fact that the plant
+    queries read instead of it, ``enriched`` if it carries the attributes of
+    ``sources.gold.enrich_measurements``.
+    """
+
+    def __init__(
+        self,
+        frames: Mapping[str, Frame],
+        keys: Keys = NOTHING,
+        grain: DataFrame | None = None,
+        enriched: bool = False,
+    ):
+        self._frames = {name: frames[name] for name in SCHEMAS}
+        self.keys, self.grain, self.enriched = keys, grain, enriched
+
+    def __getattr__(self, name: str) -> DataFrame:
+        if name not in SCHEMAS:
+            raise AttributeError(name)
+        frame = self._frames[name]
+        if not isinstance(frame, DataFrame):
+            frame = frame()
+        setattr(self, name, frame)
+        return frame
+
+    def having(self, **parts) -> Tables:
+        """The same tables with other ``keys``, ``grain`` or ``enriched``."""
+        kept = {"keys": self.keys, "grain": self.grain, "enriched": self.enriched}
+        return Tables({name: partial(getattr, self, name) for name in SCHEMAS}, **(kept | parts))
+
+    def rollup(self, keys: Sequence[str], where: Column | None = None) -> DataFrame:
+        """The fact at the grain of ``keys``, from the stored grain if there
+        is one that has them."""
+        if self.grain is not None and set(keys) <= set(GRAIN):
+            return regroup(self.grain, keys, where)
+        return fact_rollup(self.measurement, keys, where)
 
     def register(self, prefix: str = "") -> None:
         """Expose every table as a temp view, e.g. for ``spark.sql``."""
-        for f in fields(self):
-            getattr(self, f.name).createOrReplaceTempView(prefix + f.name)
+        for name in SCHEMAS:
+            getattr(self, name).createOrReplaceTempView(prefix + name)
 
 
 def conform(df: DataFrame, name: str) -> DataFrame:
@@ -50,29 +84,73 @@ def conform(df: DataFrame, name: str) -> DataFrame:
     )
 
 
-def load_tables(spark: SparkSession, base_dir: str, fmt: str = "parquet") -> Tables:
+def load_tables(
+    spark: SparkSession, base_dir: str, fmt: str = "parquet", mixed_types: bool = False
+) -> Tables:
     """Read ``<base_dir>/<table>.<fmt>`` for each of the ten tables.
 
     Parquet is read with the declared schema, so narrower integers widen in
     the scan and filters reach it.  Only a column that the files hold as text
     (or as another type that does not widen) is read as such and cast with
-    ``try_cast``; all files of a table must then agree on its type.  CSV is
-    read as text and cast the same way.  ``measurement`` is best stored
+    ``try_cast``.  All files of a table must agree on its type, unless
+    ``mixed_types`` is set: then files are grouped by type, each group is read
+    by its own types and the groups are united (this reads every footer).  CSV
+    is read as text and cast the same way.  ``measurement`` is best stored
     partitioned by ``year``: the year filter of the monthly query then prunes
     whole directories.
     """
-    frames = {}
-    for name in SCHEMAS:
+
+    def frame(name: str) -> DataFrame:
         path = f"{base_dir}/{name}.{fmt}"
         if fmt == "csv":
             df = spark.read.option("header", True).schema(_as_text(name)).csv(path)
+        elif fmt == "parquet" and mixed_types:
+            return _mixed(spark, name, path)
         elif fmt == "parquet":
             found = spark.read.parquet(path).schema
             df = spark.read.schema(_widened(name, found)).parquet(path)
         else:
             df = spark.read.format(fmt).load(path)
-        frames[name] = conform(df, name)
-    return Tables(**frames)
+        return conform(df, name)
+
+    return Tables({name: partial(frame, name) for name in SCHEMAS})
+
+
+def same_types(spark: SparkSession, path: str) -> list[tuple[list[str], T.StructType]]:
+    """The files below ``path`` in groups that agree on every column's type.
+
+    Spark merges the footers of a set of files in tasks and refuses a set that
+    disagrees (with a failed job in the log); a refused set is halved, and
+    groups of equal schema are put together again.  That takes O(log files)
+    rounds for each border between types in the order of names."""
+    files = sorted(spark.read.parquet(path).inputFiles())
+    base = {"basePath": path, "mergeSchema": True}
+    groups: dict[str, tuple[list[str], T.StructType]] = {}
+    waiting = [files]
+    while waiting:
+        some = waiting.pop()
+        try:
+            found = spark.read.options(**base).parquet(*some).schema
+        except (PySparkException, Py4JJavaError) as error:
+            if len(some) == 1 or "CANNOT_MERGE_SCHEMAS" not in str(error):
+                raise
+            half = len(some) // 2
+            waiting += [some[half:], some[:half]]
+            continue
+        kinds = str(sorted((f.name, f.dataType.simpleString()) for f in found.fields))
+        groups.setdefault(kinds, ([], found))[0].extend(some)
+    return list(groups.values())
+
+
+def _mixed(spark: SparkSession, name: str, path: str) -> DataFrame:
+    """A table whose files may differ in types: one read a type, united."""
+    parts = [
+        conform(
+            spark.read.option("basePath", path).schema(_widened(name, found)).parquet(*files), name
+        )
+        for files, found in same_types(spark, path)
+    ]
+    return reduce(DataFrame.unionByName, parts)
 
 
 def _widened(name: str, found: T.StructType) -> T.StructType:
@@ -93,7 +171,7 @@ def _widened(name: str, found: T.StructType) -> T.StructType:
 
 def tables_from_frames(frames: dict[str, DataFrame]) -> Tables:
     """Bundle already-built DataFrames (tests, other sources)."""
-    return Tables(**{name: conform(frames[name], name) for name in SCHEMAS})
+    return Tables({name: conform(frames[name], name) for name in SCHEMAS})
 
 
 def _as_text(name: str):

@@ -102,12 +102,36 @@ def test_resorted_results_sort_once(spark):
         assert plan_text(catalog.queries()[key](spark, SF001)).count("Exchange rangepartitioning") == 1
 
 
-def test_band_query_aggregates_the_fact_before_joining(spark):
-    t = fixture_tables(spark, SF001)
-    df = base.band_distribution(t, band_pairs=FX.BAND_PAIRS)
+def _below_fact_rollup(df) -> str:
+    """The optimized plan between the fact's aggregate and its scan."""
     plan = df._jdf.queryExecution().optimizedPlan().toString()
     fact = plan[: plan.index("l_linenumber")].rindex("Aggregate [")
-    assert "Join" not in plan[fact : plan.index("l_linenumber")]
+    return plan[fact : plan.index("l_linenumber")]
+
+
+def test_band_query_rolls_up_only_listed_rows(spark):
+    """Small lists of ids filter the fact scan; no other join is below the
+    rollup."""
+    t = fixture_tables(spark, SF001)
+    below = _below_fact_rollup(base.band_distribution(t, band_pairs=FX.BAND_PAIRS))
+    assert below.count("Join LeftSemi") == 2 and below.count("Join") == 2
+
+
+def test_band_query_combines_the_fact_first_where_lists_are_large(spark):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        t = fixture_tables(spark, SF001)
+        df = base.band_distribution(t, band_pairs=FX.BAND_PAIRS)
+        assert "Join" not in _below_fact_rollup(df)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_a_query_defines_only_the_tables_it_reads(spark):
+    t = fixture_tables(spark, SF001)
+    base.filtration_share(t)
+    assert "plant" in vars(t) and "measurement" not in vars(t) and "office" not in vars(t)
 
 
 def test_pages_name_every_derived_result():
