@@ -15,15 +15,17 @@ does not depend on the order either), and decide the result where they occur.
 
 from __future__ import annotations
 
-import math
+from collections.abc import Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# Columns are written as SQL text: one call each where building them from
+# functions would take dozens.
 BITS = 26
-_BASE = float(1 << BITS)
 DIGITS = 4
 LIMIT = 2.0**88
+_BASE = f"{float(1 << BITS)!r}D"
 
 
 def digit_names(name: str) -> list[str]:
@@ -31,45 +33,39 @@ def digit_names(name: str) -> list[str]:
     return [f"{name}_{k}" for k in range(DIGITS)] + [f"{name}_x"]
 
 
-def digits(value: Column | str, name: str) -> list[Column]:
+def digits(value: str, name: str) -> list[Column]:
     """The four digits of a DOUBLE column as BIGINT columns, highest first,
     and the value itself where it is not finite; NULL has NULL in all."""
-    value = (F.col(value) if isinstance(value, str) else value).cast("double")
-    finite = F.abs(value) < F.lit(math.inf)
-    large = F.raise_error(F.lit(f"a value to sum exactly is not below {LIMIT}")).cast("double")
-    own = F.when(F.abs(value) < LIMIT, value).when(finite, large)
-    high = F.floor(own / _BASE)
-    rest = own - high.cast("double") * _BASE
-    out = [high.cast("long")]
-    for _ in range(DIGITS - 1):
-        whole = F.floor(rest)
-        out.append(whole.cast("long"))
-        rest = (rest - whole.cast("double")) * _BASE
-    out.append(F.when(~finite, value))
-    return [c.alias(n) for c, n in zip(out, digit_names(name))]
-
-
-def sum_digits(name: str, weight: Column | None = None) -> list[Column]:
-    """Aggregates that sum digit columns, each row counted ``weight`` times."""
-    one = F.lit(1).cast("long") if weight is None else weight
-    return [F.sum(F.col(n) * one).alias(n) for n in digit_names(name)]
-
-
-def combined(parts: list[Column]) -> Column:
-    """Digit sums as one DOUBLE: carries in whole numbers first, then the two
-    halves, so equal sums give equal bits."""
-    a, b, c, d, other = parts
-
-    def carry(low: Column, high: Column) -> tuple[Column, Column]:
-        # An arithmetic shift is the floor of the division, also below zero.
-        return low.bitwiseAND(F.lit((1 << BITS) - 1)), high + F.shiftright(low, BITS)
-
-    d, c = carry(d, c)
-    c, b = carry(c, b)
-    whole = a.cast("decimal(20,0)") * F.lit(1 << BITS).cast("decimal(10,0)") + b.cast("decimal(20,0)")
-    part = c.cast("double") / F.lit(_BASE) + d.cast("double") / F.lit(_BASE * _BASE)
-    return F.coalesce(other, whole.cast("double") + part)
-
-
-def combined_digits(name: str) -> Column:
-    return combined([F.col(n) for n in digit_names(name)])
+    v = f"CAST(`{value}` AS DOUBLE)"
+    finite = f"abs({v}) < double('infinity')"
+    large = f"CAST(raise_error('a value to sum exactly is not below {LIMIT}') AS DOUBLE)"
+    rest = f"(CASE WHEN abs({v}) < {LIMIT!r}D THEN {v} WHEN {finite} THEN {large} END)"
+    rest = f"({rest} / {_BASE})"
+    out = []
+    for _ in range(DIGITS):
+        out.append(f"floor({rest})")
+        rest = f"(({rest} - CAST(floor({rest}) AS DOUBLE)) * {_BASE})"
+    out.append(f"CASE WHEN NOT {finite} THEN {v} END")
+    return [F.expr(e).alias(n) for e, n in zip(out, digit_names(name))]
+
+
+def sum_digits(name: str, weight: str | None = None) -> list[Column]:
+    """Aggregates that sum digit columns, each row counted as often as the
+    column ``weight`` says."""
+    times = f" * `{weight}`" if weight else ""
+    return [F.expr(f"sum({n}{times})").alias(n) for n in digit_names(name)]
+
+
+def combined(name: str, within: Sequence[str] = ()) -> Column:
+    """Digit sums as one DOUBLE; ``within`` names window partitions to sum
+    over first.  Carries go up in whole numbers (an arithmetic shift is the floor of
+    the division, also below zero), then the two halves are added, so equal
+    sums give equal bits."""
+    over = f" OVER (PARTITION BY {', '.join(f'`{c}`' for c in within)})" if within else ""
+    a, b, c, d, other = (f"sum({n}){over}" if within else n for n in digit_names(name))
+    mask = (1 << BITS) - 1
+    c = f"({c} + shiftright({d}, {BITS}))"
+    b = f"({b} + shiftright({c}, {BITS}))"
+    low = f"(({c} & {mask}L) / {_BASE} + ({d} & {mask}L) / {_BASE} / {_BASE})"
+    whole = f"(CAST({a} AS DECIMAL(20,0)) * {1 << BITS} + CAST({b} AS DECIMAL(20,0)))"
+    return F.expr(f"coalesce({other}, CAST({whole} AS DOUBLE) + {low})")

@@ -11,13 +11,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hydrostar.functions.numeric import ratio
 from hydrostar.functions.text import bucket_label, classify
 from hydrostar.operators.reshape import stack_metrics
-from hydrostar.operators.exact_sum import combined, combined_digits, digit_names, sum_digits
+from hydrostar.operators.exact_sum import combined, sum_digits
 from hydrostar.operators.rollup import table_count
 from hydrostar.operators.shares import activity_by, share_of_total
 from hydrostar.plans import params as P
@@ -222,22 +222,21 @@ def band_distribution(
         .groupBy("plant_id", "parameter_name", "band_name")
         .agg(
             F.sum(F.col("records") * F.col(COPIES)).alias("records"),
-            *sum_digits("analyses", F.col(COPIES)),
+            *sum_digits("analyses", COPIES),
         )
     )
     grouped = (
         per_plant.join(plant_filtration(t), "plant_id")
         .groupBy("filtration_type", "parameter_name", "band_name")
         .agg(
-            *sum_digits("analyses", F.col(COPIES)),
+            *sum_digits("analyses", COPIES),
             F.count_distinct("plant_id").alias("plants"),
             F.sum(F.col("records") * F.col(COPIES)).alias("records"),
         )
     )
     # Window partitions hold one row per listed band: bounded by the rules.
-    listed_bands = Window.partitionBy("filtration_type", "parameter_name")
-    total = combined([F.sum(n).over(listed_bands) for n in digit_names("analyses")])
-    summed = grouped.withColumn("analyses", combined_digits("analyses"))
+    total = combined("analyses", within=["filtration_type", "parameter_name"])
+    summed = grouped.withColumn("analyses", combined("analyses"))
     shared = share_of_total(summed, "analyses", total, 2)
     out = (
         shared.filter(F.col("records") >= F.lit(min_records))

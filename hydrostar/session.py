@@ -23,6 +23,9 @@ ENGINE_CONF = {
     # the machine's zone.
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.ansi.enabled": "true",
+    # Plans are defined by hundreds of column calls; recording the Python call
+    # site of each costs more than planning them.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
     # Join sizes follow column statistics where tables have been analysed.
     "spark.sql.cbo.enabled": "true",
     # Checkpoint files of results nobody references any more are removed.

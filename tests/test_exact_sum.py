@@ -9,7 +9,7 @@ from fractions import Fraction
 import pytest
 from pyspark.sql import functions as F
 
-from hydrostar.operators.exact_sum import combined_digits, digits, sum_digits
+from hydrostar.operators.exact_sum import combined, digits, sum_digits
 from hydrostar.plans import base
 from hydrostar.plans import params as P
 from hydrostar.sources.tables import tables_from_frames
@@ -19,7 +19,7 @@ from tests.test_copies import _data
 
 def total(spark, values, parts=1):
     df = spark.createDataFrame([(v,) for v in values], "v double").repartition(parts)
-    sums = df.select(*digits("v", "s")).agg(*sum_digits("s")).select(combined_digits("s").alias("x"))
+    sums = df.select(*digits("v", "s")).agg(*sum_digits("s")).select(combined("s").alias("x"))
     return sums.first()[0]
 
 
