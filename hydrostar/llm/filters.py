@@ -85,8 +85,9 @@ def _copies(docs: DataFrame, measured: DataFrame) -> DataFrame:
     shared = stored(ids.where("low < high").select("hash"), "audit-hashes")
     hashed = docs.withColumn("hash", F.unhex(F.sha2("text", 256)))
     # Both sides of each join are stored tables, plain shuffles that AQE can
-    # split where one text fills much of the table.
-    mine = stored(hashed.join(shared, "hash"), "audit-copies")
+    # split where one text fills much of the table.  Either side grows with the
+    # table, so neither join is ever a broadcast.
+    mine = stored(hashed.join(shared.hint("merge"), "hash"), "audit-copies")
     first = mine.groupBy("hash", "text").agg(F.min("doc_id").alias("first"))
     first = stored(first, "audit-firsts").alias("theirs")
     mine = mine.alias("mine")
@@ -95,7 +96,7 @@ def _copies(docs: DataFrame, measured: DataFrame) -> DataFrame:
         & (F.col("mine.text") == F.col("theirs.text"))
         & (F.col("theirs.first") < F.col("mine.doc_id"))
     )
-    return mine.join(first, same, "left_semi").select("doc_id", "part", "hash")
+    return mine.join(first.hint("merge"), same, "left_semi").select("doc_id", "part", "hash")
 
 
 def failures(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
