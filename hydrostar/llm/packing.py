@@ -56,7 +56,7 @@ PHASES = 48
 EPSILON = 0.25
 SOLVES = 5
 MAX_RUNS = 1_000_000
-CACHED_WORDS = 500_000
+CACHED_WORDS = 1_000_000
 
 # Lengths (falling, repeats included) of one sequence -> number of sequences.
 Plan = dict[tuple[int, ...], int]
@@ -233,6 +233,18 @@ class Places:
         return sequence, offset
 
 
+# The encoder of the last vocabulary file, kept in a worker from task to task
+# with its bounded cache: most words of a task are new only to the first.
+_kept: dict[str, Encoder] = {}
+
+
+def _encoder(vocabulary: str) -> Encoder:
+    if vocabulary not in _kept:
+        _kept.clear()
+        _kept[vocabulary] = Encoder(vocabulary, CACHED_WORDS)
+    return _kept[vocabulary]
+
+
 PIECE = "piece int, start long, length int, ids_crc32 long, task int, nth long"
 
 
@@ -247,7 +259,7 @@ def cut(
     kind = docs.schema["doc_id"].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(shared.value, CACHED_WORDS)
+        encoder = _encoder(shared.value)
         task, made = TaskContext.get().partitionId(), [0] * (capacity + 1)
         for batch in batches:
             for part in sliced(batch, 4 << 20):
