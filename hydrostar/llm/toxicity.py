@@ -2,7 +2,8 @@
 
 A word's bag holds the hashes of its 3- to 5-byte n-grams with word borders,
 so a misspelt word shares most vectors with the word it stands for.  A text is
-read in windows of ``WINDOW`` words; a window's embedding is the mean over
+read in windows of ``WINDOW`` words, one from every ``STRIDE``-th word on, so
+that evidence never falls apart at a border; a window's embedding is the mean over
 the bags of its different words (with ``PRIOR`` zero vectors, so that a few
 unusual words in a short text do not weigh like a whole window), a linear
 softmax on it gives the window's score, and a text scores as its highest
@@ -10,7 +11,7 @@ window: one insult in 20,000 words counts as much as in ten.
 
 Embeddings and softmax are trained jointly in numpy (Adam) on a bounded,
 hash-chosen sample of labelled rows (``fit_rows`` toxic, twice as many
-others): first on whole texts, then on the highest window of each text and a
+others, one text an id, ``fit_bytes`` in all): first on whole texts, then on the highest window of each text and a
 random one of each clean text, chosen anew every epoch.  The model goes back
 to the tasks as one weight for each of the ``BUCKETS`` buckets (a fixed
 256 KB), because mean and difference of classes are both linear.
@@ -27,13 +28,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from hydrostar.llm.common import LOWER_TABLE, arrow_pass, fold, utf8
+from hydrostar.llm.common import LOWER_TABLE, arrow_pass, fold, stored, utf8
 
 BUCKETS = 1 << 16
 WORD_BLOCK = 1 << 15
 NGRAMS = (3, 4, 5)
 DIM = 8
 WINDOW = 8
+STRIDE = 4
+WORDS_AT_ONCE = 1 << 18
 PRIOR = 150
 DECAY = 0.1
 BATCH = 128
@@ -128,15 +131,32 @@ class Windows:
     word: np.ndarray  # and its word's number
 
     @classmethod
-    def of(cls, words: Words, size: int) -> Windows:
-        n = np.maximum(-(-words.counts // size), 1)
+    def of(cls, words: Words, size: int, stride: int) -> Windows:
+        """Windows of ``size`` words from every ``stride``-th word on, to the
+        one that reaches the text's end."""
+        n = np.maximum(-(-(words.counts - size) // stride), 0) + 1
         first = np.cumsum(n) - n
-        text = np.repeat(np.arange(len(n)), words.counts)
-        start = np.cumsum(words.counts) - words.counts
-        window = first[text] + (np.arange(len(text)) - start[text]) // size
+        ends = np.cumsum(words.counts)
         span = max(len(words.unique), 1)
-        pairs = np.unique(window * span + words.ids)
-        return cls(np.repeat(np.arange(len(n)), n), pairs // span, pairs % span)
+        pairs = []
+        # Texts go through in blocks, so working memory is bounded.
+        at = 0
+        while at < len(n):
+            stop = int(np.searchsorted(ends, ends[at] + WORDS_AT_ONCE, side="right"))
+            counts = words.counts[at:stop]
+            text = np.repeat(np.arange(at, stop), counts)
+            head = int(ends[at] - words.counts[at])
+            nearest = (np.arange(head, int(ends[stop - 1])) - (ends - words.counts)[text]) // stride
+            ids = words.ids[head : int(ends[stop - 1])]
+            keys = []
+            for back in range(-(-size // stride)):
+                inside = (nearest >= back) & (nearest - back < n[text])
+                keys.append((first[text] + nearest - back)[inside] * span + ids[inside])
+            found = np.unique(np.concatenate(keys))
+            pairs.append(((found // span).astype(np.int32), (found % span).astype(np.int32)))
+            at = stop
+        window, word = (np.concatenate(x) for x in zip(*pairs)) if pairs else (np.empty(0, np.int32),) * 2
+        return cls(np.repeat(np.arange(len(n)), n), window, word)
 
     def logits(self, weight: np.ndarray, size: np.ndarray, bias: float) -> np.ndarray:
         """Score of each window from its words' weights and bag sizes."""
@@ -238,10 +258,11 @@ def train(
         bias = 0.0 if not labels else (4.0 if labels[0] else -4.0)
         return Model(np.zeros(BUCKETS, np.float32), bias)
     t = Trainer(texts, labels, seed)
-    whole = Windows.of(t.words, max(int(t.words.counts.max()), 1))
+    longest = max(int(t.words.counts.max()), 1)
+    whole = Windows.of(t.words, longest, longest)
     for k in range(max(warm, -(-min_steps // 8 // -(-len(texts) // BATCH)))):
         t.epoch(whole, np.arange(len(texts)), 0.05)
-    windows = Windows.of(t.words, WINDOW)
+    windows = Windows.of(t.words, WINDOW, STRIDE)
     clean = np.flatnonzero(t.y[windows.of_text] == 0)
     epochs = max(epochs, -(-min_steps // -(-(len(texts) + int((t.y == 0).sum())) // BATCH)))
     for k in range(epochs):
@@ -257,14 +278,37 @@ def fit(
     labels: DataFrame,
     label: str = "toxic",
     fit_rows: int = 2_000,
+    fit_bytes: int = 32 << 20,
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> Model:
-    """Train on the sample's whole texts (``3 * fit_rows`` rows at most)."""
+    """Train on whole texts of the sample: ``3 * fit_rows`` at most, of
+    ``fit_bytes`` in UTF-8 together.
+
+    Of several rows of a chosen id the text with the smallest hash counts
+    (null texts are empty).  A text that would take the sample over
+    ``fit_bytes``, in the order of the ids' hashes, is left out.
+    """
     chosen = sample(labels, label, fit_rows, id_col)
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    rows = texts.join(chosen, texts["id"] == chosen["label_id"]).select("id", "label", "text")
-    found = sorted(map(tuple, rows.collect()), key=lambda r: (r[0], r[2] is None, r[2] or ""))
+    texts = docs.select(
+        F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")
+    )
+    rows = (
+        texts.join(chosen, texts["id"] == chosen["label_id"])
+        .groupBy("id", "label")
+        .agg(F.min(F.struct(F.xxhash64("text").alias("hash"), "text")).alias("least"))
+        .select("id", "label", F.col("least.text").alias("text"))
+    )
+    rows = stored(rows, "toxicity-sample")
+    sizes = rows.select(F.xxhash64("id"), "id", F.octet_length("text")).collect()
+    kept, total = [], 0
+    for _, i, size in sorted(map(tuple, sizes)):
+        if total + size <= fit_bytes:
+            kept.append(i)
+            total += size
+    if len(kept) < len(sizes):
+        rows = rows.where(F.col("id").isin(kept))
+    found = sorted(map(tuple, rows.collect()))
     return train([r[2] for r in found], [r[1] for r in found])
 
 
@@ -277,7 +321,7 @@ def scores(texts: list[str | None], model: Model) -> np.ndarray:
     bucket, owner = subwords(words.unique)
     weight = np.bincount(owner, model.weights[bucket], minlength=len(words.unique))
     size = np.bincount(owner, minlength=len(words.unique))
-    windows = Windows.of(words, WINDOW)
+    windows = Windows.of(words, WINDOW, STRIDE)
     logits = windows.logits(weight, size, model.bias)
     starts = np.searchsorted(windows.of_text, np.arange(len(texts)))
     top = np.maximum.reduceat(logits, starts)

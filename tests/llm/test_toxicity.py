@@ -75,3 +75,59 @@ def test_one_class_or_no_labels(spark):
     assert (toxicity.scores(["any text", ""], fitted(spark, clean)) < 0.5).all()
     nothing = toxicity.fit(documents(spark, []), spark.createDataFrame([], "doc_id long, toxic int"))
     assert toxicity.scores(["any"], nothing)[0] == 0.5
+
+
+def test_windows_cover_every_run_of_words():
+    texts = [" ".join(f"a{j}" for j in range(n)) for n in (0, 1, 7, 8, 9, 12, 13, 40)] + [None]
+    words = toxicity.Words.of(texts)
+    for at_once in (1 << 18, 5):
+        toxicity.WORDS_AT_ONCE, before = at_once, toxicity.WORDS_AT_ONCE
+        try:
+            found = toxicity.Windows.of(words, 8, 4)
+        finally:
+            toxicity.WORDS_AT_ONCE = before
+        got = [[] for _ in found.of_text]
+        for w, k in zip(found.window.tolist(), found.word.tolist()):
+            got[w].append(words.unique[k].decode())
+        want, owner = [], []
+        for k, text in enumerate(texts):
+            ws = (text or "").split()
+            starts = [0, *(s for s in range(4, len(ws), 4) if s + 4 < len(ws))]
+            want += [sorted(ws[s : s + 8]) for s in starts]
+            owner += [k] * len(starts)
+        assert [sorted(g) for g in got] == want and found.of_text.tolist() == owner
+
+
+def test_evidence_at_any_place(spark):
+    """A cue of two words is found as often wherever it stands."""
+    rnd = random.Random(5)
+    rows, place = [], {}
+    for k in range(1500):
+        ws = [f"word{rnd.randrange(400)}" for _ in range(rnd.choice([20, 60]))]
+        if k % 3 == 0:
+            at = rnd.randrange(len(ws) - 1)
+            ws[at : at + 2] = ["velvet", "hammer"]
+            place[k] = at % 8 == 7
+        elif k % 3 == 1:
+            ws[rnd.randrange(len(ws))] = rnd.choice(["velvet", "hammer"])
+        rows.append((k, " ".join(ws), int(k % 3 == 0)))
+    model = fitted(spark, [r for r in rows if r[0] < 900])
+    fresh = [r for r in rows if r[0] >= 900 and r[2]]
+    found = toxicity.scores([r[1] for r in fresh], model) >= 0.5
+    across = np.array([place[r[0]] for r in fresh])
+    assert abs(found[across].mean() - found[~across].mean()) <= 0.2
+    assert found.mean() >= 0.5
+
+
+def test_sample_is_bounded_and_takes_one_text_an_id(spark, monkeypatch):
+    taken = []
+    monkeypatch.setattr(toxicity, "train", lambda texts, labels: taken.append((texts, labels)))
+    rows = [(k, f"text of {k} " * 10) for k in range(30)]
+    rows += [(1, f"another text {j}") for j in range(50)] + [(2, None)] * 20
+    labels = spark.createDataFrame([(k, k % 2) for k in range(30)], "doc_id long, toxic int")
+    toxicity.fit(documents(spark, rows), labels)
+    assert len(taken[0][0]) == 30
+    toxicity.fit(documents(spark, rows), labels, fit_bytes=1000)
+    assert 5 <= len(taken[1][0]) < 30 and sum(map(len, taken[1][0])) <= 1000
+    toxicity.fit(documents(spark, rows[::-1]), labels, fit_bytes=1000)
+    assert taken[2] == taken[1]
