@@ -10,8 +10,9 @@ backward at once through wavelet ranks, occurrences are located by walking to
 the next sampled suffix, and merged into removal spans.
 
 Phrases reach the tasks in blocks of bounded size (``BLOCK_PHRASES``), one
-pass over the shards for each block; there is no shuffle of documents and
-nothing about documents reaches the driver.
+pass over the shards for each block.  With one block documents are not
+shuffled; with more, one join on a text hash brings all blocks' hits together.
+Nothing about documents reaches the driver.
 """
 
 from __future__ import annotations
@@ -22,11 +23,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from hydrostar.llm.common import UPPER, arrow_pass, lower_ascii, utf8, with_field
+from hydrostar.llm.common import UPPER, arrow_pass, lower_ascii, stored, utf8, with_field
 
 # Fixed value: the contract's word pattern (after lower-casing A-Z).
 WORD_PATTERN = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -263,6 +265,7 @@ def merged(spans: Iterator[list]) -> list[list]:
 
 
 _SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+_HITS = "key string, spans array<struct<start:bigint,end:bigint>>, items array<string>"
 _FOUND = "n_words long, spans array<struct<start:bigint,end:bigint>>, items array<string>"
 
 
@@ -279,60 +282,116 @@ def find(
 
     One row per document row; null texts have no words; ids may repeat or be
     null; other columns go through in ``source``.  An empty benchmark finds
-    nothing.  Benchmarks of any size go through in blocks.
+    nothing.
+
+    Phrases go through in blocks of ``BLOCK_PHRASES``.  One block is one pass
+    that gives the rows.  More blocks are passes one after another: each
+    writes the hits of every different text that has some and is then
+    dropped from the tasks, and one last pass joins the hits of all blocks to
+    the rows, so a task holds one block at most.
     """
-    found = phrases(items, item_id_col, item_text_col).cache()
+    found = stored(phrases(items, item_id_col, item_text_col), "decontam-phrases")
     blocks = max(1, -(-found.count() // BLOCK_PHRASES))
-    spark = docs.sparkSession
-    out = docs.select(
-        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("source"),
-        F.lit(0).cast("long").alias("n_words"),
-        F.array().cast("array<struct<start:bigint,end:bigint>>").alias("spans"),
-        F.array().cast("array<string>").alias("items"),
-    )
-    schema = StructType([out.schema["source"], *StructType.fromDDL(_FOUND).fields])
+    source = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("source"))
     at = docs.columns.index(text_col)
+    if blocks == 1:
+        schema = StructType([*source.schema.fields, *StructType.fromDDL(_FOUND).fields])
+        search = _searcher(_block(found, 0, 1), at, clean)
+        return arrow_pass(source, search, schema, slice_bytes=SHARD_BYTES)
+
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    texts = docs.select(_text_key(text).alias("key"), text.alias("text"))
+    hits = None
     for b in range(blocks):
-        mine = found.where(F.pmod(F.xxhash64("words"), F.lit(blocks)) == b).collect()
-        shared = spark.sparkContext.broadcast(Block([(r["words"], r["items"]) for r in mine]))
-        search = _searcher(shared, at, clean and b == blocks - 1)
-        out = arrow_pass(out, search, schema, slice_bytes=SHARD_BYTES)
-    found.unpersist()
-    return out
+        shared = _block(found, b, blocks)
+        some = arrow_pass(texts, _block_hits(shared), _HITS, slice_bytes=SHARD_BYTES)
+        # Rows with the same text have the same hits.
+        one = some.groupBy("key").agg(F.first(F.struct("spans", "items")).alias("hit"))
+        some = stored(one, f"decontam-{b}")
+        shared.destroy()
+        hits = some if hits is None else hits.unionByName(some)
+    # A row a block and text at most; stored, so that AQE can split a text
+    # that very many rows have.
+    hits = stored(hits.groupBy("key").agg(F.collect_list("hit").alias("hits")), "decontam-hits")
+    rows = source.withColumn("key", _text_key(F.coalesce(F.col(f"source.`{text_col}`"), F.lit(""))))
+    rows = rows.join(hits, "key", "left").select("source", "hits")
+    schema = StructType([rows.schema["source"], *StructType.fromDDL(_FOUND).fields])
+    return arrow_pass(rows, _merger(at, clean), schema, slice_bytes=SHARD_BYTES)
+
+
+def _text_key(text: Column) -> Column:
+    return F.sha2(text.cast("binary"), 256)
+
+
+def _block(found: DataFrame, b: int, blocks: int) -> Broadcast:
+    """Block ``b`` of the phrases, sent to the tasks."""
+    mine = found.where(F.pmod(F.xxhash64("words"), F.lit(blocks)) == b).collect()
+    block = Block([(r["words"], r["items"]) for r in mine])
+    return found.sparkSession.sparkContext.broadcast(block)
+
 
+def _block_hits(shared: Broadcast):
+    """(key, spans, items) of the texts in which the block has hits."""
 
-def _searcher(shared, at: int, clean: bool):
     def rows(batch: pa.RecordBatch) -> pa.RecordBatch:
-        source = batch.column(0)
-        given = pc.struct_field(source, at).to_pylist()
-        texts = [utf8(t) for t in given]
-        counts, spans, items = shared.value.hits(texts)
-        before = zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())
-        all_spans, all_items = [], []
-        for (old, named), new, more in zip(before, spans, items):
-            if old:
-                new = merged([*([x["start"], x["end"]] for x in old), *new])
-            all_spans.append([{"start": s, "end": e} for s, e in new])
-            all_items.append(sorted({*named, *more}))
-        if clean:
-            cut = [
-                cut_spans(t, [(x["start"], x["end"]) for x in xs]) if xs else t
-                for t, xs in zip(given, all_spans)
-            ]
-            source = with_field(source, at, pa.array(cut, pa.string()))
+        _, spans, items = shared.value.hits([utf8(t) for t in batch.column(1).to_pylist()])
+        hit = [k for k, s in enumerate(spans) if s]
         return pa.RecordBatch.from_arrays(
             [
-                source,
-                pa.array(counts),
-                pa.array(all_spans, _SPANS),
-                pa.array(all_items, pa.list_(pa.string())),
+                batch.column(0).take(pa.array(hit, pa.int64())),
+                pa.array([[{"start": s, "end": e} for s, e in spans[k]] for k in hit], _SPANS),
+                pa.array([sorted(items[k]) for k in hit], pa.list_(pa.string())),
             ],
-            names=["source", "n_words", "spans", "items"],
+            names=["key", "spans", "items"],
         )
 
     return rows
 
 
+def _reply(
+    source: pa.Array, at: int, clean: bool, counts: np.ndarray, spans: list[list], items: list[list]
+) -> pa.RecordBatch:
+    """The result's rows; with ``clean`` the texts lose their spans."""
+    if clean:
+        given = pc.struct_field(source, at).to_pylist()
+        cut = [cut_spans(t, xs) if xs else t for t, xs in zip(given, spans)]
+        source = with_field(source, at, pa.array(cut, pa.string()))
+    return pa.RecordBatch.from_arrays(
+        [
+            source,
+            pa.array(counts),
+            pa.array([[{"start": s, "end": e} for s, e in xs] for xs in spans], _SPANS),
+            pa.array(items, pa.list_(pa.string())),
+        ],
+        names=["source", "n_words", "spans", "items"],
+    )
+
+
+def _searcher(shared: Broadcast, at: int, clean: bool):
+    def rows(batch: pa.RecordBatch) -> pa.RecordBatch:
+        source = batch.column(0)
+        texts = [utf8(t) for t in pc.struct_field(source, at).to_pylist()]
+        counts, spans, items = shared.value.hits(texts)
+        return _reply(source, at, clean, counts, spans, [sorted(i) for i in items])
+
+    return rows
+
+
+def _merger(at: int, clean: bool):
+    """Word counts, and the union of the blocks' spans and items."""
+
+    def rows(batch: pa.RecordBatch) -> pa.RecordBatch:
+        source = batch.column(0)
+        texts = [utf8(t) for t in pc.struct_field(source, at).to_pylist()]
+        counts = np.array([len(t.translate(WORD_TABLE).split()) for t in texts], np.int64)
+        hits = [h or [] for h in batch.column(1).to_pylist()]
+        spans = [merged([x["start"], x["end"]] for h in hs for x in h["spans"]) for hs in hits]
+        items = [sorted({i for h in hs for i in h["items"]}) for hs in hits]
+        return _reply(source, at, clean, counts, spans, items)
+
+    return rows
+
+
 def cut_spans(text: str, spans: list[tuple[int, int]]) -> str:
     """The text without the bytes from each span's first to its last word.
 

@@ -70,10 +70,28 @@ def test_against_brute_force(spark, seed):
 
 def test_blocks_of_phrases_give_the_same(spark, monkeypatch):
     rows, items = cases(3)
+    rows += rows[:5] * 4 + [(7, None), (None, "")]
     monkeypatch.setattr(decontam, "BLOCK_PHRASES", 60)
     assert run(spark, rows, items) == brute(rows, items)
 
 
+def test_blocks_run_one_after_another(spark, monkeypatch):
+    """Many blocks: the result's plan has one Python pass, and texts are cut
+    as with one block."""
+    rows, items = cases(4)
+    bench = spark.createDataFrame(items, "item_id long, text string")
+
+    def cut():
+        out = decontam.find(documents(spark, rows), bench, clean=True)
+        passes = out._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow")
+        return passes, sorted((str(r) for r in out.collect()))
+
+    passes, whole = cut()
+    monkeypatch.setattr(decontam, "BLOCK_PHRASES", 100)
+    many, parts = cut()
+    assert passes == many == 1 and parts == whole
+
+
 def test_awkward_rows_and_empty_tables(spark):
     rows = awkward_rows()
     items = [(1, prose(1, 80)), (2, "ünï çødé"), (3, "same " * 12)]
