@@ -23,19 +23,21 @@ def components(edges: DataFrame) -> DataFrame:
 
     Each round hangs neighbours on the smallest neighbour, first the larger
     ones (large star), then the smaller ones (small star), which takes
-    O(log^2 n) rounds for any shape.  A round is a few joins on unique keys
-    and is written to the shared folder, so lineage stays one round long; the
-    driver sees one signature row a round.
+    O(log^2 n) rounds for any shape.  A round is a few joins on unique keys,
+    whose unique sides are stored too: both sides are then plain shuffles, and
+    AQE can split the hub of a large component.  A round is written to the
+    shared folder, so lineage stays one round long; the driver sees one
+    signature row a round.
     """
     e = stored(edges.where("a <> b").distinct(), "edges")
     seen = _signature(e)
     while seen[0]:
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m"))
-        least = least.select("a", F.least("a", "m").alias("m"))
+        least = stored(least.select("a", F.least("a", "m").alias("m")), "edges-least")
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = large.distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        large = stored(large.distinct(), "edges-large")
+        least = stored(large.groupBy("a").agg(F.min("b").alias("m")), "edges-least")
         small = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         small = small.unionByName(least.select("a", F.col("m").alias("b"))).distinct()
         e = stored(small, "edges")

@@ -9,7 +9,8 @@ more rows than the bucket has, but every link's two ends stay connected.
 
 Everything after the fingerprints runs on distinct fingerprints, so copies of
 a text cost one row.  A bucket with more than ``BUCKET_ROWS`` fingerprints is
-dealt into parts, and each pair of parts is verified in a task of its own.
+split by a further block; if that leaves one as large, it is dealt into parts,
+and each pair of parts is verified in a task of its own.
 """
 
 from __future__ import annotations
@@ -98,27 +99,69 @@ def _signed(value: int) -> int:
     return value - (1 << 64) if value >> 63 else value
 
 
-def buckets(fps: DataFrame, distance: int, count: int) -> DataFrame:
-    """(choice, key, part, fp): fp is in bucket (choice, key), and there
-    in the pair of parts ``part``."""
-    masks = F.array(*[F.lit(_signed(m)).cast("long") for m in block_masks(distance, count)])
-    keyed = fps.select("fp", F.posexplode(masks).alias("choice", "mask")).select(
-        "choice", F.col("fp").bitwiseAND(F.col("mask")).alias("key"), "fp"
+def inner_masks(mask: int, distance: int) -> list[int]:
+    """``mask`` widened by one further block of the bits it leaves out: one
+    mask for each choice that a linked pair with equal ``mask`` bits must share."""
+    free = [1 << b for b in range(BITS) if not mask >> b & 1]
+    edges = [len(free) * k // (distance + 1) for k in range(distance + 2)]
+    return [mask | sum(free[lo:hi]) for lo, hi in zip(edges, edges[1:])]
+
+
+def _masked(fps: DataFrame, masks: Column) -> DataFrame:
+    """Every fingerprint under every mask; choice is the mask."""
+    return fps.select("fp", F.explode(masks).alias("choice")).select(
+        "choice", F.col("fp").bitwiseAND(F.col("choice")).alias("key"), "fp"
     )
+
+
+def _over(keyed: DataFrame) -> DataFrame:
+    """The buckets of more than ``BUCKET_ROWS`` rows, and their parts."""
     sizes = keyed.groupBy("choice", "key").agg(F.count("*").alias("n"))
-    large = sizes.where(F.col("n") > BUCKET_ROWS).select(
+    return sizes.where(F.col("n") > BUCKET_ROWS).select(
         "choice", "key", F.ceil(F.col("n") / (BUCKET_ROWS // 2)).cast("int").alias("parts")
     )
+
+
+def buckets(fps: DataFrame, distance: int, count: int) -> DataFrame:
+    """(choice, key, part, fp): fp is in bucket (choice, key), and there
+    in the pair of parts ``part``.
+
+    A bucket of more than ``BUCKET_ROWS`` fingerprints is split by a further
+    block of the bits outside its mask, and only what is still larger then
+    is dealt into pairs of parts.
+    """
+    masks = block_masks(distance, count)
+    literal = lambda ms: F.array(*[F.lit(_signed(m)).cast("long") for m in ms])
+    keyed = _masked(fps, literal(masks))
+    large = stored(_over(keyed), "simhash-large")
+    zero = F.lit(0).cast("long")
+    if large.isEmpty():
+        return keyed.select("choice", "key", zero.alias("part"), "fp")
+    small = keyed.join(large, ["choice", "key"], "left_anti").withColumn("part", zero)
+    wider = F.create_map(
+        *[x for m in masks for x in (F.lit(_signed(m)).cast("long"), literal(inner_masks(m, distance)))]
+    )
+    inner = keyed.join(large.select("choice", "key"), ["choice", "key"]).select(
+        F.explode(wider[F.col("choice")]).alias("choice"), "fp"
+    )
+    # Two outer masks can widen to one and the same.
+    inner = stored(
+        inner.select(
+            "choice", F.col("fp").bitwiseAND(F.col("choice")).alias("key"), "fp"
+        ).distinct(),
+        "simhash-inner",
+    )
     own = F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")
-    pairs = F.when(F.col("parts").isNull(), F.array(F.lit(0).cast("long"))).otherwise(
+    pairs = F.when(F.col("parts").isNull(), F.array(zero)).otherwise(
         F.transform(
             F.sequence(F.lit(0), F.coalesce(F.col("parts"), F.lit(1)) - 1),
             lambda j: F.least(own, j).cast("long") * F.col("parts") + F.greatest(own, j),
         )
     )
-    return keyed.join(large, ["choice", "key"], "left").select(
+    dealt = inner.join(stored(_over(inner), "simhash-larger"), ["choice", "key"], "left").select(
         "choice", "key", F.explode(pairs).alias("part"), "fp"
     )
+    return small.select("choice", "key", "part", "fp").unionByName(dealt)
 
 
 def _forest(key: np.ndarray, fp: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
@@ -167,9 +210,7 @@ def links(fps: DataFrame, distance: int, count: int) -> DataFrame:
         if kept:
             yield emit(np.zeros(len(kept[0]), np.int64), kept[3].view(np.uint64))
 
-    dealt = buckets(fps, distance, count).select(
-        F.col("choice").cast("long"), "key", "part", "fp"
-    )
+    dealt = buckets(fps, distance, count)
     dealt = dealt.repartition("choice", "key", "part").sortWithinPartitions("choice", "key", "part")
     return map_in_arrow(dealt, run, "a long, b long")
 

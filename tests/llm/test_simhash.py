@@ -99,6 +99,24 @@ def test_choices_of_blocks_cover_every_pair():
             assert any(not changed & m for m in masks)
 
 
+def test_large_buckets_split_before_they_are_paired(spark, monkeypatch):
+    """Equal outer blocks, spread inner bits: rows grow with the bucket, not
+    with its square."""
+    monkeypatch.setattr(simhash, "BUCKET_ROWS", 64)
+    rng = np.random.default_rng(3)
+    outer = sum(simhash.block_masks(4, 0)[:1])
+    fps = sorted({int(x) & ~outer & (1 << 63) - 1 for x in rng.integers(0, 1 << 63, 3000)})
+    df = spark.createDataFrame([(simhash._signed(f),) for f in fps], "fp long")
+    assert simhash.buckets(df, 4, 0).count() <= 32 * len(fps)
+    for mask in simhash.block_masks(4, 0):
+        inner = simhash.inner_masks(mask, 4)
+        assert len(inner) == 5 and all(m & mask == mask for m in inner)
+        free = [b for b in range(64) if not mask >> b & 1]
+        for _ in range(50):
+            changed = sum(1 << int(b) for b in rng.choice(free, 4, replace=False))
+            assert any(not changed & m for m in inner)
+
+
 def test_components_of_a_long_path(spark):
     order = list(range(300))
     random.Random(1).shuffle(order)
