@@ -95,8 +95,10 @@ def write_archives(
     url_col: str = "url",
     payload_col: str = "html",
     min_bytes: int = 0,
+    file_records: int = 10_000,
 ) -> None:
-    """Write one record per row of ``pages`` under ``path``.
+    """Write one record per row of ``pages`` under ``path``, at most
+    ``file_records`` in one archive (a reader takes an archive as one value).
 
     A null payload is empty, a null URL gives an empty target.  Control
     characters in a URL are percent-encoded so that a header stays one line.
@@ -148,7 +150,7 @@ def write_archives(
     )
     rows.select(record.alias("value")).write.option("lineSep", "\n").option(
         "compression", "gzip"
-    ).text(path)
+    ).option("maxRecordsPerFile", file_records).text(path)
 
 
 def _bytes_of(content: bytes, step: int = 1 << 20) -> Iterator[bytes]:

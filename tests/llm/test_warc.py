@@ -72,6 +72,20 @@ def test_many_copies(spark, tmp_dir):
     assert run(spark, tmp_dir, rows)[0] == brute(rows)
 
 
+def test_archives_hold_a_bounded_number_of_records(spark, tmp_dir):
+    rows = [(k, f"http://{k}/", f"page {k}", "x", "y", "z") for k in range(50)]
+    df = spark.createDataFrame(rows, KIND).coalesce(1)
+    path = os.path.join(tmp_dir, "bounded")
+    warc.write_archives(df, path, file_records=7)
+    sizes = []
+    for name in os.listdir(path):
+        if name.endswith(".gz"):
+            with open(os.path.join(path, name), "rb") as f:
+                sizes.append(sum(1 for _ in warc.records(f.read())))
+    assert sum(sizes) == 50 and max(sizes) <= 7
+    assert warc.read_archives(spark, path).count() == 50
+
+
 def test_damaged_archives_fail():
     with pytest.raises(ValueError, match="not a record"):
         list(warc.records(b"HTTP/1.1 200\r\n\r\n"))
