@@ -184,7 +184,7 @@ def _forest(key: np.ndarray, fp: np.ndarray, distance: int) -> tuple[np.ndarray,
 
 
 def links(fps: DataFrame, distance: int, count: int) -> DataFrame:
-    """Edges (a, b) that connect what the verified links connect."""
+    """Different edges (a, b) that connect what the verified links connect."""
 
     def emit(group, fp):
         # Equal (choice, key, part) rows are neighbours; number the groups.
@@ -212,7 +212,8 @@ def links(fps: DataFrame, distance: int, count: int) -> DataFrame:
 
     dealt = buckets(fps, distance, count)
     dealt = dealt.repartition("choice", "key", "part").sortWithinPartitions("choice", "key", "part")
-    return map_in_arrow(dealt, run, "a long, b long")
+    # A link found under several choices counts once.
+    return map_in_arrow(dealt, run, "a long, b long").distinct()
 
 
 def classes(rows: DataFrame, distance: int) -> DataFrame:
