@@ -12,7 +12,7 @@ probabilities of the training data.  A depth whose node the training texts
 never reached leaves the byte to the depths before it.
 
 Inside a word, from its byte number ``depth`` on, one depth more is mixed in:
-the whole word so far (``whole_prefixes``).  There the ``depth`` bytes before
+the whole word so far, however long (``whole_prefixes``).  There the ``depth`` bytes before
 are the word's own, so what this depth adds to a word is a function of the
 word, and that work is on different words instead of positions.
 
@@ -62,8 +62,8 @@ PIECE_BYTES = 4 << 20
 PACKED = 256
 SPACE, END = 32, 10
 LN2, LN10 = float(np.log(2)), float(np.log(10))
-# Prefixes longer than this are left to the depths before.
-PREFIX_BYTES = 32
+# So many bytes of lone rests of words go through numpy at once.
+REST_BYTES = 1 << 19
 
 
 def text_grams(
@@ -471,36 +471,44 @@ def _ln_kt_of(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return _ln_gamma_of(a + 0.5) + _ln_gamma_of(b + 0.5) - 1.1447298858494002 - _ln_gamma_of(a + b + 1)
 
 
+def _blend(own: np.ndarray, shallow: np.ndarray, own_block, shallow_block, seen) -> np.ndarray:
+    """log10 of the mixture of a prefix's own estimate (``own``, natural log)
+    and the depths before it (``shallow``, log10), weighed by how probable
+    each makes the training words' next bytes."""
+    weight = 1 / (1 + np.exp(np.clip(shallow_block - own_block, -700, 700)))
+    weight = np.where(seen, weight, 0.0)
+    return np.log10(weight * np.exp(own) + (1 - weight) * 10**shallow)
+
+
 def whole_prefixes(words: list[bytes], counts: np.ndarray, each: np.ndarray, depth: int) -> None:
     """Add the last depth to ``each``, the log10 probabilities of every byte
-    of every word (in order, the closing space included), in place.
+    of every word (different ones, in order, the closing space included), in
+    place.
 
-    For each prefix of ``depth`` to ``PREFIX_BYTES`` bytes, its own estimate
-    is weighed against the shallower mixture by how probable each makes the
-    training words' next bytes.
+    Every prefix of ``depth`` bytes or more, however long, takes part.
+    Prefixes that several words share go through byte by byte; from where a
+    word shares its prefix with no other, its rest is done at once.
     """
+    raw = np.frombuffer(b" ".join(words) + b" ", np.uint8)
     sizes = np.fromiter(map(len, words), np.int64, len(words))
-    ends = np.cumsum(sizes + 1)
-    width = PREFIX_BYTES + 1
-    grid = np.full((len(words), width), SPACE, np.uint8)
-    for k, w in enumerate(words):
-        part = w[:width]
-        grid[k, : len(part)] = np.frombuffer(part, np.uint8)
-    order = np.lexsort((sizes, *grid.T[::-1]))
-    grid, sizes, first, n = grid[order], sizes[order], (ends - sizes - 1)[order], counts[order]
-    differ = np.zeros(len(words), np.int64)
-    if len(words) > 1:
-        unequal = grid[1:] != grid[:-1]
-        differ[1:] = np.where(unequal.any(axis=1), unequal.argmax(axis=1), width)
-    for at in range(depth, width):
-        rows = np.flatnonzero(sizes >= at)
+    first = np.cumsum(sizes + 1) - sizes - 1
+    rows = sorted(np.flatnonzero(sizes >= depth).tolist(), key=words.__getitem__)
+    rows = np.array(rows, np.int64)
+    start = np.zeros(len(rows), np.int64)
+    for j in range(depth):
+        start = start << 8 | raw[first[rows] + j]
+    group = np.cumsum(np.diff(start, prepend=-1) != 0) - 1
+    at = depth
+    while len(rows):
+        alone = np.bincount(group)[group] == 1
+        _lone_rests(rows[alone], at, sizes, first, counts, each)
+        rows, group = rows[~alone], group[~alone]
         if not len(rows):
             break
-        group = np.cumsum(differ[rows] < at)
-        byte = grid[rows, at].astype(np.int64)
+        group = np.cumsum(np.diff(group, prepend=-1) != 0) - 1
         place = first[rows] + at
-        key, back = np.unique(group << 8 | byte, return_inverse=True)
-        total = np.bincount(back, n[rows], minlength=len(key))
+        key, back = np.unique(group << 8 | raw[place], return_inverse=True)
+        total = np.bincount(back, counts[rows], minlength=len(key))
         of, byte = key >> 8, key & 255
         shallow = np.empty(len(key))
         shallow[back] = each[place]
@@ -518,9 +526,29 @@ def whole_prefixes(words: list[bytes], counts: np.ndarray, each: np.ndarray, dep
             own += np.log((hit + 0.5) / (ones + zeros + 1)[inside])
         shallow_block = np.bincount(of, total * shallow, minlength=groups) * LN10
         seen = np.bincount(of, total, minlength=groups) > 0
-        weight = np.where(seen, 1 / (1 + np.exp(np.clip(shallow_block - own_block, -700, 700))), 0.0)
-        both = weight[of] * np.exp(own) + (1 - weight[of]) * 10**shallow
-        each[place] = np.log10(both)[back]
+        both = _blend(own, shallow, own_block[of], shallow_block[of], seen[of])
+        each[place] = both[back]
+        # Words that ended leave; the others part by their byte.
+        goes_on = sizes[rows] > at
+        rows, group = rows[goes_on], back[goes_on]
+        group = np.cumsum(np.diff(group, prepend=-1) != 0) - 1
+        at += 1
+
+
+def _lone_rests(rows, at: int, sizes, first, counts, each) -> None:
+    """``whole_prefixes`` for words without others of their prefix of ``at``
+    bytes: each later prefix has one next byte, seen as often as the word."""
+    n = counts[rows].astype(float)
+    own = 8 * np.log((n + 0.5) / (n + 1))
+    own_block = 8 * _ln_kt_of(np.zeros(len(n)), n)
+    ends = np.cumsum(sizes[rows] - at + 1)
+    starts = ends - (sizes[rows] - at + 1)
+    for s in range(0, int(ends[-1]) if len(ends) else 0, REST_BYTES):
+        flat = np.arange(s, min(s + REST_BYTES, int(ends[-1])))
+        r = np.searchsorted(ends, flat, side="right")
+        place = first[rows[r]] + at + flat - starts[r]
+        shallow = each[place]
+        each[place] = _blend(own[r], shallow, own_block[r], n[r] * shallow * LN10, n[r] > 0)
 
 
 def word_scores(words: DataFrame, scored: DataFrame, depth: int) -> DataFrame:

@@ -35,7 +35,7 @@ class Tree:
         line = b" " + w + b" "
         for k in range(1, len(line)):
             self.event(line[max(0, k - self.depth) : k], line[k])
-            if k > self.depth and k - 1 <= ctw.PREFIX_BYTES:
+            if k > self.depth:
                 at = self.prefix.setdefault(line[1:k], {})
                 at[line[k]] = at.get(line[k], 0) + 1
 
@@ -89,7 +89,7 @@ class Tree:
         for k in range(1, len(line)):
             p = self.byte(line[max(0, k - self.depth) : k], line[k])
             at = self.prefix.get(line[1:k])
-            if k > self.depth and k - 1 <= ctw.PREFIX_BYTES and at:
+            if k > self.depth and at:
                 nodes: dict = {}
                 for y, n in at.items():
                     for node, x in self.path(y):

@@ -5,11 +5,12 @@ from __future__ import annotations
 import math
 import random
 
+import numpy as np
 import pytest
 
 from hydrostar.llm import ctw
 from tests.llm.frames import awkward_rows, documents
-from tests.llm.test_ctw import Tree, cut, held
+from tests.llm.test_ctw import Tree, cut, held, ln_kt
 
 
 class WholeTree(Tree):
@@ -82,3 +83,57 @@ def test_awkward_rows_across_words(spark):
     rows = awkward_rows()
     out = ctw.score(documents(spark, rows), ctw.contract_fold(), across_words=True).collect()
     assert len(out) == len(rows) and all(r["score"] < 0 for r in out)
+
+
+@pytest.mark.parametrize("depth", [1, 2, 4])
+def test_prefixes_of_any_length(depth, monkeypatch):
+    """Prefixes of far more than 32 bytes, shared, lone and nested: every
+    byte of every word against the definition, with its own prefix table."""
+    monkeypatch.setattr(ctw, "REST_BYTES", 37)
+    rnd = random.Random(depth)
+    stems = ["https://example.org/a/long/path/that/many/pages/share/", "zz" * 30, "\x01q" * 25]
+    words = {
+        (rnd.choice(stems)[: rnd.choice([1, 3, 40, 60])] + "".join(rnd.choices("ab\x02", k=rnd.randrange(4)))).encode()
+        for _ in range(80)
+    } | {b"lone" + bytes(rnd.choices(b"cdefgh", k=300)), b"x", b"never-seen" * 9}
+    words = sorted(words, key=lambda w: rnd.random())
+    counts = np.array([0 if w[:1] == b"n" else rnd.randrange(4) for w in words])
+    table: dict = {}
+    for w, n in zip(words, counts.tolist()):
+        for k, byte in enumerate(w + b" "):
+            table.setdefault(w[:k], {}).setdefault(byte, 0)
+            table[w[:k]][byte] += n
+    # What the depths before give is a function of prefix and byte.
+    shallow = {(p, y): -rnd.random() * 3 for p, at in table.items() for y in at}
+    flat = [(w[:k], y) for w in words for k, y in enumerate(w + b" ")]
+    each = np.array([shallow[x] for x in flat])
+    ctw.whole_prefixes(words, counts, each, depth)
+    for (p, y), got in zip(flat, each.tolist()):
+        at = {x: n for x, n in table[p].items()}
+        total = sum(at.values())
+        if len(p) < depth or not total:
+            assert got == pytest.approx(shallow[p, y], rel=1e-9)
+            continue
+        nodes: dict = {}
+        for x, n in at.items():
+            for t in range(8):
+                nodes.setdefault((256 + x) >> (8 - t), [0, 0])[x >> (7 - t) & 1] += n
+        block = sum(ln_kt(*v) for v in nodes.values())
+        before = sum(n * shallow[p, x] * math.log(10) for x, n in at.items())
+        weight = 1 / (1 + math.exp(min(max(before - block, -700), 700)))
+        own = 1.0
+        for t in range(8):
+            pair = nodes[(256 + y) >> (8 - t)]
+            own *= (pair[y >> (7 - t) & 1] + 0.5) / (sum(pair) + 1)
+        want = math.log10(weight * own + (1 - weight) * 10 ** shallow[p, y])
+        assert got == pytest.approx(want, rel=1e-8), (p, y)
+
+
+def test_a_long_word_counts_to_its_end(spark):
+    """A hash of 64 bytes that training holds often is cheap to its end."""
+    rnd = random.Random(9)
+    often, other = ("".join(rnd.choices("0123456789abcdef", k=64)) for _ in range(2))
+    rows = [(k, f"id {often}") for k in range(60)]
+    rows += [(100, f"id {often}"), (101, f"id {often[:40]}{other[40:]}")]
+    got = scores(spark, rows, 4)
+    assert got[100] > got[101] + 20
