@@ -12,9 +12,10 @@ probabilities of the training data.  A depth whose node the training texts
 never reached leaves the byte to the depths before it.
 
 Inside a word, from its byte number ``depth`` on, one depth more is mixed in:
-the whole word so far, however long (``whole_prefixes``).  There the ``depth`` bytes before
-are the word's own, so what this depth adds to a word is a function of the
-word, and that work is on different words instead of positions.
+the whole word so far, however long (``whole_prefixes``), again with a weight
+for every binary node.  There the ``depth`` bytes before are the word's own,
+so what this depth adds to a word is a function of the word, and that work is
+on different words instead of positions.
 
 With ``across_words=False`` contexts end at the space that starts the word.
 
@@ -23,11 +24,13 @@ With ``across_words=False`` contexts end at the space that starts the word.
 2. One shuffle by pair gives every pair its corpus count; ``tree_levels`` /
    ``mixed``: one aggregate a depth upward for the weights, one join a depth
    downward for the mixture.
-3. ``vocabulary``: one shuffle by word gives every listed word its corpus
-   count and deals the words into shards by their first ``depth`` bytes.
-4. ``word_scores``: shards add the last depth (words that share a whole
-   prefix of ``depth`` bytes or more share a shard); what it adds to a word,
-   and the pairs' probabilities, go back to the batches.
+3. ``vocabulary``: one shuffle by word gives every different word its corpus
+   count; ``in_shards`` deals the words into ranges of their byte order.  The
+   words of a prefix are neighbours there, so only prefixes of a range's first
+   and last word can go on in other ranges: ``asks`` lists their counts, Spark
+   adds them up (``open_prefixes``).  A prefix may have any number of words.
+4. ``word_scores``: ranges add the last depth; what it adds to a word is joined
+   to the batches that list the word, and so are the pairs' probabilities.
 5. ``score``: batches look up every position and add up their texts.
 
 Counts cover every training text.  Nothing but a few totals reaches the
@@ -36,13 +39,16 @@ driver; the model is tables as large as the corpus makes them.
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from hashlib import blake2b
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hydrostar.llm.common import (
@@ -56,14 +62,17 @@ from hydrostar.llm.common import (
 )
 
 BATCH_BYTES = 24 << 20
-SHARD_WORDS = 1_000_000
+# So many bytes of different words make a shard.
+SHARD_BYTES = 2 << 20
 PIECE_BYTES = 4 << 20
 # So many texts are compressed together.
 PACKED = 256
 SPACE, END = 32, 10
+# Natural logs of the probabilities of a byte's eight bits.
+BITS = [f"s{t}" for t in range(8)]
 LN2, LN10 = float(np.log(2)), float(np.log(10))
 # So many bytes of lone rests of words go through numpy at once.
-REST_BYTES = 1 << 19
+REST_BYTES = 1 << 17
 
 
 def text_grams(
@@ -265,22 +274,14 @@ def unpacked(n_bytes: np.ndarray, packed: list[bytes | None]) -> list[bytes]:
     return lines
 
 
-def vocabulary(listed: DataFrame, shards: int, depth: int) -> DataFrame:
-    """(shard, batch, k, word, c, first): each listed word with its corpus
-    count c; ``first`` marks one row of every different word.
+def vocabulary(listed: DataFrame) -> DataFrame:
+    """(word, c): every different word with its corpus count."""
+    return listed.groupBy("word").agg(F.sum("count").alias("c"))
 
-    A word has one row a batch here, however often it occurs.
-    """
-    alike = Window.partitionBy("word")
-    one = F.row_number().over(alike.orderBy("batch")) == 1
-    return listed.select(
-        F.pmod(F.xxhash64(F.substring("word", 1, depth)), F.lit(shards)).cast("int").alias("shard"),
-        "batch",
-        "k",
-        "word",
-        F.sum("count").over(alike).alias("c"),
-        one.alias("first"),
-    )
+
+def in_shards(words: DataFrame, shards: int) -> DataFrame:
+    """(word, c, shard): shards are ranges of the words in byte order."""
+    return words.repartitionByRange(shards, "word").withColumn("shard", F.spark_partition_id())
 
 
 def grams(words: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -301,31 +302,83 @@ def gram_key(used, context, byte):
     return used << 56 | context << 8 | byte
 
 
-def shard_grams(words: DataFrame, depth: int) -> DataFrame:
-    """(shard, gram): the different pairs that the shards' words ask for."""
+def outer_prefixes(words: list[bytes], counts: list[int], depth: int) -> Iterator[tuple]:
+    """(digest of the prefix, side, length, key of the next byte, training
+    count) for every prefix of ``depth`` bytes or more of the first (side 0)
+    and the last (side 1) of sorted different ``words``, each prefix once."""
+    sums = [0, *accumulate(counts)]
+    for side, w in enumerate((words[0], words[-1])):
+        if len(w) < depth:
+            continue
+        head = w[:depth]
+        lo = bisect_left(words, head, key=lambda x: x[:depth])
+        hi = bisect_right(words, head, lo, key=lambda x: x[:depth])
+        digest = blake2b(head, digest_size=16)
+        for length in range(depth, len(w) + 1):
+            # words[lo:hi] have this prefix; one that ends here comes first.
+            def following(x: bytes) -> int:
+                return x[length] if len(x) > length else -1
+
+            if side == 1 and lo == 0:
+                at = hi  # the first word has this prefix too
+            else:
+                at = lo
+            context = int.from_bytes(w[length - depth : length], "big")
+            while at < hi:
+                byte = following(words[at])
+                end = bisect_right(words, byte, at, hi, key=following)
+                key = gram_key(depth, context, SPACE if byte < 0 else byte)
+                yield digest.digest(), side, length, key, sums[end] - sums[at]
+                at = end
+            if length < len(w):
+                digest.update(w[length : length + 1])
+                lo = bisect_left(words, w[length], lo, hi, key=following)
+                hi = bisect_right(words, w[length], lo, hi, key=following)
+
+
+def asks(words: DataFrame, depth: int) -> DataFrame:
+    """(shard, gram, prefix, side, length, n): the different pairs that the
+    words of a shard ask for (no prefix), and its ``outer_prefixes``."""
+
+    def run(part: pa.Table) -> pa.Table:
+        part = part.sort_by("word")
+        here = part.column("word").to_pylist()
+        key = np.unique(grams(here, depth)[0])
+        outer = list(outer_prefixes(here, part.column("c").to_pylist(), depth))
+        prefix, side, length, gram, n = zip(*outer) if outer else [()] * 5
+        none = [None] * len(key)
+        return pa.table(
+            {
+                "shard": pa.array(np.full(len(key) + len(outer), part.column("shard")[0].as_py(), np.int32)),
+                "gram": pa.array(np.concatenate([key, np.array(gram, np.int64)])),
+                "prefix": pa.array([*none, *prefix], pa.binary()),
+                "side": pa.array([*none, *side], pa.int32()),
+                "length": pa.array([*none, *length], pa.int32()),
+                "n": pa.array([*none, *n], pa.int64()),
+            }
+        )
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: dict[int, list] = {}
-        for batch in batches:
-            shard = batch.column(0).to_numpy()
-            for s in np.unique(shard).tolist():
-                mine = pa.array(np.flatnonzero(shard == s))
-                key = np.unique(grams(batch.column(1).take(mine).to_pylist(), depth)[0])
-                parts = kept.setdefault(s, [])
-                parts.append(key)
-                # Merge where at least half as much came as was there.
-                while len(parts) > 1 and 2 * len(parts[-1]) >= len(parts[-2]):
-                    parts[-2:] = [np.unique(np.concatenate(parts[-2:]))]
-        for s, parts in kept.items():
-            key = np.unique(np.concatenate(parts))
-            for at in range(0, len(key), 1 << 16):
-                k = key[at : at + (1 << 16)]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(k), s, np.int32)), pa.array(k)], names=["shard", "gram"]
-                )
+    import_on_workers(words.sparkSession)
+    return (
+        words.select("shard", "word", "c")
+        .groupBy("shard")
+        .applyInArrow(run, "shard int, gram long, prefix binary, side int, length int, n long")
+    )
 
-    # A shard read in several tasks lists a pair several times.
-    return map_in_arrow(words.select("shard", "word"), run, "shard int, gram long").distinct()
+
+def open_prefixes(asked: DataFrame) -> DataFrame:
+    """(shard, gram, side, length, n): for every shard and each of its outer
+    prefixes that other shards have too, all next bytes with their counts in
+    all shards."""
+    outer = asked.where(F.col("prefix").isNotNull())
+    in_all = outer.groupBy("prefix", "gram").agg(F.sum("n").alias("n"))
+    holders = outer.select("shard", "prefix", "side", "length").distinct()
+    shared = holders.groupBy("prefix").agg(F.count("*").alias("holders")).where("holders > 1")
+    return (
+        holders.join(shared.select("prefix"), "prefix")
+        .join(in_all, "prefix")
+        .select("shard", "gram", "side", "length", "n")
+    )
 
 
 def _ln_gamma(x: Column) -> Column:
@@ -446,15 +499,21 @@ def mixed(levels: list[DataFrame]) -> DataFrame:
 
 
 def gram_scores(counted: DataFrame, depth: int) -> DataFrame:
-    """(gram, lp): log10 probability of each byte after its context."""
+    """(gram, lp, and the columns ``BITS``): log10 probability of each byte
+    after its context, and the natural logs for its bits."""
     predicted = mixed(tree_levels(counted, depth))
     asked = _bits(counted.select("gram", "used", "context", "byte"))
     one = F.col("one")
-    return (
-        asked.join(predicted, ["used", "context", "node"])
-        .groupBy("gram")
-        .agg(F.sum(F.log10(F.when(F.col("bit") == 1, one).otherwise(1 - one))).alias("lp"))
+    node = F.col("node")
+    rows = asked.join(predicted, ["used", "context", "node"]).select(
+        "gram", "node", F.ln(F.when(F.col("bit") == 1, one).otherwise(1 - one)).alias("ln")
     )
+    # The node of bit t is 1 and the t bits before it.
+    of_bits = [
+        F.sum(F.when(node.between(1 << t, (2 << t) - 1), F.col("ln"))).alias(c)
+        for t, c in enumerate(BITS)
+    ]
+    return rows.groupBy("gram").agg((F.sum("ln") / LN10).alias("lp"), *of_bits)
 
 
 def _ln_gamma_of(x: np.ndarray) -> np.ndarray:
@@ -472,18 +531,29 @@ def _ln_kt_of(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _blend(own: np.ndarray, shallow: np.ndarray, own_block, shallow_block, seen) -> np.ndarray:
-    """log10 of the mixture of a prefix's own estimate (``own``, natural log)
-    and the depths before it (``shallow``, log10), weighed by how probable
-    each makes the training words' next bytes."""
+    """Log of the mixture of a node's own estimate (``own``) and the depths
+    before it (``shallow``), weighed by how probable each makes the node's bits
+    in the training words; natural logs throughout."""
     weight = 1 / (1 + np.exp(np.clip(shallow_block - own_block, -700, 700)))
     weight = np.where(seen, weight, 0.0)
-    return np.log10(weight * np.exp(own) + (1 - weight) * 10**shallow)
+    return np.log(weight * np.exp(own) + (1 - weight) * np.exp(shallow))
 
 
-def whole_prefixes(words: list[bytes], counts: np.ndarray, each: np.ndarray, depth: int) -> None:
-    """Add the last depth to ``each``, the log10 probabilities of every byte
-    of every word (different ones, in order, the closing space included), in
-    place.
+def whole_prefixes(
+    words: list[bytes],
+    counts: np.ndarray,
+    gram_of: np.ndarray,
+    bits: np.ndarray,
+    depth: int,
+    others: dict[tuple[int, int], tuple[np.ndarray, np.ndarray, np.ndarray]],
+) -> np.ndarray:
+    """What the last depth adds to the log10 probability of every word of
+    sorted different ``words``, the closing space included.
+
+    ``bits[gram_of[p]]``: for every byte p of the words and their closing spaces
+    the logs that the depths before give its bits.  ``others``: for (length,
+    side) of a prefix that words elsewhere have too, all next bytes, their
+    counts everywhere and their rows of ``bits``.
 
     Every prefix of ``depth`` bytes or more, however long, takes part.
     Prefixes that several words share go through byte by byte; from where a
@@ -492,8 +562,8 @@ def whole_prefixes(words: list[bytes], counts: np.ndarray, each: np.ndarray, dep
     raw = np.frombuffer(b" ".join(words) + b" ", np.uint8)
     sizes = np.fromiter(map(len, words), np.int64, len(words))
     first = np.cumsum(sizes + 1) - sizes - 1
-    rows = sorted(np.flatnonzero(sizes >= depth).tolist(), key=words.__getitem__)
-    rows = np.array(rows, np.int64)
+    added = np.zeros(len(words))
+    rows = np.flatnonzero(sizes >= depth)
     start = np.zeros(len(rows), np.int64)
     for j in range(depth):
         start = start << 8 | raw[first[rows] + j]
@@ -501,89 +571,108 @@ def whole_prefixes(words: list[bytes], counts: np.ndarray, each: np.ndarray, dep
     at = depth
     while len(rows):
         alone = np.bincount(group)[group] == 1
-        _lone_rests(rows[alone], at, sizes, first, counts, each)
+        for side, end in enumerate((0, group[-1])):
+            if (at, side) in others:
+                alone &= group != end
+        _lone_rests(rows[alone], at, sizes, first, counts, gram_of, bits, added)
         rows, group = rows[~alone], group[~alone]
         if not len(rows):
             break
         group = np.cumsum(np.diff(group, prepend=-1) != 0) - 1
         place = first[rows] + at
-        key, back = np.unique(group << 8 | raw[place], return_inverse=True)
+        key, head, back = np.unique(
+            group << 8 | raw[place], return_index=True, return_inverse=True
+        )
         total = np.bincount(back, counts[rows], minlength=len(key))
+        gram = gram_of[place[head]]
+        for side, end in enumerate((0, group[-1])):
+            if (at, side) in others:
+                byte, n, row = others[at, side]
+                # Counts everywhere come before the counts of these words.
+                key, pick, where = np.unique(
+                    np.concatenate([end << 8 | byte, key]), return_index=True, return_inverse=True
+                )
+                total = np.concatenate([n, total])[pick]
+                gram = np.concatenate([row, gram])[pick]
+                back = where[len(byte) :][back]
         of, byte = key >> 8, key & 255
-        shallow = np.empty(len(key))
-        shallow[back] = each[place]
-        groups = int(group[-1]) + 1
-        own_block, own = np.zeros(groups), np.zeros(len(key))
+        shallow = bits[gram]
+        gained = np.zeros(len(key))
         for t in range(8):
             node = of << 8 | (256 + byte) >> (8 - t)
-            heads = np.flatnonzero(np.diff(node, prepend=-1))
-            inside = np.cumsum(np.diff(node, prepend=-1) != 0) - 1
+            new = np.diff(node, prepend=-1) != 0
+            heads, inside = np.flatnonzero(new), np.cumsum(new) - 1
             one = (byte >> (7 - t) & 1).astype(bool)
             ones = np.add.reduceat(np.where(one, total, 0.0), heads)
             zeros = np.add.reduceat(np.where(one, 0.0, total), heads)
-            own_block += np.bincount(of[heads], _ln_kt_of(zeros, ones), minlength=groups)
             hit = np.where(one, ones[inside], zeros[inside])
-            own += np.log((hit + 0.5) / (ones + zeros + 1)[inside])
-        shallow_block = np.bincount(of, total * shallow, minlength=groups) * LN10
-        seen = np.bincount(of, total, minlength=groups) > 0
-        both = _blend(own, shallow, own_block[of], shallow_block[of], seen[of])
-        each[place] = both[back]
+            own = np.log((hit + 0.5) / (ones + zeros + 1)[inside])
+            own_block = _ln_kt_of(zeros, ones)[inside]
+            before = np.add.reduceat(total * shallow[:, t], heads)[inside]
+            seen = (ones + zeros > 0)[inside]
+            gained += _blend(own, shallow[:, t], own_block, before, seen) - shallow[:, t]
+        added[rows] += gained[back]
         # Words that ended leave; the others part by their byte.
         goes_on = sizes[rows] > at
         rows, group = rows[goes_on], back[goes_on]
         group = np.cumsum(np.diff(group, prepend=-1) != 0) - 1
         at += 1
+    return added / LN10
 
 
-def _lone_rests(rows, at: int, sizes, first, counts, each) -> None:
+def _lone_rests(rows, at: int, sizes, first, counts, gram_of, bits, added) -> None:
     """``whole_prefixes`` for words without others of their prefix of ``at``
-    bytes: each later prefix has one next byte, seen as often as the word."""
+    bytes: each later prefix has one next byte, seen as often as the word.
+    Words that training does not have gain nothing."""
+    rows = rows[counts[rows] > 0]
     n = counts[rows].astype(float)
-    own = 8 * np.log((n + 0.5) / (n + 1))
-    own_block = 8 * _ln_kt_of(np.zeros(len(n)), n)
+    own = np.log((n + 0.5) / (n + 1))
+    own_block = _ln_kt_of(np.zeros(len(n)), n)
     ends = np.cumsum(sizes[rows] - at + 1)
     starts = ends - (sizes[rows] - at + 1)
     for s in range(0, int(ends[-1]) if len(ends) else 0, REST_BYTES):
         flat = np.arange(s, min(s + REST_BYTES, int(ends[-1])))
         r = np.searchsorted(ends, flat, side="right")
-        place = first[rows[r]] + at + flat - starts[r]
-        shallow = each[place]
-        each[place] = _blend(own[r], shallow, own_block[r], n[r] * shallow * LN10, n[r] > 0)
+        shallow = bits[gram_of[first[rows[r]] + at + flat - starts[r]]]
+        both = _blend(own[r, None], shallow, own_block[r, None], n[r, None] * shallow, True)
+        gained = np.bincount(r - r[0], (both - shallow).sum(axis=1))
+        added[rows[r[0] : r[-1] + 1]] += gained
 
 
-def word_scores(words: DataFrame, scored: DataFrame, depth: int) -> DataFrame:
-    """(batch, k, c, lp) of every listed word, lp: what the last depth adds to
-    its log10 probability; ``scored`` has (shard, gram, lp)."""
+def word_scores(words: DataFrame, replies: DataFrame, depth: int) -> DataFrame:
+    """(word, c, lp) of every different word, lp: what the last depth adds to
+    its log10 probability; ``replies`` has (shard, gram, side, length, n and
+    ``BITS``): a shard's pairs (no side) and its ``open_prefixes``."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        coded = left.column("word").combine_chunks().dictionary_encode()
-        different, number = coded.dictionary.to_pylist(), coded.indices.to_numpy()
-        counts = np.zeros(len(different))
-        counts[number] = left.column("c").to_numpy()
-        key, place, owner = grams(different, depth)
+        left = left.sort_by("word")
+        here = left.column("word").to_pylist()
+        counts = left.column("c").to_numpy()
+        right = right.sort_by("gram")
         gram = right.column("gram").to_numpy()
-        order = np.argsort(gram)
-        shallow = right.column("lp").to_numpy()[order][np.searchsorted(gram[order], key)]
-        each = np.zeros(sum(map(len, different)) + len(different))
-        each[place] = shallow
-        whole_prefixes(different, counts, each, depth)
-        # Without entries bincount counts in integers.
-        total = np.bincount(owner, each[place] - shallow, minlength=len(different)).astype(float)
-        return pa.table(
-            {
-                "batch": left.column("batch"),
-                "k": left.column("k"),
-                "c": left.column("c"),
-                "lp": pa.array(total[number]),
-            }
-        )
+        bits = np.stack([right.column(c).to_numpy() for c in BITS], axis=1)
+        key, place, _ = grams(here, depth)
+        gram_of = np.zeros(sum(map(len, here)) + len(here), np.int32)
+        gram_of[place] = np.searchsorted(gram, key)
+        outer = right.column("side").is_valid()
+        row = np.flatnonzero(outer.to_numpy())
+        length, side, n = (right.filter(outer).column(c).to_numpy() for c in ("length", "side", "n"))
+        order = np.lexsort((side, length))
+        one_prefix = np.flatnonzero(np.diff(length[order] * 2 + side[order])) + 1
+        others = {
+            (int(length[some[0]]), int(side[some[0]])): (gram[row[some]] & 255, n[some], row[some])
+            for some in np.split(order, one_prefix)
+            if len(some)
+        }
+        lp = whole_prefixes(here, counts, gram_of, bits, depth, others)
+        return pa.table({"word": left.column("word"), "c": left.column("c"), "lp": pa.array(lp)})
 
     import_on_workers(words.sparkSession)
     return (
-        words.select("shard", "batch", "k", "word", "c")
+        words.select("shard", "word", "c")
         .groupBy("shard")
-        .cogroup(scored.groupBy("shard"))
-        .applyInArrow(run, "batch long, k int, c long, lp double")
+        .cogroup(replies.groupBy("shard"))
+        .applyInArrow(run, "word binary, c long, lp double")
     )
 
 
@@ -611,20 +700,33 @@ def score(
     )
     pairs = numbered.where(F.col("gram").isNotNull()).select("batch", "gram", "count")
     listed = numbered.where(F.col("word").isNotNull()).select("batch", "k", "word", "count")
-    shards = max(1, -(-listed.count() // SHARD_WORDS))
-    words = stored(vocabulary(listed, shards, depth), "ctw-words")
+    different = stored(vocabulary(listed), "ctw-vocabulary")
     ends = texts.where(~F.col("held_out")).count()
-    known = F.col("first") & (F.col("c") > 0)
-    row = words.agg(
-        F.sum(F.when(F.col("first"), F.col("c"))).alias("n"), F.sum(known.cast("long")).alias("v")
+    row = different.agg(
+        F.sum("c").alias("n"),
+        F.count_if(F.col("c") > 0).alias("v"),
+        F.sum(F.octet_length("word") + 1).alias("bytes"),
     ).first()
-    total, distinct = (row["n"] or 0) + ends, (row["v"] or 0) + (ends > 0)
+    total, distinct = (row["n"] or 0) + ends, row["v"] + (ends > 0)
+    shards = max(1, -(-(row["bytes"] or 0) // SHARD_BYTES))
+    words = stored(in_shards(different, shards), "ctw-words")
 
     counted = pairs.groupBy("gram").agg(F.sum("count").alias("n"))
     grams_scored = stored(gram_scores(stored(split_grams(counted), "ctw-grams"), depth), "ctw-scores")
-    scored = shard_grams(words.where("first"), depth).join(grams_scored, "gram")
-    replies = word_scores(words, scored.select("shard", "gram", "lp"), depth).unionByName(
-        pairs.select("batch", "gram").join(grams_scored, "gram"), allowMissingColumns=True
+    asked = stored(asks(words, depth), "ctw-asked")
+    wanted = (
+        asked.where(F.col("prefix").isNull())
+        .select("shard", "gram")
+        .unionByName(open_prefixes(asked), allowMissingColumns=True)
+        .join(grams_scored.drop("lp"), "gram")
+    )
+    # Both sides of the last cogroup come from one table: a name of its own.
+    of_words = listed.select(F.col("batch").alias("batch"), "k", "word").join(
+        word_scores(words, wanted, depth), "word"
+    )
+    replies = of_words.drop("word").unionByName(
+        pairs.select("batch", "gram").join(grams_scored.select("gram", "lp"), "gram"),
+        allowMissingColumns=True,
     )
 
     scale = total + 0.5 * (distinct + 1)

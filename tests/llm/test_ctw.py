@@ -21,11 +21,28 @@ def ln_kt(a, b):
     return math.lgamma(a + 0.5) + math.lgamma(b + 0.5) - math.log(math.pi) - math.lgamma(a + b + 1)
 
 
+def blended(following, node, bit, one):
+    """The bit's probability after a whole prefix with ``following`` (next
+    byte: count), where the depths before it give a 1 the probability ``one``."""
+    pair = [0, 0]
+    for y, n in following.items():
+        for t in range(8):
+            if (256 + y) >> (8 - t) == node:
+                pair[y >> (7 - t) & 1] += n
+    if not sum(pair):
+        return one if bit else 1 - one
+    before = pair[0] * math.log(1 - one) + pair[1] * math.log(one)
+    weight = 1 / (1 + math.exp(min(max(before - ln_kt(*pair), -700), 700)))
+    own = (pair[bit] + 0.5) / (sum(pair) + 1)
+    return weight * own + (1 - weight) * (one if bit else 1 - one)
+
+
 class Tree:
     """The same model from its definition, node by node."""
 
     def __init__(self, train, depth):
         self.depth, self.count, self.prefix, self.contexts = depth, {}, {}, set()
+        self.known: dict = {}
         for words in train:
             for w in words:
                 self.add(w)
@@ -53,7 +70,12 @@ class Tree:
     def leaf(self, context):
         return context[:1] == b" " or len(context) == self.depth
 
-    def weighted(self, context, node, memo={}):
+    def weighted(self, context, node):
+        if (context, node) not in self.known:
+            self.known[context, node] = self._weighted(context, node)
+        return self.known[context, node]
+
+    def _weighted(self, context, node):
         pair = self.count.get((context, node), (0, 0))
         kt = ln_kt(*pair)
         if self.leaf(context):
@@ -87,23 +109,13 @@ class Tree:
     def word(self, w):
         line, total = b" " + w + b" ", 0.0
         for k in range(1, len(line)):
-            p = self.byte(line[max(0, k - self.depth) : k], line[k])
+            context = line[max(0, k - self.depth) : k]
+            p = self.byte(context, line[k])
             at = self.prefix.get(line[1:k])
             if k > self.depth and at:
-                nodes: dict = {}
-                for y, n in at.items():
-                    for node, x in self.path(y):
-                        nodes.setdefault(node, [0, 0])[x] += n
-                own = sum(ln_kt(*v) for v in nodes.values())
-                shallow = sum(
-                    n * math.log(self.byte(line[max(0, k - self.depth) : k], y)) for y, n in at.items()
-                )
-                weight = 1 / (1 + math.exp(shallow - own))
-                mine = math.prod(
-                    (nodes.get(node, [0, 0])[x] + 0.5) / (sum(nodes.get(node, [0, 0])) + 1)
-                    for node, x in self.path(line[k])
+                p = math.prod(
+                    blended(at, node, x, self.bit(context, node, 1)) for node, x in self.path(line[k])
                 )
-                p = weight * mine + (1 - weight) * p
             total += math.log10(p)
         return total
 
@@ -148,7 +160,7 @@ def test_against_the_definition(spark, depth):
 
 
 def test_awkward_rows_and_small_batches(spark, monkeypatch):
-    monkeypatch.setattr(ctw, "SHARD_WORDS", 5)
+    monkeypatch.setattr(ctw, "SHARD_BYTES", 40)
     rows = [r for r in awkward_rows() if r[0] != 17]
     check(spark, rows, 2)
 

@@ -10,7 +10,7 @@ import pytest
 
 from hydrostar.llm import ctw
 from tests.llm.frames import awkward_rows, documents
-from tests.llm.test_ctw import Tree, cut, held, ln_kt
+from tests.llm.test_ctw import Tree, blended, cut, held
 
 
 class WholeTree(Tree):
@@ -18,7 +18,6 @@ class WholeTree(Tree):
 
     def __init__(self, train, depth):
         super().__init__([], depth)
-        self.known: dict = {}
         for words in train:
             line = self.line(words)
             for k in range(depth, len(line)):
@@ -29,11 +28,6 @@ class WholeTree(Tree):
                     at = self.prefix.setdefault(closed[:k], {})
                     at[closed[k]] = at.get(closed[k], 0) + 1
 
-    def weighted(self, context, node):
-        if (context, node) not in self.known:
-            self.known[context, node] = super().weighted(context, node)
-        return self.known[context, node]
-
     def line(self, words):
         return b"\n" * (self.depth - 1) + b" " + b"".join(w + b" " for w in words) + b"\n"
 
@@ -62,6 +56,7 @@ def scores(spark, rows, depth, **how):
 @pytest.mark.parametrize("depth", [1, 2, 4])
 def test_across_words_against_the_definition(spark, depth, monkeypatch):
     monkeypatch.setattr(ctw, "PIECE_BYTES", 64)
+    monkeypatch.setattr(ctw, "SHARD_BYTES", 150)
     rnd = random.Random(depth)
     parts = ["th", "er", "on", "a", "ing", "é", "\0"]
     word = lambda: "".join(rnd.choices(parts, k=rnd.randrange(1, 5)))
@@ -85,48 +80,76 @@ def test_awkward_rows_across_words(spark):
     assert len(out) == len(rows) and all(r["score"] < 0 for r in out)
 
 
-@pytest.mark.parametrize("depth", [1, 2, 4])
-def test_prefixes_of_any_length(depth, monkeypatch):
-    """Prefixes of far more than 32 bytes, shared, lone and nested: every
-    byte of every word against the definition, with its own prefix table."""
-    monkeypatch.setattr(ctw, "REST_BYTES", 37)
-    rnd = random.Random(depth)
-    stems = ["https://example.org/a/long/path/that/many/pages/share/", "zz" * 30, "\x01q" * 25]
+def many_words(rnd):
+    stems = ["https://example.org/a/long/path/that/many/pages/share/", "zz" * 30, "\x01q" * 25, "é" * 9]
     words = {
         (rnd.choice(stems)[: rnd.choice([1, 3, 40, 60])] + "".join(rnd.choices("ab\x02", k=rnd.randrange(4)))).encode()
-        for _ in range(80)
+        for _ in range(120)
     } | {b"lone" + bytes(rnd.choices(b"cdefgh", k=300)), b"x", b"never-seen" * 9}
-    words = sorted(words, key=lambda w: rnd.random())
-    counts = np.array([0 if w[:1] == b"n" else rnd.randrange(4) for w in words])
+    return sorted(words), [0 if w[:1] == b"n" else rnd.randrange(4) for w in sorted(words)]
+
+
+@pytest.mark.parametrize("depth", [1, 2, 4])
+@pytest.mark.parametrize("shards", [1, 2, 7, 40])
+def test_prefixes_of_any_length(depth, shards, monkeypatch):
+    """Prefixes of far more than 32 bytes, shared, lone and nested, within a
+    range of words and across many: every word against the definition, with
+    its own prefix table."""
+    monkeypatch.setattr(ctw, "REST_BYTES", 37)
+    rnd = random.Random(depth)
+    words, counts = many_words(rnd)
     table: dict = {}
-    for w, n in zip(words, counts.tolist()):
+    for w, n in zip(words, counts):
+        for k, byte in enumerate(w + b" "):
+            at = table.setdefault(w[:k], {})
+            at[byte] = at.get(byte, 0) + n
+    one: dict = {}
+
+    def before(context, node):
+        return one.setdefault((context, node), rnd.uniform(0.01, 0.99))
+
+    def path(byte):
+        return [((256 + byte) >> (8 - t), byte >> (7 - t) & 1) for t in range(8)]
+
+    def want(w):
+        total = 0.0
         for k, byte in enumerate(w + b" "):
-            table.setdefault(w[:k], {}).setdefault(byte, 0)
-            table[w[:k]][byte] += n
-    # What the depths before give is a function of prefix and byte.
-    shallow = {(p, y): -rnd.random() * 3 for p, at in table.items() for y in at}
-    flat = [(w[:k], y) for w in words for k, y in enumerate(w + b" ")]
-    each = np.array([shallow[x] for x in flat])
-    ctw.whole_prefixes(words, counts, each, depth)
-    for (p, y), got in zip(flat, each.tolist()):
-        at = {x: n for x, n in table[p].items()}
-        total = sum(at.values())
-        if len(p) < depth or not total:
-            assert got == pytest.approx(shallow[p, y], rel=1e-9)
-            continue
-        nodes: dict = {}
-        for x, n in at.items():
-            for t in range(8):
-                nodes.setdefault((256 + x) >> (8 - t), [0, 0])[x >> (7 - t) & 1] += n
-        block = sum(ln_kt(*v) for v in nodes.values())
-        before = sum(n * shallow[p, x] * math.log(10) for x, n in at.items())
-        weight = 1 / (1 + math.exp(min(max(before - block, -700), 700)))
-        own = 1.0
-        for t in range(8):
-            pair = nodes[(256 + y) >> (8 - t)]
-            own *= (pair[y >> (7 - t) & 1] + 0.5) / (sum(pair) + 1)
-        want = math.log10(weight * own + (1 - weight) * 10 ** shallow[p, y])
-        assert got == pytest.approx(want, rel=1e-8), (p, y)
+            if k >= depth:
+                for node, bit in path(byte):
+                    p = before(w[k - depth : k], node)
+                    total += math.log10(blended(table[w[:k]], node, bit, p) / (p if bit else 1 - p))
+        return total
+
+    wanted = [want(w) for w in words]
+    grams = np.unique(ctw.grams(words, depth)[0])
+    bits = []
+    for g in grams.tolist():
+        context = (g >> 8 & (1 << 48) - 1).to_bytes(depth, "big")
+        given = [(before(context, node), bit) for node, bit in path(g & 255)]
+        bits.append([math.log(p if bit else 1 - p) for p, bit in given])
+    cuts = sorted(rnd.sample(range(1, len(words)), shards - 1))
+    ranges = list(zip([0, *cuts], [*cuts, len(words)]))
+    outer = [list(ctw.outer_prefixes(words[a:b], counts[a:b], depth)) for a, b in ranges]
+    got = []
+    for (a, b), mine in zip(ranges, outer):
+        others: dict = {}
+        for digest, side, length in {x[:3] for x in mine}:
+            if sum(any(x[0] == digest for x in rows) for rows in outer) > 1:
+                everywhere: dict = {}
+                for rows in outer:
+                    for x in rows:
+                        if x[0] == digest:
+                            everywhere[x[3]] = everywhere.get(x[3], 0) + x[4]
+                key = np.array(list(everywhere))
+                n = np.array(list(everywhere.values()))
+                others[length, side] = key & 255, n, np.searchsorted(grams, key)
+        key, place, _ = ctw.grams(words[a:b], depth)
+        gram_of = np.zeros(sum(map(len, words[a:b])) + b - a, np.int32)
+        gram_of[place] = np.searchsorted(grams, key)
+        got += ctw.whole_prefixes(
+            words[a:b], np.array(counts[a:b]), gram_of, np.array(bits), depth, others
+        ).tolist()
+    assert got == pytest.approx(wanted, rel=1e-8, abs=1e-9)
 
 
 def test_a_long_word_counts_to_its_end(spark):
