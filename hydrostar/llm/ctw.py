@@ -63,7 +63,7 @@ from hydrostar.llm.common import (
 
 BATCH_BYTES = 24 << 20
 # So many bytes of different words make a shard.
-SHARD_BYTES = 2 << 20
+SHARD_BYTES = 4 << 20
 PIECE_BYTES = 4 << 20
 # So many texts are compressed together.
 PACKED = 256
@@ -513,7 +513,9 @@ def gram_scores(counted: DataFrame, depth: int) -> DataFrame:
         F.sum(F.when(node.between(1 << t, (2 << t) - 1), F.col("ln"))).alias(c)
         for t, c in enumerate(BITS)
     ]
-    return rows.groupBy("gram").agg((F.sum("ln") / LN10).alias("lp"), *of_bits)
+    # A pair's bits come from eight joins' keys, so summing before the shuffle
+    # would send nine sums for each of them; the rows are sent as they are.
+    return rows.repartition("gram").groupBy("gram").agg((F.sum("ln") / LN10).alias("lp"), *of_bits)
 
 
 def _ln_gamma_of(x: np.ndarray) -> np.ndarray:
