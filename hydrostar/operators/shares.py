@@ -63,6 +63,42 @@ def activity_by(
     return out if having is None else out.filter(having)
 
 
+def activity_by_owner(
+    rows: DataFrame,
+    keys: Sequence[str],
+    distinct: Mapping[str, str],
+    owner: str,
+    records: str = "records",
+    name: str = "measurements",
+    having: Column | None = None,
+) -> DataFrame:
+    """``activity_by`` for rows that lie together by ``owner``, whose attributes
+    among ``keys`` are its own (one value an owner), counting owners and one
+    more column.
+
+    Owners are counted where they lie, by their first row in each group; the
+    other column by one shuffle of its distinct values a group.  So what travels
+    is at most one narrow row a row, however the ids are spread."""
+    (owners,) = (alias for alias, col in distinct.items() if col == owner)
+    ((others, other),) = ((alias, col) for alias, col in distinct.items() if col != owner)
+    first = F.row_number().over(Window.partitionBy(owner, *keys).orderBy(other)) == 1
+    out = (
+        rows.filter(F.col(owner).isNotNull())
+        .select(*keys, other, records, first.cast("long").alias(owners))
+        .groupBy(*keys, other)
+        .agg(F.sum(owners).alias(owners), F.sum(records).alias(name))
+        .groupBy(*keys)
+        .agg(
+            *[
+                F.sum(owners).alias(owners) if alias == owners else F.count(other).alias(others)
+                for alias in distinct
+            ],
+            F.sum(name).alias(name),
+        )
+    )
+    return out if having is None else out.filter(having)
+
+
 def _by_bitmaps(
     rows: DataFrame,
     keys: Sequence[str],

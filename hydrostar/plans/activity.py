@@ -12,11 +12,12 @@ from one of three places, with the same result:
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from hydrostar.operators.shares import activity_by, activity_by_owner
 from hydrostar.plans.dims import (
     COPIES,
     parameter_keys,
@@ -61,3 +62,14 @@ def activity_rows(
         dim = plant_geo(t, with_region=chain == "region", weigh_plants=list(keys) != ["plant_id"])
     rows = wjoin(rows, dim, "plant_id")
     return rows.withColumn("records", F.col("records") * F.col(COPIES)).drop(COPIES)
+
+
+def activity(
+    t: Tables, rows: DataFrame, keys: Sequence[str], distinct: Mapping[str, str], having: Column
+) -> DataFrame:
+    """``rows`` of ``activity_rows`` grouped by ``keys``: distinct counts and
+    measurements.  Enriched rows lie by plant and give each plant one value of
+    an attribute."""
+    if t.enriched:
+        return activity_by_owner(rows, keys, distinct, "plant_id", having=having)
+    return activity_by(rows, keys, distinct, having=having, dense=t.keys.dense)

@@ -21,7 +21,7 @@ from hydrostar.operators.exact_sum import combined, sum_digits
 from hydrostar.operators.rollup import table_count
 from hydrostar.operators.shares import activity_by, share_of_total
 from hydrostar.plans import params as P
-from hydrostar.plans.activity import activity_rows
+from hydrostar.plans.activity import activity, activity_rows
 from hydrostar.plans.dims import (
     COPIES,
     band_keys,
@@ -145,12 +145,12 @@ def geo_activity(t: Tables, ordered: bool = True) -> DataFrame:
     """Per (region, state): municipalities, plants, records, records/plant."""
     rows = activity_rows(t, "region", ["plant_id"])
     out = (
-        activity_by(
+        activity(
+            t,
             rows,
             ["region_name", "state_code"],
             {"municipalities": "municipality_id", "plants": "plant_id"},
-            having=F.col("measurements") > 0,
-            dense=t.keys.dense,
+            F.col("measurements") > 0,
         )
         .select(
             "region_name",
@@ -173,12 +173,12 @@ def institution_performance(
     """Per institution: plants, parameters, records (> min), records/plant."""
     rows = activity_rows(t, "institution", ["plant_id", "parameter_id"])
     out = (
-        activity_by(
+        activity(
+            t,
             rows,
             ["institution_name", "institution_type"],
             {"plants": "plant_id", "parameters": "parameter_id"},
-            having=F.col("measurements") > F.lit(min_measurements),
-            dense=t.keys.dense,
+            F.col("measurements") > F.lit(min_measurements),
         )
         .select(
             "institution_name",
@@ -252,12 +252,12 @@ def state_ranking(
     """Per state: plants (>= min), distinct parameters, records."""
     rows = activity_rows(t, "state", ["plant_id", "parameter_id"])
     out = (
-        activity_by(
+        activity(
+            t,
             rows,
             ["state_name"],
             {"plants": "plant_id", "parameters": "parameter_id"},
-            having=F.col("plants") >= F.lit(min_plants),
-            dense=t.keys.dense,
+            F.col("plants") >= F.lit(min_plants),
         )
         .select("state_name", "plants", "parameters", "measurements")
     )
@@ -279,12 +279,12 @@ def monthly_evolution(
         t, "region", ["plant_id", "parameter_id", "month"], F.col("year") == F.lit(year)
     )
     out = (
-        activity_by(
+        activity(
+            t,
             rows,
             ["region_name", "month"],
             {"plants": "plant_id", "parameters": "parameter_id"},
-            having=F.col("measurements") >= F.lit(min_measurements),
-            dense=t.keys.dense,
+            F.col("measurements") >= F.lit(min_measurements),
         )
         .select(
             "region_name",
