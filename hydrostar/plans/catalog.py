@@ -202,7 +202,7 @@ def result_id(name: str) -> str | None:
 _written: dict[tuple[str, str], Tables] = {}
 
 
-def gold_of(spark: SparkSession, sf_dir: str, buckets: int = 8) -> Tables:
+def gold_of(spark: SparkSession, sf_dir: str, buckets: int | None = None) -> Tables:
     """The store of a test folder, written once a session."""
     at = (spark.sparkContext.applicationId, sf_dir)
     if at not in _written:

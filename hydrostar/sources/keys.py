@@ -16,6 +16,7 @@ A proof holds for the files it was made on.  It is stored with written tables
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from dataclasses import asdict, dataclass
 
 from pyspark.sql import functions as F
@@ -42,8 +43,11 @@ REFERENCES = {
     ("measurement", "plant_id"): "plant",
     ("measurement", "parameter_id"): "parameter",
 }
-# A bitmap spends a bit an id; at most this many bits a row of the table.
+# A bitmap spends a bit an id; at most this many bits a row of the table, and
+# this many in all: a task that meets ids of every block of every group sends
+# whole blocks for single ids, so there may be few blocks.
 MAX_BITS_A_ROW = 64
+MAX_BITS = 1 << 20
 
 
 @dataclass(frozen=True)
@@ -63,9 +67,9 @@ class Keys:
 NOTHING = Keys()
 
 
-def verify(tables, references: bool = True) -> Keys:
-    """Check every key (one aggregate a dimension) and every reference (one
-    anti join of its distinct values).  Runs jobs; only one row of figures a
+def verify(tables, references: Iterable[tuple[str, str]] = tuple(REFERENCES)) -> Keys:
+    """Check every key (one aggregate a dimension) and the given references (one
+    anti join of its distinct values each).  Runs jobs; only one row of figures a
     check comes back."""
     unique, dense, contained = set(), set(), set()
     for table, key in KEY_OF.items():
@@ -76,9 +80,10 @@ def verify(tables, references: bool = True) -> Keys:
         )
         if n == distinct:
             unique.add(table)
-        if n and low >= 0 and high < MAX_BITS_A_ROW * n:
+        if n and low >= 0 and high < min(MAX_BITS_A_ROW * n, MAX_BITS):
             dense.add(key)
-    for (child, column), parent in REFERENCES.items() if references else ():
+    for child, column in references:
+        parent = REFERENCES[child, column]
         used = getattr(tables, child).select(column).where(F.col(column).isNotNull()).distinct()
         known = getattr(tables, parent).select(F.col(KEY_OF[parent]).alias(column))
         if used.join(known, column, "left_anti").isEmpty():

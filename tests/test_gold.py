@@ -9,8 +9,16 @@ import pytest
 
 from hydrostar.plans import base, catalog
 from hydrostar.sources.fixture import fixture_tables
-from hydrostar.sources.gold import RepeatedKeys, enrich_measurements, load_gold, write_gold
-from hydrostar.sources.keys import Keys, verify
+from hydrostar.operators.rollup import GRAIN, fact_rollup
+from hydrostar.sources.gold import (
+    ROWS_A_BUCKET,
+    RepeatedKeys,
+    buckets_of,
+    enrich_measurements,
+    load_gold,
+    write_gold,
+)
+from hydrostar.sources.keys import MAX_BITS, Keys, verify
 from tests.conftest import SF001
 from tests.frames import bundle, geo
 from tests.test_copies import _data
@@ -181,3 +189,75 @@ def test_statistics_decide_joins_without_a_job(spark, gold):
         assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
         optimized = fn(stored, **kw)._jdf.queryExecution().stringWithStats()
         assert "rowCount=" in optimized
+
+
+@pytest.mark.parametrize("qid", ["Q6", "Q7", "Q9", "Q10"])
+def test_stored_rows_send_neither_blocks_nor_expanded_rows(gold, qid):
+    """A block of bits a (task, group, thousand ids) outgrows the rows."""
+    fn, kw = QUERIES[qid]
+    plan = plan_of(fn(gold, ordered=False, **kw))
+    assert "bitmap_construct_agg" not in plan and "Expand" not in plan
+
+
+def test_buckets_follow_the_rows(spark, gold, tmp_path):
+    assert buckets_of(0) == buckets_of(ROWS_A_BUCKET) == 8
+    assert buckets_of(100 * ROWS_A_BUCKET) == 100 and buckets_of(100 * ROWS_A_BUCKET + 1) == 101
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    write_gold(fixture_tables(spark, SF001), str(tmp_path / "store"))
+    assert spark.conf.get("spark.sql.shuffle.partitions") == before
+    assert '"buckets": 8' in spark.read.text(str(tmp_path / "store" / "manifest")).first()[0]
+
+
+def test_fact_is_dealt_once_by_plant_and_not_by_parameter(spark):
+    t = fixture_tables(spark, SF001)
+    t = t.having(keys=verify(t))
+    before = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.shuffle.partitions")}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    spark.conf.set("spark.sql.shuffle.partitions", 5)
+    try:
+        plan = plan_of(enrich_measurements(fact_rollup(t.measurement, GRAIN), t, 5))
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
+    assert "SortMergeJoin [plant_id" in plan and "Join [parameter_id" not in plan
+    dealt = [line for line in plan.splitlines() if "Exchange hashpartitioning(plant_id" in line]
+    # the rollup's shuffle by its whole key, then one a side of the join
+    assert len(dealt) == 3 and sum("REPARTITION_BY_NUM" in line for line in dealt) == 2
+
+
+def test_store_proves_what_the_tables_prove(spark, gold):
+    assert gold.keys == verify(fixture_tables(spark, SF001))
+
+
+def test_store_with_orphans_and_nulls(spark, tmp_path):
+    pairs = [(1, 1), (1, 2), (1, 2), (2, 1), (3, 7), (4, 1), (None, 1), (2, None), (5, 2), (5, 2)]
+    t = bundle(
+        spark,
+        **geo(2),
+        municipality=[(1, 1), (2, 2), (3, 9)],
+        plant=[(1, 1, None, "A"), (2, 2, 5, "B"), (3, 8, None, None), (5, 1, 5, "A")],
+        parameter=[(1, "pH", None, None), (2, "Cl", None, None)],
+        measurement=[(k, p, 1, q, 1, 1.0, 1, 1997) for k, (p, q) in enumerate(pairs)],
+    )
+    stored = write_gold(t, str(tmp_path / "store"), buckets=3)
+    assert not {"measurement.plant_id", "measurement.parameter_id"} & stored.keys.contained
+    for qid in ("Q6", "Q9", "Q10"):
+        fn, kw = QUERIES[qid]
+        kw = {k: 1 if k.startswith("min_") else v for k, v in kw.items()}
+        want = rows(fn(t, **kw))
+        assert want and rows(fn(stored, **kw)) == want
+
+
+def test_wide_ranges_of_ids_are_not_counted_by_bitmaps(spark):
+    n = 20_000
+    t = bundle(
+        spark,
+        **geo(2),
+        municipality=[(1, 1)],
+        plant=[(k * 60, 1, None, "A") for k in range(n)],
+        parameter=[(1, "pH", None, None)],
+        measurement=[(1, 60, 1, 1, 1, 1.0, 1, 2025)],
+    )
+    assert n * 60 > MAX_BITS
+    keys = verify(t, [])
+    assert "plant_id" not in keys.dense and "parameter_id" in keys.dense and not keys.contained
