@@ -61,12 +61,15 @@ from hydrostar.llm.common import (
     utf8,
 )
 
-BATCH_BYTES = 24 << 20
+# A batch lists its different pairs and words once: the larger it is, the fewer
+# rows travel for a byte of text.
+BATCH_BYTES = 32 << 20
 # So many bytes of different words make a shard.
 SHARD_BYTES = 4 << 20
 PIECE_BYTES = 4 << 20
-# So many texts are compressed together.
+# So many texts are compressed together, at this level.
 PACKED = 256
+LEVEL = 6
 SPACE, END = 32, 10
 # Natural logs of the probabilities of a byte's eight bits.
 BITS = [f"s{t}" for t in range(8)]
@@ -191,6 +194,7 @@ def number_words(docs: DataFrame, depth: int, across_words: bool) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         serial = TaskContext.get().partitionId() << 24
+        codec = pa.Codec("zstd", compression_level=LEVEL)
         kind = None
         number: dict[bytes, int] = {}
         rows: list[tuple] = []
@@ -218,7 +222,7 @@ def number_words(docs: DataFrame, depth: int, across_words: bool) -> DataFrame:
             for at in range(0, len(rows), PACKED):
                 cut = slice(at, at + PACKED)
                 m = len(ids[cut])
-                packed = pa.compress(b"".join(lines[cut]), codec="zstd", asbytes=True)
+                packed = codec.compress(b"".join(lines[cut]), asbytes=True)
                 yield made(
                     m,
                     row=pa.array(np.arange(at, at + m, dtype=np.int32)),

@@ -4,6 +4,7 @@ import math
 import random
 import zlib
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -177,3 +178,14 @@ def test_without_training_texts(spark):
     got = {r["doc_id"]: r for r in out}
     assert got[2]["n_tokens"] == 1 and got[2]["train_tokens"] == 0
     assert math.isclose(got[1]["bits_per_byte"], 8.0) and math.isclose(got[2]["bits_per_byte"], 8.0)
+
+
+def test_copies_of_texts_far_apart_travel_small(spark):
+    rng = random.Random(3)
+    texts = [" ".join("".join(rng.choices("aeilnorst", k=6)) for _ in range(3000)) for _ in range(40)]
+    texts += texts
+    docs = spark.createDataFrame(list(enumerate(texts)), "id long, text string").coalesce(1)
+    docs = docs.selectExpr("id", "false AS held_out", "text")
+    sent = ctw.number_words(docs, 2, True).selectExpr("sum(length(line)) AS n").first()["n"]
+    whole = b"".join(b" " + t.encode() + b" \n" for t in texts)
+    assert sent < 0.8 * len(pa.compress(whole, codec="zstd", asbytes=True))
