@@ -25,7 +25,8 @@ With ``across_words=False`` contexts end at the space that starts the word.
    ``mixed``: one aggregate a depth upward for the weights, one join a depth
    downward for the mixture.
 3. ``vocabulary``: one shuffle by word gives every different word its corpus
-   count; ``in_shards`` deals the words into ranges of their byte order.  The
+   count; ``in_shards`` deals the words into ranges of their byte order, no
+   more than a bounded sample of words gives, and cuts longer ranges.  The
    words of a prefix are neighbours there, so only prefixes of a range's first
    and last word can go on in other ranges: ``asks`` lists their counts, Spark
    adds them up (``open_prefixes``).  A prefix may have any number of words.
@@ -66,6 +67,9 @@ from hydrostar.llm.common import (
 BATCH_BYTES = 32 << 20
 # So many bytes of different words make a shard.
 SHARD_BYTES = 4 << 20
+# To find ranges, Spark sends so many words a range to the driver, each with so
+# many bytes of objects around it; all of them together may take so many bytes.
+SAMPLED, AROUND, SAMPLE_BYTES = 300, 128, 32 << 20
 PIECE_BYTES = 4 << 20
 # So many texts are compressed together, at this level.
 PACKED = 256
@@ -283,9 +287,36 @@ def vocabulary(listed: DataFrame) -> DataFrame:
     return listed.groupBy("word").agg(F.sum("count").alias("c"))
 
 
-def in_shards(words: DataFrame, shards: int) -> DataFrame:
-    """(word, c, shard): shards are ranges of the words in byte order."""
-    return words.repartitionByRange(shards, "word").withColumn("shard", F.spark_partition_id())
+def in_shards(words: DataFrame, n_words: int, n_bytes: int) -> DataFrame:
+    """(word, c, shard) of ``n_words`` words with ``n_bytes`` bytes: shards are
+    ranges of the words in byte order, of about ``SHARD_BYTES`` each.
+
+    Long words would make the sample that ranges are found by as large as a
+    good part of the vocabulary, so it gives fewer ranges then, and every
+    range is cut where it lies, in order.
+    """
+    shards = max(1, -(-n_bytes // SHARD_BYTES))
+    of_sample = SAMPLE_BYTES * n_words // max(1, SAMPLED * (n_bytes + AROUND * n_words))
+    ranges = max(1, min(shards, of_sample))
+    dealt = words.repartitionByRange(ranges, "word").withColumn(
+        "shard", F.spark_partition_id().cast("long")
+    )
+    return dealt if ranges == shards else _cut(dealt.sortWithinPartitions("word"))
+
+
+def _cut(dealt: DataFrame) -> DataFrame:
+    """Ranges whose words are in order, cut into shards of ``SHARD_BYTES``."""
+    most = SHARD_BYTES
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before = 0
+        for batch in batches:
+            ends = before + np.cumsum(pc.binary_length(batch.column("word")).to_numpy() + np.int64(1))
+            shard = batch.column("shard").to_numpy() << 32 | np.append(before, ends)[:-1] // most
+            before = int(ends[-1]) if len(ends) else before
+            yield batch.set_column(batch.schema.get_field_index("shard"), "shard", pa.array(shard))
+
+    return map_in_arrow(dealt, run, dealt.schema)
 
 
 def grams(words: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -353,7 +384,7 @@ def asks(words: DataFrame, depth: int) -> DataFrame:
         none = [None] * len(key)
         return pa.table(
             {
-                "shard": pa.array(np.full(len(key) + len(outer), part.column("shard")[0].as_py(), np.int32)),
+                "shard": pa.array(np.full(len(key) + len(outer), part.column("shard")[0].as_py())),
                 "gram": pa.array(np.concatenate([key, np.array(gram, np.int64)])),
                 "prefix": pa.array([*none, *prefix], pa.binary()),
                 "side": pa.array([*none, *side], pa.int32()),
@@ -366,10 +397,17 @@ def asks(words: DataFrame, depth: int) -> DataFrame:
     return (
         words.select("shard", "word", "c")
         .groupBy("shard")
-        .applyInArrow(run, "shard int, gram long, prefix binary, side int, length int, n long")
+        .applyInArrow(run, "shard long, gram long, prefix binary, side int, length int, n long")
     )
 
 
+def by_shuffle(df: DataFrame) -> DataFrame:
+    """``df`` for a join that is never a broadcast: by the size of their
+    compressed files alone, tables of this model that grow with the corpus can
+    look small enough for one and be many times larger on the driver."""
+    return df.hint("merge")
+
+
 def open_prefixes(asked: DataFrame) -> DataFrame:
     """(shard, gram, side, length, n): for every shard and each of its outer
     prefixes that other shards have too, all next bytes with their counts in
@@ -379,8 +417,8 @@ def open_prefixes(asked: DataFrame) -> DataFrame:
     holders = outer.select("shard", "prefix", "side", "length").distinct()
     shared = holders.groupBy("prefix").agg(F.count("*").alias("holders")).where("holders > 1")
     return (
-        holders.join(shared.select("prefix"), "prefix")
-        .join(in_all, "prefix")
+        holders.join(by_shuffle(shared.select("prefix")), "prefix")
+        .join(by_shuffle(in_all), "prefix")
         .select("shard", "gram", "side", "length", "n")
     )
 
@@ -479,6 +517,8 @@ def mixed(levels: list[DataFrame]) -> DataFrame:
                 F.col("rest").alias("rest_above"),
                 F.col("one").alias("one_above"),
             )
+            # The first two depths have 256 * 255 nodes at most.
+            parent = parent if d < 3 else by_shuffle(parent)
             shorter = F.col("context").bitwiseAND(F.lit((1 << 8 * (d - 1)) - 1))
             rows = level.withColumn("parent", shorter).join(parent, ["parent", "node"])
         estimate = (F.col("b") + 0.5) / (F.col("a") + F.col("b") + 1.0)
@@ -509,7 +549,7 @@ def gram_scores(counted: DataFrame, depth: int) -> DataFrame:
     asked = _bits(counted.select("gram", "used", "context", "byte"))
     one = F.col("one")
     node = F.col("node")
-    rows = asked.join(predicted, ["used", "context", "node"]).select(
+    rows = asked.join(by_shuffle(predicted), ["used", "context", "node"]).select(
         "gram", "node", F.ln(F.when(F.col("bit") == 1, one).otherwise(1 - one)).alias("ln")
     )
     # The node of bit t is 1 and the t bits before it.
@@ -711,11 +751,11 @@ def score(
     row = different.agg(
         F.sum("c").alias("n"),
         F.count_if(F.col("c") > 0).alias("v"),
+        F.count("*").alias("words"),
         F.sum(F.octet_length("word") + 1).alias("bytes"),
     ).first()
     total, distinct = (row["n"] or 0) + ends, row["v"] + (ends > 0)
-    shards = max(1, -(-(row["bytes"] or 0) // SHARD_BYTES))
-    words = stored(in_shards(different, shards), "ctw-words")
+    words = stored(in_shards(different, row["words"], row["bytes"] or 0), "ctw-words")
 
     counted = pairs.groupBy("gram").agg(F.sum("count").alias("n"))
     grams_scored = stored(gram_scores(stored(split_grams(counted), "ctw-grams"), depth), "ctw-scores")
@@ -724,14 +764,14 @@ def score(
         asked.where(F.col("prefix").isNull())
         .select("shard", "gram")
         .unionByName(open_prefixes(asked), allowMissingColumns=True)
-        .join(grams_scored.drop("lp"), "gram")
+        .join(by_shuffle(grams_scored.drop("lp")), "gram")
     )
     # Both sides of the last cogroup come from one table: a name of its own.
     of_words = listed.select(F.col("batch").alias("batch"), "k", "word").join(
-        word_scores(words, wanted, depth), "word"
+        by_shuffle(word_scores(words, wanted, depth)), "word"
     )
     replies = of_words.drop("word").unionByName(
-        pairs.select("batch", "gram").join(grams_scored.select("gram", "lp"), "gram"),
+        pairs.select("batch", "gram").join(by_shuffle(grams_scored.select("gram", "lp")), "gram"),
         allowMissingColumns=True,
     )
 

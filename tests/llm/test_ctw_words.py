@@ -8,6 +8,8 @@ import random
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 from hydrostar.llm import ctw
 from tests.llm.frames import awkward_rows, documents
 from tests.llm.test_ctw import Tree, blended, cut, held
@@ -160,3 +162,57 @@ def test_a_long_word_counts_to_its_end(spark):
     rows += [(100, f"id {often}"), (101, f"id {often[:40]}{other[40:]}")]
     got = scores(spark, rows, 4)
     assert got[100] > got[101] + 20
+
+
+def test_long_words_give_the_driver_a_bounded_sample(spark, monkeypatch):
+    """Ranges are found by a sample on the driver: its bytes do not follow the
+    vocabulary's, and shards keep their size and order."""
+    monkeypatch.setattr(ctw, "SHARD_BYTES", 10_000)
+    monkeypatch.setattr(ctw, "SAMPLE_BYTES", 3 * 300 * (2_000 + 128))
+    rnd = random.Random(4)
+    long = [b"".join(rnd.choices([b"a", b"b", b"\xff"], k=rnd.randrange(1_000, 3_000))) for _ in range(300)]
+    n_bytes = sum(len(w) + 1 for w in long)
+    words = spark.createDataFrame([(bytearray(w), 1) for w in long], "word binary, c long")
+    dealt = ctw.in_shards(words, len(long), n_bytes)
+    assert dealt.select(F.spark_partition_id()).distinct().count() <= 3
+    shards: dict = {}
+    for r in dealt.collect():
+        shards.setdefault(r["shard"], []).append(bytes(r["word"]))
+    assert sorted(w for some in shards.values() for w in some) == sorted(long)
+    assert n_bytes / 10_000 <= len(shards) <= n_bytes / 10_000 + 4
+    assert max(sum(len(w) + 1 for w in some) for some in shards.values()) < 10_000 + 3_001
+    in_order = [w for shard in sorted(shards) for w in sorted(shards[shard])]
+    assert in_order == sorted(long)
+
+
+def test_cut_ranges_against_the_definition(spark, monkeypatch):
+    monkeypatch.setattr(ctw, "SHARD_BYTES", 100)
+    monkeypatch.setattr(ctw, "SAMPLE_BYTES", 1)
+    rnd = random.Random(7)
+    parts = ["th", "er", "on", "a", "ing", "é", "\0", "a/long/path/that/many/pages/share/"]
+    word = lambda: "".join(rnd.choices(parts, k=rnd.randrange(1, 5)))
+    rows = [(k, " ".join(word() for _ in range(rnd.randrange(20)))) for k in range(30)]
+    tree = WholeTree([cut(t) for i, t in rows if not held(i)], 2)
+    got = scores(spark, rows, 2)
+    for i, t in rows:
+        assert math.isclose(got[i], tree.text(cut(t)), rel_tol=1e-8), i
+
+
+def test_tables_that_grow_are_not_broadcast(spark, monkeypatch):
+    """Whatever their files' sizes: only the nodes of the first two depths,
+    of which there are 256 * 255 at most, may be."""
+    plans: dict = {}
+    keep = ctw.stored
+
+    def plan(df):
+        return df._jdf.queryExecution().executedPlan().toString()
+
+    def stored(df, name):
+        plans[name] = plan(df)
+        return keep(df, name)
+
+    monkeypatch.setattr(ctw, "stored", stored)
+    out = ctw.score(documents(spark, awkward_rows()), ctw.contract_fold(), across_words=True)
+    plans["scores"] = plan(out)
+    assert {name for name, text in plans.items() if "Broadcast" in text} <= {"ctw-mix-1", "ctw-mix-2"}
+    assert sum("SortMergeJoin" in text for text in plans.values()) > 3
