@@ -41,9 +41,10 @@ driver; the model is tables as large as the corpus makes them.
 from __future__ import annotations
 
 from bisect import bisect_left, bisect_right
+from collections import defaultdict
 from collections.abc import Iterator
 from hashlib import blake2b
-from itertools import accumulate
+from itertools import accumulate, count
 
 import numpy as np
 import pyarrow as pa
@@ -156,6 +157,11 @@ class Lookup:
         return self.value[at]
 
 
+def first_seen() -> defaultdict[bytes, int]:
+    """Numbers words from 0 on, as they are first looked up."""
+    return defaultdict(count().__next__)
+
+
 def _sums(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
     """Different keys in order, with the sums of their counts."""
     key, back = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
@@ -200,7 +206,7 @@ def number_words(docs: DataFrame, depth: int, across_words: bool) -> DataFrame:
         serial = TaskContext.get().partitionId() << 24
         codec = pa.Codec("zstd", compression_level=LEVEL)
         kind = None
-        number: dict[bytes, int] = {}
+        number = first_seen()
         rows: list[tuple] = []
         trained: list[np.ndarray] = [np.zeros(0, np.uint32)]
         size = 0
@@ -255,16 +261,16 @@ def number_words(docs: DataFrame, depth: int, across_words: bool) -> DataFrame:
                 kind = part.schema.field(0).type
                 for i, held, text in zip(*(c.to_pylist() for c in part.columns)):
                     words = utf8(text).translate(LOWER_TABLE).split()
-                    ids = [number.setdefault(w, len(number)) for w in words]
+                    ids = np.fromiter(map(number.__getitem__, words), np.uint32, len(words))
                     if not held:
-                        trained.append(np.array(ids, np.uint32))
+                        trained.append(ids)
                     line = b" ".join([b"", *words, b"\n"])
                     n_bytes = len(line) - 1
                     rows.append((i, held, n_bytes, line))
                     size += n_bytes
                     if size >= BATCH_BYTES:
                         yield from flush()
-                        serial, number, rows, size = serial + 1, {}, [], 0
+                        serial, number, rows, size = serial + 1, first_seen(), [], 0
                         trained = [np.zeros(0, np.uint32)]
         if rows:
             yield from flush()
@@ -793,10 +799,11 @@ def score(
         c, lp = np.zeros(len(k), np.int64), np.zeros(len(k))
         c[k], lp[k] = of_words.column("c").to_numpy(), of_words.column("lp").to_numpy()
         base = np.log10((c + 0.5) / scale)
-        number: dict[bytes, int] = {}
+        number = first_seen()
         out: list[list] = [[], [], [], []]
         for line, own in zip(lines, total_lp.tolist()):
-            i = np.array([number.setdefault(w, len(number)) for w in line.split()], np.int64)
+            words = line.split()
+            i = np.fromiter(map(number.__getitem__, words), np.int64, len(words))
             out[0].append(len(i) + 1)
             out[1].append(int((c[i] > 0).sum()) + int(ends > 0))
             out[2].append(float(base[i].sum()) + end_base)
